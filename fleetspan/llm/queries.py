@@ -4,31 +4,41 @@ from __future__ import annotations
 
 from fleetspan.llm.chat import op5_chat_format
 from fleetspan.llm.decontaminate import op3_decontaminate
+from fleetspan.llm.licenses import op7_license_scan
 from fleetspan.llm.line_dedup import op9_line_dedup
+from fleetspan.llm.minhash import op1_near_duplicates
+from fleetspan.llm.mixing import op8_mixing
+from fleetspan.llm.quality_rules import ORACLE as QUALITY_RULES
+from fleetspan.llm.quality_rules import op10_quality_rules
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op3_decontaminate": op3_decontaminate,
     "op5_chat_format": op5_chat_format,
+    "op7_license_scan": op7_license_scan,
+    "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL = {
+    "op10_quality_rules": QUALITY_RULES,
     "op9_line_dedup": f"""
 WITH lines AS (
-  SELECT doc_id, generate_subscripts(parts, 1) AS at, unnest(parts) AS line
+  SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
 ), keyed AS (
-  SELECT doc_id, at, line, translate(trim(line, {SPACE}), {UPPER}, {LOWER}) AS k FROM lines
+  SELECT doc_id, pos, line, translate(trim(line, {SPACE}), {UPPER}, {LOWER}) AS k FROM lines
 ), firsts AS (
   SELECT k, min(doc_id) AS first_doc FROM keyed WHERE length(k) >= 10 GROUP BY k
 ), marked AS (
-  SELECT doc_id, at, line, coalesce(first_doc < doc_id, false) AS gone FROM keyed LEFT JOIN firsts USING (k)
+  SELECT doc_id, pos, line, coalesce(first_doc < doc_id, false) AS gone FROM keyed LEFT JOIN firsts USING (k)
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """,
 }
