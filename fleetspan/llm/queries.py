@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from fleetspan.llm.chat import op5_chat_format
 from fleetspan.llm.decontaminate import op3_decontaminate
+from fleetspan.llm.language_model import op2_language_model
 from fleetspan.llm.licenses import op7_license_scan
 from fleetspan.llm.line_dedup import op9_line_dedup
 from fleetspan.llm.minhash import op1_near_duplicates
 from fleetspan.llm.mixing import op8_mixing
+from fleetspan.llm.quality_model import op6_quality_classifier
 from fleetspan.llm.quality_rules import ORACLE as QUALITY_RULES
 from fleetspan.llm.quality_rules import op10_quality_rules
+from fleetspan.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_language_model": op2_language_model,
     "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_chat_format": op5_chat_format,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
