@@ -1,12 +1,71 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality, line dedup, near-dedup, decontamination, mixing; each stage takes all that the one before kept.
 
+Counted as part of the llm subpackage. All stages keep rows with nulls unless their operator's docstring says otherwise, take any extra columns along and
+give no rows for an empty table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetspan.llm import decontaminate, line_dedup, minhash, mixing, quality_model
+from fleetspan.llm.common import saved, table
+
+#: Shares of the mix's tokens by language.
+TARGETS = mixing.TARGETS
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier accepts. It learns from all labelled documents of its input."""
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_model.accepted(docs, model)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that a smaller doc_id holds too."""
+    return line_dedup.dedup_lines(docs).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id; of repeated rows with one doc_id one stays. Rows with a null doc_id stay."""
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    some = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return some.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by the benchmark."""
+    return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their rate and n_copies in the mix; those with no copies go."""
+    rates = mixing.mixed(docs, table(spark, sf_dir, "labels"), TARGETS).select(F.col("doc_id").alias("_doc"), "n_tokens", "rate", "n_copies")
+    rates = rates.dropDuplicates(["_doc"])
+    own = [c for c in docs.columns if c not in ("n_tokens", "rate", "n_copies")]
+    return docs.join(rates, F.col("doc_id").eqNullSafe(F.col("_doc"))).where("n_copies > 0").select(*own, "n_tokens", "rate", "n_copies")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("line_dedup", lines),
+    ("near_dedup", near_dedup),
+    ("decontaminate", clean),
+    ("mixing", mix),
+]
+
+#: SQL can't express the classifier; the stages are tested each against its operator.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    """Applies STAGES to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over documents, each result but the last written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for number, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = saved(docs, f"pipeline-{name}")
     return docs

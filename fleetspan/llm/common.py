@@ -82,6 +82,19 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[tuple]], Itera
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, keep: Callable[[Iterator[bytes | None]], Iterator[bool]]) -> DataFrame:
+    """Rows of df whose text keep() accepts, all columns as they are; keep() gets the texts of a partition and yields a verdict for each in turn."""
+    at = df.columns.index("text")
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(iter(b.column(at).cast(pa.large_binary()).to_pylist())), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
     cols = []
     for c in batch.columns:

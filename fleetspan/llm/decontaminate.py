@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspan.llm.common import map_rows, table
+from fleetspan.llm.common import keep_rows, map_rows, table
 from fleetspan.llm.words import alnum_words
 
 #: Words of a window; an item with fewer words is one window.
@@ -99,11 +99,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mos
     items: no hits. Other columns are not read. Test texts of at most most_bytes in all (checked) make one automaton that each
     Python worker builds; with more, windows are hashed and joined by shuffle (contamination_by_join).
     """
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    size_of = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size_of > most_bytes:
+    items = test_items(benchmark)
+    if text_bytes(items) > most_bytes:
         return contamination_by_join(docs, items, size)
-    held = docs.sparkSession.sparkContext.broadcast([(r[0], r[1].encode()) for r in items.orderBy("item_id", "text").collect()])
+    held = collected(items)
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         made = automaton(held.value, size)
@@ -117,6 +116,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mos
     return out.withColumn("contaminated", verdict())
 
 
+def test_items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+
+
+def text_bytes(items: DataFrame) -> int:
+    return items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def collected(items: DataFrame):
+    """A broadcast of test items whose size has been checked."""
+    return items.sparkSession.sparkContext.broadcast([(r[0], r[1].encode()) for r in items.orderBy("item_id", "text").collect()])
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """Rows that aren't contaminated, with all their columns. Beyond most_bytes of test texts they are found by doc_id and text."""
+    items = test_items(benchmark)
+    if text_bytes(items) > most_bytes:
+        bad = contamination_by_join(docs, items, size).where("contaminated").select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash")).distinct()
+        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    held = collected(items)
+
+    def keep(texts):
+        made = automaton(held.value, size)
+        for text in texts:
+            n, runs, _ = scan(text, made)
+            hit = sum(b - a for a, b in runs)
+            yield not (hit and hit * ONE_IN >= n)
+
+    return keep_rows(docs, keep)
+
+
 def verdict():
     return (F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words"))
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspan.llm.common import map_rows, table
+from fleetspan.llm.common import keep_rows, map_rows, table
 from fleetspan.llm.logistic import Logistic
 
 #: Bytes that are compressed at once; a whole text is cut into such pieces, so every part of it meets the dictionaries.
@@ -129,5 +129,26 @@ def scored(docs: DataFrame, labels: DataFrame, model_docs: DataFrame | None = No
     return out.select("doc_id", "text", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows whose text scores at least LEAST_SCORE, with all their columns."""
+
+    def keep(texts: Iterator[bytes | None]) -> Iterator[bool]:
+        score = scorer_of(model)
+        return (score(t) >= LEAST_SCORE for t in texts)
+
+    return keep_rows(docs, keep)
+
+
+_scorers: dict[Model, object] = {}
+
+
+def scorer_of(model: Model):
+    """The model's scorer, made once per worker and task."""
+    if model not in _scorers:
+        _scorers.clear()
+        _scorers[model] = model.scorer()
+    return _scorers[model]
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
