@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from fleetspan.plans import base, detector, findings, modelling, reports
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (base, detector, findings, reports, modelling):
+    QUERIES |= _part.BOOK.queries
+    ORACLE_SQL |= _part.BOOK.oracles
