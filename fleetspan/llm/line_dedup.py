@@ -73,7 +73,9 @@ class LineRuns:
         self.levels[0].append(self._write(entries))
         for k, level in enumerate(self.levels):
             if len(level) >= self.fanout:
-                merged = reduce(DataFrame.unionByName, map(self.spark.table, level)).groupBy(*KEY).agg(F.min("first_doc").alias("first_doc"))
+                # read as plain files: a union of bucketed scans would be taken as partitioned by key
+                files = self.spark.read.parquet(*[f"{shared_dir(self.spark)}/{name}" for name in level])
+                merged = files.groupBy(*KEY).agg(F.min("first_doc").alias("first_doc"))
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(self._write(merged))
