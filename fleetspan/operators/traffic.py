@@ -71,13 +71,14 @@ def stop_paths(stops: DataFrame, shapes: DataFrame, most: float = 100.0) -> Data
             for (ax, ay), (bx, by), n, s in zip(points, points[1:], lengths, starts, strict=False):
                 if n == 0 or s + n < floor:
                     continue
-                u = max(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n, floor - s, 0.0)
-                u = min(u, n)
+                u = min(max(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n, 0.0), n)
+                if s + u < floor:
+                    continue
                 off = ((x - ax - (bx - ax) * u / n) ** 2 + (y - ay - (by - ay) * u / n) ** 2) ** 0.5
                 if off <= most and (best is None or off < best[1] - 1e-9):
                     best = (s + u, off)
             out.append(best or (None, None))
-            floor = best[0] if best else floor
+            floor = best[0] + 0.01 if best else floor
         return pd.DataFrame({"trip_id": trip["trip_id"], "stop_sequence": trip["stop_sequence"], "along": [b[0] for b in out], "off": [b[1] for b in out]})
 
     rows = stops.join(shapes, "shape_id").select("trip_id", "stop_sequence", "x", "y", "points")
