@@ -19,8 +19,12 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 50, 5
 #: Slots that the first permutation deals shingles to.
 SLOTS = 1 << 22
+#: Words of 64 bits of a node's bitmap.
+BITMAP = 32
 #: Pairs with one centre that a task may get.
 CENTRE_PAIRS = 2000
+#: Orders by which buckets choose a second node to compare with.
+ORDERS = 8
 SEED = 20_240_229
 
 SIGNED = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
@@ -67,14 +71,17 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """id, set: each document's sorted shingle hashes as bytes."""
+    """id, n, set, bits: each document's sorted shingle hashes as bytes, their number, and a bitmap with a bit set for each."""
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         hashed = WordHash()
         for doc, text in it:
-            yield doc, shingles(hashed.of(space_words(text)), words).tobytes()
+            s = shingles(hashed.of(space_words(text)), words)
+            marks = np.zeros(64 * BITMAP, np.uint8)
+            marks[(mixed(s) & np.uint64(64 * BITMAP - 1)).astype(np.intp)] = 1
+            yield doc, len(s), s.tobytes(), np.packbits(marks, bitorder="little").view(np.int64).tolist()
 
-    return map_rows(docs.select("doc_id", "text"), "id long, `set` binary", rows)
+    return map_rows(docs.select("doc_id", "text"), "id long, n long, `set` binary, bits array<long>", rows)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -83,9 +90,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     A centre with more than CENTRE_PAIRS partners is dealt to several tasks by a salt; its set is copied once a salt, so copies follow the pairs.
     """
     pairs = saved(pairs, "pairs")
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    salted = hot_join(pairs, counts, ["a"], "n", pairs.count())
-    parts = F.ceil(F.col("n") / CENTRE_PAIRS).cast("int")
+    counts = pairs.groupBy("a").agg(F.count("*").alias("partners"))
+    salted = hot_join(pairs, counts, ["a"], "partners", pairs.count())
+    parts = F.ceil(F.col("partners") / CENTRE_PAIRS).cast("int")
     left = salted.select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt")).join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     centres = sets.join(counts.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), "set", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
     both = left.join(centres, ["a", "salt"]).select("a", "b", "set", "set_b")
@@ -125,6 +132,34 @@ def components(edges: DataFrame) -> DataFrame:
             return members.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def homes(met: DataFrame, joined: DataFrame, n_nodes: int) -> DataFrame:
+    """band, id, size, comp, home: each node of each bucket with its component so far and the bucket's commonest; only buckets with several components."""
+    known = joined.withColumnRenamed("component", "comp")
+    placed = saved(met.select("band", "id", "size").join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
+    counts = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    home = counts.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("home"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    return hot_join(placed, home, ["band"], "n", n_nodes * BANDS).select("band", "id", "size", "comp", "home")
+
+
+def apart(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs that may be linked of a node outside of its bucket's commonest component and one of another component there. Exact: it leaves out no link.
+
+    Bits that one bitmap has and the other hasn't stand for as many shingles at least that are in one set only. With x and y of these, the intersection has at most
+    min(size - x, size' - y) shingles and the union at least x + y more. Pairs that this rules out go before any set is moved.
+    """
+    words = [f"b{i}" for i in range(BITMAP)]
+    set_bits = F.aggregate("bits", F.lit(0), lambda acc, w: acc + F.bit_count(w))
+    maps = sets.select("id", "n", set_bits.alias("marks"), *[F.get("bits", F.lit(i)).alias(w) for i, w in enumerate(words)]).distinct()
+    columns = ["id", "n", "comp", "marks", *words]
+    live = saved(placed.join(maps, "id").select("band", "home", *columns), "live-places").select("band", "home", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns])
+    s = live.where("comp <> home").select("band", *[F.col(c).alias(f"s_{c}") for c in columns])
+    # of the bits, c are common to both: x = marks - c, y = s_marks - c; solved for c, so that the long sum stands in the condition once
+    common = sum((F.bit_count(F.col(w).bitwiseAND(F.col(f"s_{w}"))) for w in words), F.lit(0))
+    least = percent * (F.col("marks") + F.col("s_marks")) - (100 - percent) * F.least(F.col("n") - F.col("marks"), F.col("s_n") - F.col("s_marks"))
+    both = live.join(s, "band").where((F.col("s_comp") != F.col("comp")) & (100 * F.least("n", "s_n") >= percent * F.greatest("n", "s_n")) & ((100 + percent) * common >= least))
+    return both.select(F.least("s_id", "id").alias("a"), F.greatest("s_id", "id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept.
 
@@ -134,8 +169,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     are not read; an empty table gives no rows.
 
     Equal sets are one node from the start. Nodes meet in the buckets of their bands. First every node of a bucket is compared with the
-    bucket's smallest id. Nodes that this links need no more comparisons with each other; the rest, those outside of the smallest id's component, are compared
-    with all the bucket's nodes of other components, save pairs that the triangle inequality of Jaccard distances to the smallest id rules out.
+    bucket's smallest id. Nodes that this links need no more comparisons with each other. The rest, those outside of a bucket's commonest component, are compared with
+    some nodes of that component, one a bucket; and what then is still apart from a node of its buckets is compared with it, unless exact bounds rule that out (apart()).
     """
     text = docs.select("doc_id", "text")
     signs = saved(signatures(text, words), "signatures")
@@ -145,29 +180,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     places = nodes.select("id", "size", F.explode("bands").alias("band"))
     buckets = saved(places.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
     met = saved(hot_join(places, buckets, ["band"], "n", n_nodes * BANDS).select("band", "id", "size", "centre"), "bucket-places")
-    stars = saved(met.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
-    needed = met.select("id").distinct()
-    sets = saved(shingle_sets(text.join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), words), "shingle-sets")
-    checked = saved(verified(stars, sets), "star-links")
+    needed = met.select(F.col("id").alias("doc_id")).distinct()
+    sets = saved(shingle_sets(text.join(needed, "doc_id", "left_semi"), words), "shingle-sets")
     linked = F.col("inter") * 100 >= F.col("total") * percent
-    joined = saved(components(checked.where(linked)), "star-components")
 
-    known = joined.withColumnRenamed("component", "comp")
-    placed = met.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    distance = checked.select(F.col("a").alias("centre"), F.col("b").alias("id"), (1 - F.col("inter") / F.col("total")).alias("d"))
-    placed = saved(placed.join(distance, ["centre", "id"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))), "placed")
-    home = buckets.join(known.withColumnRenamed("id", "centre"), "centre", "left").select("band", "n", F.coalesce("comp", "centre").alias("home"))
-    strays = hot_join(placed, home, ["band"], "n", n_nodes * BANDS).where("comp <> home").select("band", "id", "comp", "d", "size")
-    step = 1 - percent / 100
-    bin_of = lambda d: F.floor(d / step).cast("int")
-    strays = saved(strays, "strays")
-    s = strays.select("band", F.col("id").alias("sid"), F.col("comp").alias("scomp"), F.col("d").alias("sd"), F.col("size").alias("ssize"), F.explode(F.array(bin_of(F.col("d")) - 1, bin_of(F.col("d")), bin_of(F.col("d")) + 1)).alias("bin"))
-    others = placed.where("id <> centre").join(strays.select("band").distinct(), "band", "left_semi").withColumn("bin", bin_of(F.col("d")))
-    near = s.join(others, ["band", "bin"]).where((F.col("scomp") != F.col("comp")) & (F.abs(F.col("sd") - F.col("d")) <= step + 1e-9) & (100 * F.least("size", "ssize") >= percent * F.greatest("size", "ssize")))
-    rest = near.select(F.least("sid", "id").alias("a"), F.greatest("sid", "id").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-    more = saved(verified(rest, sets).where(linked), "more-links")
-    links = checked.where(linked).select("a", "b").unionByName(more.select("a", "b"))
-    final = components(links) if more.head(1) else joined
+    stars = met.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    checked = saved(verified(stars, sets), "checked")
+    joined = saved(components(checked.where(linked)), "components")
+    placed = saved(homes(met, joined, n_nodes), "placed")
+
+    order = F.struct(F.xxhash64("id", F.pmod("band", F.lit(ORDERS))), F.col("id"))
+    others = placed.where("comp = home").groupBy("band").agg(F.min_by("id", order).alias("other"), F.count("*").alias("n"))
+    apart_now = placed.where("comp <> home")
+    tries = apart_now.join(others, "band").select(F.least("other", "id").alias("a"), F.greatest("other", "id").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+    more = saved(verified(tries, sets), "checked")
+    links = checked.where(linked).select("a", "b").unionByName(more.where(linked).select("a", "b"))
+    if more.where(linked).head(1):
+        joined = saved(components(links), "components")
+        placed = saved(homes(met, joined, n_nodes), "placed")
+    seen = checked.select("a", "b").unionByName(more.select("a", "b"))
+    last = saved(verified(apart(placed, sets, percent).join(seen, ["a", "b"], "left_anti"), sets).where(linked), "checked")
+    final = components(links.unionByName(last.select("a", "b"))) if last.head(1) else joined
 
     grouped = nodes.select("set_hi", "set_lo", "id").join(final, "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component"))
     sizes = usable.groupBy("set_hi", "set_lo").agg(F.count("*").alias("n"))
