@@ -81,7 +81,7 @@ def base_failed() -> Column:
 
 
 def any_failed() -> Column:
-    chars = F.col("word_chars") / F.col("n_words")
+    chars = F.try_divide("word_chars", "n_words")
     return base_failed() | (F.col("n_symbols") > MOST_SYMBOLS_A_WORD * F.col("n_words")) | (F.col("n_dup_lines") > MOST_DUP_LINES * F.col("n_lines")) | ~chars.between(*WORD_CHARS)
 
 
