@@ -178,7 +178,7 @@ def _(spark, sf):
     return plain(passages_of(spark, sf).select("day", "trip_id", "vehicle_id", "stop_id", "line", "direction_id", "seq", "last_seq", "is_last", "t", "t_first", "delay"))
 
 
-SECONDS = clock.clock_seconds(F.col("clock"))
+
 FLAT = "SELECT day, trip_id, line, direction_id, stop_id, CASE WHEN trip_id LIKE '%1-0-_' THEN first_s ELSE s END AS s FROM (SELECT *, min(s) OVER (PARTITION BY trip_id) AS first_s FROM (SELECT *, split_part(clock, ':', 1)::INT * 3600 + split_part(clock, ':', 2)::INT * 60 + split_part(clock, ':', 3)::INT AS s FROM visits))"
 OFFSETS = "SELECT line, direction_id, day, stop_id, quantile_cont(s - start, 0.5) AS offset_s FROM flat_visits JOIN (SELECT trip_id, min(s) AS start FROM flat_visits GROUP BY 1 HAVING min(s) < max(s)) USING (trip_id) GROUP BY ALL"
 
@@ -187,7 +187,7 @@ def flat_visits(spark, sf):
     """The timetable with some trips flat: s is the first clock of the trip at all its stops."""
     from pyspark.sql import Window
 
-    v = adapter.visits(spark, sf).withColumn("s", SECONDS)
+    v = adapter.visits(spark, sf).withColumn("s", clock.clock_seconds(F.col("clock")))
     return v.withColumn("s", F.when(F.col("trip_id").like("%1-0-_"), F.min("s").over(Window.partitionBy("trip_id"))).otherwise(F.col("s")))
 
 
