@@ -15,7 +15,8 @@ RECENT_US, CLAMP = 1_800_000_000, (0.05, 3.0)
 
 
 def log_ratio(ratio: Column) -> Column:
-    return F.log(F.least(F.lit(CLAMP[1]), F.greatest(F.lit(CLAMP[0]), ratio)))
+    # greatest() and least() skip nulls, so those are kept apart
+    return F.when(ratio.isNotNull(), F.log(F.least(F.lit(CLAMP[1]), F.greatest(F.lit(CLAMP[0]), ratio))))
 
 
 def trip_history(p: DataFrame) -> DataFrame:
@@ -42,8 +43,10 @@ def irregularity(p: DataFrame) -> DataFrame:
 def named(p: DataFrame) -> DataFrame:
     """The named feature values of a passage; missing ones stay null where the model knows how to fill them."""
     local = clock.local(F.col("t"))
-    hour, ratio = F.hour(local), F.greatest(F.lit(0.0), F.col("hw") / F.col("sched_hw"))
-    trend = F.least(F.lit(3.0), F.greatest(F.lit(-3.0), ratio - F.col("ratio_prev3")))
+    hour, raw = F.hour(local), F.try_divide("hw", "sched_hw")
+    ratio = F.when(raw.isNotNull(), F.greatest(F.lit(0.0), raw))
+    change = ratio - F.col("ratio_prev3")
+    trend = F.when(change.isNotNull(), F.least(F.lit(3.0), F.greatest(F.lit(-3.0), change)))
     angle = (hour + F.minute(local) / 60) * (2 * math.pi / 24)
     return p.withColumns({
         "log_ratio": log_ratio(ratio),
@@ -55,7 +58,7 @@ def named(p: DataFrame) -> DataFrame:
         "peak_am": hour.between(7, 9).cast("int"),
         "peak_pm": hour.between(17, 19).cast("int"),
         "weekend": (F.weekday(local) >= 5).cast("int"),
-        "log_gap": F.log(F.greatest(F.col("hw"), F.lit(5.0)) / 60),
+        "log_gap": F.when(F.col("hw").isNotNull(), F.log(F.greatest(F.col("hw"), F.lit(5.0)) / 60)),
         "hour_sin": F.sin(angle),
         "hour_cos": F.cos(angle),
     })

@@ -258,7 +258,8 @@ FRAGMENTS |= {
     "hist": """SELECT *, hw - lag(hw) OVER w AS close1, (hw - lag(hw, 3) OVER w) / 3 AS close3, (hw - lag(hw, 5) OVER w) / 5 AS close5, (delay - lag(delay, 3) OVER w) / 60 AS delay_change3,
       CASE WHEN row_number() OVER w > 1 THEN (leader_trip IS DISTINCT FROM lag(leader_trip) OVER w)::INT END AS leader_changed FROM feat WINDOW w AS (PARTITION BY day, trip_id, vehicle_id ORDER BY t, seq, stop_id)""",
     "led": "SELECT *, lag(ratio) OVER w AS lead_ratio, lag(close3) OVER w AS lead_close3 FROM hist WINDOW w AS (PARTITION BY day, line, direction_id, stop_id ORDER BY t, trip_id, vehicle_id)",
-    "irregular": "SELECT l.*, x.line_irreg30, x.line_n30 FROM led l, LATERAL (SELECT avg(abs(ln(least(3.0, greatest(0.05, j.ratio))))) AS line_irreg30, count(j.ratio) AS line_n30 FROM judged j WHERE j.day = l.day AND j.line = l.line AND j.direction_id = l.direction_id AND j.t BETWEEN l.t - 1800000000 AND l.t - 1) x",
+    "recent": "SELECT a.day, a.trip_id, a.vehicle_id, a.stop_id, avg(abs(ln(least(3.0, greatest(0.05, j.ratio))))) FILTER (j.ratio IS NOT NULL) AS line_irreg30, count(j.ratio) AS line_n30 FROM judged a LEFT JOIN judged j ON j.day = a.day AND j.line = a.line AND j.direction_id = a.direction_id AND j.t BETWEEN a.t - 1800000000 AND a.t - 1 GROUP BY ALL",
+    "irregular": "SELECT l.*, x.line_irreg30, x.line_n30 FROM led l JOIN recent x USING (day, trip_id, vehicle_id, stop_id)",
 }
 
 
@@ -281,7 +282,7 @@ def _(spark, sf):
     return plain(context_of(spark, sf).select("day", "trip_id", "stop_id", "line_irreg30", "line_n30"))
 
 
-NAMED = """SELECT *, ln(least(3.0, greatest(0.05, greatest(0, hw / sched_hw)))) AS log_ratio, coalesce(least(3.0, greatest(-3.0, greatest(0, hw / sched_hw) - ratio_prev3)), 0) AS trend, (lead_delay - delay) / 60 AS delay_gap_min, coalesce(prev_trip_delay / 60, 0) AS prev_trip_delay_min,
+NAMED = """SELECT *, ln(least(3.0, greatest(0.05, greatest(0, hw / sched_hw)))) AS log_ratio, CASE WHEN ratio_prev3 IS NOT NULL THEN least(3.0, greatest(-3.0, greatest(0, hw / sched_hw) - ratio_prev3)) ELSE 0 END AS trend, (lead_delay - delay) / 60 AS delay_gap_min, coalesce(prev_trip_delay / 60, 0) AS prev_trip_delay_min,
   (hour BETWEEN 7 AND 9)::INT AS peak_am, (hour BETWEEN 17 AND 19)::INT AS peak_pm, ln(greatest(hw, 5.0) / 60) AS log_gap, sin((hour + minute(make_timestamp(t)) / 60) * 2 * pi() / 24) AS hour_sin FROM irregular WHERE hw IS NOT NULL AND sched_hw <> 0"""
 
 
