@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,10 @@ SAMPLE = 20_000
 BUCKETS = 4096
 #: Evidence of a text is damped to that of about so many distinct words, so that long texts keep soft posteriors.
 DAMP = 12.0
-#: Tokens asked for, as a multiple of what gives the heaviest domain a mean rate of 1.
+#: Tokens asked for, as a multiple of what gives the domain with the most tokens for its target a mean rate of 1; scarcer domains are repeated more.
 GROWTH = 1.15
-MOST_STEPS, TOLERANCE = 25, 1e-4
+#: Steps end when no gap is above TOLERANCE of all tokens, or when PATIENCE steps didn't lower the largest gap by a hundredth.
+PATIENCE, TOLERANCE = 25, 1e-4
 
 
 def buckets_of(words: Column) -> Column:
@@ -80,13 +82,24 @@ def fit_rates(members: DataFrame, targets: dict[str, float], growth: float = GRO
     one = members.agg(*[F.coalesce(F.sum(n * x), F.lit(0.0)) for x in [*p, *(x * y for x in p for y in p)]]).first()
     got, moments = np.array(one[: len(p)]), np.array(one[len(p) :]).reshape(len(p), len(p))
     share = np.array([targets[d] for d in names]) / sum(targets.values())
-    anchor = int(np.argmax(share))
-    want = share * growth * got[anchor] / share[anchor]
+    want = share * growth * max((g / s for g, s in zip(got, share, strict=True) if s > 0), default=0.0)
     whiten = np.linalg.pinv(moments, rcond=1e-9, hermitian=True)
     gradients: list[list[float]] = []
-    while len(gradients) < MOST_STEPS and abs(got - want).max() > TOLERANCE * max(want.sum(), 1.0):
-        gradients.append([float(x) for x in whiten @ (got - want)])
+    allowed = TOLERANCE * max(want.sum(), 1.0)
+    gap = mark = abs(got - want).max()
+    waited = 0
+    while gap > allowed and waited < PATIENCE:
+        step = [float(x) for x in whiten @ (got - want)]
+        if max(map(abs, step)) < 1e-9:  # what is left of the gaps isn't in reach of any rates
+            break
+        gradients.append(step)
         got = np.array(members.agg(*[F.sum(rate(names, gradients) * n * x) for x in p]).first())
+        gap = abs(got - want).max()
+        waited = 0 if gap < 0.99 * mark else waited + 1
+        mark = gap if waited == 0 else mark
+    if gap > allowed:
+        missed = ", ".join(f"{d} {g:.0f} of {w:.0f}" for d, g, w in zip(names, got, want, strict=True))
+        warnings.warn(f"the mix misses its targets after {len(gradients)} steps; tokens by domain: {missed}", stacklevel=2)
     return gradients, dict(zip(names, map(float, got), strict=True)), dict(zip(names, map(float, want), strict=True))
 
 
@@ -110,7 +123,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     names = list(targets)
     weights = classifier(model_docs if model_docs is not None else docs, labels, names)
     members = saved(memberships(docs, weights), "mixing-members")
-    gradients, *_ = fit_rates(members, targets)
+    apart = len({tuple(w) for w in weights.values()}) > 1
+    gradients = fit_rates(members, targets)[0] if apart else []
     r = rate(names, gradients)
     chance = F.pmod(F.xxhash64(F.lit("mixing"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
     return members.withColumn("rate", r).withColumn("n_copies", F.floor(F.col("rate") + chance))

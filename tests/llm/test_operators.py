@@ -349,3 +349,27 @@ def test_mixing_meets_targets(spark, odd, labels):
     assert m.where("rate < 0 or abs(n_copies - rate) > 1").count() == 0
     assert mixing.mixed(odd.drop("rate"), labels).count() == len(ODD) and mixing.mixed(odd.where("false"), labels).count() == 0
     assert mixing.mixed(odd.drop("rate"), labels.where("false")).count() == len(ODD)
+
+
+def posteriors(spark, rows):
+    return spark.createDataFrame([(i, n, *p) for i, (n, p) in enumerate(rows)], "doc_id long, n_tokens long, p_en double, p_fr double, p_de double, p_es double")
+
+
+def test_mixing_repeats_a_scarce_domain(spark):
+    one = {"en": (1.0, 0.0, 0.0, 0.0), "fr": (0.0, 1.0, 0.0, 0.0), "de": (0.0, 0.0, 1.0, 0.0), "es": (0.0, 0.0, 0.0, 1.0)}
+    m = posteriors(spark, [(100, one["en"])] * 5 + [(100, one["fr"])] * 60 + [(100, one["de"])] * 25 + [(100, one["es"])] * 10)
+    gradients, got, _ = mixing.fit_rates(m, mixing.TARGETS)
+    assert all(abs(got[d] / sum(got.values()) - t) < 1e-3 for d, t in mixing.TARGETS.items())
+    assert m.select(mixing.rate(list(one), gradients).alias("r")).where("r < 1").count() == 0
+
+
+def test_mixing_without_a_domain_keeps_the_others(spark):
+    m = posteriors(spark, [(100, (0.0, 1.0, 0.0, 0.0))] * 8 + [(100, (0.0, 0.0, 1.0, 0.0))] * 8 + [(100, (0.0, 0.0, 0.0, 1.0))] * 4)
+    with pytest.warns(UserWarning, match="misses its targets"):
+        gradients, got, want = mixing.fit_rates(m, mixing.TARGETS)
+    assert got["en"] == 0 < want["en"] and abs(got["fr"] - want["fr"]) < 1
+    assert m.select(mixing.rate(list(mixing.TARGETS), gradients).alias("r")).where("r < 1").count() == 0
+
+
+def test_mixing_without_labels_keeps_rates_at_one(spark, odd, labels):
+    assert mixing.mixed(odd.drop("rate"), labels.where("false")).where("rate <> 1").count() == 0
