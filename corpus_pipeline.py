@@ -30,10 +30,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id; of repeated rows with one doc_id one stays. Rows with a null doc_id stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    some = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return some.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near copies, that of the smallest doc_id; of rows with one doc_id and text one stays. Rows with a null doc_id stay.
+
+    Where rows of one doc_id have several texts, each text is a document of its own, under a number that follows the order of doc_id.
+    """
+    rows = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    if rows.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").head(1):
+        numbered = rows.select("id", "h").distinct().orderBy("id", "h").select("id", "h", F.monotonically_increasing_id().alias("number"))
+        rows = saved(rows.join(saved(numbered, "near-numbers"), ["id", "h"]).select("row", F.col("number").alias("id")), "near-rows")
+    verdicts = minhash.near_duplicates(rows.select(F.col("id").alias("doc_id"), "row.text"))
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("id")).distinct()
+    return rows.join(kept, "id", "left_semi").dropDuplicates(["id"]).select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +49,10 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their rate and n_copies in the mix; those with no copies go."""
-    rates = mixing.mixed(docs, table(spark, sf_dir, "labels"), TARGETS).select(F.col("doc_id").alias("_doc"), "n_tokens", "rate", "n_copies")
-    rates = rates.dropDuplicates(["_doc"])
+    """Documents with their rate and n_copies in the mix, each row its own; those with no copies go."""
     own = [c for c in docs.columns if c not in ("n_tokens", "rate", "n_copies")]
-    return docs.join(rates, F.col("doc_id").eqNullSafe(F.col("_doc"))).where("n_copies > 0").select(*own, "n_tokens", "rate", "n_copies")
+    rows = mixing.mixed_rows(docs, table(spark, sf_dir, "labels"), TARGETS, kept=own)
+    return rows.where("n_copies > 0").select(*[f"row.`{c}`" for c in own], "n_tokens", "rate", "n_copies")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

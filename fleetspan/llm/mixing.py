@@ -50,8 +50,8 @@ def constant(values: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def memberships(docs: DataFrame, weights: dict[str, list[float]]) -> DataFrame:
-    """doc_id, n_tokens and p_<domain>, the posteriors, which sum to 1. A text without words gets the prior."""
+def memberships(docs: DataFrame, weights: dict[str, list[float]], kept: list[str] | None = None) -> DataFrame:
+    """row, a struct of the columns kept (doc_id unless given), chance, n_tokens and p_<domain>, the posteriors, which sum to 1. A text without words gets the prior."""
     names = list(weights)
     first = weights[names[0]]
 
@@ -62,11 +62,13 @@ def memberships(docs: DataFrame, weights: dict[str, list[float]]) -> DataFrame:
         return F.lit(odds[0]) + total * F.lit(DAMP) / (F.lit(DAMP) + F.size(b))
 
     scored = let(words_of(F.coalesce("text", F.lit(""))), lambda w: F.struct(F.size(w).cast("long").alias("n_tokens"), let(buckets_of(w), lambda b: F.array(*[evidence(d, b) for d in names])).alias("z")))
-    rows = docs.select("doc_id", scored.alias("s")).select("doc_id", "s.n_tokens", "s.z")
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # rows without an id are told apart by their text
+    chance = F.pmod(F.xxhash64(F.lit("mixing"), F.col("doc_id"), key), F.lit(1 << 20)) / float(1 << 20)
+    rows = docs.select(F.struct(*(kept or ["doc_id"])).alias("row"), chance.alias("chance"), scored.alias("s")).select("row", "chance", "s.n_tokens", "s.z")
     top = F.array_max("z")
     rows = rows.withColumn("e", F.transform("z", lambda x: F.exp(x - top)))
     total = F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x)
-    return rows.select("doc_id", "n_tokens", *[(F.get("e", F.lit(i)) / total).alias(f"p_{d}") for i, d in enumerate(names)])
+    return rows.select("row", "chance", "n_tokens", *[(F.get("e", F.lit(i)) / total).alias(f"p_{d}") for i, d in enumerate(names)])
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], growth: float = GROWTH) -> tuple[list[list[float]], dict[str, float], dict[str, float]]:
@@ -113,21 +115,26 @@ def rate(names: list[str], gradients: list[list[float]]) -> Column:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, model_docs: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_tokens, p_<domain>, rate and n_copies of each document row.
+    """doc_id, n_tokens, p_<domain>, rate and n_copies of each document row; see mixed_rows()."""
+    names = list(targets or TARGETS)
+    return mixed_rows(docs, labels, targets, model_docs, ["doc_id"]).select("row.doc_id", "n_tokens", *[f"p_{d}" for d in names], "rate", "n_copies")
+
+
+def mixed_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, model_docs: DataFrame | None = None, kept: list[str] | None = None) -> DataFrame:
+    """row, a struct of the columns kept, n_tokens, p_<domain>, rate and n_copies of each document row.
 
     The classifier learns from labelled rows of model_docs (docs unless given). n_copies is the rate rounded down, or up for a share of documents equal to its fraction, by
-    hash of doc_id; so expected totals stay. A null text has no tokens and prior posteriors; a null doc_id is a row like others and is never labelled;
+    hash of doc_id, or of the text where that is null; so expected totals stay. A null text has no tokens and prior posteriors; a null doc_id is a row like others and is never labelled;
     repeated labels of a doc_id count once; without any labels or tokens posteriors are the targets' prior and rates stay 1. Other columns are not read.
     """
     targets = targets or TARGETS
     names = list(targets)
     weights = classifier(model_docs if model_docs is not None else docs, labels, names)
-    members = saved(memberships(docs, weights), "mixing-members")
+    members = saved(memberships(docs, weights, kept), "mixing-members")
     apart = len({tuple(w) for w in weights.values()}) > 1
     gradients = fit_rates(members, targets)[0] if apart else []
     r = rate(names, gradients)
-    chance = F.pmod(F.xxhash64(F.lit("mixing"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
-    return members.withColumn("rate", r).withColumn("n_copies", F.floor(F.col("rate") + chance))
+    return members.withColumn("rate", r).withColumn("n_copies", F.floor(F.col("rate") + F.col("chance")))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

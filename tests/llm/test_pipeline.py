@@ -41,6 +41,17 @@ def test_stages_of_odd_rows(spark):
         assert stage(spark, odd.where("false"), SF).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    first, second = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    rows = [(1, first), (5, first), (5, second), (5, second), (6, second), (None, first), (None, "one two three"), (None, "one two three"), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, first), (5, second), *((0, t) for i, t in rows if i is None)])
+    # in the mix each row has tokens of its own
+    got = corpus_pipeline.mix(spark, docs, SF).collect()
+    assert len(got) == len(rows) and all(r.n_tokens == len(r.text.split()) for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
