@@ -309,6 +309,14 @@ def test_language_model_words_sum_to_one(spark):
     assert abs(np.exp(s.prior).sum() - 1) < 1e-3
 
 
+def test_language_model_learns_from_whole_texts(spark):
+    grams = spark.createDataFrame([(-1, -1, 5, 6), (-1, 5, 7, 2), (-2, 5, -2, 4), (-2, 7, -2, 2)], "a int, b int, t int, n long")
+    s = language_model.Subwords(grams, {b"x": 3}, 2, chat.VOCABULARY)
+    before = language_model.Attention(s.prior).params
+    got = list(language_model.local_steps(iter([(b"x y " * 10_000,), (b"x " * 200,), (None,)]), before, 0, s, chat.VOCABULARY))
+    assert {w for *_, w in got} == {20_000 + 200 + 3} and [v for _, v, _ in got] != language_model.flat(before).tolist()
+
+
 def test_language_model_of_odd_rows(spark, odd):
     got = language_model.scored(odd)
     assert got.count() == len(ODD) and {r.n_tokens for r in got.where("doc_id in (1, 2, 3)").collect()} == {1}
