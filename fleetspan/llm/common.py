@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch, so that a batch of long texts fits in a Python worker.
+#: Rows that a Python worker unpacks at once, and rows of an Arrow batch that it gives back.
 BATCH_ROWS = 512
 #: A key is hot if it has more than one in HOT_SHARE of all rows; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 2048
@@ -21,13 +19,9 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a folder of the warehouse, which they share too."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='fleetspan-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-        atexit.register(shutil.rmtree, path[len("file://") :], ignore_errors=True)
-    return path.rstrip("/")
+    return path.rstrip("/") if path else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fleetspan-work"
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
@@ -71,13 +65,11 @@ def fold_case(c: Column) -> Column:
 
 
 def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
-    """rows() over each partition's rows as tuples; strings come as UTF-8 bytes. Batches are bounded both ways."""
+    """rows() over each partition's rows as tuples; strings come as UTF-8 bytes. Spark bounds the bytes of a batch that comes in, BATCH_ROWS the rows that are unpacked at once."""
     out = spark_schema(df.sparkSession, schema)
-    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return packed(rows(r for b in batches for r in unpacked(b)), out)
+        return packed(rows(r for b in sliced(batches) for r in unpacked(b)), out)
 
     return df.mapInArrow(run, schema)
 
@@ -85,16 +77,20 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[tuple]], Itera
 def keep_rows(df: DataFrame, keep: Callable[[Iterator[bytes | None]], Iterator[bool]]) -> DataFrame:
     """Rows of df whose text keep() accepts, all columns as they are; keep() gets the texts of a partition and yields a verdict for each in turn."""
     at = df.columns.index("text")
-    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array(keep(iter(b.column(at).cast(pa.large_binary()).to_pylist())), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(at, BATCH_ROWS)
+
+
 def unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
     cols = []
     for c in batch.columns:
@@ -127,6 +123,35 @@ def spark_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with as many underscores before it as make it differ from all column names taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
+#: Bits of a filter of keys, so that it takes no more than some 16 MB, however many keys there are.
+FILTER_BITS = 1 << 24
+
+
+def split_by(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose key may be in keys (all that are, and some more), and rows whose key certainly isn't or is null; no row of df is moved.
+
+    keys, with one column, become a bitmap of FILTER_BITS bits by hash, a table of at most FILTER_BITS / 64 rows that is broadcast. With more keys than bits most rows
+    may be in: then the filter saves little, but stays right.
+    """
+    name = f"bits_{uuid.uuid4().hex}"
+    bit = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(FILTER_BITS))
+    one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
+    words = keys.select(bit.alias("bit")).select((F.col("bit") / 64).cast("long").alias(f"{name}_word"), one.alias("mask")).groupBy(f"{name}_word").agg(F.bit_or("mask").alias(f"{name}_mask"))
+    words = saved(words, "key-filter")
+    mine = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
+    met = df.join(F.broadcast(words), (mine / 64).cast("long") == F.col(f"{name}_word"), "left")
+    may = F.col(column).isNotNull() & F.coalesce(F.getbit(F.col(f"{name}_mask"), F.pmod(mine, F.lit(64)).cast("int")) == 1, F.lit(False))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return met.where(may).select(*own), met.where(~may).select(*own)
+
+
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """left joined with right, which has one row a key and in `weight` the number of left's rows with that key.
 

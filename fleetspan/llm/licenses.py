@@ -11,7 +11,7 @@ from fleetspan.llm.common import map_rows, table
 from fleetspan.llm.words import alnum_words
 
 # Phrases whose words, standing consecutively, give a base label.
-PHRASES = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 # Public licence notices as templates. [[...]] is optional, {{a-b}} replaceable by a to b words. All other words are mandatory.
 TEMPLATES = [

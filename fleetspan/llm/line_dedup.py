@@ -7,11 +7,13 @@ import uuid
 from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from fleetspan.llm.common import discard, hot_join, map_rows, saved, shared_dir, table
+from fleetspan.llm.common import discard, fresh, hot_join, map_rows, saved, shared_dir, sliced, table
 from fleetspan.llm.words import length, signed
 
 #: Shorter keys are never dropped.
@@ -109,23 +111,25 @@ def dropped_keys(docs: DataFrame, least: int = LEAST_CHARS, batches: int = BATCH
     lines = saved(line_keys(docs, least), "line-keys")
     bounds = sorted(set(lines.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if lines.head(1) else []
     parts, runs = [], LineRuns(spark)
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        batch = lines
-        if low is not None:
-            batch = batch.where(F.col("doc_id") > low)
-        if high is not None:
-            batch = batch.where(F.col("doc_id") <= high)
-        keys = saved(batch.groupBy(*KEY).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), (F.min("doc_id") < F.max("doc_id")).alias("several")), "line-batch")
-        new, repeated = runs.meet(keys)
-        repeated = saved(repeated, "line-repeated")
-        if high is not None:
-            runs.add(new)
-        discard(keys)
-        total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        parts.append(hot_join(batch, repeated, KEY, "n", total).where("first_doc < doc_id").select("doc_id", *KEY))
-    gone = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("keys"))
-    gone = saved(gone, "line-dropped")
-    runs.close()
+    try:
+        for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+            batch = lines
+            if low is not None:
+                batch = batch.where(F.col("doc_id") > low)
+            if high is not None:
+                batch = batch.where(F.col("doc_id") <= high)
+            keys = saved(batch.groupBy(*KEY).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), (F.min("doc_id") < F.max("doc_id")).alias("several")), "line-batch")
+            new, repeated = runs.meet(keys)
+            repeated = saved(repeated, "line-repeated")
+            if high is not None:
+                runs.add(new)
+            discard(keys)
+            total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            parts.append(hot_join(batch, repeated, KEY, "n", total).where("first_doc < doc_id").select("doc_id", *KEY))
+        gone = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("keys"))
+        gone = saved(gone, "line-dropped")
+    finally:
+        runs.close()
     discard(lines)
     return gone
 
@@ -136,27 +140,32 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, batches: int = BATCHE
     A key is a line without ASCII white space at its ends, A-Z lower-cased. Keys of at least `least` code points lose their lines in all documents but the
     one with the smallest doc_id that holds them; lines of one document never displace each other, nor do repeated rows with one doc_id. Batches of
     ascending doc_id meet the runs of all earlier ones, so the smallest doc_id comes first. A null text counts as one empty line and stays null;
-    a row with a null doc_id keeps all its lines and displaces none. Columns of docs named like ours are replaced.
+    a row with a null doc_id keeps all its lines and displaces none. Columns of docs named n_lines and n_dropped are replaced; all others stay as they are.
     """
-    gone = dropped_keys(docs, least, batches).withColumnRenamed("doc_id", "_doc").withColumnRenamed("keys", "_keys")
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*own).join(gone, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    doc, lost = fresh("doc", own), fresh("lost", own)
+    gone = dropped_keys(docs, least, batches).select(F.col("doc_id").alias(doc), F.col("keys").alias(lost))
+    joined = docs.select(*own).join(gone, F.col("doc_id") == F.col(doc), "left").drop(doc)
     at = own.index("text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema.fields] + ["n_lines long", "n_dropped long"])
-
-    def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        for *row, keys in it:
-            text = row[at]
-            lines = (text or b"").split(b"\n")
-            kept = lines
-            if keys:
-                out = {(k["h1"], k["h2"]) for k in keys}
-                kept = [x for x in lines if not (long_enough(k := line_key(x), least) and key_hash(k) in out)]
-                row[at] = b"\n".join(kept)
-            row = [x.decode("utf-8", "replace") if isinstance(x, bytes) else x for x in row]
-            yield *row, len(lines), len(lines) - len(kept)
-
-    return map_rows(joined, schema, rows)
+    schema = StructType([*docs.select(*own).schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            given = b.column(at)
+            texts, counts, dropped = given.cast(pa.large_binary()).to_pylist(), [], []
+            for i, keys in enumerate(b.column(len(own)).to_pylist()):
+                lines = kept = (texts[i] or b"").split(b"\n")
+                if keys:
+                    out = {(k["h1"], k["h2"]) for k in keys}
+                    kept = [x for x in lines if not (long_enough(k := line_key(x), least) and key_hash(k) in out)]
+                    texts[i] = b"\n".join(kept)
+                counts.append(len(lines))
+                dropped.append(len(lines) - len(kept))
+            columns = b.columns[: len(own)]
+            columns[at] = pa.array(texts, pa.large_binary()).view(pa.large_string()) if pa.types.is_large_string(given.type) else pa.array(texts, pa.binary()).view(pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=[*own, "n_lines", "n_dropped"])
+
+    return joined.mapInArrow(rows, schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

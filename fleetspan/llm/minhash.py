@@ -10,19 +10,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspan.llm.common import discard, hot_join, map_rows, saved, table
+from fleetspan.llm.common import discard, hot_join, map_rows, saved, split_by, table
 from fleetspan.llm.words import WordHash, mixed, shingles, signed, space_words
 
 #: Words of a shingle and least similarity in percent, unless a caller asks otherwise.
 WORDS, PERCENT = 5, 80
-#: Bands and coordinates of each. A pair at similarity 0.8 shares no band once in 450 million.
-BANDS, ROWS = 50, 5
+#: Bands and coordinates of each. A pair at similarity 0.8 shares no band once in 190,000; one at 0.85 once in 320 million.
+BANDS, ROWS = 40, 6
 #: Slots that the first permutation deals shingles to.
 SLOTS = 1 << 22
 #: Words of 64 bits of a node's bitmap.
 BITMAP = 32
-#: Pairs with one centre that a task may get.
-CENTRE_PAIRS = 2000
+#: Pairs with one centre that a task may get, and nodes of one bucket that a task compares with the others of that bucket.
+CENTRE_PAIRS = APART_NODES = 2000
 #: Orders by which buckets choose a second node to compare with.
 ORDERS = 8
 SEED = 20_240_229
@@ -133,30 +133,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def homes(met: DataFrame, joined: DataFrame, n_nodes: int) -> DataFrame:
-    """band, id, size, comp, home: each node of each bucket with its component so far and the bucket's commonest; only buckets with several components."""
+    """band, id, size, comp, home, n_apart: each node of each bucket with its component so far, the bucket's commonest, and how many nodes there are of others; only buckets with several."""
     known = joined.withColumnRenamed("component", "comp")
-    placed = saved(met.select("band", "id", "size").join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
+    placed = saved(met.select("band", "id", "size").join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "comps")
     counts = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    home = counts.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("home"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-    return hot_join(placed, home, ["band"], "n", n_nodes * BANDS).select("band", "id", "size", "comp", "home")
+    home = counts.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("home"), F.sum("n").alias("n"), F.count("*").alias("comps"), (F.sum("n") - F.max("n")).alias("n_apart")).where("comps > 1")
+    found = saved(hot_join(placed, home, ["band"], "n", n_nodes * BANDS).select("band", "id", "size", "comp", "home", "n_apart"), "placed")
+    discard(placed)
+    return found
 
 
-def apart(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def apart(placed: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs that may be linked of a node outside of its bucket's commonest component and one of another component there. Exact: it leaves out no link.
 
     Bits that one bitmap has and the other hasn't stand for as many shingles at least that are in one set only. With x and y of these, the intersection has at most
-    min(size - x, size' - y) shingles and the union at least x + y more. Pairs that this rules out go before any set is moved.
+    min(size - x, size' - y) shingles and the union at least x + y more. Pairs that this rules out go before any set is moved. A pair comes out of the first band
+    only that both have. A bucket with many nodes outside is dealt to several tasks, each with its share of those and all others.
     """
     words = [f"b{i}" for i in range(BITMAP)]
     set_bits = F.aggregate("bits", F.lit(0), lambda acc, w: acc + F.bit_count(w))
-    maps = sets.select("id", "n", set_bits.alias("marks"), *[F.get("bits", F.lit(i)).alias(w) for i, w in enumerate(words)]).distinct()
-    columns = ["id", "n", "comp", "marks", *words]
-    live = saved(placed.join(maps, "id").select("band", "home", *columns), "live-places").select("band", "home", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns])
-    s = live.where("comp <> home").select("band", *[F.col(c).alias(f"s_{c}") for c in columns])
+    maps = sets.select("id", "n", set_bits.alias("marks"), *[F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(w) for i, w in enumerate(words)]).distinct()
+    live = placed.select("id").distinct().join(nodes.select("id", "bands"), "id").join(maps, "id")
+    columns = ["id", "n", "comp", "bands", "marks", *words]
+    live = saved(placed.join(live, "id").select("band", "home", F.ceil(F.col("n_apart") / APART_NODES).cast("int").alias("parts"), *columns), "live-places")
+    s = live.where("comp <> home").select("band", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"), *[F.col(c).alias(f"s_{c}") for c in columns])
+    spread = live.select("band", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), *columns)
     # of the bits, c are common to both: x = marks - c, y = s_marks - c; solved for c, so that the long sum stands in the condition once
     common = sum((F.bit_count(F.col(w).bitwiseAND(F.col(f"s_{w}"))) for w in words), F.lit(0))
     least = percent * (F.col("marks") + F.col("s_marks")) - (100 - percent) * F.least(F.col("n") - F.col("marks"), F.col("s_n") - F.col("s_marks"))
-    both = live.join(s, "band").where((F.col("s_comp") != F.col("comp")) & (100 * F.least("n", "s_n") >= percent * F.greatest("n", "s_n")) & ((100 + percent) * common >= least))
+    once = (F.col("comp") == F.col("home")) | (F.col("s_id") < F.col("id"))
+    sizes = (F.col("s_comp") != F.col("comp")) & once & (100 * F.least("n", "s_n") >= percent * F.greatest("n", "s_n"))
+    first = F.element_at(F.array_intersect("bands", "s_bands"), 1) == F.col("band")
+    both = spread.join(s, ["band", "salt"]).where(sizes & ((100 + percent) * common >= least) & first)
     return both.select(F.least("s_id", "id").alias("a"), F.greatest("s_id", "id").alias("b")).distinct()
 
 
@@ -180,26 +188,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     places = nodes.select("id", "size", F.explode("bands").alias("band"))
     buckets = saved(places.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
     met = saved(hot_join(places, buckets, ["band"], "n", n_nodes * BANDS).select("band", "id", "size", "centre"), "bucket-places")
-    needed = met.select(F.col("id").alias("doc_id")).distinct()
-    sets = saved(shingle_sets(text.join(needed, "doc_id", "left_semi"), words), "shingle-sets")
+    discard(buckets)
+    sets = saved(shingle_sets(split_by(text, "doc_id", met.select("id"))[0], words), "shingle-sets")
     linked = F.col("inter") * 100 >= F.col("total") * percent
 
     stars = met.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     checked = saved(verified(stars, sets), "checked")
     joined = saved(components(checked.where(linked)), "components")
-    placed = saved(homes(met, joined, n_nodes), "placed")
+    placed = homes(met, joined, n_nodes)
 
     order = F.struct(F.xxhash64("id", F.pmod("band", F.lit(ORDERS))), F.col("id"))
-    others = placed.where("comp = home").groupBy("band").agg(F.min_by("id", order).alias("other"), F.count("*").alias("n"))
-    apart_now = placed.where("comp <> home")
-    tries = apart_now.join(others, "band").select(F.least("other", "id").alias("a"), F.greatest("other", "id").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+    others = placed.where("comp = home").groupBy("band").agg(F.min_by("id", order).alias("other"), F.first("n_apart").alias("n"))
+    tries = hot_join(placed.where("comp <> home").select("band", "id"), others, ["band"], "n", n_nodes * BANDS)
+    tries = tries.select(F.least("other", "id").alias("a"), F.greatest("other", "id").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
     more = saved(verified(tries, sets), "checked")
     links = checked.where(linked).select("a", "b").unionByName(more.where(linked).select("a", "b"))
     if more.where(linked).head(1):
-        joined = saved(components(links), "components")
-        placed = saved(homes(met, joined, n_nodes), "placed")
+        old, joined = (joined, placed), saved(components(links), "components")
+        placed = homes(met, joined, n_nodes)
+        discard(*old)
+    discard(met)
     seen = checked.select("a", "b").unionByName(more.select("a", "b"))
-    last = saved(verified(apart(placed, sets, percent).join(seen, ["a", "b"], "left_anti"), sets).where(linked), "checked")
+    last = saved(verified(apart(placed, sets, nodes, percent).join(seen, ["a", "b"], "left_anti"), sets).where(linked), "checked")
+    discard(placed, sets)
     final = components(links.unionByName(last.select("a", "b"))) if last.head(1) else joined
 
     grouped = nodes.select("set_hi", "set_lo", "id").join(final, "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component"))

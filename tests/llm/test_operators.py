@@ -200,10 +200,27 @@ def test_license_templates(spark, odd):
     }
     got = {r.doc_id: r for r in licenses.license_scan(frame(spark, texts.items())).collect()}
     assert [got[i].labels for i in texts] == ["mit", "gpl-3", "cc-by-nc", "apache-2", "mit", "", ""]
-    assert (got[1].base_labels, got[1].n_base, got[1].first_word) == ("mit", 1, 3) and got[2].base_labels == "" and got[6].score == got[7].score == 0
+    assert (got[1].base_labels, got[1].n_base, got[1].first_word) == ("mit", 1, 1) and got[2].base_labels == "" and got[6].score == got[7].score == 0
     assert licenses.license_scan(odd).count() == len(ODD) and licenses.license_scan(odd.where("false")).count() == 0
 
 
+def test_license_base_equals_a_word_scan(spark):
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    r = np.random.default_rng(9)
+    parts = ["under the MIT License", "the MIT license", "Apache License, Version 2.0", "apache license version", "CC BY-NC", "cc", "by", "under", "the", "word", "é", "2"]
+    texts = [(i, " ".join(parts[j] for j in r.integers(0, len(parts), r.integers(0, 30)))) for i in range(120)] + [(200, None), (201, "")]
+    got = {x.doc_id: x for x in licenses.license_scan(frame(spark, texts)).collect()}
+    for i, t in texts:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        places = sorted((k, label) for p, label in phrases.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split())
+        labels = {label for _, label in places}
+        g = got[i]
+        assert (g.n_words, g.n_base, g.base_labels) == (len(words), len(places), ",".join(sorted(labels)))
+        assert (g.first_word, g.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
+        found = {a.label for a in licenses.AUTOMATA for k in range(len(words)) if a.longest([w.encode() for w in words], k)}
+        assert g.labels == ",".join(sorted(labels | found)) and 0 <= g.score <= 1
+
+
 def test_optional_and_replaceable_regions():
     a = licenses.Automaton("x", "one [[two [[three]]]] {{0-2}} four")
     ends = [a.longest(t.encode().split(), 0) for t in ("one four", "one two four", "one two three x y four", "one three four", "one x y z four", "two four")]
