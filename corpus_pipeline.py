@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspan.llm import decontaminate, line_dedup, minhash, mixing, quality_model
-from fleetspan.llm.common import saved, table
+from fleetspan.llm.common import saved, split_by, table
 
 #: Shares of the mix's tokens by language.
 TARGETS = mixing.TARGETS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier accepts. It learns from all labelled documents of its input."""
+    """Documents that the compression classifier accepts, null and empty texts by the score of an empty text. It learns from labelled documents of its input outside the held-out fold."""
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
     return quality_model.accepted(docs, model)
 
@@ -38,9 +38,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if rows.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").head(1):
         numbered = rows.select("id", "h").distinct().orderBy("id", "h").select("id", "h", F.monotonically_increasing_id().alias("number"))
         rows = saved(rows.join(saved(numbered, "near-numbers"), ["id", "h"]).select("row", F.col("number").alias("id")), "near-rows")
-    verdicts = minhash.near_duplicates(rows.select(F.col("id").alias("doc_id"), "row.text"))
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("id")).distinct()
-    return rows.join(kept, "id", "left_semi").dropDuplicates(["id"]).select("row.*").unionByName(docs.where("doc_id is null"))
+    verdicts = saved(minhash.near_duplicates(rows.select(F.col("id").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("id"), "kept"), "near-verdicts")
+    doubtful = verdicts.groupBy("id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).where("n > 1 or not kept").select("id")
+    may_go, stay = split_by(rows, "id", doubtful)  # only rows that may go, or be one of several, are moved
+    left = may_go.join(verdicts.where("kept").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    return left.select("row.*").unionByName(stay.select("row.*")).unionByName(docs.where("doc_id is null"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
