@@ -1,4 +1,7 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised test texts scans each document once."""
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised test texts scans each document once.
+
+Test texts beyond AUTOMATON_BYTES are dealt to several automata of bounded size; each document is scanned once by each.
+"""
 
 from __future__ import annotations
 
@@ -10,14 +13,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspan.llm.common import keep_rows, map_rows, table
+from fleetspan.llm.common import fresh, keep_rows, map_rows, saved, split_by, table
 from fleetspan.llm.words import alnum_words
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 13
 #: A document is contaminated if at least one word in ONE_IN is hit.
 ONE_IN = 20
-#: Bytes of test texts that one automaton is built of. Beyond that, windows are joined by shuffle instead.
+#: Bytes of test texts that one automaton is built of, so that it fits a worker.
 AUTOMATON_BYTES = 8_000_000
 
 HITS = "doc_id long, text string, n_words long, n_hit long, n_items long, items_sha256 string, items array<long>, spans array<struct<start:long,end:long>>"
@@ -33,6 +36,19 @@ def windows(words: list[bytes], size: int = WINDOW) -> set[bytes]:
     return {b" " + b" ".join(words[i : i + size]) + b" " for i in range(len(words) - size + 1)}
 
 
+def pieces(words: list[bytes], size: int, most: int) -> Iterator[bytes]:
+    """Texts that together have the windows of all words, of some `most` bytes each, or of one window if that is longer."""
+    begin, length = 0, 0
+    for i, w in enumerate(words):
+        length += len(w) + 1
+        if length > most and i + 1 - begin >= size and i + 1 < len(words):
+            yield b" ".join(words[begin : i + 1])
+            begin = i + 2 - size
+            length = sum(len(x) + 1 for x in words[begin : i + 1])
+    if words:
+        yield b" ".join(words[begin:])
+
+
 def automaton(items: list[tuple[int, bytes]], size: int):
     """The automaton over all windows; a value is (words of the window, ids of its items). One is kept per Python worker."""
     import ahocorasick
@@ -96,46 +112,99 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mos
 
     spans are code point ranges of the original text. A null or empty text has no words, no hits and isn't contaminated; a null
     test text has no windows and a null item_id is skipped; repeated item rows count once; a null doc_id stays null; no test
-    items: no hits. Other columns are not read. Test texts of at most most_bytes in all (checked) make one automaton that each
-    Python worker builds; with more, windows are hashed and joined by shuffle (contamination_by_join).
+    items: no hits. Other columns are not read.
     """
-    items = test_items(benchmark)
-    if text_bytes(items) > most_bytes:
-        return contamination_by_join(docs, items, size)
-    held = collected(items)
+    parts = test_parts(benchmark, size, most_bytes)
+    text = docs.select("doc_id", "text")
+    if len(parts) > 1:
+        return by_parts(text, parts, size)
+    held = collected(parts[0])
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         made = automaton(held.value, size)
-        for doc, text in it:
-            n, runs, found = scan(text, made)
-            string = None if text is None else text.decode("utf-8", "replace")
-            spans = [{"start": a, "end": b} for a, b in offsets(string, runs)] if runs else []
-            yield doc, string, n, sum(b - a for a, b in runs), len(found), digest(found), sorted(found), spans
+        for doc, raw in it:
+            n, runs, found = scan(raw, made)
+            yield doc, *told(raw, n, runs, found)
 
-    out = map_rows(docs.select("doc_id", "text"), HITS, rows)
-    return out.withColumn("contaminated", verdict())
+    return map_rows(text, HITS, rows).withColumn("contaminated", verdict())
 
 
-def test_items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+def told(raw: bytes | None, n: int, runs: list[tuple[int, int]], items) -> tuple:
+    """HITS without doc_id."""
+    string = None if raw is None else raw.decode("utf-8", "replace")
+    spans = [{"start": a, "end": b} for a, b in offsets(string, runs)] if runs else []
+    return string, n, sum(b - a for a, b in runs), len(items), digest(items), sorted(items), spans
 
 
-def text_bytes(items: DataFrame) -> int:
-    return items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def test_parts(benchmark: DataFrame, size: int, most_bytes: int) -> list[DataFrame]:
+    """item, piece: test texts as pieces of normalised words; dealt by hash to parts of some most_bytes / 2, one part if all are no more than most_bytes."""
 
+    def cut(it: Iterator[tuple]) -> Iterator[tuple]:
+        for item, text in it:
+            for p in pieces(alnum_words(text), size, max(1, most_bytes // 16)):
+                yield item, p.decode("utf-8", "replace")
+
+    items = map_rows(benchmark.select("item_id", "text").where("item_id is not null and text is not null"), "item long, piece string", cut).distinct()
+    items = saved(items, "test-pieces")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
+    n = 1 if total <= most_bytes else -(-2 * total // most_bytes)
+    return [items.where(F.pmod(F.xxhash64("item", "piece"), F.lit(n)) == i) for i in range(n)]
+
+
+def collected(part: DataFrame):
+    """A broadcast of one part's pieces, whose size test_parts() bounds."""
+    return part.sparkSession.sparkContext.broadcast([(r[0], r[1].encode()) for r in part.orderBy("item", "piece").collect()])
+
+
+def hits_of(text: DataFrame, parts: list[DataFrame], size: int) -> DataFrame:
+    """h1, h2, runs, items of the document rows with hits, whose doc_id and text these two hashes stand for; rows that are alike make one."""
+    key = [F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2")]
+    found = []
+    for number, part in enumerate(parts):
+        held = collected(part)
+
+        def rows(it: Iterator[tuple], held=held, number=number) -> Iterator[tuple]:
+            made = automaton(held.value, size)
+            for h1, h2, raw in it:
+                _, runs, items = scan(raw, made)
+                if runs:
+                    yield h1, h2, number, [{"a": a, "b": b} for a, b in runs], sorted(items)
+
+        one = map_rows(text.select(*key, "text"), "h1 long, h2 long, part int, runs array<struct<a:long,b:long>>, items array<long>", rows)
+        found.append(saved(one.dropDuplicates(["h1", "h2", "part"]), "test-hits"))
+        held.unpersist()
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("h1", "h2").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def by_parts(text: DataFrame, parts: list[DataFrame], size: int) -> DataFrame:
+    """contamination() by several automata. Only rows that have hits are moved."""
+    hits = saved(hits_of(text, parts, size), "test-hits")
+    keyed = text.withColumns({"h1": F.xxhash64("doc_id", "text"), "h2": F.xxhash64(F.lit("text"), "text")})
+    may, never = split_by(keyed, "h1", hits.select("h1"))
+    joined = may.join(hits, ["h1", "h2"], "left").select("doc_id", "text", "runs", "items")
+    joined = joined.unionByName(never.select("doc_id", "text"), allowMissingColumns=True)
 
-def collected(items: DataFrame):
-    """A broadcast of test items whose size has been checked."""
-    return items.sparkSession.sparkContext.broadcast([(r[0], r[1].encode()) for r in items.orderBy("item_id", "text").collect()])
+    def rows(it: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, raw, runs, items in it:
+            yield doc, *told(raw, len(alnum_words(raw)), merged([(r["a"], r["b"]) for r in runs or ()]), items or ())
+
+    return map_rows(joined, HITS, rows).withColumn("contaminated", verdict())
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """Rows that aren't contaminated, with all their columns. Beyond most_bytes of test texts they are found by doc_id and text."""
-    items = test_items(benchmark)
-    if text_bytes(items) > most_bytes:
-        bad = contamination_by_join(docs, items, size).where("contaminated").select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
-    held = collected(items)
+    """Rows that aren't contaminated, with all their columns as they are; rows with null or empty texts stay, and no test items leave all."""
+    parts = test_parts(benchmark, size, most_bytes)
+    if len(parts) > 1:
+        bad = by_parts(docs.select("doc_id", "text"), parts, size).where("contaminated")
+        h1, h2 = fresh("h1", docs.columns), fresh("h2", docs.columns)
+        bad = saved(bad.select(F.xxhash64("doc_id", "text").alias(h1), F.xxhash64(F.lit("text"), "text").alias(h2)).distinct(), "test-bad")
+        keyed = docs.withColumns({h1: F.xxhash64("doc_id", "text"), h2: F.xxhash64(F.lit("text"), "text")})
+        may, never = split_by(keyed, h1, bad.select(h1))
+        return may.join(bad, [h1, h2], "left_anti").unionByName(never).drop(h1, h2).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = collected(parts[0])
 
     def keep(texts):
         made = automaton(held.value, size)
@@ -151,47 +220,6 @@ def verdict():
     return (F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words"))
 
 
-def contamination_by_join(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The same for test sets too large for an automaton: windows of both sides meet in a shuffled join on their text.
-
-    Items with fewer words than `size` give windows of other lengths, so a document is cut into windows of each length that
-    occurs (at most `size` lengths).
-    """
-    from pyspark.sql import Window
-
-    def of_items(it):
-        for item, text in it:
-            for w in windows(alnum_words(text), size):
-                yield item, w.decode("utf-8", "replace"), w.count(b" ") - 1
-
-    tests = map_rows(items, "item_id long, window string, n int", of_items).distinct()
-    lengths = sorted(r[0] for r in tests.select("n").distinct().collect())  # at most `size` numbers
-    docs = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-
-    def of_docs(it):
-        for row, text in it:
-            words = alnum_words(text)
-            for n in lengths:
-                for i in range(len(words) - n + 1):
-                    yield row, i, " " + b" ".join(words[i : i + n]).decode("utf-8", "replace") + " "
-
-    hits = map_rows(docs.select("row", "text"), "row long, first long, window string", of_docs).join(tests, "window")
-    order = Window.partitionBy("row").orderBy("first", "end")
-    runs = hits.select("row", "first", (F.col("first") + F.col("n")).alias("end")).distinct()
-    runs = runs.withColumn("from", F.greatest("first", F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    runs = runs.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.col("from"))).groupBy("row").agg(F.sum("new").alias("n_hit"), F.collect_list(F.struct("first", "end")).alias("runs"))
-    found = hits.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    joined = docs.join(runs, "row", "left").join(found, "row", "left").select("doc_id", "text", "n_hit", "runs", "items")
-
-    def last(it):
-        for doc, text, n_hit, runs, ids in it:
-            string = None if text is None else text.decode("utf-8", "replace")
-            spans = [{"start": a, "end": b} for a, b in offsets(string, merged([(r["first"], r["end"]) for r in runs]))] if runs else []
-            yield doc, string, len(alnum_words(text)), n_hit or 0, len(ids or ()), digest(ids or ()), sorted(ids or ()), spans
-
-    return map_rows(joined, HITS, last).withColumn("contaminated", verdict())
-
-
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

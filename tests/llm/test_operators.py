@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetspan.llm import chat, decontaminate, language_model, licenses, line_dedup, minhash, mixing, quality_model, quality_rules, toxicity
-from fleetspan.llm.attention import STRIDE, Attention
+from fleetspan.llm.attention import STRIDE, WINDOW, Attention, initial
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -111,16 +111,19 @@ def brute_contamination(text, items):
     return len(doc), len(hit), len(found)
 
 
-def test_decontamination_both_ways(spark, odd):
+def test_decontamination_by_one_and_by_several_automata(spark, odd):
     long_item = " ".join(f"t{i}" for i in range(20))
     items = [(1, long_item), (2, "short Item, of four"), (3, None), (2, "short Item, of four"), (4, "...")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = [(10, "x " * 50 + long_item.upper().replace(" ", ", ")), (11, "a short item of four and short item of four again"), (12, " ".join(f"t{i}" for i in range(12))), (13, "Ünï " + " ".join(f"t{i}" for i in range(3, 19))), (14, None), (15, "w " * 400 + "short item of four")]
     docs = frame(spark, texts)
     want = {i: brute_contamination(t, items) for i, t in texts}
-    for most in (10**9, 0):  # the automaton, and the join
-        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, bench, most_bytes=most).collect()}
-        assert got == want
+    found = {10: "1", 11: "2", 12: "", 13: "1", 14: "", 15: "2"}
+    for most in (10**9, 60):  # one automaton, and several
+        rows = decontaminate.contamination(docs, bench, most_bytes=most).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in rows} == want
+        assert {r.doc_id: r.items_sha256 for r in rows} == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in found.items()}
+        assert {r.doc_id for r in rows if r.contaminated} == {i for i, (n, h, _) in want.items() if h and 20 * h >= n}
         kept = {r.doc_id for r in decontaminate.uncontaminated(docs, bench, most_bytes=most).collect()}
         assert kept == {12, 14, 15}
     r = decontaminate.contamination(docs, bench).where("doc_id = 11").first()
@@ -262,9 +265,13 @@ def test_quality_rules_of_odd_rows(spark, odd):
 # models
 
 
+def attention(n, seed=0):
+    return Attention(initial(np.full(n, 1 / n), seed))
+
+
 def test_attention_is_causal_and_scores_each_token_once():
     r = np.random.default_rng(0)
-    model = Attention(np.log(np.full(12, 1 / 12)))
+    model = attention(12)
     text = r.integers(0, 11, 5 * STRIDE + 3)
     a = model.log_probs(*model.windows([text]))
     assert (a != 0).sum() == len(text) + 1
@@ -274,14 +281,33 @@ def test_attention_is_causal_and_scores_each_token_once():
     assert np.allclose(a.ravel()[: len(text) - 1], b.ravel()[: len(text) - 1])
 
 
+def test_attention_equals_position_by_position():
+    """A plain loop over positions and windows gives the same probabilities, and those of all symbols sum to one."""
+    r, model = np.random.default_rng(3), attention(9, 3)
+    model.params["dist"] = r.standard_normal(len(model.params["dist"])).astype(np.float32)
+    model.refresh()
+    text = r.integers(0, 8, 150)
+    line, p = [8, *text], model.params
+    got = model.log_probs(*model.windows([text])).ravel()
+    states = p["stats"] / p["stats"].sum(0)
+    for t in range(len(line)):
+        low = max(0, (t // STRIDE) * STRIDE - (WINDOW - STRIDE))
+        e = p["emb"][line[low : t + 1]].astype(float)
+        w = np.exp(e @ p["wk"] @ (e[-1] @ p["wq"]) / 4 + p["dist"][np.arange(t - low, -1, -1)])
+        z = (w @ (e @ p["wv"]) / w.sum()) @ p["mix"] + p["bias"]
+        pi = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        every = states @ pi
+        assert abs(every.sum() - 1) < 1e-5
+        assert abs(np.log(every[[*text, 8][t]]) - got[t]) < 1e-3
+
+
 def test_attention_gradients_and_learning():
     r = np.random.default_rng(1)
-    model = Attention(np.log(np.full(8, 1 / 8)))
-    model.params["out"] = r.standard_normal(model.params["out"].shape).astype(np.float32) * 0.3
-    model.refresh()
+    model = attention(8, 1)
     x, y = model.windows([r.integers(0, 7, 60) for _ in range(3)])
-    _, g = model.gradients(x, y)
-    for name in ("emb", "wq", "wv", "out", "dist"):
+    _, g, seen = model.gradients(x, y)
+    assert abs(seen.sum() - 1) < 1e-4
+    for name in ("emb", "wq", "wk", "wv", "dist", "mix", "bias"):
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         loss = []
         for step in (1e-2, -1e-2):
@@ -319,21 +345,54 @@ def test_language_model_base_equals_brute_force(spark):
         assert g.score < 0
 
 
-def test_language_model_words_sum_to_one(spark):
-    grams = spark.createDataFrame([(-1, -1, 5, 6), (-1, 5, 7, 2), (-2, 5, -2, 4), (-2, 7, -2, 2)], "a int, b int, t int, n long")
-    s = language_model.Subwords(grams, {b"x": 3}, 2, chat.VOCABULARY)
-    assert abs(sum(s.gram(None, -1, t) for t in range(s.n_ids)) - 1) < 1e-6
-    assert abs(np.exp(s.prior).sum() - 1) < 1e-3
+def small_words(spark, counts):
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    return language_model.Words(language_model.id_counts(words, language_model.VOCABULARY), 2)
+
+
+def test_language_model_rest_of_a_word_sums_to_one(spark):
+    """Given its first id, the chain's steps are distributions, and counts and what discounting leaves sum to one."""
+    counts = {"the": 5, "then": 2, "theory": 1, "a": 3, "ünï": 1}
+    w = small_words(spark, counts)
+    assert np.allclose((10.0 ** w.chain.astype(float)).sum(1), 1, atol=2e-2) and abs(w.share.sum() - 1) < 1e-9
+    sub = language_model.subwords(language_model.VOCABULARY)
+    ids, first = sub.encode([k.encode() for k in counts])
+    heads = ids[first]
+    for head in set(heads.tolist()):
+        own = sum(n - language_model.DISCOUNT for h, n in zip(heads, counts.values(), strict=True) if h == head) / w.total[head]
+        assert abs(own + 10 ** w.left[head] - 1) < 1e-9
+
+
+def test_language_model_spells_words_one_by_one(spark):
+    w = small_words(spark, {"the": 5, "theory": 1})
+    sub = language_model.subwords(language_model.VOCABULARY)
+    words = [b"theory", b"the", "a\u00a0b".encode(), b"\xc2\x85", b"x" * 5000]
+    ids, first = sub.encode(words)
+    for word, got in zip(words, w.spelled(ids, first), strict=True):
+        own = sub.bpe.encode_ordinary(" " + word.decode())
+        assert abs(got - (w.left[own[0]] + sum(float(w.chain[a, b]) for a, b in zip(own, [*own[1:], sub.STOP], strict=True)))) < 1e-6 * len(own)
+
+
+def test_language_model_scores_do_not_depend_on_the_common_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    got = [{r.doc_id: r for r in language_model.scored(docs, most_words=most).collect()} for most in (0, 50, 1 << 18)]
+    for k in got[0]:
+        assert max(abs(g[k].score - got[0][k].score) for g in got) < 1e-6 * abs(got[0][k].score) and len({g[k].n_known for g in got}) == 1
 
 
 def test_language_model_learns_from_whole_texts(spark):
-    grams = spark.createDataFrame([(-1, -1, 5, 6), (-1, 5, 7, 2), (-2, 5, -2, 4), (-2, 7, -2, 2)], "a int, b int, t int, n long")
-    s = language_model.Subwords(grams, {b"x": 3}, 2, chat.VOCABULARY)
-    before = language_model.Attention(s.prior).params
-    got = list(language_model.local_steps(iter([(b"x y " * 10_000,), (b"x " * 200,), (None,)]), before, 0, s, chat.VOCABULARY))
+    w = small_words(spark, {"x": 30, "y": 10})
+    reader = language_model.Reader(w, ([b"x"], np.array([30.0])), language_model.VOCABULARY)
+    before = initial(w.share)
+    got = list(language_model.local_steps(iter([(b"x y " * 10_000,), (b"x " * 200,), (None,)]), before, reader))
     assert {w for *_, w in got} == {20_000 + 200 + 3} and [v for _, v, _ in got] != language_model.flat(before).tolist()
 
 
+def test_language_model_beats_the_base_on_held_out_texts(spark):
+    got = language_model.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
 def test_language_model_of_odd_rows(spark, odd):
     got = language_model.scored(odd)
     assert got.count() == len(ODD) and {r.n_tokens for r in got.where("doc_id in (1, 2, 3)").collect()} == {1}
