@@ -22,10 +22,10 @@ def share(c: Column) -> Column:
 
 
 def line_ranking(p: DataFrame) -> DataFrame:
-    """Per line and direction: valid passages, bunched ones, their rate, the share of all bunching, the median planned gap."""
-    g = p.where("valid").groupBy("line", "direction_id").agg(F.count("*").alias("passages"), F.count_if("bunched").alias("bunched"), F.percentile("sched_hw", 0.5).alias("planned_gap"))
-    total = g.agg(F.sum("bunched").alias("total"))
-    return g.crossJoin(F.broadcast(total)).withColumns({"rate": F.col("bunched") / F.col("passages"), "share": F.col("bunched") / F.nullif("total", F.lit(0))}).drop("total")  # one row
+    """Per line and direction, on working days: valid passages, bunched ones, their rate, the share of all bunching, the median planned gap."""
+    g = p.where("valid and working").groupBy("line", "direction_id").agg(F.count("*").alias("passages"), F.count_if("bunched").alias("bunched"), F.percentile("sched_hw", 0.5).alias("planned_gap"))
+    total = F.sum("bunched").over(Window.partitionBy())  # one row a line and direction, counted already
+    return g.withColumns({"rate": F.col("bunched") / F.col("passages"), "share": F.col("bunched") / F.nullif(total, F.lit(0))})
 
 
 def base_rate(p: DataFrame) -> DataFrame:
@@ -46,22 +46,24 @@ def recurring(slots: DataFrame, days: int = HOT_DAYS) -> DataFrame:
 
 
 def terminal_trips(p: DataFrame, near: float = NEAR_START) -> DataFrame:
-    """Trips that are seen from near their start: the first passage's ratio, delay and progress, and whether any passage is bunched."""
+    """Trips whose first valid passage is near their start: its ratio, delay, progress and the delay of the trip before, and whether and how often any valid passage is bunched."""
     at = F.struct("seq", "t")
-    g = p.groupBy(*TRIP).agg(F.min_by(F.struct("line", "direction_id", "working", "hour", "block", "ratio", "delay", "progress", "stop_id"), at).alias("f"), F.max("bunched").alias("any_bunched"))
-    g = g.select(*TRIP, "f.line", "f.direction_id", "f.working", "f.hour", "f.block", F.col("f.ratio").alias("dep_ratio"), F.col("f.delay").alias("dep_delay"), F.col("f.progress").alias("first_progress"), F.col("f.stop_id").alias("first_stop"), "any_bunched")
+    g = p.where("valid").groupBy(*TRIP).agg(F.min_by(F.struct("line", "direction_id", "working", "hour", "block", "ratio", "delay", "prev_trip_delay", "progress", "stop_id"), at).alias("f"), F.max("bunched").alias("any_bunched"), F.count_if("bunched").alias("times_bunched"))
+    g = g.select(*TRIP, "f.line", "f.direction_id", "f.working", "f.hour", "f.block", F.col("f.ratio").alias("dep_ratio"), F.col("f.delay").alias("dep_delay"), "f.prev_trip_delay", F.col("f.progress").alias("first_progress"), F.col("f.stop_id").alias("first_stop"), "any_bunched", "times_bunched")
     return g.where(F.col("first_progress") < near)
 
 
 def departure_class(ratio: Column) -> Column:
-    return F.when(ratio < 0.5, "too close").when(ratio < 0.8, "close").when(ratio < 1.2, "on plan").when(ratio < 99, "late")
+    return F.when(ratio < 0, None).when(ratio < 0.5, "too close").when(ratio < 0.8, "close").when(ratio < 1.2, "on plan").when(ratio < 99, "late")
 
 
 def departures(trips: DataFrame) -> DataFrame:
-    """Working days' trips by how the departure gap compares with the plan: number, share of all, share that bunches."""
+    """Working days' trips by how the departure gap compares with the plan: number, share of all, share that bunches, and the class's share of these trips' bunched passages."""
     t = trips.where("working and dep_ratio is not null").withColumn("class", departure_class(F.col("dep_ratio")))
-    g = t.groupBy("class").agg(F.count("*").alias("trips"), share(F.col("any_bunched")).alias("p_bunch"))
-    return g.crossJoin(F.broadcast(t.agg(F.count("*").alias("all")))).select("class", "trips", "p_bunch", (F.col("trips") / F.col("all")).alias("share"))  # one row
+    g = t.groupBy("class").agg(F.count("*").alias("trips"), share(F.col("any_bunched")).alias("p_bunch"), F.sum("times_bunched").alias("times"))
+    every = Window.partitionBy()  # a row a class
+    g = g.withColumns({"share": F.col("trips") / F.sum("trips").over(every), "bunching_share": F.col("times") / F.greatest(F.sum("times").over(every), F.lit(1))})
+    return g.where("class is not null").drop("times")
 
 
 def onsets(p: DataFrame) -> DataFrame:
@@ -71,9 +73,15 @@ def onsets(p: DataFrame) -> DataFrame:
 
 
 def hotspots(p: DataFrame, least: int, days: int = HOT_DAYS, most: int = 80) -> DataFrame:
-    """Stops bunched on all working days with enough passages, by rate; a top-k report."""
-    g = p.where("valid and working").groupBy("stop_id").agg(F.count("*").alias("passages"), F.count_if("bunched").alias("bunched"), F.countDistinct(F.when(F.col("bunched"), F.col("day"))).alias("days"))
-    return g.where((F.col("days") >= days) & (F.col("passages") >= least)).withColumn("rate", F.col("bunched") / F.col("passages")).orderBy(F.desc("rate"), "stop_id").limit(most)
+    """Stops bunched on all working days with enough passages, by bunched passages, with their three most bunched lines and the hour of most bunching; a top-k report."""
+    w = p.where("valid and working")
+    g = w.groupBy("stop_id").agg(F.count("*").alias("passages"), F.count_if("bunched").alias("bunched"), F.countDistinct(F.when(F.col("bunched"), F.col("day"))).alias("days"))
+    top = g.where((F.col("days") >= days) & (F.col("passages") >= least)).withColumn("rate", F.col("bunched") / F.col("passages")).orderBy(F.desc("bunched"), "stop_id").limit(most)
+    bad = w.where("bunched")
+    order = lambda c: F.struct((-F.col("n")).alias("n"), F.col(c))
+    lines = bad.groupBy("stop_id", "line").agg(F.count("*").alias("n")).groupBy("stop_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(order("line"))), 1, 3), lambda x: x["line"]), ",").alias("lines"))
+    hours = bad.groupBy("stop_id", "hour").agg(F.count("*").alias("n")).groupBy("stop_id").agg(F.min_by("hour", order("hour")).alias("peak_hour"))
+    return top.join(lines, "stop_id", "left").join(hours, "stop_id", "left")
 
 
 def shared_stops(p: DataFrame, least_passages: int, least_stops: int) -> DataFrame:
@@ -92,13 +100,18 @@ def follows_other_line(p: DataFrame) -> DataFrame:
 
 
 def pile_ups(p: DataFrame, pairs: DataFrame, close: float, planned_apart: float, least_run: int) -> DataFrame:
-    """Per pair of lines: runs of stops at which two buses of lines that share stops pass closely, days with such runs, share that is planned together."""
+    """Per pair of lines that share stops: on working days, runs of stops at which two of their buses pass closely, days with such runs, share that is planned together,
+    the first hour of most runs; and of all passages behind a bus of the other line the share that is close."""
     f = follows_other_line(p)
     lower = F.col("line") < F.col("line_before")
     f = f.withColumns({"line1": F.least("line", "line_before"), "line2": F.greatest("line", "line_before"), "dir1": F.when(lower, F.col("direction_id")).otherwise(F.col("dir_before")), "dir2": F.when(lower, F.col("dir_before")).otherwise(F.col("direction_id"))})
-    f = f.join(pairs.select("line1", "dir1", "line2", "dir2"), ["line1", "dir1", "line2", "dir2"], "left_semi").where(F.col("gap") < close)
-    e = f.groupBy("day", "trip_id", "trip_before", "line1", "line2").agg(F.count("*").alias("n"), (share(F.col("planned_gap") < planned_apart) > 0.5).alias("planned"))
-    return e.where(F.col("n") >= least_run).groupBy("line1", "line2").agg(F.count("*").alias("events"), F.countDistinct("day").alias("days"), share(F.col("planned")).alias("planned_share"))
+    f = f.join(pairs.select("line1", "dir1", "line2", "dir2"), ["line1", "dir1", "line2", "dir2"], "left_semi").withColumn("near", F.col("gap") < close)
+    # one pass: passages of a run first, those that aren't close in their pair's count only
+    e = f.groupBy("day", "trip_id", "trip_before", "line1", "line2").agg(F.count("*").alias("passages"), F.count_if("near").alias("n"), (share(F.when(F.col("near"), F.col("planned_gap") < planned_apart)) > 0.5).alias("planned"), F.min(F.when(F.col("near"), F.col("hour"))).alias("hour"), F.max("working").alias("working"))
+    run = F.col("working") & (F.col("n") >= least_run)
+    g = e.groupBy("line1", "line2", "hour").agg(F.sum("passages").alias("passages"), F.sum("n").alias("n"), F.count_if(run).alias("events"), F.collect_set(F.when(run, F.col("day"))).alias("days"), F.count_if(run & F.col("planned")).alias("planned"))
+    g = g.groupBy("line1", "line2").agg(F.sum("events").alias("events"), F.size(F.array_distinct(F.flatten(F.collect_list("days")))).cast("long").alias("days"), (F.sum("planned") / F.sum("events")).alias("planned_share"), F.min_by("hour", F.struct((-F.col("events")).alias("n"), F.col("hour"))).alias("peak_hour"), (F.sum("n") / F.sum("passages")).alias("close_share"))
+    return g.where("events > 0")
 
 
 def cell(lat: Column, lon: Column, size: float = 0.005) -> Column:
@@ -133,9 +146,9 @@ def hour_ranges(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def causes(trips: DataFrame) -> DataFrame:
-    """Per line and direction: shares of late and of too close departures against the network's, and the cause that they point to."""
-    t = trips.where("working and dep_ratio is not null")
-    late, near = share(F.col("dep_delay") > 180), share(F.col("dep_ratio") < 0.8)
+    """Per line and direction, of working days' trips: the share that the vehicle's trip before left over 300 s late and that of too close departures, against the network's, and the cause that they point to."""
+    t = trips.where("working")
+    late, near = share(F.coalesce(F.col("prev_trip_delay") > 300, F.lit(False))), share(F.coalesce(F.col("dep_ratio") < 0.8, F.lit(False)))
     g = t.groupBy("line", "direction_id").agg(late.alias("late"), near.alias("near"))
     g = g.crossJoin(F.broadcast(t.agg(late.alias("all_late"), near.alias("all_near"))))  # one row
     cause = F.when(F.col("late") >= 1.5 * F.col("all_late"), "turnaround").when(F.col("near") >= 1.3 * F.col("all_near"), "dispatch").otherwise("road")
@@ -143,8 +156,10 @@ def causes(trips: DataFrame) -> DataFrame:
 
 
 def headline(p: DataFrame) -> DataFrame:
-    """One row: bunched shares of working days and weekends, and the busiest five lines' share of all bunching."""
-    lines = line_ranking(p).groupBy("line").agg(F.sum("bunched").alias("b"))
-    top = lines.orderBy(F.desc("b"), "line").limit(5).agg(F.sum("b").alias("top"))
-    one = p.where("valid").agg(share(F.when(F.col("working"), F.col("bunched"))).alias("working_rate"), share(F.when(~F.col("working"), F.col("bunched"))).alias("weekend_rate"), F.count_if("bunched").alias("all"))
-    return one.crossJoin(F.broadcast(top)).select("working_rate", "weekend_rate", (F.col("top") / F.nullif("all", F.lit(0))).alias("top5_share"))  # one row each
+    """One row: bunched shares of working days and weekends, and the five lines' that bunch most on working days share of that bunching and of passages."""
+    g = p.where("valid").groupBy("line", "working").agg(F.count("*").alias("n"), F.count_if("bunched").alias("b"))
+    top = F.row_number().over(Window.partitionBy("working").orderBy(F.desc("b"), "line")) <= 5  # a row a line, counted already
+    g = g.withColumn("top", F.col("working") & top)
+    part = lambda c, x: F.sum(F.when(c, F.col(x)))
+    on, off = F.col("working"), ~F.col("working")
+    return g.agg((part(on, "b") / F.nullif(part(on, "n"), F.lit(0))).alias("working_rate"), (part(off, "b") / F.nullif(part(off, "n"), F.lit(0))).alias("weekend_rate"), (part(F.col("top"), "b") / F.nullif(part(on, "b"), F.lit(0))).alias("top5_share"), (part(F.col("top"), "n") / F.nullif(part(on, "n"), F.lit(0))).alias("top5_passages"))

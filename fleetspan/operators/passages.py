@@ -26,16 +26,16 @@ def upper_median(values: Column) -> Column:
 
 
 def first_visits(visits: DataFrame) -> DataFrame:
-    """Of each trip and stop the visit of the lowest sequence: seq, sched_us, clock, line, direction_id."""
-    v = visits.groupBy("trip_id", "stop_id").agg(F.min_by(F.struct("stop_sequence", "sched_us", "clock", "line", "direction_id"), "stop_sequence").alias("v"))
-    return v.select("trip_id", "stop_id", F.col("v.stop_sequence").alias("seq"), "v.sched_us", "v.clock", "v.line", "v.direction_id")
+    """Of each trip and stop the visit of the lowest sequence: seq, sched_us, clock, line, direction_id; and last_seq of the trip."""
+    v = visits.groupBy("trip_id", "stop_id").agg(F.min_by(F.struct("stop_sequence", "sched_us", "clock", "line", "direction_id"), "stop_sequence").alias("v"), F.max("stop_sequence").alias("most"))
+    last = F.max("most").over(Window.partitionBy("trip_id"))
+    return v.select("trip_id", "stop_id", F.col("v.stop_sequence").alias("seq"), "v.sched_us", "v.clock", "v.line", "v.direction_id", last.alias("last_seq"))
 
 
 def stop_passages(pings: DataFrame, visits: DataFrame) -> DataFrame:
     """One row per day, trip, vehicle and stop: t is the last ping that reports the stop, at the trip's last planned stop the first. Unplanned stops drop out."""
     seen = pings.where("stop_id <> ''").groupBy("agency_id", *TRIP, "stop_id").agg(F.min("created_us").alias("t_first"), F.max("created_us").alias("t_pass"))
-    last = visits.groupBy("trip_id").agg(F.max("stop_sequence").alias("last_seq"))
-    p = seen.join(first_visits(visits), ["trip_id", "stop_id"]).join(last, "trip_id")
+    p = seen.join(first_visits(visits), ["trip_id", "stop_id"])
     p = p.withColumn("is_last", F.col("seq") == F.col("last_seq")).withColumn("t", F.when(F.col("is_last"), F.col("t_first")).otherwise(F.col("t_pass")))
     return p.withColumn("delay", (F.col("t") - F.col("sched_us")) / SECOND)
 
@@ -63,18 +63,24 @@ def suspect_trips(passages: DataFrame) -> DataFrame:
 
 
 def without_suspects(passages: DataFrame) -> DataFrame:
-    return passages.join(suspect_trips(passages).select(*TRIP), TRIP, "left_anti")
+    """Passages of all other trips, in one pass; rows come out dealt by vehicle day, as previous_trip_delay() needs them."""
+    delays = F.array_sort(F.collect_list("delay").over(Window.partitionBy(*TRIP)))  # a trip's stops, no more
+    median = F.try_element_at(delays, (F.floor(F.size(delays) / 2) + 1).cast("int"))
+    p = passages.repartition("day", "vehicle_id").withColumn("median_delay", median)
+    return p.where(F.coalesce(F.abs("median_delay") <= MOST_DELAY, F.lit(True))).drop("median_delay")
 
 
 def previous_trip_delay(passages: DataFrame) -> DataFrame:
-    """Passages with prev_trip_delay: the last delay of the vehicle's trip before, if that ended before this one began and the delay is trusted."""
-    ends = F.struct("seq", "t", "delay")
-    trips = passages.groupBy(*TRIP).agg(F.min("t").alias("begins"), F.max("t").alias("ends"), F.max_by("delay", ends).alias("last_delay"))
-    w = Window.partitionBy("day", "vehicle_id").orderBy("begins", "trip_id")
-    before = F.lag(F.struct("ends", "last_delay")).over(w)
-    trips = trips.withColumn("b", before)
-    good = (F.col("b.ends") <= F.col("begins")) & (F.abs("b.last_delay") <= MOST_DELAY)
-    return passages.join(trips.select(*TRIP, F.when(good, F.col("b.last_delay")).alias("prev_trip_delay")), TRIP)
+    """Passages with prev_trip_delay: the delay at the last stop of the vehicle's trip before, if that was passed before this trip's first stop and the delay is trusted.
+
+    Trips follow each other by the time at their first stop; first and last stop are those of the lowest and highest sequence.
+    """
+    trip = trip_window()
+    day = Window.partitionBy("day", "vehicle_id").orderBy("begins", "trip_id", "seq", "t", "stop_id")
+    p = passages.withColumn("begins", F.first("t").over(trip))
+    p = p.withColumn("b", F.lag(F.struct("t", "delay")).over(day)).withColumn("b", F.first("b").over(trip))
+    good = (F.col("b.t") <= F.col("begins")) & (F.abs("b.delay") <= MOST_DELAY)
+    return p.withColumn("prev_trip_delay", F.when(good, F.col("b.delay"))).drop("b", "begins")
 
 
 def headways(passages: DataFrame, mode: str = "line") -> DataFrame:
@@ -103,7 +109,8 @@ def judged(p: DataFrame, mode: str) -> DataFrame:
 
 
 def trip_window() -> Window:
-    return Window.partitionBy(*TRIP).orderBy("t", "seq", "stop_id")
+    """A trip's passages in stop order."""
+    return Window.partitionBy(*TRIP).orderBy("seq", "t", "stop_id")
 
 
 def labelled(passages: DataFrame, ahead: int = LOOK_AHEAD["line"]) -> DataFrame:

@@ -22,7 +22,7 @@ FRAGMENTS |= {
     "chained": """SELECT p.*, c.prev_trip_delay FROM trusted p JOIN (
       SELECT day, trip_id, vehicle_id, CASE WHEN before_ends <= begins AND abs(before_delay) <= 1800 THEN before_delay END AS prev_trip_delay FROM (
         SELECT *, lag(ends) OVER w AS before_ends, lag(last_delay) OVER w AS before_delay FROM (
-          SELECT day, trip_id, vehicle_id, min(t) AS begins, max(t) AS ends, arg_max(delay, (seq, t, delay)) AS last_delay FROM trusted GROUP BY ALL)
+          SELECT day, trip_id, vehicle_id, arg_min(t, (seq, t, stop_id)) AS begins, arg_max(t, (seq, t, stop_id)) AS ends, arg_max(delay, (seq, t, stop_id)) AS last_delay FROM trusted GROUP BY ALL)
         WINDOW w AS (PARTITION BY day, vehicle_id ORDER BY begins, trip_id))) c USING (day, trip_id, vehicle_id)""",
     "fronts": """SELECT *, lag(trip_id) OVER w AS leader_trip, lag(vehicle_id) OVER w AS leader_vehicle, (t - lag(t) OVER w) / 1e6 AS hw, (sched_us - lag(sched_us) OVER w) / 1e6 AS sched_hw, lag(delay) OVER w AS lead_delay
       FROM chained WINDOW w AS (PARTITION BY day, line, direction_id, stop_id ORDER BY t, trip_id, vehicle_id)""",
@@ -30,7 +30,7 @@ FRAGMENTS |= {
     "feat": """SELECT *, seq / max(seq) OVER (PARTITION BY day, trip_id, vehicle_id) AS progress, lag(ratio, 3) OVER w AS ratio_prev3, max(bunched) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS label,
       hour(make_timestamp(t)) AS hour, dayofweek(day) BETWEEN 1 AND 5 AS working, strftime(day, '%a') AS dow,
       CASE WHEN hour(make_timestamp(t)) BETWEEN 6 AND 9 THEN '06-10' WHEN hour(make_timestamp(t)) BETWEEN 10 AND 15 THEN '10-16' WHEN hour(make_timestamp(t)) BETWEEN 16 AND 20 THEN '16-21' WHEN hour(make_timestamp(t)) BETWEEN 21 AND 23 THEN '21-24' ELSE 'night' END AS block
-      FROM judged WINDOW w AS (PARTITION BY day, trip_id, vehicle_id ORDER BY t, seq, stop_id)""",
+      FROM judged WINDOW w AS (PARTITION BY day, trip_id, vehicle_id ORDER BY seq, t, stop_id)""",
 }
 
 
@@ -256,7 +256,7 @@ def _(spark, sf):
 
 FRAGMENTS |= {
     "hist": """SELECT *, hw - lag(hw) OVER w AS close1, (hw - lag(hw, 3) OVER w) / 3 AS close3, (hw - lag(hw, 5) OVER w) / 5 AS close5, (delay - lag(delay, 3) OVER w) / 60 AS delay_change3,
-      CASE WHEN row_number() OVER w > 1 THEN (leader_trip IS DISTINCT FROM lag(leader_trip) OVER w)::INT END AS leader_changed FROM feat WINDOW w AS (PARTITION BY day, trip_id, vehicle_id ORDER BY t, seq, stop_id)""",
+      CASE WHEN row_number() OVER w > 1 THEN (leader_trip IS DISTINCT FROM lag(leader_trip) OVER w)::INT END AS leader_changed FROM feat WINDOW w AS (PARTITION BY day, trip_id, vehicle_id ORDER BY seq, t, stop_id)""",
     "led": "SELECT *, lag(ratio) OVER w AS lead_ratio, lag(close3) OVER w AS lead_close3 FROM hist WINDOW w AS (PARTITION BY day, line, direction_id, stop_id ORDER BY t, trip_id, vehicle_id)",
     "recent": "SELECT a.day, a.trip_id, a.vehicle_id, a.stop_id, avg(abs(ln(least(3.0, greatest(0.05, j.ratio))))) FILTER (j.ratio IS NOT NULL) AS line_irreg30, count(j.ratio) AS line_n30 FROM judged a LEFT JOIN judged j ON j.day = a.day AND j.line = a.line AND j.direction_id = a.direction_id AND j.t BETWEEN a.t - 1800000000 AND a.t - 1 GROUP BY ALL",
     "irregular": "SELECT l.*, x.line_irreg30, x.line_n30 FROM led l JOIN recent x USING (day, trip_id, vehicle_id, stop_id)",

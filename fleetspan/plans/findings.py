@@ -11,14 +11,16 @@ from fleetspan.plans.oracle import FRAGMENTS, sql
 from fleetspan.sources import adapter
 
 BOOK = Book()
+#: Passages of a line and direction at a stop from which on it counts as shared.
+SHARED = 20
 
 FRAGMENTS |= {
     "base_rate": "SELECT avg(bunched::INT) AS base FROM feat WHERE valid AND working",
-    "terminal": """SELECT * FROM (SELECT day, trip_id, vehicle_id, arg_min(line, (seq, t)) AS line, arg_min(direction_id, (seq, t)) AS direction_id, arg_min(working, (seq, t)) AS working, arg_min_null(ratio, (seq, t)) AS dep_ratio, arg_min_null(delay, (seq, t)) AS dep_delay, arg_min(progress, (seq, t)) AS first_progress, arg_min(stop_id, (seq, t)) AS first_stop, max(bunched) AS any_bunched FROM feat GROUP BY ALL) WHERE first_progress < 0.35""",
+    "terminal": """SELECT * FROM (SELECT day, trip_id, vehicle_id, arg_min(line, (seq, t)) AS line, arg_min(direction_id, (seq, t)) AS direction_id, arg_min(working, (seq, t)) AS working, arg_min_null(ratio, (seq, t)) AS dep_ratio, arg_min_null(delay, (seq, t)) AS dep_delay, arg_min_null(prev_trip_delay, (seq, t)) AS prev_trip_delay, arg_min(progress, (seq, t)) AS first_progress, arg_min(stop_id, (seq, t)) AS first_stop, max(bunched) AS any_bunched, count(*) FILTER (bunched) AS times_bunched FROM feat WHERE valid GROUP BY ALL) WHERE first_progress < 0.35""",
     "onset_rows": "SELECT *, bunched AND NOT coalesce(lag(bunched) OVER (PARTITION BY day, trip_id, vehicle_id ORDER BY seq, t), false) AS onset FROM feat WHERE valid",
     "follows": "SELECT *, (t - t0) / 1e6 AS gap, abs(sched_us - s0) / 1e6 AS planned_gap FROM (SELECT *, lag(line) OVER w AS line0, lag(direction_id) OVER w AS dir0, lag(t) OVER w AS t0, lag(sched_us) OVER w AS s0, lag(trip_id) OVER w AS trip0 FROM feat WHERE valid WINDOW w AS (PARTITION BY day, stop_id ORDER BY t, trip_id, vehicle_id)) WHERE line0 <> line",
-    "line_stops": "SELECT line, direction_id, stop_id FROM feat WHERE valid GROUP BY ALL HAVING count(*) >= 20",
-    "line_pairs": "SELECT a.line AS line1, a.direction_id AS dir1, b.line AS line2, b.direction_id AS dir2, count(*) AS stops FROM line_stops a JOIN line_stops b ON a.stop_id = b.stop_id AND a.line < b.line GROUP BY ALL HAVING count(*) >= 5",
+    "line_stops": f"SELECT line, direction_id, stop_id FROM feat WHERE valid GROUP BY ALL HAVING count(*) >= {SHARED}",
+    "line_pairs": "SELECT a.line AS line1, a.direction_id AS dir1, b.line AS line2, b.direction_id AS dir2, count(*) AS stops FROM line_stops a JOIN line_stops b ON a.stop_id = b.stop_id AND a.line < b.line GROUP BY ALL HAVING count(*) >= 2",
 }
 
 
@@ -26,7 +28,7 @@ def week(spark, sf):
     return f.calendar(judged_of(spark, sf))
 
 
-@BOOK.add("a28_lines", sql("SELECT line, direction_id, count(*) AS passages, count(*) FILTER (bunched) AS bunched, round(median(sched_hw), 6) AS planned_gap, round(count(*) FILTER (bunched) / count(*), 6) AS rate, round(count(*) FILTER (bunched) / nullif(sum(count(*) FILTER (bunched)) OVER (), 0), 6) AS share FROM feat WHERE valid GROUP BY 1, 2"))
+@BOOK.add("a28_lines", sql("SELECT line, direction_id, count(*) AS passages, count(*) FILTER (bunched) AS bunched, round(median(sched_hw), 6) AS planned_gap, round(count(*) FILTER (bunched) / count(*), 6) AS rate, round(count(*) FILTER (bunched) / nullif(sum(count(*) FILTER (bunched)) OVER (), 0), 6) AS share FROM feat WHERE valid AND working GROUP BY 1, 2"))
 def _(spark, sf):
     return plain(f.line_ranking(week(spark, sf)))
 
@@ -51,12 +53,12 @@ def _(spark, sf):
     return plain(s.where("days = 5 and hot_days >= 2").select("line", "direction_id", "block", "mean_rate"))
 
 
-@BOOK.add("a31_terminal_trips", sql("SELECT day::VARCHAR AS day, trip_id, line, working, round(dep_ratio, 6) AS dep_ratio, round(dep_delay, 6) AS dep_delay, first_stop, any_bunched FROM terminal"))
+@BOOK.add("a31_terminal_trips", sql("SELECT day::VARCHAR AS day, trip_id, line, working, round(dep_ratio, 6) AS dep_ratio, round(dep_delay, 6) AS dep_delay, round(prev_trip_delay, 6) AS prev_trip_delay, first_stop, any_bunched FROM terminal"))
 def _(spark, sf):
-    return plain(f.terminal_trips(week(spark, sf), 0.35).select("day", "trip_id", "line", "working", "dep_ratio", "dep_delay", "first_stop", "any_bunched"))
+    return plain(f.terminal_trips(week(spark, sf), 0.35).select("day", "trip_id", "line", "working", "dep_ratio", "dep_delay", "prev_trip_delay", "first_stop", "any_bunched"))
 
 
-@BOOK.add("a32_departures", sql("SELECT class, count(*) AS trips, round(avg(any_bunched::INT), 6) AS p_bunch, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT *, CASE WHEN dep_ratio < 0.5 THEN 'too close' WHEN dep_ratio < 0.8 THEN 'close' WHEN dep_ratio < 1.2 THEN 'on plan' WHEN dep_ratio < 99 THEN 'late' END AS class FROM terminal WHERE working AND dep_ratio IS NOT NULL) GROUP BY 1"))
+@BOOK.add("a32_departures", sql("SELECT class, trips, p_bunch, share, bunching_share FROM (SELECT class, count(*) AS trips, round(avg(any_bunched::INT), 6) AS p_bunch, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(sum(times_bunched) / greatest(sum(sum(times_bunched)) OVER (), 1), 6) AS bunching_share FROM (SELECT *, CASE WHEN dep_ratio < 0 THEN NULL WHEN dep_ratio < 0.5 THEN 'too close' WHEN dep_ratio < 0.8 THEN 'close' WHEN dep_ratio < 1.2 THEN 'on plan' WHEN dep_ratio < 99 THEN 'late' END AS class FROM terminal WHERE working AND dep_ratio IS NOT NULL) GROUP BY 1) WHERE class IS NOT NULL"))
 def _(spark, sf):
     return plain(f.departures(f.terminal_trips(week(spark, sf), 0.35)))
 
@@ -68,19 +70,21 @@ def _(spark, sf):
 
 
 @BOOK.add("a34_causes", sql("""SELECT line, direction_id, round(late, 6) AS late, round(near, 6) AS near, CASE WHEN late >= 1.5 * all_late THEN 'turnaround' WHEN near >= 1.3 * all_near THEN 'dispatch' ELSE 'road' END AS cause FROM (
-  SELECT line, direction_id, avg((dep_delay > 180)::INT) AS late, avg((dep_ratio < 0.8)::INT) AS near FROM terminal WHERE working AND dep_ratio IS NOT NULL GROUP BY 1, 2), (SELECT avg((dep_delay > 180)::INT) AS all_late, avg((dep_ratio < 0.8)::INT) AS all_near FROM terminal WHERE working AND dep_ratio IS NOT NULL)"""))
+  SELECT line, direction_id, avg(coalesce(prev_trip_delay > 300, false)::INT) AS late, avg(coalesce(dep_ratio < 0.8, false)::INT) AS near FROM terminal WHERE working GROUP BY 1, 2), (SELECT avg(coalesce(prev_trip_delay > 300, false)::INT) AS all_late, avg(coalesce(dep_ratio < 0.8, false)::INT) AS all_near FROM terminal WHERE working)"""))
 def _(spark, sf):
     return plain(f.causes(f.terminal_trips(week(spark, sf), 0.35)))
 
 
-@BOOK.add("a35_hotspots", sql("SELECT * FROM (SELECT stop_id, count(*) AS passages, count(*) FILTER (bunched) AS bunched, count(DISTINCT CASE WHEN bunched THEN day END) AS days, round(count(*) FILTER (bunched) / count(*), 6) AS rate FROM feat WHERE valid AND working GROUP BY 1) WHERE days >= 3 AND passages >= 100 ORDER BY rate DESC, stop_id LIMIT 80"))
+@BOOK.add("a35_hotspots", sql("""SELECT t.*, l.lines, h.peak_hour FROM (SELECT * FROM (SELECT stop_id, count(*) AS passages, count(*) FILTER (bunched) AS bunched, count(DISTINCT CASE WHEN bunched THEN day END) AS days, round(count(*) FILTER (bunched) / count(*), 6) AS rate FROM feat WHERE valid AND working GROUP BY 1) WHERE days >= 3 AND passages >= 10 ORDER BY bunched DESC, stop_id LIMIT 80) t
+  JOIN (SELECT stop_id, string_agg(line, ',' ORDER BY r) AS lines FROM (SELECT stop_id, line, row_number() OVER (PARTITION BY stop_id ORDER BY count(*) DESC, line) AS r FROM feat WHERE valid AND working AND bunched GROUP BY 1, 2) WHERE r <= 3 GROUP BY 1) l USING (stop_id)
+  JOIN (SELECT stop_id, hour AS peak_hour FROM (SELECT stop_id, hour, row_number() OVER (PARTITION BY stop_id ORDER BY count(*) DESC, hour) AS r FROM feat WHERE valid AND working AND bunched GROUP BY 1, 2) WHERE r = 1) h USING (stop_id)"""))
 def _(spark, sf):
-    return plain(f.hotspots(week(spark, sf), least=100, days=3))
+    return plain(f.hotspots(week(spark, sf), least=10, days=3))
 
 
 @BOOK.add("j18_shared_stops", sql("SELECT * FROM line_pairs"))
 def _(spark, sf):
-    return f.shared_stops(week(spark, sf), 20, 5)
+    return f.shared_stops(week(spark, sf), SHARED, 2)
 
 
 @BOOK.add("w11_other_line", sql("SELECT day::VARCHAR AS day, stop_id, trip_id, line, line0 AS line_before, round(gap, 6) AS gap, round(planned_gap, 6) AS planned_gap FROM follows"))
@@ -88,12 +92,14 @@ def _(spark, sf):
     return plain(f.follows_other_line(week(spark, sf)).select("day", "stop_id", "trip_id", "line", "line_before", "gap", "planned_gap"))
 
 
-@BOOK.add("a36_pile_ups", sql("""SELECT line1, line2, count(*) AS events, count(DISTINCT day) AS days, round(avg(planned::INT), 6) AS planned_share FROM (
-  SELECT day, trip_id, trip0, line1, line2, avg((planned_gap < 120)::INT) > 0.5 AS planned FROM (SELECT *, least(line, line0) AS line1, greatest(line, line0) AS line2, CASE WHEN line < line0 THEN direction_id ELSE dir0 END AS dir1, CASE WHEN line < line0 THEN dir0 ELSE direction_id END AS dir2 FROM follows WHERE gap < 300)
-  SEMI JOIN line_pairs USING (line1, dir1, line2, dir2) GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 1) GROUP BY 1, 2"""))
+@BOOK.add("a36_pile_ups", sql("""SELECT line1, line2, events, days, planned_share, peak_hour, close_share FROM (SELECT line1, line2, count(*) AS events, count(DISTINCT day) AS days, round(avg(planned::INT), 6) AS planned_share FROM runs GROUP BY 1, 2)
+  JOIN (SELECT line1, line2, hour AS peak_hour FROM (SELECT line1, line2, hour, row_number() OVER (PARTITION BY line1, line2 ORDER BY count(*) DESC, hour) AS r FROM runs GROUP BY 1, 2, 3) WHERE r = 1) USING (line1, line2)
+  JOIN (SELECT line1, line2, round(avg((gap < 300)::INT), 6) AS close_share FROM both_lines GROUP BY 1, 2) USING (line1, line2)""",
+  both_lines="SELECT * FROM (SELECT *, least(line, line0) AS line1, greatest(line, line0) AS line2, CASE WHEN line < line0 THEN direction_id ELSE dir0 END AS dir1, CASE WHEN line < line0 THEN dir0 ELSE direction_id END AS dir2 FROM follows) SEMI JOIN line_pairs USING (line1, dir1, line2, dir2)",
+  runs="SELECT day, trip_id, trip0, line1, line2, avg((planned_gap < 120)::INT) > 0.5 AS planned, min(hour) AS hour FROM both_lines WHERE gap < 300 AND working GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 1"))
 def _(spark, sf):
     p = week(spark, sf)
-    return plain(f.pile_ups(p, f.shared_stops(p, 20, 5), 300, 120, 1))
+    return plain(f.pile_ups(p, f.shared_stops(p, SHARED, 2), 300, 120, 1))
 
 
 @BOOK.add("w10_onsets", sql("SELECT line, day::VARCHAR AS day, count(*) AS passages, count(*) FILTER (onset) AS onsets FROM onset_rows GROUP BY 1, 2"))
@@ -116,7 +122,7 @@ def _(spark, sf):
     return f.hour_ranges(week(spark, sf).where("bunched"), ["line"])
 
 
-@BOOK.add("a38_headline", sql("SELECT round(avg(bunched::INT) FILTER (working), 6) AS working_rate, round(avg(bunched::INT) FILTER (NOT working), 6) AS weekend_rate, round((SELECT sum(b) FROM (SELECT count(*) FILTER (bunched) AS b FROM feat WHERE valid GROUP BY line ORDER BY b DESC, line LIMIT 5)) / nullif(count(*) FILTER (bunched), 0), 6) AS top5_share FROM feat WHERE valid"))
+@BOOK.add("a38_headline", sql("SELECT round(avg(bunched::INT) FILTER (working), 6) AS working_rate, round(avg(bunched::INT) FILTER (NOT working), 6) AS weekend_rate, round(count(*) FILTER (bunched AND working AND line IN (SELECT line FROM busiest)) / nullif(count(*) FILTER (bunched AND working), 0), 6) AS top5_share, round(count(*) FILTER (working AND line IN (SELECT line FROM busiest)) / nullif(count(*) FILTER (working), 0), 6) AS top5_passages FROM feat WHERE valid", busiest="SELECT line FROM feat WHERE valid AND working GROUP BY 1 ORDER BY count(*) FILTER (bunched) DESC, line LIMIT 5"))
 def _(spark, sf):
     return plain(f.headline(week(spark, sf)))
 

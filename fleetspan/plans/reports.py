@@ -15,35 +15,48 @@ BOOK = Book()
 
 FRAGMENTS |= {
     "bank": "SELECT day, trip_id, line, stop_id AS from_stop, stop1 AS to_stop, t, (t1 - t) / 1e6 AS run_s FROM (SELECT *, lead(stop_id) OVER w AS stop1, lead(seq) OVER w AS seq1, lead(t) OVER w AS t1 FROM feat WINDOW w AS (PARTITION BY day, trip_id, vehicle_id ORDER BY seq, t)) WHERE seq1 = seq + 1 AND (t1 - t) / 1e6 BETWEEN 0 AND 18000",
-    "options": """SELECT *, worst > 0 AS robust FROM (SELECT line, scenario, avg(saved) AS mean_saved, min(saved) AS worst, max(saved) AS best, list_sort(list(saved))[floor((count(*) - 1) * 0.05)::INT + 1] AS p5, max(vehicles) AS vehicles, max(hold) AS hold FROM (
-      SELECT line, scenario, k, day, avg(saved) AS saved, max(vehicles) AS vehicles, max(hold) AS hold FROM kpi_rows GROUP BY 1, 2, 3, 4) GROUP BY 1, 2)""",
+    "options": """SELECT line, scenario, avg(saved) AS mean_saved, min(saved) AS worst, max(saved) AS best, min(p5) AS p5, max(vehicles) AS vehicles, avg(hold) AS hold, avg(wait) AS wait, bool_and(p5 > 0) AS robust FROM (
+      SELECT line, scenario, k, day, avg(saved) AS saved, list_sort(list(saved))[floor(0.05 * (count(*) - 1))::INT + 1] AS p5, max(vehicles) AS vehicles, avg(hold) AS hold, avg(wait) AS wait FROM kpi_rows GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""",
+    "fit": "SELECT *, hw / sched_hw < 0.25 AS short, greatest(hw, 0) AS gap FROM feat WHERE hw IS NOT NULL AND sched_hw BETWEEN 120 AND 3600",
+    "begun": "SELECT *, first_seq <= greatest(usual, 2) AS dispatchable FROM (SELECT day, trip_id, vehicle_id, line, direction_id, min(seq) AS first_seq, max(seq) AS last_seq, arg_min(t, (seq, t)) AS begins, arg_max(t, (seq, t)) AS ends, arg_min(sched_us, (seq, t)) AS planned_us FROM feat GROUP BY ALL) JOIN (SELECT line, direction_id, arg_max(first_seq, (n, -first_seq)) AS usual FROM (SELECT line, direction_id, first_seq, count(*) AS n FROM (SELECT line, direction_id, min(seq) AS first_seq FROM feat GROUP BY day, trip_id, vehicle_id, line, direction_id) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (line, direction_id)",
+    "bank_gaps": "SELECT day, trip_id, line, stop_id AS from_stop, stop1 AS to_stop, t, (t1 - t) / 1e6 AS run_s, hw, sched_hw FROM (SELECT *, lead(stop_id) OVER w AS stop1, lead(seq) OVER w AS seq1, lead(t) OVER w AS t1 FROM feat WINDOW w AS (PARTITION BY day, trip_id, vehicle_id ORDER BY seq, t)) WHERE seq1 = seq + 1 AND (t1 - t) / 1e6 BETWEEN 0 AND 18000",
     "jam_rows": "SELECT geometry_wkt, intensity, day, count(*) AS reports, avg(speed_kmh) AS speed_kmh, count(speed_kmh) AS speed_reports FROM (SELECT * REPLACE (CASE WHEN speed_kmh >= 0 THEN speed_kmh END AS speed_kmh) FROM jams) GROUP BY 1, 2, 3",
     "steps": "SELECT *, (created_us - us0) / 1e6 AS since_s, 2 * 6371000.0 * asin(sqrt(pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2))) AS moved_m FROM (SELECT *, lag(created_us) OVER w AS us0, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, lag(seq) OVER w AS seq0, lag(trip_id) OVER w AS trip0 FROM pings WINDOW w AS (PARTITION BY day, vehicle_id ORDER BY created_us, event_id)) WHERE us0 IS NOT NULL",
 }
 
 
-@BOOK.add("a40_headway_kpis", sql("SELECT line, direction_id, sum(n)::BIGINT AS gaps, round(sum(b) / sum(n), 6) AS bunched_share, round(sum(sd / mean * n) / sum(n), 6) AS cv, round(sum((ss / (2 * s) - mean / 2) * n) / sum(n), 4) AS excess_wait_s FROM (SELECT line, direction_id, stop_id, count(*) AS n, avg(hw) AS mean, stddev_pop(hw) AS sd, sum(hw) AS s, sum(hw * hw) AS ss, count(*) FILTER (bunched) AS b FROM feat WHERE hw IS NOT NULL GROUP BY 1, 2, 3) WHERE n >= 3 AND s > 0 GROUP BY 1, 2"))
+@BOOK.add("a40_headway_kpis", sql("SELECT line, direction_id, sum(n)::BIGINT AS gaps, round(sum(b) / sum(n), 6) AS bunched_share, round(avg(sd / mean) FILTER (n >= 3 AND s > 0), 6) AS cv, round(sum((ss / (2 * s) - mean / 2) * n) FILTER (n >= 3 AND s > 0) / sum(n) FILTER (n >= 3 AND s > 0), 4) AS excess_wait_s FROM (SELECT line, direction_id, stop_id, count(*) AS n, avg(gap) AS mean, stddev_pop(gap) AS sd, sum(gap) AS s, sum(gap * gap) AS ss, count(*) FILTER (short) AS b FROM fit GROUP BY 1, 2, 3) GROUP BY 1, 2"))
 def _(spark, sf):
     k = kpis.headway_kpis(judged_of(spark, sf))
     return plain(k.withColumn("excess_wait_s", F.round("excess_wait_s", 4)))
 
 
-@BOOK.add("a40_trip_times", sql("SELECT line, direction_id, count(*) AS trips, round(avg(s), 4) AS trip_s FROM (SELECT line, direction_id, (max(t) - min(t)) / 1e6 AS s FROM feat GROUP BY day, trip_id, vehicle_id, line, direction_id) GROUP BY 1, 2"))
+@BOOK.add("a40_trip_times", sql("SELECT line, direction_id, count(*) AS trips, round(avg((ends - begins) / 1e6), 4) AS trip_s FROM begun GROUP BY 1, 2"))
 def _(spark, sf):
     return plain(kpis.trip_times(judged_of(spark, sf)), 4)
 
 
-@BOOK.add("a41_departure_buckets", sql("SELECT least(7, floor(dep / 0.2))::INT AS bucket, count(*) AS trips, round(avg(later::INT), 6) AS share FROM (SELECT max(ratio) FILTER (n = 1) AS dep, max(bunched) FILTER (n > 1) AS later FROM (SELECT *, row_number() OVER (PARTITION BY day, trip_id, vehicle_id ORDER BY t, seq) AS n FROM feat) GROUP BY day, trip_id, vehicle_id) WHERE dep IS NOT NULL AND later IS NOT NULL GROUP BY 1"))
+@BOOK.add("w22_dispatchable", sql("SELECT day::VARCHAR AS day, trip_id, vehicle_id, first_seq, usual, dispatchable FROM begun"))
+def _(spark, sf):
+    return plain(kpis.starts(judged_of(spark, sf)).select("day", "trip_id", "vehicle_id", "first_seq", "usual", "dispatchable"))
+
+
+@BOOK.add("w23_unbroken", sql("SELECT day::VARCHAR AS day, trip_id, vehicle_id, round(pace, 6) AS pace_s FROM (SELECT *, median(pace) OVER (PARTITION BY line, direction_id) AS usual_pace FROM (SELECT *, (ends - begins) / 1e6 / greatest(last_seq - first_seq, 1) AS pace FROM begun)) WHERE pace <= 2 * usual_pace"))
+def _(spark, sf):
+    return plain(kpis.unbroken(kpis.starts(judged_of(spark, sf))).select("day", "trip_id", "vehicle_id", "pace_s"))
+
+
+@BOOK.add("a41_departure_buckets", sql("SELECT low::DOUBLE AS low, high::DOUBLE AS high, count(*) AS trips, count(*) FILTER (later) AS bunch_later FROM (SELECT day, trip_id, vehicle_id, max(r) FILTER (n = 1) AS dep, coalesce(bool_or(r < 0.25) FILTER (n > 1), false) AS later FROM (SELECT *, CASE WHEN hw IS NOT NULL AND sched_hw BETWEEN 120 AND 3600 THEN hw / sched_hw END AS r, row_number() OVER (PARTITION BY day, trip_id, vehicle_id ORDER BY seq, t) AS n FROM feat) GROUP BY 1, 2, 3) SEMI JOIN (SELECT * FROM begun WHERE dispatchable) USING (day, trip_id, vehicle_id), (VALUES (0.25, 0.5), (0.5, 0.75), (0.75, 0.9), (0.9, 1.1)) c(low, high) WHERE dep >= low AND dep < high GROUP BY 1, 2"))
 def _(spark, sf):
     return plain(kpis.departure_buckets(judged_of(spark, sf)))
 
 
-@BOOK.add("a42_growth", sql("SELECT line, round(avg(bunched::INT) FILTER (progress <= 0.4), 6) AS early, round(avg(bunched::INT) FILTER (progress > 0.6), 6) AS late FROM feat WHERE valid GROUP BY 1"))
+@BOOK.add("a42_growth", sql("SELECT line, round(avg(short::INT) FILTER (progress <= 0.4), 6) AS early, round(avg(short::INT) FILTER (progress >= 0.6), 6) AS late FROM fit GROUP BY 1"))
 def _(spark, sf):
     return plain(kpis.growth(judged_of(spark, sf)))
 
 
-@BOOK.add("a43_extra_buses", sql("SELECT line, max(buses)::BIGINT AS buses FROM (SELECT line, direction_id, ceil(240.0 / median(gap)) AS buses FROM (SELECT *, (begins - lag(begins) OVER (PARTITION BY day, line, direction_id ORDER BY begins, trip_id)) / 1e6 AS gap FROM (SELECT day, trip_id, vehicle_id, line, direction_id, min(sched_us) AS begins FROM feat GROUP BY ALL)) WHERE gap > 0 GROUP BY 1, 2) GROUP BY 1"))
+@BOOK.add("a43_extra_buses", sql("SELECT line, max(buses)::BIGINT AS buses FROM (SELECT line, direction_id, ceil(240.0 / median(gap)) AS buses FROM (SELECT *, (planned_us - lag(planned_us) OVER (PARTITION BY day, line, direction_id ORDER BY planned_us, trip_id, vehicle_id)) / 1e6 AS gap FROM begun WHERE dispatchable) WHERE gap > 0 GROUP BY 1, 2) GROUP BY 1"))
 def _(spark, sf):
     return kpis.extra_buses(judged_of(spark, sf), 120)
 
@@ -63,32 +76,41 @@ def _(spark, sf):
     return plain(kpis.local_median(bank(spark, sf)).select("day", "trip_id", "from_stop", "to_stop", "median_s"), 4)
 
 
-@BOOK.add("a46_shift_error", sql("SELECT from_stop, to_stop, count(*) AS n, round(avg(abs(run_s - r0)), 4) AS mae_s FROM (SELECT *, lag(run_s) OVER w AS r0, lag(t) OVER w AS t0 FROM bank WINDOW w AS (PARTITION BY from_stop, to_stop ORDER BY t, trip_id, day)) WHERE t - t0 >= 300000000 GROUP BY 1, 2"))
+# the median of a run's segment around a time of row b, from all runs of the segment
+LOCAL = "(SELECT CASE WHEN n1 >= 5 THEN m1 WHEN n2 >= 5 THEN m2 WHEN n3 >= 5 THEN m3 ELSE m END FROM (SELECT count(*) FILTER (abs(c.t - {at}) <= 900000000) AS n1, median(c.run_s) FILTER (abs(c.t - {at}) <= 900000000) AS m1, count(*) FILTER (abs(c.t - {at}) <= 1800000000) AS n2, median(c.run_s) FILTER (abs(c.t - {at}) <= 1800000000) AS m2, count(*) FILTER (abs(c.t - {at}) <= 3600000000) AS n3, median(c.run_s) FILTER (abs(c.t - {at}) <= 3600000000) AS m3, median(c.run_s) AS m FROM bank c WHERE c.from_stop = b.from_stop AND c.to_stop = b.to_stop))"
+
+
+@BOOK.add("a46_shift_error", sql(f"SELECT from_stop, to_stop, count(*) AS n, round(avg(abs(run_s - r0)), 4) AS mae_s, round(avg(abs(run_s - r0 * f)), 4) AS scaled_mae_s, CASE WHEN avg(abs(run_s - r0)) <= avg(abs(run_s - r0 * f)) THEN 'unscaled' ELSE 'scaled' END AS better FROM (SELECT *, CASE WHEN before > 0 THEN least(2.0, greatest(0.5, after / before)) ELSE 1.0 END AS f FROM (SELECT b.*, {LOCAL.format(at='b.t')} AS after, {LOCAL.format(at='b.t0')} AS before FROM (SELECT *, lag(run_s) OVER w AS r0, lag(t) OVER w AS t0 FROM bank WINDOW w AS (PARTITION BY from_stop, to_stop ORDER BY t, trip_id, day)) b WHERE t - t0 >= 300000000)) GROUP BY 1, 2"))
 def _(spark, sf):
     return plain(kpis.shift_error(bank(spark, sf)), 4)
 
 
-@BOOK.add("a47_dwell_slope", sql("SELECT line, count(*) AS n, round(regr_slope(delay, hw - sched_hw), 4) AS slope FROM feat WHERE valid AND abs(hw - sched_hw) <= 1200 GROUP BY 1"))
+@BOOK.add("a47_dwell_slope", sql(f"SELECT line, count(*) AS n, round(regr_slope(run_s - m, dev), 4) AS slope FROM (SELECT b.line, b.run_s, b.dev, {LOCAL.format(at='b.t')} AS m FROM (SELECT *, greatest(hw, 0) - sched_hw AS dev FROM bank_gaps WHERE hw IS NOT NULL AND sched_hw BETWEEN 120 AND 3600) b WHERE abs(dev) <= 1200) GROUP BY 1"))
 def _(spark, sf):
-    return plain(kpis.dwell_slope(judged_of(spark, sf)), 4)
+    return plain(kpis.dwell_slope(judged_of(spark, sf), longest=18000), 4)
 
 
-@BOOK.add("a48_scenarios", sql("SELECT line, scenario, round(mean_saved, 4) AS mean_saved, round(worst, 4) AS worst, round(best, 4) AS best, round(p5, 4) AS p5, vehicles, hold, robust FROM options"))
+@BOOK.add("a48_scenarios", sql("SELECT line, scenario, round(mean_saved, 4) AS mean_saved, round(worst, 4) AS worst, round(best, 4) AS best, round(p5, 4) AS p5, vehicles, round(hold, 4) AS hold, round(wait, 4) AS wait, robust FROM options"))
 def _(spark, sf):
     return plain(kpis.scenarios(adapter.scenario_kpis(spark, sf)), 4)
 
 
-@BOOK.add("a49_recommended", sql("SELECT line, scenario, round(mean_saved, 4) AS mean_saved, vehicles, hold FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY vehicles, hold, scenario) AS r FROM (SELECT *, max(mean_saved) OVER (PARTITION BY line) AS top FROM options WHERE robust) WHERE mean_saved >= 0.75 * top) WHERE r = 1"))
+@BOOK.add("a49_recommended", sql("SELECT line, scenario, round(mean_saved, 4) AS mean_saved, vehicles, round(hold, 4) AS hold, round(wait, 4) AS wait FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY vehicles, hold, wait, scenario) AS r FROM (SELECT *, max(mean_saved) OVER (PARTITION BY line) AS top FROM options WHERE robust) WHERE mean_saved >= 0.75 * top) WHERE r = 1"))
 def _(spark, sf):
     return plain(kpis.recommended(kpis.scenarios(adapter.scenario_kpis(spark, sf))), 4)
 
 
-@BOOK.add("a50_best_change", sql("SELECT line, scenario, round(mean_saved, 4) AS mean_saved, vehicles, hold FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY vehicles, hold, scenario) AS r FROM (SELECT *, max(mean_saved) OVER (PARTITION BY line) AS top FROM options WHERE robust) WHERE mean_saved >= top - greatest(1.0, 0.05 * top)) WHERE r = 1"))
+@BOOK.add("a50_best_change", sql("SELECT line, scenario, round(mean_saved, 4) AS mean_saved, vehicles, round(hold, 4) AS hold, round(wait, 4) AS wait FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY vehicles, hold + wait, scenario) AS r FROM (SELECT *, max(mean_saved) OVER (PARTITION BY line) AS top FROM options WHERE robust AND mean_saved > 0) WHERE mean_saved >= top - greatest(1.0, 0.05 * top)) WHERE r = 1"))
 def _(spark, sf):
     return plain(kpis.best_change(kpis.scenarios(adapter.scenario_kpis(spark, sf))), 4)
 
 
-@BOOK.add("w24_chain", sql("SELECT day::VARCHAR AS day, trip_id, vehicle_id, trip_before, round(greatest(60, (begins - e0) / 1e6), 6) AS layover_s FROM (SELECT *, lag(trip_id) OVER w AS trip_before, lag(ends) OVER w AS e0 FROM (SELECT day, trip_id, vehicle_id, min(t) AS begins, max(t) AS ends FROM feat GROUP BY ALL) WINDOW w AS (PARTITION BY day, vehicle_id ORDER BY begins, trip_id)) WHERE trip_before IS NOT NULL"))
+@BOOK.add("a51_shortest_hold", sql("SELECT line, scenario, round(mean_saved, 4) AS mean_saved, round(hold, 4) AS hold FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY hold, mean_saved DESC, scenario) AS r FROM (SELECT *, max(mean_saved) OVER (PARTITION BY line) AS top FROM options) WHERE top > 0 AND mean_saved >= 0.75 * top) WHERE r = 1"))
+def _(spark, sf):
+    return plain(kpis.shortest_hold(kpis.scenarios(adapter.scenario_kpis(spark, sf))), 4)
+
+
+@BOOK.add("w24_chain", sql("SELECT day::VARCHAR AS day, trip_id, vehicle_id, trip_before, round(least(60, (begins - e0) / 1e6), 6) AS layover_s FROM (SELECT *, lag(trip_id) OVER w AS trip_before, lag(ends) OVER w AS e0 FROM begun WINDOW w AS (PARTITION BY day, vehicle_id ORDER BY begins, trip_id)) WHERE e0 <= begins"))
 def _(spark, sf):
     return plain(kpis.vehicle_chain(judged_of(spark, sf)))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Users of a district, which has five lines with stops of their own, so that lines and stops grow with users.
+USERS = 150
 #: Stops of a line; days of the folded week; the first of them is a Monday.
 STOPS, DAYS, MONDAY = 6, 7, "2024-01-01"
 WEEK_US = 1_704_067_200_000_000
@@ -33,22 +35,23 @@ def pings_of(events: DataFrame) -> DataFrame:
     created = F.lit(WEEK_US) + F.col("d") * F.lit(DAY_US) + F.lit(6 * 3600 * 1_000_000) + F.floor(F.col("of_day") / 2)
     e = e.withColumn("created_us", created.cast("long"))
     s = F.pmod("k", F.lit(STOPS)).cast("int")
+    district = F.floor(F.col("user_id") / USERS)
     half = F.floor(F.col("of_day") / (DAY_US / 2)).cast("int")
     return e.select(
         "event_id",
         F.concat(F.lit("A"), F.pmod("user_id", F.lit(5)).cast("string")).alias("agency_id"),
         F.concat(F.lit("V"), F.col("user_id").cast("string")).alias("vehicle_id"),
         F.concat_ws("-", F.col("user_id").cast("string"), F.col("d").cast("string"), half.cast("string")).alias("trip_id"),
-        F.concat(F.lit("L"), F.pmod("user_id", F.lit(5)).cast("string")).alias("line"),
+        F.concat(F.lit("L"), (district * 5 + F.pmod("user_id", F.lit(5))).cast("string")).alias("line"),
         F.pmod(F.floor(F.col("user_id") / 5), F.lit(2)).cast("string").alias("direction_id"),
-        F.concat(F.lit("S"), s.cast("string")).alias("stop_id"),
+        F.concat(F.lit("S"), (district * STOPS + s).cast("string")).alias("stop_id"),
         (s + 1).alias("seq"),
         F.date_add(F.lit(MONDAY).cast("date"), F.col("d")).alias("day"),
         "created_us",
         (F.col("created_us") + F.col("late_us")).alias("received_us"),
         (F.col("created_us") - F.col("late_us")).alias("sched_us"),
         (F.lit(38.7) + s * 0.004 + F.pmod("event_id", F.lit(97)) * 0.00001).alias("lat"),
-        (F.lit(-9.2) + F.pmod("user_id", F.lit(5)) * 0.003 + F.pmod("event_id", F.lit(89)) * 0.00001).alias("lon"),
+        (F.lit(-9.2) + F.pmod("user_id", F.lit(5)) * 0.003 + F.pmod(district, F.lit(500)) * 0.02 + F.pmod("event_id", F.lit(89)) * 0.00001).alias("lon"),
         "event_type",
     )
 
@@ -94,7 +97,7 @@ def jams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenario_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line, scenario, k, day, seed, saved, vehicles, hold: line items as rows of a scenario study."""
+    """line, scenario, k, day, seed, saved, vehicles, hold, wait: line items as rows of a scenario study."""
     i = _table(spark, sf_dir, "lineitem")
     return i.select(
         F.col("l_returnflag").alias("line"),
@@ -105,4 +108,5 @@ def scenario_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") - 20 + F.col("l_linenumber")).alias("saved"),
         F.pmod(F.col("l_linenumber"), F.lit(3)).cast("int").alias("vehicles"),
         (F.col("l_linenumber") * 7 % 5).cast("int").alias("hold"),
+        (F.col("l_linenumber") * 3 % 4).cast("int").alias("wait"),
     )
