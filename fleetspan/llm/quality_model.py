@@ -5,18 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetspan.llm.common import keep_rows, map_rows, table
+from fleetspan.llm.common import keep_rows, map_rows, saved, table
 from fleetspan.llm.logistic import Logistic
 
 #: Bytes that are compressed at once; a whole text is cut into such pieces, so every part of it meets the dictionaries.
-PIECE = 1024
-#: Bytes of a dictionary, and labelled rows of each label that dictionaries and calibration are made of at most.
-DICTIONARY, SAMPLE = 65_536, 3000
-#: Pieces, evenly spread over a sampled text, that a dictionary is trained on.
-PIECES = 4
+PIECE = 256
+#: Bytes of a dictionary. Labelled rows of each label that dictionaries and calibration are made of at most, and bytes of their texts, which are taken whole.
+DICTIONARY, SAMPLE, SAMPLE_BYTES = 65_536, 3000, 1 << 25
 LEVEL = 3
 #: A document with a lower score is rejected.
 LEAST_SCORE = 0.7
@@ -33,23 +31,25 @@ def pieces(text: bytes) -> list[bytes]:
 
 
 class Sizes:
-    """Compressed bytes of a text with the bad, the good and no dictionary."""
+    """Compressed bytes of a text with the bad and with the good dictionary."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard as z
 
         options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.each = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d), **options) if d else z.ZstdCompressor(**options) for d in (bad, good)]
-        self.each.append(z.ZstdCompressor(**options))
 
-    def features(self, text: bytes | None) -> list[float]:
-        """The size difference over the plain size, the plain size over the length, their squares, and the log length."""
-        if not text:
-            return [0.0] * 5
+    def difference(self, text: bytes) -> float:
+        """By how much the good dictionary makes the text smaller than the bad one does, over the text's length."""
         parts = pieces(text)
-        bad, good, plain = (sum(len(c.compress(p)) for p in parts) for c in self.each)
-        diff, ratio = (bad - good) / plain, plain / len(text)
-        return [diff, ratio, diff * diff, ratio * ratio, float(np.log1p(len(text)))]
+        bad, good = (sum(len(c.compress(p)) for p in parts) for c in self.each)
+        return (bad - good) / max(len(text), 1)
+
+    def features(self, text: bytes | None) -> list[float]:
+        """What is calibrated: the normalised difference, which is less certain in short texts; so its slope and level follow the log length."""
+        text = text or b""
+        diff, size = self.difference(text), float(np.log1p(len(text)))
+        return [diff, diff * size, size]
 
 
 class Model:
@@ -75,8 +75,8 @@ def dictionary(parts: list[bytes]) -> bytes:
         return b"".join(parts)[-DICTIONARY:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """Learns from at most `most` labelled rows of either label outside the held-out fold, those of the smallest hashes; half make dictionaries, half calibrate."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learns from at most `most` labelled rows of either label outside the held-out fold, those of the smallest hashes whose texts have most_bytes in all; half make dictionaries, half calibrate."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = {r[0]: r[1] for r in rows.groupBy("quality").count().collect()}
@@ -86,15 +86,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     order = [F.xxhash64(F.lit("quality"), F.col("doc_id")), F.col("doc_id")]
     sample = rows.where("quality = 0").orderBy(*order).limit(most).unionByName(rows.where("quality = 1").orderBy(*order).limit(most))
     sample = docs.select("doc_id", "text").join(F.broadcast(sample.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("int"))), "doc_id")
+    before = Window.partitionBy("quality", "half").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # 2 * most rows at most
+    sample = saved(sample.withColumn("bytes", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("bytes") < most_bytes), "quality-sample")
 
-    def spread(it: Iterator[tuple]) -> Iterator[tuple]:
-        for quality, text in it:
-            parts = pieces(text or b"")
-            for i in sorted({int(j * (len(parts) - 1) / max(1, PIECES - 1)) for j in range(PIECES)} if parts else ()):
-                yield quality, parts[i]
-
-    got = map_rows(sample.where("half = 0").select("quality", "text"), "quality int, piece binary", spread).collect()  # 2 * most * PIECES pieces at most
-    parts = {q: sorted(bytes(r[1]) for r in got if r[0] == q) for q in (0, 1)}
+    got = sample.where("half = 0").select("quality", F.col("text").cast("binary")).toArrow()  # most_bytes of either label, and a text beyond
+    taken = list(zip(got["quality"].to_pylist(), got["text"].to_pylist(), strict=True))
+    parts = {q: sorted(p for label, text in taken if label == q for p in pieces(text or b"")) for q in (0, 1)}
     good, bad = dictionary(parts[1]), dictionary(parts[0])
     sizes_of = lambda: Sizes(good, bad)
 
@@ -114,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 def scored(docs: DataFrame, labels: DataFrame, model_docs: DataFrame | None = None) -> DataFrame:
     """One row per document row: doc_id, text, held_out, score, predicted.
 
-    A null text is empty; empty texts get the score of all-zero features. A null doc_id isn't held out and never learned from; labels other than 0 and 1 are skipped, of
+    A null text is empty; empty texts get the score of no difference at length 0. A null doc_id isn't held out and never learned from; labels other than 0 and 1 are skipped, of
     repeated labels the smallest counts. Only doc_id and text are read of documents; an empty table gives no rows.
     """
     model = fit(model_docs if model_docs is not None else docs, labels)

@@ -26,12 +26,10 @@ FOLDS, HELD_OUT, SAMPLE = 5, 0, 8000
 STEMS, STEM_CHARS, LEAST_TEXTS = 2000, (4, 9), 4
 #: Counts that a task keeps before it hands them on.
 COUNTS = 300_000
-#: Words of a clause that are read on either side of a match at most.
-CLAUSE = 40
 #: Words after a negation that it still reaches.
 REACH = 3
 EDGE = ".,!?;:#$%&*|\"'()[]{}«»„“”…-"
-STOPS = (".", "!", "?", ";", ":", "\n", "|")
+STOPS = (".", "!", "?", ";", ":", "|")
 
 
 def bare(word: str) -> str:
@@ -44,84 +42,127 @@ def stems(word: str) -> list[str]:
     return [word[:k] for k in range(low, min(len(word), high) + 1)] + ([word + "$"] if len(word) > 2 else [])
 
 
+#: What the lexicon makes of words: insult, threat, target, negation, verb of saying, any other word, and the end of a clause.
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END = "ITGNRoC"
+#: What the grammar makes of insults and threats: as they stand, aimed at a target before, aimed by a target after, under a negation, in reported speech.
+AIMED, LATE, NEGATED, REPORTED = "a", "l", "n", "r"
+
+
 class Transducer:
-    """Reads a clause's classes and emits a weight at each step: moves[(state, class)] = (next state, emitted), others stay and emit the default."""
+    """moves: (state, symbol) -> (state, symbol put out); any other symbol comes out as it is and leads to fall[state], or stays. The first state is 0; END leads to it."""
+
+    def __init__(self, moves: dict[tuple, tuple], fall: dict | None = None):
+        self.moves, self.fall = moves, fall or {}
+
+    def step(self, state, symbol: str) -> tuple:
+        if symbol == END:
+            return 0, END
+        return self.moves.get((state, symbol)) or (self.fall.get(state, state), symbol)
+
+
+class Composed:
+    """One machine that does what the transducers do one after the other: each reads what the one before puts out. All its moves are in a table."""
+
+    def __init__(self, *parts: Transducer, alphabet: str = INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER + END):
+        start = tuple(0 for _ in parts)
+        number, self.table, todo = {start: 0}, [], [start]
+        while todo:
+            state, row = todo.pop(0), {}
+            for symbol in alphabet:
+                out, after = symbol, []
+                for part, s in zip(parts, state, strict=True):
+                    s, out = part.step(s, out)
+                    after.append(s)
+                if (to := tuple(after)) not in number:
+                    number[to] = len(number)
+                    todo.append(to)
+                row[symbol] = (number[to], out)
+            self.table.append(row)
+
 
-    def __init__(self, moves: dict[tuple[int, str], tuple[int, float]], default: dict[int, float], fall: dict[int, int] | None = None):
-        self.moves, self.default, self.fall = moves, default, fall or {}
+def negation() -> Transducer:
+    """Insults and threats up to REACH words after a negation come out as negated."""
+    near = range(1, REACH + 1)
+    moves = {(s, NEGATION): (REACH, NEGATION) for s in range(REACH + 1)}
+    moves |= {(s, x): (s - 1, NEGATED + x) for s in near for x in (INSULT, THREAT)}
+    return Transducer(moves, {s: s - 1 for s in near})
 
-    def run(self, classes: list[str]) -> list[float]:
-        state, out = 0, []
-        for c in classes:
-            if (state, c) in self.moves:
-                state, emitted = self.moves[state, c]
-            else:
-                emitted = self.default[state]
-                state = self.fall.get(state, state)
-            out.append(emitted)
-        return out
 
+def reported() -> Transducer:
+    """After a verb of saying, to the clause's end, insults and threats come out as reported."""
+    return Transducer({(0, REPORT): (1, REPORT)} | {(1, x): (1, REPORTED + x) for x in (INSULT, THREAT)})
 
-#: Emits 1 where a negation still reaches, for REACH words after it.
-NEGATED = Transducer({(s, "N"): (REACH, 0.0) for s in range(REACH + 1)}, {0: 0.0} | {s: 1.0 for s in range(1, REACH + 1)}, {s: s - 1 for s in range(1, REACH + 1)})
-#: Emits 1 from a verb of saying to the clause's end.
-REPORTED = Transducer({(0, "R"): (1, 0.0)}, {0: 0.0, 1: 1.0})
-#: Emits 1 from a target on.
-AIMED = Transducer({(0, "T"): (1, 0.0)}, {0: 0.0, 1: 1.0})
+
+def insulted() -> Transducer:
+    """An insult after a target comes out as aimed; the first target after insults without one comes out as aiming the last of them."""
+    return Transducer({(0, TARGET): (1, TARGET), (0, INSULT): (2, INSULT), (1, INSULT): (1, AIMED + INSULT), (2, TARGET): (1, LATE + INSULT)})
+
+
+def threatened() -> Transducer:
+    """A target after a threat comes out as threatened, whether it aims an insult or not."""
+    return Transducer({(0, THREAT): (1, THREAT), (1, TARGET): (0, LATE + THREAT), (1, LATE + INSULT): (0, LATE + INSULT)})
+
+
+#: Negation, then reported speech, then insults and threats with their targets.
+GRAMMAR = Composed(negation(), reported(), insulted(), threatened())
 
 
 class Grammar:
-    """The composed transducers over one lexicon of insult stems."""
+    """The composed grammar behind a lexicon of insult stems with weights."""
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.classes = {w: c for c, ws in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in ws}
-        self.threats = set(THREATS)
-        self.known: dict[str, float] = {}
-
-    def weight(self, raw: str) -> float:
-        """Of a word as it stands in the text: positive for insults, negative for threats, else 0."""
-        if (got := self.known.get(raw)) is None:
-            word = bare(raw)
-            got = max((self.weights[s] for s in stems(word) if s in self.weights), default=0.0)
-            if not got and word in self.threats:
-                got = -1.0
-            if len(self.known) > COUNTS:
-                self.known.clear()
-            self.known[raw] = got
+        self.classes = {w: c for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws}
+        self.known: dict[str, tuple | None] = {}
+
+    def read(self, raw: str) -> tuple | None:
+        """Symbol of a word as it stands in the text, its weight, and whether a clause ends there; None if it is any other word inside a clause."""
+        word = bare(raw)
+        weight = max((self.weights[s] for s in stems(word) if s in self.weights), default=0.0)
+        symbol, ends = INSULT if weight else self.classes.get(word, OTHER), raw.endswith(STOPS)
+        got = (symbol, weight, ends) if ends or symbol != OTHER else None
+        if len(self.known) > COUNTS:
+            self.known.clear()
+        self.known[raw] = got
         return got
 
-    def clause(self, words: list[str], at: int) -> tuple[int, int]:
-        low, high = at, at + 1
-        while low > 0 and at - low < CLAUSE and not words[low - 1].endswith(STOPS):
-            low -= 1
-        while high < len(words) and high - at < CLAUSE and not words[high - 1].endswith(STOPS):
-            high += 1
-        return low, high
+    def outputs(self, text: str | None) -> tuple[list[tuple[str, float, int]], int]:
+        """What the grammar puts out of insults and threats, with its weight (of an insult aimed late, that insult's) and its clause's number; and the number of clauses."""
+        out, clause, table, known, read = [], 0, GRAMMAR.table, self.known, self.read
+        for line in (text or "").lower().split("\n"):
+            state, last, after = 0, 0.0, -1
+            for at, raw in enumerate(words := line.split()):
+                got = known[raw] if raw in known else read(raw)
+                if got is None:
+                    continue
+                symbol, weight, ends = got
+                for _ in range(min(at - after - 1, REACH)):  # beyond that, other words change nothing
+                    state = table[state][OTHER][0]
+                after = at
+                state, made = table[state][symbol]
+                if made[-1] in (INSULT, THREAT):
+                    if symbol == INSULT:
+                        last = weight
+                    out.append((made, weight if symbol == INSULT else last if made[-1] == INSULT else 1.0, clause))
+                if ends:
+                    state, clause = 0, clause + 1
+            if words and after < len(words) - 1 or words and state:
+                clause += 1
+        return out, max(clause, 1)
 
     def features(self, text: str | None) -> list[float]:
-        """Of the matched clauses: weights in all, the largest, how many, by length; weights that are aimed, negated, reported; threats at a target."""
-        words = (text or "").lower().split()
-        weight = list(map(self.weight, words))
-        plain = aimed = negated = reported = threats = top = 0.0
-        count, at = 0, 0
-        hits = [i for i, w in enumerate(weight) if w]
-        while at < len(hits):
-            low, high = self.clause(words, hits[at])
-            mine = at
-            while at < len(hits) and hits[at] < high:
-                at += 1
-            kinds = [self.classes.get(bare(w), "-") for w in words[low:high]]
-            neg, rep, aim = NEGATED.run(kinds), REPORTED.run(kinds), AIMED.run(kinds)
-            for i in hits[mine:at]:
-                w, k = weight[i], i - low
-                if w < 0:
-                    threats += aim[k] * (1 - neg[k]) * (1 - rep[k])
-                    continue
-                plain, count, top = plain + w, count + 1, max(top, w)
-                aimed, negated, reported = aimed + w * aim[k], negated + w * neg[k], reported + w * rep[k]
-        n = max(len(words), 1)
-        return [math.log1p(plain), top, math.log1p(count), plain / math.sqrt(n), math.log(n), count / n, math.log1p(aimed), math.log1p(negated), math.log1p(reported), math.log1p(threats)]
+        """Of clauses: weight of insults that stand, the largest, their clauses, also by all clauses; weight that is aimed, negated, reported; threats, those at a target, those negated or reported."""
+        out, clauses = self.outputs(text)
+        by: dict[str, float] = {}
+        for made, weight, _ in out:
+            by[made] = by.get(made, 0.0) + weight
+        get = lambda *made: sum(by.get(m, 0.0) for m in made)
+        stand = [(w, c) for m, w, c in out if m in (INSULT, AIMED + INSULT)]
+        standing, hit = sum(w for w, _ in stand), len({c for _, c in stand})
+        return [
+            math.log1p(standing), max((w for w, _ in stand), default=0.0), math.log1p(hit), standing / math.sqrt(clauses), hit / clauses,
+            *(math.log1p(x) for x in (get(AIMED + INSULT, LATE + INSULT), get(NEGATED + INSULT), get(REPORTED + INSULT), get(THREAT), get(LATE + THREAT), get(NEGATED + THREAT, REPORTED + THREAT))),
+        ]
 
 
 class Model:

@@ -417,10 +417,31 @@ def test_classifiers_of_odd_rows(spark, odd, labels):
 
 
 def test_grammar_composes():
-    g = toxicity.Grammar({"idiot$": 3.0})
+    g = toxicity.Grammar({"idiot$": 3.0, "fool$": 2.0})
+    made = lambda t: [(m, w) for m, w, _ in g.outputs(t)[0]]
+    assert made("what an idiot.") == [("I", 3.0)] and made("you idiot.") == [("aI", 3.0)]
+    assert made("fool, idiot, you, you") == [("I", 2.0), ("I", 3.0), ("lI", 3.0)]
+    assert made("you are not an idiot.") == [("nI", 3.0)] and made("not one two three idiot") == [("I", 3.0)]
+    assert made("he said idiot. idiot") == [("rI", 3.0), ("I", 3.0)]
+    assert made("i will kill them") == [("T", 1.0), ("lT", 1.0)] and made("never kill") == [("nT", 1.0)] and made("they said kill. them") == [("rT", 1.0)]
+    assert made("you.\nidiot") == [("I", 3.0)] == made("you. idiot") and made(None) == []
+    assert g.outputs("a b. c d\ne")[1] == 3
     plain, neg, said = (g.features(t) for t in ("you idiot.", "you are not an idiot.", "he said you idiot."))
-    assert plain[0] == neg[0] == said[0] > 0 and plain[7] == 0 < neg[7] and plain[8] == 0 < said[8] and plain[6] > 0
-    assert g.features("i will kill them")[9] == 0 < g.features("they kill you, you kill")[9] and g.features("")[0] == 0
+    assert plain[0] > 0 == neg[0] == said[0] and plain[5] > 0 == neg[5] and neg[6] > 0 == plain[6] and said[7] > 0
+
+
+def test_composed_grammar_equals_its_transducers_in_turn():
+    r = np.random.default_rng(4)
+    parts = [toxicity.negation(), toxicity.reported(), toxicity.insulted(), toxicity.threatened()]
+    for _ in range(200):
+        text = r.choice(list("ITGNRoC"), 30)
+        states, state = [0] * len(parts), 0
+        for symbol in text:
+            out = symbol
+            for i, part in enumerate(parts):
+                states[i], out = part.step(states[i], out)
+            state, made = toxicity.GRAMMAR.table[state][symbol]
+            assert made == out
 
 
 def test_mixing_meets_targets(spark, odd, labels):
