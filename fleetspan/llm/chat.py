@@ -63,35 +63,49 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def assemble(role: str, text: str, c: Codec, first: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and loss mask of a turn. The mask is the running sum of +1 where learned text begins and -1 where it ends."""
+def segment(role: str, text: str, c: Codec) -> tuple[list[int], int, int]:
+    """Ids of a turn, and where what is learned begins and ends in them (0 and 0 if nothing is)."""
     mark = [c.first + MARKS[role]] if role in MARKS else [c.first + ROLE, *c.encode(escape(role)), c.first + ROLE_END]
-    parts = [[c.first + BOS] if first else [], mark, c.encode(escape(text)), [c.first + END]]
-    bounds = np.cumsum([0, *map(len, parts)])
-    steps = np.zeros(bounds[-1] + 1, np.int8)
-    if role == LEARNED:
-        steps[bounds[2]] += 1
-        steps[bounds[3]] -= 1
-    return np.fromiter((x for p in parts for x in p), np.int32, bounds[-1]), np.cumsum(steps)[:-1].astype(np.int8)
+    body = c.encode(escape(text))
+    learned = (len(mark), len(mark) + len(body)) if role == LEARNED else (0, 0)
+    return [*mark, *body, c.first + END], *learned
+
+
+def spliced(ids: list[int], begin: int, end: int, c: Codec, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and loss mask of a turn in its conversation. The mask is the running sum of +1 where learned text begins and -1 where it ends."""
+    out = np.array([c.first + BOS, *ids] if first else ids, np.int32)
+    steps = np.zeros(len(out) + 1, np.int8)
+    if end > begin:
+        steps[begin + first] += 1
+        steps[end + first] -= 1
+    return out, np.cumsum(steps)[:-1].astype(np.int8)
 
 
 def format_conversations(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per turn in order: conv_id, turn_no (from 0), token_start, input_ids, loss_mask. A conversation's ids are its rows' ids end to end.
 
-    Turns are ordered by turn (null first), then role and text, so repeated rows stay, side by side. Null text and null role are empty; rows with a
-    null conv_id are one conversation. Rows stream through sorted partitions: nothing holds a whole conversation, however long.
-    Texts keep every code point; other columns are not read; no rows give no rows.
+    Turns are ordered by turn (null first), then role and ids, so repeated rows stay, side by side. Null text and null role are empty; rows with a
+    null conv_id are one conversation. Rows are encoded where they are; only splicing and counting need a conversation's rows in order, and rows stream through
+    sorted partitions: nothing holds a whole conversation, however long. Texts keep every code point, bytes that aren't UTF-8 become U+FFFD;
+    other columns are not read; no rows give no rows.
     """
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = ["conv_id", "turn", "role", "text"]
-    ordered = rows.repartition("conv_id").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def encoded(it: Iterator[tuple]) -> Iterator[tuple]:
+        c = codec(vocabulary)
+        for conv, turn, role, text in it:
+            role = role.decode("utf-8", "replace")
+            yield conv, turn, role, *segment(role, text.decode("utf-8", "replace"), c)
+
+    segments = map_rows(rows, "conv_id long, turn long, role string, ids array<int>, learned_from int, learned_to int", encoded)
+    ordered = segments.repartition("conv_id").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "ids")])
 
     def turns(it: Iterator[tuple]) -> Iterator[tuple]:
         c, now, n, at = codec(vocabulary), object(), 0, 0
-        for conv, _, role, text in it:
+        for conv, _, _, given, begin, end in it:
             if conv != now:
                 now, n, at = conv, 0, 0
-            ids, mask = assemble(role.decode(), text.decode(), c, n == 0)
+            ids, mask = spliced(given, begin, end, c, n == 0)
             yield conv, n, at, ids, mask
             n, at = n + 1, at + len(ids)
 

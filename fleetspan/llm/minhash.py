@@ -19,8 +19,9 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 40, 6
 #: Slots that the first permutation deals shingles to.
 SLOTS = 1 << 22
-#: Words of 64 bits of a node's bitmap.
+#: Words of 64 bits of a node's bitmap, and their columns.
 BITMAP = 32
+BITS = [f"b{i}" for i in range(BITMAP)]
 #: Pairs with one centre that a task may get, and nodes of one bucket that a task compares with the others of that bucket.
 CENTRE_PAIRS = APART_NODES = 2000
 #: Orders by which buckets choose a second node to compare with.
@@ -84,28 +85,55 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "id long, n long, `set` binary, bits array<long>", rows)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, inter, total of each pair: exact sizes of the intersection and union of full sets.
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """id, n, marks, b0, b1, ...: each document's number of shingles, of bits, and the words of its bitmap."""
+    set_bits = F.aggregate("bits", F.lit(0), lambda acc, w: acc + F.bit_count(w))
+    return sets.select("id", "n", set_bits.alias("marks"), *[F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(w) for i, w in enumerate(BITS)]).distinct()
+
 
-    A centre with more than CENTRE_PAIRS partners is dealt to several tasks by a salt; its set is copied once a salt, so copies follow the pairs.
+def possible(percent: int) -> Column:
+    """Whether rows that hold two bitmaps, the second one's columns after s_, may be linked. Exact: it rules out no link.
+
+    Bits that one bitmap has and the other hasn't stand for as many shingles at least that are in one set only. With x and y of these, the intersection has at most
+    min(size - x, size' - y) shingles and the union at least x + y more.
     """
-    pairs = saved(pairs, "pairs")
+    # of the bits, c are common to both: x = marks - c, y = s_marks - c; solved for c, so that the long sum stands in the condition once
+    common = sum((F.bit_count(F.col(w).bitwiseAND(F.col(f"s_{w}"))) for w in BITS), F.lit(0))
+    least = percent * (F.col("marks") + F.col("s_marks")) - (100 - percent) * F.least(F.col("n") - F.col("marks"), F.col("s_n") - F.col("s_marks"))
+    return (100 * F.least("n", "s_n") >= percent * F.greatest("n", "s_n")) & ((100 + percent) * common >= least)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs that are linked by the exact sizes of the intersection and union of full sets.
+
+    Bitmaps rule pairs out before any set is moved, and only sets of pairs that are left are. A centre a with more than CENTRE_PAIRS partners is dealt to
+    several tasks by a salt; its set is copied once a salt, so copies follow the pairs.
+    """
+    pairs = saved(pairs.distinct(), "pairs")
     counts = pairs.groupBy("a").agg(F.count("*").alias("partners"))
-    salted = hot_join(pairs, counts, ["a"], "partners", pairs.count())
+    maps = bitmaps(sets)
+    with_a = hot_join(pairs, counts.join(maps.withColumnRenamed("id", "a"), "a"), ["a"], "partners", pairs.count())
+    with_b = with_a.join(maps.select(F.col("id").alias("b"), *[F.col(c).alias(f"s_{c}") for c in maps.columns if c != "id"]), "b")
+    left = saved(with_b.where(possible(percent)).select("a", "b").distinct(), "pairs")
+    discard(pairs)
+    counts = left.groupBy("a").agg(F.count("*").alias("partners"))
+    salted = hot_join(left, counts, ["a"], "partners", left.count())
     parts = F.ceil(F.col("partners") / CENTRE_PAIRS).cast("int")
-    left = salted.select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt")).join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    centres = sets.join(counts.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), "set", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
-    both = left.join(centres, ["a", "salt"]).select("a", "b", "set", "set_b")
+    moved = split_by(sets.select("id", "set"), "id", left.select(F.explode(F.array("a", "b")).alias("id")))[0]
+    sides = salted.select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt")).join(moved.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    centres = moved.join(counts.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), "set", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    both = sides.join(centres, ["a", "salt"]).select("a", "b", "set", "set_b")
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         for a, b, set_a, set_b in it:
             x, y = np.frombuffer(set_a, np.uint64), np.frombuffer(set_b, np.uint64)
             inter = len(np.intersect1d(x, y, assume_unique=True))
-            yield a, b, inter, len(x) + len(y) - inter
+            if inter * 100 >= (len(x) + len(y) - inter) * percent:
+                yield a, b
 
-    sizes = map_rows(both, "a long, b long, inter long, total long", rows)
-    best = F.max_by(F.struct("inter", "total"), F.col("inter") / F.col("total"))
-    return sizes.groupBy("a", "b").agg(best.alias("x")).select("a", "b", "x.inter", "x.total")
+    found = saved(map_rows(both, "a long, b long", rows).distinct(), "checked")
+    discard(left)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -146,26 +174,18 @@ def homes(met: DataFrame, joined: DataFrame, n_nodes: int) -> DataFrame:
 def apart(placed: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs that may be linked of a node outside of its bucket's commonest component and one of another component there. Exact: it leaves out no link.
 
-    Bits that one bitmap has and the other hasn't stand for as many shingles at least that are in one set only. With x and y of these, the intersection has at most
-    min(size - x, size' - y) shingles and the union at least x + y more. Pairs that this rules out go before any set is moved. A pair comes out of the first band
+    Pairs that possible() rules out go before any set is moved. A pair comes out of the first band
     only that both have. A bucket with many nodes outside is dealt to several tasks, each with its share of those and all others.
     """
-    words = [f"b{i}" for i in range(BITMAP)]
-    set_bits = F.aggregate("bits", F.lit(0), lambda acc, w: acc + F.bit_count(w))
-    maps = sets.select("id", "n", set_bits.alias("marks"), *[F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(w) for i, w in enumerate(words)]).distinct()
-    live = placed.select("id").distinct().join(nodes.select("id", "bands"), "id").join(maps, "id")
-    columns = ["id", "n", "comp", "bands", "marks", *words]
+    live = placed.select("id").distinct().join(nodes.select("id", "bands"), "id").join(bitmaps(sets), "id")
+    columns = ["id", "n", "comp", "bands", "marks", *BITS]
     live = saved(placed.join(live, "id").select("band", "home", F.ceil(F.col("n_apart") / APART_NODES).cast("int").alias("parts"), *columns), "live-places")
     s = live.where("comp <> home").select("band", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"), *[F.col(c).alias(f"s_{c}") for c in columns])
     spread = live.select("band", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), *columns)
-    # of the bits, c are common to both: x = marks - c, y = s_marks - c; solved for c, so that the long sum stands in the condition once
-    common = sum((F.bit_count(F.col(w).bitwiseAND(F.col(f"s_{w}"))) for w in words), F.lit(0))
-    least = percent * (F.col("marks") + F.col("s_marks")) - (100 - percent) * F.least(F.col("n") - F.col("marks"), F.col("s_n") - F.col("s_marks"))
     once = (F.col("comp") == F.col("home")) | (F.col("s_id") < F.col("id"))
-    sizes = (F.col("s_comp") != F.col("comp")) & once & (100 * F.least("n", "s_n") >= percent * F.greatest("n", "s_n"))
     first = F.element_at(F.array_intersect("bands", "s_bands"), 1) == F.col("band")
-    both = spread.join(s, ["band", "salt"]).where(sizes & ((100 + percent) * common >= least) & first)
-    return both.select(F.least("s_id", "id").alias("a"), F.greatest("s_id", "id").alias("b")).distinct()
+    both = spread.join(s, ["band", "salt"]).where((F.col("s_comp") != F.col("comp")) & once & possible(percent) & first)
+    return both.select(F.col("s_id").alias("a"), F.col("id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -187,31 +207,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     n_nodes = nodes.count()
     places = nodes.select("id", "size", F.explode("bands").alias("band"))
     buckets = saved(places.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    met = saved(hot_join(places, buckets, ["band"], "n", n_nodes * BANDS).select("band", "id", "size", "centre"), "bucket-places")
+    shared = split_by(places, "band", buckets.select("band"))[0]  # most bands are of one node only; their places stay where they are
+    met = saved(hot_join(shared, buckets, ["band"], "n", n_nodes * BANDS).select("band", "id", "size", "centre"), "bucket-places")
     discard(buckets)
     sets = saved(shingle_sets(split_by(text, "doc_id", met.select("id"))[0], words), "shingle-sets")
-    linked = F.col("inter") * 100 >= F.col("total") * percent
 
-    stars = met.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    checked = saved(verified(stars, sets), "checked")
-    joined = saved(components(checked.where(linked)), "components")
+    links = verified(met.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")), sets, percent)
+    joined = saved(components(links), "components")
     placed = homes(met, joined, n_nodes)
 
     order = F.struct(F.xxhash64("id", F.pmod("band", F.lit(ORDERS))), F.col("id"))
     others = placed.where("comp = home").groupBy("band").agg(F.min_by("id", order).alias("other"), F.first("n_apart").alias("n"))
     tries = hot_join(placed.where("comp <> home").select("band", "id"), others, ["band"], "n", n_nodes * BANDS)
-    tries = tries.select(F.least("other", "id").alias("a"), F.greatest("other", "id").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-    more = saved(verified(tries, sets), "checked")
-    links = checked.where(linked).select("a", "b").unionByName(more.where(linked).select("a", "b"))
-    if more.where(linked).head(1):
+    more = verified(tries.select(F.col("other").alias("a"), F.col("id").alias("b")), sets, percent)
+    if more.head(1):
+        links = links.unionByName(more)
         old, joined = (joined, placed), saved(components(links), "components")
         placed = homes(met, joined, n_nodes)
         discard(*old)
     discard(met)
-    seen = checked.select("a", "b").unionByName(more.select("a", "b"))
-    last = saved(verified(apart(placed, sets, nodes, percent).join(seen, ["a", "b"], "left_anti"), sets).where(linked), "checked")
+    last = verified(apart(placed, sets, nodes, percent), sets, percent)
     discard(placed, sets)
-    final = components(links.unionByName(last.select("a", "b"))) if last.head(1) else joined
+    final = components(links.unionByName(last)) if last.head(1) else joined
 
     grouped = nodes.select("set_hi", "set_lo", "id").join(final, "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component"))
     sizes = usable.groupBy("set_hi", "set_lo").agg(F.count("*").alias("n"))

@@ -159,6 +159,27 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(c.where("false"))).count() == 0
 
 
+def test_chat_of_bytes_that_are_no_text(spark):
+    c = spark.sql("SELECT 1L AS conv_id, 0L AS turn, 'user' AS role, CAST(X'41FF42' AS STRING) AS text")
+    got = chat.read_back(chat.format_conversations(c)).first()
+    assert got.n_turns == 1 and got.turns_sha256 == hashlib.sha256("user\nA\ufffdB\n".encode()).hexdigest()
+
+
+def test_chat_query_equals_brute_force(spark):
+    """Digests of the given conversations straight from their rows; the number of formatted code points from marks and escapes."""
+    rows = [*spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect(), (-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    want: dict = {}
+    for conv, _, role, text in sorted(rows, key=lambda r: (r[0], r[1])):
+        turns, said, chars = want.setdefault(conv, ([], [], [len("<s>")]))
+        text = text or ""
+        turns.append(f"{role}\n{text}\n")
+        said.append(text if role == "assistant" else "")
+        chars.append(len(chat.CONTROLS[chat.MARKS[role]]) + len(chat.escape(text)) + len("</s>"))
+    sha = lambda x: hashlib.sha256("".join(x).encode()).hexdigest()
+    got = {r.conv_id: tuple(r)[1:] for r in chat.op5_chat_format(spark, SF).collect()}
+    assert got == {k: (len(t), sha(t), len("".join(a)), sha(a), sum(n)) for k, (t, a, n) in want.items()}
+
+
 # lines
 
 
