@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetspan.llm import decontaminate, minhash, quality_model, queries
+from fleetspan.llm import decontaminate, minhash, mixing, quality_model, queries
 from fleetspan.llm.common import saved, table
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +19,7 @@ def test_stages(spark):
     for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = saved(stage(spark, docs, SF), "test-stage")
         before, after = ({r.doc_id: r.text for r in d.collect()} for d in (docs, out))
-        assert set(after) <= set(before) and number == 4 or out.columns == columns
+        assert set(after) <= set(before) and (number == 4 or out.columns == columns)
         if name == "quality":
             assert set(after) == {r.doc_id for r in quality_model.scored(docs, table(spark, SF, "labels")).where("predicted = 1").collect()}
         elif name == "line_dedup":
@@ -29,7 +29,8 @@ def test_stages(spark):
         elif name == "decontaminate":
             assert set(after) == {r.doc_id for r in decontaminate.contamination(docs, table(spark, SF, "benchmark")).where("not contaminated").collect()}
         else:
-            assert set(after) == set(before) and "n_copies" in out.columns
+            rated = mixing.mixed(docs, table(spark, SF, "labels")).collect()
+            assert set(after) == {r.doc_id for r in rated if r.n_copies > 0} and out.columns == [*columns, "n_tokens", "rate", "n_copies"]
         docs = out
 
 
