@@ -86,3 +86,16 @@ def heatmap(evidence: DataFrame, days: DataFrame) -> DataFrame:
     some = F.col("analysed") > 0
     count = F.when(some, F.coalesce("episodes", F.lit(0)))
     return out.select("section", "minute", count.alias("episodes"), F.when(some, F.coalesce("days", F.lit(0))).alias("days"), F.when(some, count / F.col("analysed")).alias("per_day"))
+
+
+def run_counts(found: DataFrame) -> DataFrame:
+    """Per day of an analysis: lines with candidates, candidates, episodes, and those of either class."""
+    e = episodes(found).groupBy("day").agg(F.count("*").alias("episodes"), F.count_if(F.col("class") == "multi_stop").alias("multi_stop"), F.count_if(F.col("class") == "single_point").alias("single_point"))
+    return found.groupBy("day").agg(F.countDistinct("line").alias("lines"), F.count("*").alias("candidates")).join(e, "day")
+
+
+def overlaps(first_us: Column, last_us: Column, begin: int, end: int) -> Column:
+    """Whether a run's local minutes overlap a window of minutes of the day, begin before end or, over midnight, after it."""
+    minute = lambda us: F.hour(clock.local(us)) * 60 + F.minute(clock.local(us))
+    a, b = minute(first_us), minute(last_us)
+    return (a < end) & (b >= begin) if begin < end else (a < end) | (b >= begin)

@@ -80,3 +80,29 @@ def linear_score(model: dict[str, tuple[float, float, float]], intercept: float)
     for name, (coef, mean, std) in model.items():
         z = z + F.lit(coef) * (F.coalesce(F.col(name).cast("double"), F.lit(mean)) - mean) / std
     return sigmoid(z)
+
+
+def tree_score(trees: list[dict], names: list[str], baseline: float) -> Column:
+    """Probability by stored trees: parallel lists f (number of the feature, -1 for a leaf), t (at most: left), m (missing goes left), l and r (children), v (a leaf's value).
+
+    Each tree becomes one nested case expression, so rows are scored where they are.
+    """
+    def node(tree: dict, i: int) -> Column:
+        f = tree["f"][i]
+        if f < 0:
+            return F.lit(float(tree["v"][i]))
+        value, left, right = F.col(names[f]), node(tree, tree["l"][i]), node(tree, tree["r"][i])
+        return F.when(value.isNull() | F.isnan(value.cast("double")), left if tree["m"][i] else right).when(value <= tree["t"][i], left).otherwise(right)
+
+    return sigmoid(sum((node(t, 0) for t in trees), F.lit(baseline)))
+
+
+def scored(p: DataFrame, chance: Column, mode: str = "line") -> DataFrame:
+    """All passages with prob: the model's chance where they can be judged, else null."""
+    return p.withColumn("prob", F.when(scoreable(mode), chance))
+
+
+def window_summary(p: DataFrame, keys: list[str], level: float) -> DataFrame:
+    """Per key of scored(): trips, passages, bunched and scored ones, alerts from `level` on and those that came true."""
+    alert = F.col("prob") >= level
+    return p.groupBy(*keys).agg(F.countDistinct("day", "trip_id", "vehicle_id").alias("trips"), F.count("*").alias("passages"), F.count_if("bunched").alias("bunched"), F.count("prob").alias("scored"), F.count_if(alert).alias("alerts"), F.count_if(alert & F.col("label")).alias("came_true"))

@@ -163,3 +163,12 @@ def headline(p: DataFrame) -> DataFrame:
     part = lambda c, x: F.sum(F.when(c, F.col(x)))
     on, off = F.col("working"), ~F.col("working")
     return g.agg((part(on, "b") / F.nullif(part(on, "n"), F.lit(0))).alias("working_rate"), (part(off, "b") / F.nullif(part(off, "n"), F.lit(0))).alias("weekend_rate"), (part(F.col("top"), "b") / F.nullif(part(on, "b"), F.lit(0))).alias("top5_share"), (part(F.col("top"), "n") / F.nullif(part(on, "n"), F.lit(0))).alias("top5_passages"))
+
+
+def first_problems(p: DataFrame, hot: float = HOT, days: int = HOT_DAYS, hot_days: int = HOT_DAYS) -> DataFrame:
+    """Per line and direction its first problem: blocks that recur on working days before all others, then by bunched passages."""
+    d = p.where("valid and working").groupBy("line", "direction_id", "block", "day").agg(share(F.col("bunched")).alias("rate"), F.count_if("bunched").alias("b"))
+    d = d.crossJoin(F.broadcast(base_rate(p)))  # one row
+    g = d.groupBy("line", "direction_id", "block").agg(((F.count("*") == days) & (F.count_if(F.col("rate") >= hot * F.col("base")) >= hot_days)).alias("recurring"), F.sum("b").alias("bunched"))
+    w = Window.partitionBy("line", "direction_id").orderBy(F.desc("recurring"), F.desc("bunched"), "block")
+    return g.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
