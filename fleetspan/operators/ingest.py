@@ -61,9 +61,12 @@ def availability(p: DataFrame, cell: Column) -> DataFrame:
     return p.groupBy(cell.alias("cell"), day.alias("date"), "agency_id").agg(F.count("*").alias("pings"), F.min("created_us").alias("first_us"), F.max("created_us").alias("last_us"))
 
 
-def redacted(p: DataFrame, agencies: list[str]) -> DataFrame:
-    """The agencies' pings without who received them."""
-    return p.where(F.col("agency_id").isin(agencies)).withColumn("vehicle_id", F.lit("redacted"))
+def portable(p: DataFrame, agencies: list[str], lines: list[str] | None = None, cells: list[str] | None = None) -> DataFrame:
+    """The agencies' pings for sharing, of some lines or cells where asked for: vehicles stay, drivers are redacted."""
+    p = p.where(F.col("agency_id").isin(agencies))
+    for name, some in (("line", lines), ("cell", cells)):
+        p = p.where(F.col(name).isin(some)) if some is not None else p
+    return p.withColumn("driver_id", F.lit("redacted"))
 
 
 def parity(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,3 +105,11 @@ def cleaned(p: DataFrame, most_kmh: float, speed: Column) -> DataFrame:
     """Pings without the sentinel stop and without leaps over the top speed."""
     p = p.withColumn("stop_id", F.nullif("stop_id", F.lit(SENTINEL)))
     return p.withColumn("_kmh", speed).where(F.coalesce(F.col("_kmh") <= most_kmh, F.lit(True))).drop("_kmh")
+
+
+def in_areas(cell: Column, areas: list[str]) -> Column:
+    """Whether a geohash lies in one of the areas, whose names may be of several lengths up to the geohash's own."""
+    found = F.lit(False)
+    for a in areas:
+        found = found | cell.startswith(a)
+    return found

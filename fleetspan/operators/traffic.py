@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspan.functions import geo
@@ -53,33 +52,78 @@ def section_speed(matched: DataFrame, jams: DataFrame, keys: list[str]) -> DataF
     return d.groupBy(*keys).agg(F.avg("ratio").alias("ratio"), F.avg("speed").alias("speed"), F.sum("reports").alias("reports"), F.count("ratio").alias("days"))
 
 
+def piece_speeds(road: DataFrame, found: DataFrame, jams: DataFrame) -> DataFrame:
+    """Each piece of road with what its jams say (section_speed() of reports whose intensity is known): ratio, speed, reports, days; none: nulls and zeros."""
+    known = section_speed(found, jams.where(speed_ratio(F.col("intensity")).isNotNull()), ["road", "seg", "piece"])
+    p = road.select("road", "seg", "piece", "metres").join(known, ["road", "seg", "piece"], "left")
+    return p.withColumns({"ratio": F.round("ratio", 1), "speed": F.round("speed", 1), "reports": F.coalesce("reports", F.lit(0)), "days": F.coalesce("days", F.lit(0))})
+
+
+def sections(speeds: DataFrame) -> DataFrame:
+    """Pieces of piece_speeds() that follow each other with equal evidence as one section: its number, metres and evidence."""
+    w = Window.partitionBy("road").orderBy("seg", "piece")
+    same = F.lit(True)
+    for c in ("ratio", "speed", "reports", "days"):
+        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
+    p = speeds.withColumn("new", F.when((F.row_number().over(w) > 1) & same, 0).otherwise(1)).withColumn("section", F.sum("new").over(w))
+    return p.groupBy("road", "section").agg(F.sum("metres").alias("metres"), F.count("*").alias("pieces"), *[F.first(c).alias(c) for c in ("ratio", "speed", "reports", "days")])
+
+
+def coverage(speeds: DataFrame) -> DataFrame:
+    """Per road: metres in all, and of the pieces that some day's jams cover."""
+    return speeds.groupBy("road").agg(F.sum("metres").alias("metres"), F.coalesce(F.sum(F.when(F.col("days") > 0, F.col("metres"))), F.lit(0.0)).alias("matched_metres"))
+
+
+def time_cells(road: DataFrame, found: DataFrame, jams: DataFrame) -> DataFrame:
+    """Per road and half hour: the ratio by length of pieces on each day, averaged over days; days; reports, each record once; the share of the road's metres with any.
+
+    jams: grouped() with minute.
+    """
+    j = jams.withColumn("r", speed_ratio(F.col("intensity"))).where("r is not null")
+    m = found.join(road.select("road", "seg", "piece", "metres"), ["road", "seg", "piece"]).join(j, "geometry_wkt")
+    piece = m.groupBy("road", "seg", "piece", "minute", "day").agg((F.sum(F.col("r") * F.col("reports")) / F.sum("reports")).alias("r"), F.first("metres").alias("metres"))
+    day = piece.groupBy("road", "minute", "day").agg((F.sum(F.col("r") * F.col("metres")) / F.sum("metres")).alias("r"))
+    ratio = day.groupBy("road", "minute").agg(F.avg("r").alias("ratio"), F.count("*").alias("days"))
+    there = piece.groupBy("road", "minute", "seg", "piece").agg(F.first("metres").alias("metres")).groupBy("road", "minute").agg(F.sum("metres").alias("covered"))
+    reports = m.groupBy("road", "minute", "geometry_wkt", "intensity", "day").agg(F.first("reports").alias("n")).groupBy("road", "minute").agg(F.sum("n").alias("reports"))
+    whole = road.groupBy("road").agg(F.sum("metres").alias("metres"))
+    return ratio.join(reports, ["road", "minute"]).join(there, ["road", "minute"]).join(whole, "road").withColumn("coverage", F.col("covered") / F.col("metres")).drop("covered", "metres")
+
+
+def plot_cells(cells: DataFrame, begin: int, end: int, heavy: float = 40) -> DataFrame:
+    """time_cells() on a plot of minutes begin to end: every road at every half hour, known or not, flagged where the traffic is heavy."""
+    ticks = cells.select("road").distinct().select("road", F.explode(F.sequence(F.lit(begin), F.lit(end - 30), F.lit(30))).alias("minute"))
+    return ticks.join(cells.select("road", "minute", "ratio"), ["road", "minute"], "left").withColumn("heavy", F.coalesce(F.col("ratio") <= heavy, F.lit(False)))
+
+
 def stop_paths(stops: DataFrame, shapes: DataFrame, most: float = 100.0) -> DataFrame:
-    """trip_id, stop_sequence, along, off: each trip's stops projected in order on its shape, in metres along and from it.
+    """trip_id, stop_sequence, along, off: each trip's stops projected in order on its shape, in metres along and from it; null where no edge is within `most` metres.
 
-    Stops of a trip are placed one after the other, each not before the last, so a trip is handled whole: by applyInPandas, as no window can express it. A trip
+    Stops of a trip are placed one after the other, each not before the last: a fold over the trip's ordered stops that carries how far it has come. A trip
     has some tens of stops. stops: trip_id, shape_id, stop_sequence, x, y; shapes: shape_id, points (array of x, y).
     """
-
-    def place(trip: pd.DataFrame) -> pd.DataFrame:
-        trip = trip.sort_values("stop_sequence")
-        points = [(p["x"], p["y"]) for p in trip["points"].iloc[0]]
-        lengths = [((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2) ** 0.5 for a, b in zip(points, points[1:], strict=False)]
-        starts = [sum(lengths[:i]) for i in range(len(lengths))]
-        floor, out = 0.0, []
-        for x, y in zip(trip["x"], trip["y"], strict=True):
-            best = None
-            for (ax, ay), (bx, by), n, s in zip(points, points[1:], lengths, starts, strict=False):
-                if n == 0 or s + n < floor:
-                    continue
-                u = min(max(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n, 0.0), n)
-                if s + u < floor:
-                    continue
-                off = ((x - ax - (bx - ax) * u / n) ** 2 + (y - ay - (by - ay) * u / n) ** 2) ** 0.5
-                if off <= most and (best is None or off < best[1] - 1e-9):
-                    best = (s + u, off)
-            out.append(best or (None, None))
-            floor = best[0] + 0.01 if best else floor
-        return pd.DataFrame({"trip_id": trip["trip_id"], "stop_sequence": trip["stop_sequence"], "along": [b[0] for b in out], "off": [b[1] for b in out]})
-
-    rows = stops.join(shapes, "shape_id").select("trip_id", "stop_sequence", "x", "y", "points")
-    return rows.groupBy("trip_id").applyInPandas(place, "trip_id string, stop_sequence int, along double, off double")
+    number = lambda name: F.lit(None).cast("double").alias(name)
+    pairs = F.arrays_zip(F.slice("points", F.lit(1), F.size("points") - 1).alias("a"), F.slice("points", F.lit(2), F.size("points") - 1).alias("b"))
+    long = F.transform(pairs, lambda p: F.hypot(p["b"]["x"] - p["a"]["x"], p["b"]["y"] - p["a"]["y"]))
+    s = shapes.where(F.size("points") > 1).select("shape_id", pairs.alias("pairs"), long.alias("long"))
+    edges = F.transform("pairs", lambda p, i: F.struct(p["a"]["x"].alias("ax"), p["a"]["y"].alias("ay"), p["b"]["x"].alias("bx"), p["b"]["y"].alias("by"), F.get("long", i).alias("n"), F.aggregate(F.slice("long", F.lit(1), i), F.lit(0.0), lambda acc, x: acc + x).alias("start")))
+    s = s.select("shape_id", F.filter(edges, lambda e: e["n"] > 0).alias("edges"))
+    t = stops.groupBy("trip_id", "shape_id").agg(F.array_sort(F.collect_list(F.struct("stop_sequence", "x", "y"))).alias("stops")).join(s, "shape_id")
+
+    def nearest(stop, floor):
+        def better(best, e):
+            u = F.least(F.greatest(((stop["x"] - e["ax"]) * (e["bx"] - e["ax"]) + (stop["y"] - e["ay"]) * (e["by"] - e["ay"])) / e["n"], F.lit(0.0)), e["n"])
+            off = F.hypot(stop["x"] - e["ax"] - (e["bx"] - e["ax"]) * u / e["n"], stop["y"] - e["ay"] - (e["by"] - e["ay"]) * u / e["n"])
+            ok = (e["start"] + u >= floor) & (off <= most) & (best["off"].isNull() | (off < best["off"] - 1e-9))
+            return F.when(ok, F.struct((e["start"] + u).alias("along"), off.alias("off"))).otherwise(best)
+
+        return F.aggregate("edges", F.struct(number("along"), number("off")), better)
+
+    def place(acc, stop):
+        best = nearest(stop, acc["floor"])
+        row = F.struct(stop["stop_sequence"].alias("stop_sequence"), best["along"].alias("along"), best["off"].alias("off"))
+        return F.struct(F.coalesce(best["along"] + 0.01, acc["floor"]).alias("floor"), F.concat(acc["placed"], F.array(row)).alias("placed"))
+
+    none = F.array().cast("array<struct<stop_sequence:int,along:double,off:double>>")
+    placed = F.aggregate("stops", F.struct(F.lit(0.0).alias("floor"), none.alias("placed")), place)["placed"]
+    return t.select("trip_id", F.explode(placed).alias("p")).select("trip_id", "p.*")

@@ -66,22 +66,33 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def near_pairs(at: DataFrame, metres: float, keys: tuple[str, ...] = ("tick", "agency_id", "line", "direction_id")) -> DataFrame:
-    """Pairs of vehicles of one key at most so far apart. Each is put in its grid cell and joined with the nine cells around, so only neighbours meet."""
-    size = metres / METRES_A_DEGREE * 2
-    x, y = F.floor(F.col("lat") / size), F.floor(F.col("lon") / size)
-    a = at.select(*keys, F.col("vehicle_id").alias("v1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), x.alias("x"), y.alias("y"))
-    around = F.explode(F.array(*[F.struct((x + i).alias("x"), (y + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = at.select(*keys, F.col("vehicle_id").alias("v2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), around.alias("c")).select(*keys, "v2", "lat2", "lon2", "c.x", "c.y")
+    """Pairs of vehicles of one key at most so far apart, anywhere on the globe.
+
+    Places are put in cubes of `metres` in space, since a chord is no longer than its arc; a vehicle is joined with the cubes around its own, so only neighbours meet.
+    """
+    lat, lon = F.radians("lat"), F.radians("lon")
+    cube = [F.floor(EARTH * c / metres) for c in (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))]
+    side = at.withColumns(dict(zip(("cx", "cy", "cz"), cube, strict=True)))
+    a = side.select(*keys, F.col("vehicle_id").alias("v1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "cx", "cy", "cz")
+    steps = (-1, 0, 1)
+    around = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), (F.col("cz") + k).alias("cz")) for i in steps for j in steps for k in steps])
+    b = side.select(*keys, F.col("vehicle_id").alias("v2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(around).alias("c")).select(*keys, "v2", "lat2", "lon2", "c.*")
     m = haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, [*keys, "x", "y"]).where("v1 < v2").withColumn("metres", m).where(F.col("metres") <= metres).select(*keys, "v1", "v2", "metres")
+    return a.join(b, [*keys, "cx", "cy", "cz"]).where("v1 < v2").withColumn("metres", m).where(F.col("metres") <= metres).select(*keys, "v1", "v2", "metres")
 
 
-def contract(pings: DataFrame) -> DataFrame:
-    """One row: violations of each rule of the replay contract."""
-    w = _day()
-    p = pings.withColumn("back", F.lag("created_us").over(w) > F.col("created_us"))
-    bad = lambda c: F.count_if(F.isnull(c) | F.isnan(c))
-    return p.agg(F.count("*").alias("pings"), F.count_if("back").alias("unsorted"), (bad(F.col("lat")) + bad(F.col("lon"))).alias("no_place"), F.count_if(F.coalesce(F.trim("vehicle_id"), F.lit("")) == "").alias("no_vehicle"), F.count_if(F.col("received_us") < F.col("created_us")).alias("early"))
+def contract(pings: DataFrame, order: str = "event_id", chunk: int = 1 << 16) -> DataFrame:
+    """One row: violations of each rule of the replay contract. unsorted: rows earlier than the row before them in the file, whose rows `order` numbers.
+
+    Order is checked within chunks of row numbers, and then between the ends of chunks, so that no task has the whole file.
+    """
+    p = pings.withColumn("chunk", F.floor(F.col(order) / chunk))
+    p = p.withColumn("back", F.lag("created_us").over(Window.partitionBy("chunk").orderBy(order)) > F.col("created_us"))
+    bad = lambda c, most: F.count_if(F.isnull(c) | F.isnan(c) | (F.abs(c) > most))
+    g = p.groupBy("chunk").agg(F.count("*").alias("pings"), F.count_if("back").alias("unsorted"), (bad(F.col("lat"), 90) + bad(F.col("lon"), 180)).alias("no_place"), F.count_if(F.coalesce(F.trim("vehicle_id"), F.lit("")) == "").alias("no_vehicle"), F.count_if(F.col("received_us") < F.col("created_us")).alias("early"), F.min_by("created_us", order).alias("first"), F.max_by("created_us", order).alias("last"))
+    g = g.withColumn("seam", F.coalesce(F.lag("last").over(Window.orderBy("chunk")) > F.col("first"), F.lit(False)))  # a row a chunk
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return g.agg(total("pings"), (F.coalesce(F.sum("unsorted"), F.lit(0)) + F.count_if("seam")).alias("unsorted"), total("no_place"), total("no_vehicle"), total("early"))
 
 
 def latency(pings: DataFrame) -> DataFrame:

@@ -90,9 +90,11 @@ def _(spark, sf):
     return plain(ingest.availability(adapter.pings(spark, sf), F.col("stop_id")))
 
 
-@BOOK.add("s23_redacted", sql("SELECT event_id, agency_id, 'redacted' AS vehicle_id, trip_id, created_us FROM pings WHERE agency_id IN ('A1', 'A3')"))
+@BOOK.add("s23_portable", sql("SELECT event_id, agency_id, vehicle_id, 'redacted' AS driver_id, trip_id, created_us, 'all' AS mode FROM pings WHERE agency_id IN ('A1', 'A3') UNION ALL SELECT event_id, agency_id, vehicle_id, 'redacted', trip_id, created_us, 'lines' FROM pings WHERE agency_id IN ('A1', 'A3') AND line IN ('L1')"))
 def _(spark, sf):
-    return ingest.redacted(adapter.pings(spark, sf), ["A1", "A3"]).select("event_id", "agency_id", "vehicle_id", "trip_id", "created_us")
+    p = adapter.pings(spark, sf).withColumn("driver_id", F.concat(F.lit("D"), "vehicle_id"))
+    both = ingest.portable(p, ["A1", "A3"]).withColumn("mode", F.lit("all")).unionByName(ingest.portable(p, ["A1", "A3"], lines=["L1"]).withColumn("mode", F.lit("lines")))
+    return both.select("event_id", "agency_id", "vehicle_id", "driver_id", "trip_id", "created_us", "mode")
 
 
 @BOOK.add("s26_stop_places", sql("SELECT stop_id, round(median(lat), 4) AS lat, round(median(lon), 4) AS lon FROM (SELECT stop_id, arg_max(lat, (created_us, event_id)) AS lat, arg_max(lon, (created_us, event_id)) AS lon FROM pings GROUP BY trip_id, vehicle_id, stop_id) GROUP BY 1"))
@@ -102,11 +104,11 @@ def _(spark, sf):
     return plain(findings.stop_places(adapter.pings(spark, sf)), 4)
 
 
-@BOOK.add("s27_parity", sql("SELECT (SELECT count(*) FROM (SELECT agency_id, vehicle_id, trip_id, stop_id, created_us FROM a EXCEPT ALL SELECT agency_id, vehicle_id, trip_id, stop_id, created_us FROM b)) AS only_a, (SELECT count(*) FROM (SELECT agency_id, vehicle_id, trip_id, stop_id, created_us FROM b EXCEPT ALL SELECT agency_id, vehicle_id, trip_id, stop_id, created_us FROM a)) AS only_b, (SELECT count(*) FROM a JOIN b USING (agency_id, vehicle_id, trip_id, stop_id, created_us) WHERE a.received_us <> b.received_us) AS receipts_differ", a="SELECT * FROM pings WHERE event_id % 10 <> 3", b="SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN received_us + 1 ELSE received_us END AS received_us) FROM pings WHERE event_id % 10 <> 4"))
+@BOOK.add("s27_parity", sql("SELECT (SELECT count(*) FROM (SELECT agency_id, vehicle_id, trip_id, stop_id, created_us FROM a EXCEPT ALL SELECT agency_id, vehicle_id, trip_id, stop_id, created_us FROM b)) AS only_a, (SELECT count(*) FROM (SELECT agency_id, vehicle_id, trip_id, stop_id, created_us FROM b EXCEPT ALL SELECT agency_id, vehicle_id, trip_id, stop_id, created_us FROM a)) AS only_b, (SELECT count(*) FROM a JOIN b USING (agency_id, vehicle_id, trip_id, stop_id, created_us) WHERE a.received_us <> b.received_us) AS receipts_differ", a="SELECT * FROM pings WHERE event_type <> 'error'", b="SELECT * REPLACE (CASE WHEN event_type = 'click' THEN received_us + 1 ELSE received_us END AS received_us) FROM pings WHERE event_type <> 'view'"))
 def _(spark, sf):
     p = adapter.pings(spark, sf)
-    other = p.where("event_id % 10 <> 4").withColumn("received_us", F.col("received_us") + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0))
-    return ingest.parity(p.where("event_id % 10 <> 3"), other, ingest.IDENTITY)
+    other = p.where("event_type <> 'view'").withColumn("received_us", F.col("received_us") + F.when(F.col("event_type") == "click", 1).otherwise(0))
+    return ingest.parity(p.where("event_type <> 'error'"), other, ingest.IDENTITY)
 
 
 @BOOK.add("s14_public_lines", sql("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 4 > 0 THEN 'M' || printf('%02d', p_partkey % 100) WHEN p_partkey % 2 = 0 THEN 'N' || p_partkey WHEN p_partkey % 5 = 0 THEN 'R' || p_partkey ELSE CASE WHEN p_partkey % 4 > 0 THEN 'M' || printf('%02d', p_partkey % 100) || '_' || p_partkey ELSE 'x' || p_partkey END END AS line FROM part"))
@@ -142,9 +144,14 @@ def _(spark, sf):
     return plain(ingest.overlapping_plans(adapter.plan_packages(spark, sf)).select("id", "agency_id", "valid_before"))
 
 
-@BOOK.add("f04_geofence", sql("SELECT event_id FROM pings WHERE lat BETWEEN 38.704 AND 38.709 AND lon BETWEEN -9.2 AND -9.19 AND stop_id IN ('S1', 'S2')"))
+AREAS = ["eyckp", "eyckhz", "eyckjb1"]
+
+
+@BOOK.add("f04_geofence", sql("SELECT event_id FROM pings WHERE " + " OR ".join(f"lat >= {a!r} AND lat < {b!r} AND lon >= {c!r} AND lon < {d!r}" for a, b, c, d in map(geo.geohash_bounds, AREAS))))
 def _(spark, sf):
-    return adapter.pings(spark, sf).where(F.col("stop_id").isin("S1", "S2") & F.col("lat").between(38.704, 38.709) & F.col("lon").between(-9.2, -9.19)).select("event_id")
+    """Pings in cells of five to seven characters, each by its own prefix."""
+    p = adapter.pings(spark, sf).withColumn("cell", geo.geohash(F.col("lat"), F.col("lon"), 7))
+    return p.where(ingest.in_areas(F.col("cell"), AREAS)).select("event_id")
 
 
 @BOOK.add("f16_cleaned", sql("SELECT count(*) AS pings, count(stop_id) AS with_stop FROM (SELECT CASE WHEN event_id % 9 = 0 THEN NULL ELSE stop_id END AS stop_id, late_kmh FROM (SELECT *, (received_us - created_us) / 1e6 AS late_kmh FROM pings)) WHERE late_kmh <= 120"))

@@ -188,9 +188,9 @@ def _(spark, sf):
     return at.select("tick").distinct().join(found, "tick", "left").select("tick", F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
 
-@BOOK.add("r03_contract", sql("SELECT count(*) AS pings, count(*) FILTER (us0 > created_us) AS unsorted, count(*) FILTER (lat IS NULL OR isnan(lat)) + count(*) FILTER (lon IS NULL OR isnan(lon)) AS no_place, count(*) FILTER (trim(coalesce(vehicle_id, '')) = '') AS no_vehicle, count(*) FILTER (received_us < created_us) AS early FROM ordered"))
+@BOOK.add("r03_contract", sql("SELECT count(*) AS pings, count(*) FILTER (us0 > created_us) AS unsorted, count(*) FILTER (lat IS NULL OR isnan(lat) OR abs(lat) > 90) + count(*) FILTER (lon IS NULL OR isnan(lon) OR abs(lon) > 180) AS no_place, count(*) FILTER (trim(coalesce(vehicle_id, '')) = '') AS no_vehicle, count(*) FILTER (received_us < created_us) AS early FROM (SELECT *, lag(created_us) OVER (ORDER BY event_id) AS us0 FROM pings)"))
 def _(spark, sf):
-    return vehicles.contract(adapter.pings(spark, sf))
+    return vehicles.contract(adapter.pings(spark, sf), chunk=4096)
 
 
 @BOOK.add("r04_latency", sql("SELECT agency_id, round(median((received_us - created_us) / 1e6), 6) AS median_s, count(*) AS pings FROM pings GROUP BY 1"))

@@ -79,14 +79,14 @@ def stream(spark, sf):
 
 @BOOK.add("stream_dedup", sql("SELECT DISTINCT agency_id, vehicle_id, trip_id, stop_id, created_us FROM pings"))
 def _(spark, sf):
-    return transit.drained(transit.deduplicated(stream(spark, sf)).select(*transit.IDENTITY), "append")
+    return transit.drained(transit.deduplicated(stream(spark, sf)).select(*transit.IDENTITY))
 
 
-@BOOK.add("stream_snapshots", sql("SELECT created_us // 3600000000 * 3600000000 AS start_us, agency_id, vehicle_id, max(created_us) AS created_us, count(*) AS pings FROM pings GROUP BY created_us // 3600000000, agency_id, vehicle_id".replace("SELECT created_us // 3600000000 * 3600000000 AS start_us", "SELECT min(created_us // 3600000000 * 3600000000) AS start_us")))
+@BOOK.add("stream_snapshots", sql("SELECT min(created_us // 3600000000 * 3600000000) AS start_us, agency_id, vehicle_id, max(created_us) AS created_us, count(*) AS pings FROM pings GROUP BY created_us // 3600000000, agency_id, vehicle_id"))
 def _(spark, sf):
-    return transit.drained(transit.snapshots(stream(spark, sf)), "complete")
+    return transit.drained(transit.snapshots(transit.with_end(stream(spark, sf)))).where("vehicle_id is not null")
 
 
-@BOOK.add("stream_passages", sql("SELECT trip_id, vehicle_id, stop_id, min(created_us) AS t_first, max(created_us) AS t_pass FROM pings GROUP BY 1, 2, 3"))
+@BOOK.add("stream_stop_spans", sql("SELECT trip_id, vehicle_id, stop_id, min(created_us) AS t_first, max(created_us) AS t_pass FROM pings GROUP BY created_us // 86400000000, 1, 2, 3"))
 def _(spark, sf):
-    return transit.drained(transit.passages(stream(spark, sf)), "complete")
+    return transit.drained(transit.stop_spans(transit.with_end(stream(spark, sf)))).where("vehicle_id is not null")

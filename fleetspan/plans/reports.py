@@ -168,22 +168,75 @@ def matched(spark, sf):
     return road, traffic.matches(road, jam)
 
 
-@BOOK.add("j14_jam_match")
+#: Brute force for the grid join: every piece of road against every segment.
+ROADS = {
+    "drawn": f"""SELECT geometry_wkt, p[1]::DOUBLE * {geo.METRES_A_DEGREE} * cos(radians({geo.REFERENCE_LAT})) AS x1, p[2]::DOUBLE * {geo.METRES_A_DEGREE} AS y1, p[3]::DOUBLE * {geo.METRES_A_DEGREE} * cos(radians({geo.REFERENCE_LAT})) AS x2, p[4]::DOUBLE * {geo.METRES_A_DEGREE} AS y2
+      FROM (SELECT DISTINCT geometry_wkt, string_split(replace(replace(replace(geometry_wkt, 'LINESTRING(', ''), ')', ''), ', ', ' '), ' ') AS p FROM jams)""",
+    "cut": "SELECT geometry_wkt AS road, x1, y1, x2, y2, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS len, unnest(range(n)) AS piece, n FROM (SELECT *, greatest(1, ceil(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 25))::INT AS n FROM drawn)",
+    "matched_pieces": """SELECT DISTINCT road, piece, metres, geometry_wkt FROM (SELECT *, least(1, greatest(0, ((mx - jx1) * dx + (my - jy1) * dy) / (dx * dx + dy * dy))) AS u FROM (
+      SELECT c.road, c.piece, c.len / c.n AS metres, d.geometry_wkt, c.x1 + (c.x2 - c.x1) * (c.piece + 0.5) / c.n AS mx, c.y1 + (c.y2 - c.y1) * (c.piece + 0.5) / c.n AS my, d.x1 AS jx1, d.y1 AS jy1, d.x2 - d.x1 AS dx, d.y2 - d.y1 AS dy, (c.x2 - c.x1) / c.len AS ux, (c.y2 - c.y1) / c.len AS uy FROM cut c CROSS JOIN drawn d))
+      WHERE sqrt((mx - jx1 - u * dx) ** 2 + (my - jy1 - u * dy) ** 2) <= 25 AND abs(ux * dx + uy * dy) / sqrt(dx * dx + dy * dy) >= 0.8660254037844387""",
+}
+
+
+@BOOK.add("j14_jam_match", sql("SELECT road, count(*) AS matches, count(DISTINCT geometry_wkt) AS geometries FROM matched_pieces GROUP BY 1", **ROADS))
 def _(spark, sf):
     return matched(spark, sf)[1].groupBy("road").agg(F.count("*").alias("matches"), F.countDistinct("geometry_wkt").alias("geometries"))
 
 
-@BOOK.add("a25_section_speed", sql(f"SELECT geometry_wkt AS road, round(avg(ratio), 5) AS ratio, round(avg(speed), 5) AS speed, sum(reports)::BIGINT AS reports, count(ratio) AS days FROM (SELECT geometry_wkt, day, sum(r * reports) / sum(CASE WHEN r IS NOT NULL THEN reports END) AS ratio, sum(speed_kmh * speed_reports) / nullif(sum(CASE WHEN speed_kmh IS NOT NULL THEN speed_reports END), 0) AS speed, sum(reports) AS reports FROM (SELECT *, {RATIO} AS r FROM jam_rows) GROUP BY 1, 2) GROUP BY 1"))
+ROADS |= {
+    "known": f"SELECT geometry_wkt, day, intensity, reports, speed_kmh, speed_reports, r FROM (SELECT *, {RATIO} AS r FROM jam_rows) WHERE r IS NOT NULL",
+    "by_day": "SELECT road, piece, day, sum(r * reports) / sum(reports) AS ratio, sum(speed_kmh * speed_reports) / nullif(sum(CASE WHEN speed_kmh IS NOT NULL THEN speed_reports END), 0) AS speed, sum(reports) AS reports FROM matched_pieces JOIN known USING (geometry_wkt) GROUP BY 1, 2, 3",
+    "by_piece": "SELECT c.road, c.piece, c.len / c.n AS metres, round(s.ratio, 1) AS ratio, round(s.speed, 1) AS speed, coalesce(s.reports, 0)::BIGINT AS reports, coalesce(s.days, 0)::BIGINT AS days FROM cut c LEFT JOIN (SELECT road, piece, avg(ratio) AS ratio, avg(speed) AS speed, sum(reports) AS reports, count(*) AS days FROM by_day GROUP BY 1, 2) s USING (road, piece)",
+}
+
+
+@BOOK.add("a25_section_speed", sql("SELECT road, piece, round(metres, 4) AS metres, ratio, speed, reports, days FROM by_piece", **ROADS))
+def _(spark, sf):
+    return plain(piece_speeds(spark, sf).select("road", "piece", "metres", "ratio", "speed", "reports", "days"), 4)
+
+
+def piece_speeds(spark, sf):
+    road, found = matched(spark, sf)
+    return traffic.piece_speeds(road, found, traffic.grouped(adapter.jams(spark, sf)))
+
+
+@BOOK.add("w26_sections", sql("SELECT road, section::BIGINT AS section, round(sum(metres), 4) AS metres, count(*) AS pieces, any_value(reports) AS reports, any_value(days) AS days FROM (SELECT *, sum(fresh) OVER (PARTITION BY road ORDER BY piece) AS section FROM (SELECT *, CASE WHEN lag(piece) OVER w IS NOT NULL AND ratio IS NOT DISTINCT FROM lag(ratio) OVER w AND speed IS NOT DISTINCT FROM lag(speed) OVER w AND reports = lag(reports) OVER w AND days = lag(days) OVER w THEN 0 ELSE 1 END AS fresh FROM by_piece WINDOW w AS (PARTITION BY road ORDER BY piece))) GROUP BY 1, 2", **ROADS))
+def _(spark, sf):
+    return plain(traffic.sections(piece_speeds(spark, sf)).select("road", "section", "metres", "pieces", "reports", "days"), 4)
+
+
+@BOOK.add("a26_road_coverage", sql("SELECT road, round(sum(metres), 4) AS metres, round(coalesce(sum(metres) FILTER (days > 0), 0), 4) AS matched_metres FROM by_piece GROUP BY 1", **ROADS))
 def _(spark, sf):
+    return plain(traffic.coverage(piece_speeds(spark, sf)), 4)
+
+
+ROADS |= {
+    "slots": f"SELECT geometry_wkt, day, intensity, minute, count(*) AS reports, any_value({RATIO}) AS r FROM jams WHERE ({RATIO}) IS NOT NULL GROUP BY 1, 2, 3, 4",
+    "piece_slots": "SELECT road, piece, any_value(metres) AS metres, minute, day, sum(r * reports) / sum(reports) AS r FROM matched_pieces JOIN slots USING (geometry_wkt) GROUP BY road, piece, minute, day",
+    "cells": """SELECT road, minute, ratio, days, reports, covered / (SELECT sum(len / n) FROM cut c WHERE c.road = a.road) AS coverage FROM (SELECT road, minute, avg(r) AS ratio, count(*) AS days FROM (SELECT road, minute, day, sum(r * metres) / sum(metres) AS r FROM piece_slots GROUP BY 1, 2, 3) GROUP BY 1, 2) a
+      JOIN (SELECT road, minute, sum(metres) AS covered FROM (SELECT DISTINCT road, minute, piece, metres FROM piece_slots) GROUP BY 1, 2) b USING (road, minute) JOIN (SELECT road, minute, sum(reports)::BIGINT AS reports FROM (SELECT DISTINCT road, geometry_wkt FROM matched_pieces) JOIN slots USING (geometry_wkt) GROUP BY 1, 2) c USING (road, minute)""",
+}
+
+
+def cells_of(spark, sf):
     road, found = matched(spark, sf)
-    own = found.where("road = geometry_wkt").select("road", "geometry_wkt").distinct()
-    return plain(traffic.section_speed(own, traffic.grouped(adapter.jams(spark, sf)), ["road"]), 5)
+    return traffic.time_cells(road, found, traffic.grouped(adapter.jams(spark, sf), "minute"))
+
+
+@BOOK.add("a24_jam_slots", sql("SELECT geometry_wkt, intensity, day::VARCHAR AS day, minute, count(*) AS reports FROM jams GROUP BY ALL"))
+def _(spark, sf):
+    return plain(traffic.grouped(adapter.jams(spark, sf), "minute").select("geometry_wkt", "intensity", "day", "minute", "reports"))
+
+
+@BOOK.add("a27_time_cells", sql("SELECT road, minute, round(ratio, 5) AS ratio, days, reports, round(coverage, 5) AS coverage FROM cells", **ROADS))
+def _(spark, sf):
+    return plain(cells_of(spark, sf), 5)
 
 
-@BOOK.add("a27_time_cells", sql(f"SELECT geometry_wkt, minute, round(avg(r), 5) AS ratio, count(*) AS reports FROM (SELECT *, {RATIO} AS r FROM jams) GROUP BY 1, 2"))
+@BOOK.add("a70_plot_cells", sql("SELECT road, t AS minute, round(ratio, 5) AS ratio, coalesce(ratio <= 40, false) AS heavy FROM (SELECT DISTINCT road FROM cells) CROSS JOIN (SELECT (unnest(range(420, 601, 30)))::INT AS t) LEFT JOIN (SELECT road, minute AS t, ratio FROM cells) USING (road, t)", **ROADS))
 def _(spark, sf):
-    j = adapter.jams(spark, sf).withColumn("r", traffic.speed_ratio(F.col("intensity")))
-    return plain(j.groupBy("geometry_wkt", "minute").agg(F.avg("r").alias("ratio"), F.count("*").alias("reports")), 5)
+    return plain(traffic.plot_cells(cells_of(spark, sf), 420, 630), 5)
 
 
 @BOOK.add("s21_jam_coverage", sql("SELECT count(*) AS rows, min(day)::VARCHAR AS first_day, max(day)::VARCHAR AS last_day, count(DISTINCT day) AS days, count(DISTINCT geometry_wkt) AS zones FROM jams"))

@@ -1,13 +1,14 @@
-"""Structured Streaming forms of ingest, snapshot and passages. On the same files each gives what its batch form gives."""
+"""Structured Streaming forms of ingest dedup, hourly snapshots, and first and last pings at stops, all in append mode: state is dropped behind the watermark."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetspan.sources.files import work_dir
+
 IDENTITY = ["agency_id", "vehicle_id", "trip_id", "stop_id", "created_us"]
 
 
@@ -17,6 +18,16 @@ def read_events(spark: SparkSession, sf_dir: str, table: str = "events") -> Data
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
+def with_end(p: DataFrame, years: int = 100) -> DataFrame:
+    """A stream of pings and, beside it, one ping of no vehicle far ahead, which moves the watermark past all others, so that windows still open at the end come out too."""
+    spark = p.sparkSession
+    path = f"{work_dir(spark)}/stream-end-{uuid.uuid4().hex}"
+    far = 4_102_444_800_000_000 + years * 31_557_600_000_000
+    spark.range(1).select(F.lit(far).alias("created_us")).write.parquet(path)
+    end = spark.readStream.schema("created_us long").parquet(path)
+    return p.unionByName(end, allowMissingColumns=True)
+
+
 def timed(p: DataFrame, late: str) -> DataFrame:
     return p.withColumn("at", F.timestamp_micros("created_us")).withWatermark("at", late)
 
@@ -32,24 +43,16 @@ def snapshots(p: DataFrame, every: str = "1 hour", late: str = "7 days") -> Data
     return timed(p, late).groupBy(w, "agency_id", "vehicle_id").agg(F.max("created_us").alias("created_us"), F.count("*").alias("pings")).select(F.unix_micros("window.start").alias("start_us"), "agency_id", "vehicle_id", "created_us", "pings")
 
 
-def passages(p: DataFrame, late: str = "7 days") -> DataFrame:
-    """First and last ping of each day, trip, vehicle and stop, as an aggregation that the watermark bounds by the day."""
+def stop_spans(p: DataFrame, late: str = "7 days") -> DataFrame:
+    """First and last ping of each calendar day, trip, vehicle and stop. Without a plan, so without the rule for a trip's last stop."""
     w = F.window("at", "1 day")
     return timed(p, late).groupBy(w, "trip_id", "vehicle_id", "stop_id").agg(F.min("created_us").alias("t_first"), F.max("created_us").alias("t_pass")).select("trip_id", "vehicle_id", "stop_id", "t_first", "t_pass")
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
+def drained(stream: DataFrame) -> DataFrame:
     """Runs a stream over all that is there and returns its result, through a Parquet sink in the shared folder."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='fleetspan-stream-')}"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
-    if mode == "append":
-        writer.format("parquet").option("path", f"{path}/out").start().awaitTermination()
-    else:
-
-        def write(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{path}/out")
-
-        writer.outputMode("complete").foreachBatch(write).start().awaitTermination()
+    path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
+    writer.format("parquet").option("path", f"{path}/out").start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
