@@ -172,10 +172,11 @@ def interpolated(p: DataFrame, visits: DataFrame) -> DataFrame:
 
 
 def vehicle_chain(p: DataFrame, most_s: float = 60) -> DataFrame:
-    """Trips with their vehicle's trip before, if that ended by their start, and the layover between that they need: what there was, most_s at most."""
+    """Trips with their vehicle's trip before, if that ended by their start, the time between, and the layover that they need: that time, most_s at most."""
     w = Window.partitionBy("day", "vehicle_id").orderBy("begins", "trip_id")
     t = starts(p).select(*TRIP, "begins", "ends").withColumn("x", F.lag(F.struct("trip_id", "ends")).over(w)).where(F.col("x.ends") <= F.col("begins"))
-    return t.select(*TRIP, F.col("x.trip_id").alias("trip_before"), F.least(F.lit(most_s), (F.col("begins") - F.col("x.ends")) / SECOND).alias("layover_s"))
+    gap = (F.col("begins") - F.col("x.ends")) / SECOND
+    return t.select(*TRIP, F.col("x.trip_id").alias("trip_before"), gap.alias("gap_s"), F.least(F.lit(most_s), gap).alias("layover_s"))
 
 
 def bunched_runs(p: DataFrame) -> DataFrame:

@@ -89,9 +89,9 @@ def mechanisms(p: DataFrame) -> DataFrame:
 
 
 def knock_on(p: DataFrame, chain: DataFrame) -> DataFrame:
-    """By layover in quarter hours (up to an hour and more): trips, mean first delay, share that starts early."""
+    """By the time between two trips of a vehicle in quarter hours (up to an hour and more): trips, mean first delay, share that starts early."""
     first = p.groupBy(*TRIP).agg(F.min_by("delay", F.struct("seq", "t")).alias("d"))
-    t = chain.join(first, TRIP).withColumn("layover", F.least(F.lit(4), F.floor(F.col("layover_s") / 900)).cast("int"))
+    t = chain.join(first, TRIP).withColumn("layover", F.least(F.lit(4), F.floor(F.col("gap_s") / 900)).cast("int"))
     return t.groupBy("layover").agg(F.count("*").alias("trips"), F.avg("d").alias("mean_delay"), share(F.col("d") < 0).alias("early_share"))
 
 

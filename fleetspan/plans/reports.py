@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetspan.functions import geo
-from fleetspan.operators import kpis, quality, traffic
+from fleetspan.operators import kpis, passages, quality, traffic
 from fleetspan.plans.base import FLAT, flat_visits, judged_of
 from fleetspan.plans.book import Book, plain
 from fleetspan.plans.oracle import FRAGMENTS, sql
@@ -110,22 +110,26 @@ def _(spark, sf):
     return plain(kpis.shortest_hold(kpis.scenarios(adapter.scenario_kpis(spark, sf))), 4)
 
 
-@BOOK.add("w24_chain", sql("SELECT day::VARCHAR AS day, trip_id, vehicle_id, trip_before, round(least(60, (begins - e0) / 1e6), 6) AS layover_s FROM (SELECT *, lag(trip_id) OVER w AS trip_before, lag(ends) OVER w AS e0 FROM begun WINDOW w AS (PARTITION BY day, vehicle_id ORDER BY begins, trip_id)) WHERE e0 <= begins"))
+@BOOK.add("w24_chain", sql("SELECT day::VARCHAR AS day, trip_id, vehicle_id, trip_before, round((begins - e0) / 1e6, 6) AS gap_s, round(least(60, (begins - e0) / 1e6), 6) AS layover_s FROM (SELECT *, lag(trip_id) OVER w AS trip_before, lag(ends) OVER w AS e0 FROM begun WINDOW w AS (PARTITION BY day, vehicle_id ORDER BY begins, trip_id)) WHERE e0 <= begins"))
 def _(spark, sf):
     return plain(kpis.vehicle_chain(judged_of(spark, sf)))
 
 
-SPARSE = "SELECT * FROM feat WHERE seq % 3 <> 2"
+#: What is seen of trips when sign-ups aren't taken as pings: a source with stops that no ping reports.
+SPARSE = {"seen": "SELECT agency_id, day, trip_id, vehicle_id, stop_id, min(created_us) AS t_first, max(created_us) AS t_pass FROM pings WHERE event_type <> 'signup' GROUP BY ALL"}
+
+
+def sparse(spark, sf):
+    return passages.stop_passages(adapter.pings(spark, sf).where("event_type <> 'signup'"), adapter.visits(spark, sf))
 
 
 @BOOK.add("w21_interpolated", sql("""SELECT day::VARCHAR AS day, trip_id, seq, round(max(u) OVER (PARTITION BY day, trip_id, vehicle_id ORDER BY seq), 0) AS t, seen FROM (
   SELECT day, trip_id, vehicle_id, seq, t IS NOT NULL AS seen, coalesce(t::DOUBLE, ta + (tb - ta) * (seq - aseq) / (bseq - aseq)) AS u FROM (
     SELECT g.*, p.t, last_value(p.t IGNORE NULLS) OVER a AS ta, last_value(CASE WHEN p.t IS NOT NULL THEN g.seq END IGNORE NULLS) OVER a AS aseq, first_value(p.t IGNORE NULLS) OVER b AS tb, first_value(CASE WHEN p.t IS NOT NULL THEN g.seq END IGNORE NULLS) OVER b AS bseq
-    FROM (SELECT DISTINCT day, trip_id, vehicle_id, v.stop_sequence AS seq FROM sparse JOIN (SELECT trip_id, stop_sequence FROM visits) v USING (trip_id)) g LEFT JOIN sparse p USING (day, trip_id, vehicle_id, seq)
-    WINDOW a AS (PARTITION BY g.day, g.trip_id, g.vehicle_id ORDER BY g.seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY g.day, g.trip_id, g.vehicle_id ORDER BY g.seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) WHERE u IS NOT NULL""", sparse=SPARSE))
+    FROM (SELECT DISTINCT day, trip_id, vehicle_id, v.stop_sequence AS seq FROM stop_passages JOIN (SELECT trip_id, stop_sequence FROM visits) v USING (trip_id)) g LEFT JOIN stop_passages p USING (day, trip_id, vehicle_id, seq)
+    WINDOW a AS (PARTITION BY g.day, g.trip_id, g.vehicle_id ORDER BY g.seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY g.day, g.trip_id, g.vehicle_id ORDER BY g.seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) WHERE u IS NOT NULL""", **SPARSE))
 def _(spark, sf):
-    p = judged_of(spark, sf).where("seq % 3 <> 2")
-    return plain(kpis.interpolated(p, adapter.visits(spark, sf)).select("day", "trip_id", "seq", F.round("t", 0).alias("t"), "seen"))
+    return plain(kpis.interpolated(sparse(spark, sf), adapter.visits(spark, sf)).select("day", "trip_id", "seq", F.round("t", 0).alias("t"), "seen"))
 
 
 @BOOK.add("w27_bunched_runs", sql("SELECT day::VARCHAR AS day, trip_id, vehicle_id, run::BIGINT AS run, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS stops FROM (SELECT *, sum(fresh) OVER (PARTITION BY day, trip_id, vehicle_id ORDER BY seq, t) AS run FROM (SELECT *, CASE WHEN lag(bunched) OVER (PARTITION BY day, trip_id, vehicle_id ORDER BY seq, t) = bunched THEN 0 ELSE 1 END AS fresh FROM feat)) WHERE bunched GROUP BY 1, 2, 3, 4"))
@@ -285,9 +289,9 @@ def _(spark, sf):
     return plain(quality.cramers_v(adapter.pings(spark, sf), (F.col("received_us") - F.col("created_us")) > 60_000_000, "event_type"))
 
 
-@BOOK.add("a61_coverage", sql("SELECT line, round(quantile_cont(c, 0.25), 6) AS q1, round(quantile_cont(c, 0.5), 6) AS q2, round(quantile_cont(c, 0.75), 6) AS q3, round(avg((c < 0.5)::INT), 6) AS low_share FROM (SELECT line, count(DISTINCT stop_id) / any_value(planned) AS c FROM (SELECT * FROM feat WHERE seq % 2 = 1) JOIN (SELECT trip_id, count(*) AS planned FROM visits GROUP BY 1) USING (trip_id) GROUP BY day, trip_id, vehicle_id, line) GROUP BY 1"))
+@BOOK.add("a61_coverage", sql("SELECT line, round(quantile_cont(c, 0.25), 6) AS q1, round(quantile_cont(c, 0.5), 6) AS q2, round(quantile_cont(c, 0.75), 6) AS q3, round(avg((c < 0.5)::INT), 6) AS low_share FROM (SELECT line, count(DISTINCT stop_id) / any_value(planned) AS c FROM stop_passages JOIN (SELECT trip_id, count(*) AS planned FROM visits GROUP BY 1) USING (trip_id) GROUP BY day, trip_id, vehicle_id, line) GROUP BY 1", **SPARSE))
 def _(spark, sf):
-    return plain(quality.coverage(judged_of(spark, sf).where("seq % 2 = 1"), adapter.visits(spark, sf)))
+    return plain(quality.coverage(sparse(spark, sf), adapter.visits(spark, sf)))
 
 
 @BOOK.add("a62_mechanisms", sql("SELECT line, count(*) FILTER (bunched) AS bunched, round(avg((lead_delay > 120)::INT) FILTER (bunched), 6) AS leader_late, round(avg((delay < 60)::INT) FILTER (bunched), 6) AS follower_early, round(corr(ratio, ratio_prev3), 5) AS persistence FROM feat WHERE valid GROUP BY 1"))
@@ -295,7 +299,7 @@ def _(spark, sf):
     return plain(quality.mechanisms(judged_of(spark, sf)).withColumn("persistence", F.round("persistence", 5)))
 
 
-@BOOK.add("a63_knock_on")
+@BOOK.add("a63_knock_on", sql("SELECT layover, count(*) AS trips, round(avg(d), 6) AS mean_delay, round(avg((d < 0)::INT), 6) AS early_share FROM (SELECT c.*, f.d, least(4, floor((begins - e0) / 1e6 / 900))::INT AS layover FROM (SELECT *, lag(ends) OVER (PARTITION BY day, vehicle_id ORDER BY begins, trip_id) AS e0 FROM begun) c JOIN (SELECT day, trip_id, vehicle_id, arg_min(delay, (seq, t)) AS d FROM feat GROUP BY ALL) f USING (day, trip_id, vehicle_id) WHERE e0 <= begins) GROUP BY 1"))
 def _(spark, sf):
     p = judged_of(spark, sf)
     return plain(quality.knock_on(p, kpis.vehicle_chain(p)))
