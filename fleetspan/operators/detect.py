@@ -64,6 +64,11 @@ def latest_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.where("status = 'completed'").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def latest_scoped(runs: DataFrame, keys: list[str], line: str | None = None) -> DataFrame:
+    """latest_runs() by scope: without a line, runs of all lines only; with one, any run that has it (full_scope, lines)."""
+    return latest_runs(runs.where(F.col("full_scope") if line is None else F.array_contains("lines", line)), keys)
+
+
 def week_totals(runs: DataFrame, found: DataFrame) -> DataFrame:
     """For each line of the runs' selections: analysed days, episodes, those of several stops, evidence. A line that was analysed without a find has zeros."""
     own = latest_runs(runs.withColumn("line", F.explode("lines")), ["day", "agency_id", "line"])

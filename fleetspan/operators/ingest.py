@@ -49,10 +49,12 @@ def provenance(p: DataFrame, keys: list[str], source: str) -> DataFrame:
     return p.groupBy(*keys, source).agg(F.min("received_us").alias("received_us"), F.count("*").alias("rows"))
 
 
-def counters(p: DataFrame, source: str) -> DataFrame:
-    """Per source: rows read, valid ones, rejects by reason (needs reject_reason)."""
+def counters(p: DataFrame, source: str, keys: list[str]) -> DataFrame:
+    """Per source: rows read, valid ones, observations by keys that it gives, duplicates that collapse into those, rejects by reason (needs reject_reason)."""
     r = F.col("reject_reason")
-    return p.groupBy(source).agg(F.count("*").alias("rows_read"), F.count_if(r.isNull()).alias("valid_rows"), *[F.count_if(r == x).alias(x) for x in ("identifier", "coordinates", "timestamp_or_date", "geohash")])
+    good = F.when(r.isNull(), F.struct(*keys))
+    g = p.groupBy(source).agg(F.count("*").alias("rows_read"), F.count_if(r.isNull()).alias("valid_rows"), F.count_distinct(good).alias("inserted"), *[F.count_if(r == x).alias(x) for x in ("identifier", "coordinates", "timestamp_or_date", "geohash")])
+    return g.withColumn("duplicates", F.col("valid_rows") - F.col("inserted"))
 
 
 def availability(p: DataFrame, cell: Column) -> DataFrame:
@@ -101,10 +103,19 @@ def public_line(agency: Column, route_id: Column, short: Column, line: Column) -
     return F.when(prefixed, F.split(route_id, "_")[0]).otherwise(F.coalesce(F.nullif(F.trim(short), F.lit("")), F.nullif(F.trim(line), F.lit("")), route_id))
 
 
-def cleaned(p: DataFrame, most_kmh: float, speed: Column) -> DataFrame:
-    """Pings without the sentinel stop and without leaps over the top speed."""
-    p = p.withColumn("stop_id", F.nullif("stop_id", F.lit(SENTINEL)))
-    return p.withColumn("_kmh", speed).where(F.coalesce(F.col("_kmh") <= most_kmh, F.lit(True))).drop("_kmh")
+def cleaned(p: DataFrame, agencies: list[str], most_kmh: float = 120, most_gap_s: float | None = 120) -> DataFrame:
+    """Pings of bus agencies with the sentinel stop as null, without those that a leap over most_kmh from the vehicle's ping before would need, and without those whose
+    stop's time is uncertain by more than most_gap_s (None: all stay), the pause since that ping."""
+    from fleetspan.operators.vehicles import haversine
+
+    w = Window.partitionBy("day", "agency_id", "vehicle_id").orderBy("created_us", "event_id")
+    p = p.where(F.col("agency_id").isin(agencies)).withColumn("stop_id", F.nullif("stop_id", F.lit(SENTINEL)))
+    b = F.col("before")
+    pause = (F.col("created_us") - b["created_us"]) / 1_000_000
+    kmh = haversine(b["lat"], b["lon"], F.col("lat"), F.col("lon")) / F.nullif(pause, F.lit(0.0)) * 3.6
+    p = p.withColumn("before", F.lag(F.struct("created_us", "lat", "lon")).over(w)).withColumns({"kmh_before": kmh, "pause_before_s": pause})
+    sure = F.lit(True) if most_gap_s is None else F.coalesce(F.col("pause_before_s") <= most_gap_s, F.lit(True))
+    return p.where(F.coalesce(F.col("kmh_before") <= most_kmh, F.lit(True)) & sure).drop("before")
 
 
 def in_areas(cell: Column, areas: list[str]) -> Column:

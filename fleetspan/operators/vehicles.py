@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspan.functions import geo
+
 SECOND = 1_000_000
 #: Seconds: a report gap that is listed; when a ping is stale, and when it is gone.
 REPORT_GAP, STALE, GONE = 120, 60, 120
@@ -25,11 +27,13 @@ def line_periods(pings: DataFrame) -> DataFrame:
 
 
 def report_gaps(pings: DataFrame, least: int = REPORT_GAP) -> DataFrame:
-    """Pauses of more than `least` seconds between a vehicle's pings, and whether its stop or trip changed."""
+    """Pauses of more than `least` seconds between a vehicle's pings, and whether its line, trip, stop or area (of its geohash, five characters) changed."""
     w = _day()
-    p = pings.withColumn("b", F.lag(F.struct("created_us", "stop_id", "trip_id")).over(w))
+    p = pings.withColumn("area", geo.geohash(F.col("lat"), F.col("lon"), 5))
+    flags = {"line": "line", "trip": "trip_id", "stop": "stop_id", "area": "area"}
+    p = p.withColumn("b", F.lag(F.struct("created_us", *flags.values())).over(w))
     p = p.withColumn("gap_s", F.bround((F.col("created_us") - F.col("b.created_us")) / SECOND).cast("long")).where(F.col("created_us") - F.col("b.created_us") > least * SECOND)
-    return p.select("day", "vehicle_id", "event_id", "gap_s", (F.col("b.stop_id") != F.col("stop_id")).alias("stop_changed"), (F.col("b.trip_id") != F.col("trip_id")).alias("trip_changed"))
+    return p.select("day", "vehicle_id", "event_id", "gap_s", *[(~F.col(f"b.{c}").eqNullSafe(F.col(c))).alias(f"{name}_changed") for name, c in flags.items()])
 
 
 def encounters(pings: DataFrame) -> DataFrame:

@@ -34,6 +34,10 @@ FRAGMENTS |= {
 }
 
 
+BITS = " || ".join(f"substring('{geo.ALPHABET}', ({' + '.join(f'(({'x' if i % 2 == 0 else 'y'} >> {(12 if i % 2 == 0 else 11) - i // 2}) & 1) * {2 ** (4 - i % 5)}' for i in range(5 * c, 5 * c + 5))})::INT + 1, 1)" for c in range(5))
+FRAGMENTS |= {"celled": f"SELECT *, {BITS} AS cell FROM (SELECT *, floor((lon + 180) / 360 * 8192)::INT AS x, floor((lat + 90) / 180 * 4096)::INT AS y FROM pings)"}
+
+
 def passages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.stop_passages(adapter.pings(spark, sf_dir), adapter.visits(spark, sf_dir))
 
@@ -67,9 +71,9 @@ def _(spark, sf):
     return ingest.reject_reason(raw_of(spark, sf)).groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@BOOK.add("s07_counters", sql("SELECT source, count(*) AS rows_read, count(*) FILTER (reason IS NULL) AS valid_rows, count(*) FILTER (reason = 'identifier') AS identifier, count(*) FILTER (reason = 'coordinates') AS coordinates, count(*) FILTER (reason = 'timestamp_or_date') AS timestamp_or_date, count(*) FILTER (reason = 'geohash') AS geohash FROM checked GROUP BY 1", raw_pings=RAW, checked=f"SELECT source, {REASON} AS reason FROM raw_pings"))
+@BOOK.add("s07_counters", sql("SELECT source, count(*) AS rows_read, count(*) FILTER (reason IS NULL) AS valid_rows, count(DISTINCT CASE WHEN reason IS NULL THEN vehicle_id END) AS inserted, count(*) FILTER (reason IS NULL) - count(DISTINCT CASE WHEN reason IS NULL THEN vehicle_id END) AS duplicates, count(*) FILTER (reason = 'identifier') AS identifier, count(*) FILTER (reason = 'coordinates') AS coordinates, count(*) FILTER (reason = 'timestamp_or_date') AS timestamp_or_date, count(*) FILTER (reason = 'geohash') AS geohash FROM checked GROUP BY 1", raw_pings=RAW, checked=f"SELECT source, vehicle_id, {REASON} AS reason FROM raw_pings"))
 def _(spark, sf):
-    return ingest.counters(ingest.reject_reason(raw_of(spark, sf)), "source")
+    return ingest.counters(ingest.reject_reason(raw_of(spark, sf)), "source", ["vehicle_id"])
 
 
 SAME = ["agency_id", "vehicle_id", "trip_id", "stop_id"]
@@ -85,9 +89,9 @@ def _(spark, sf):
     return ingest.provenance(adapter.pings(spark, sf), SAME, "event_type")
 
 
-@BOOK.add("s08_availability", sql("SELECT stop_id AS cell, day::VARCHAR AS date, agency_id, count(*) AS pings, min(created_us) AS first_us, max(created_us) AS last_us FROM pings GROUP BY ALL"))
+@BOOK.add("s08_availability", sql("SELECT cell, day::VARCHAR AS date, agency_id, count(*) AS pings, min(created_us) AS first_us, max(created_us) AS last_us FROM celled GROUP BY ALL"))
 def _(spark, sf):
-    return plain(ingest.availability(adapter.pings(spark, sf), F.col("stop_id")))
+    return plain(ingest.availability(adapter.pings(spark, sf), geo.geohash(F.col("lat"), F.col("lon"), 5)))
 
 
 @BOOK.add("s23_portable", sql("SELECT event_id, agency_id, vehicle_id, 'redacted' AS driver_id, trip_id, created_us, 'all' AS mode FROM pings WHERE agency_id IN ('A1', 'A3') UNION ALL SELECT event_id, agency_id, vehicle_id, 'redacted', trip_id, created_us, 'lines' FROM pings WHERE agency_id IN ('A1', 'A3') AND line IN ('L1')"))
@@ -154,11 +158,13 @@ def _(spark, sf):
     return p.where(ingest.in_areas(F.col("cell"), AREAS)).select("event_id")
 
 
-@BOOK.add("f16_cleaned", sql("SELECT count(*) AS pings, count(stop_id) AS with_stop FROM (SELECT CASE WHEN event_id % 9 = 0 THEN NULL ELSE stop_id END AS stop_id, late_kmh FROM (SELECT *, (received_us - created_us) / 1e6 AS late_kmh FROM pings)) WHERE late_kmh <= 120"))
+@BOOK.add("f16_cleaned", sql("""SELECT day::VARCHAR AS day, count(*) AS pings, count(stop) AS with_stop FROM (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE stop_id END AS stop, (created_us - lag(created_us) OVER w) / 1e6 AS pause,
+  2 * 6371000.0 * asin(sqrt(pow(sin(radians(lat - lag(lat) OVER w) / 2), 2) + cos(radians(lag(lat) OVER w)) * cos(radians(lat)) * pow(sin(radians(lon - lag(lon) OVER w) / 2), 2))) AS m FROM pings WHERE agency_id IN ('A0', 'A1', 'A2') WINDOW w AS (PARTITION BY day, agency_id, vehicle_id ORDER BY created_us, event_id))
+  WHERE coalesce(m / nullif(pause, 0) * 3.6 <= 1.5, true) AND coalesce(pause <= 7200, true) GROUP BY 1"""))
 def _(spark, sf):
-    p = adapter.pings(spark, sf).withColumn("stop_id", F.when(F.col("event_id") % 9 == 0, ingest.SENTINEL).otherwise(F.col("stop_id")))
-    c = ingest.cleaned(p, 120, (F.col("received_us") - F.col("created_us")) / 1_000_000)
-    return c.agg(F.count("*").alias("pings"), F.count("stop_id").alias("with_stop"))
+    """With limits for derived pings, which are slow and far apart."""
+    p = adapter.pings(spark, sf).withColumn("stop_id", F.when(F.col("event_type") == "error", ingest.SENTINEL).otherwise(F.col("stop_id")))
+    return plain(ingest.cleaned(p, ["A0", "A1", "A2"], 1.5, 7200).groupBy("day").agg(F.count("*").alias("pings"), F.count("stop_id").alias("with_stop")))
 
 
 @BOOK.add("j20_missing_dates", sql("SELECT agency_id, day::VARCHAR AS day FROM (SELECT DISTINCT agency_id, day FROM pings) EXCEPT SELECT agency_id, day::VARCHAR FROM pings WHERE event_type = 'error' AND agency_id < 'A3'"))
@@ -331,7 +337,8 @@ def _(spark, sf):
     return plain(p.groupBy(clock.half_hour(F.col("created_us")).alias("minute"), clock.monday(F.col("day")).alias("monday")).agg(F.count("*").alias("n")))
 
 
-BITS = " || ".join(f"substring('{geo.ALPHABET}', ({' + '.join(f'(({'x' if i % 2 == 0 else 'y'} >> {(12 if i % 2 == 0 else 11) - i // 2}) & 1) * {2 ** (4 - i % 5)}' for i in range(5 * c, 5 * c + 5))})::INT + 1, 1)" for c in range(5))
+
+
 
 
 @BOOK.add("x17_geohash", sql(f"SELECT event_id, {BITS} AS geohash FROM (SELECT event_id, floor((lon + 180) / 360 * 8192)::INT AS x, floor((lat + 90) / 180 * 4096)::INT AS y FROM pings)"))

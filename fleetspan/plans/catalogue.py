@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetspan.functions import clock, geo
 from fleetspan.operators import catalogue, detect, features, findings, ingest, observe, passages
-from fleetspan.plans.base import BITS, FLAT, NAMED, OFFSETS, context_of, flat_visits, judged_of, raw_of, trusted_of
+from fleetspan.plans.base import FLAT, NAMED, OFFSETS, context_of, flat_visits, judged_of, raw_of, trusted_of
 from fleetspan.plans.book import Book, plain
 from fleetspan.plans.detector import candidates_of, episodes_of
 from fleetspan.plans.oracle import FRAGMENTS, sql
@@ -25,7 +25,7 @@ FRAGMENTS |= {
     "observed": f"""SELECT event_id, created_us, received_us, p.agency_id, vehicle_id, p.trip_id, p.stop_id, line, package_id, stop_sequence, package_id IS NOT NULL AND stop_sequence IS NOT NULL AS matched, created_us >= {WINDOW[0]} AS in_window,
       package_id IS NOT NULL AND stop_sequence IS NOT NULL AND line IN ('L0', 'L1') AS is_focus,
       CASE WHEN package_id IS NOT NULL THEN round_even((created_us - (epoch_us(p.day::TIMESTAMP) + (split_part(clock, ':', 1)::BIGINT * 3600 + split_part(clock, ':', 2)::BIGINT * 60 + split_part(clock, ':', 3)::BIGINT) * 1000000)) / 1000000, 0)::BIGINT END AS diff_s
-      FROM (SELECT *, {BITS} AS cell FROM (SELECT *, floor((lon + 180) / 360 * 8192)::INT AS x, floor((lat + 90) / 180 * 4096)::INT AS y FROM pings)) p LEFT JOIN latest USING (agency_id, day) LEFT JOIN clocks c ON c.trip_id = p.trip_id AND c.stop_id = p.stop_id
+      FROM celled p LEFT JOIN latest USING (agency_id, day) LEFT JOIN clocks c ON c.trip_id = p.trip_id AND c.stop_id = p.stop_id
       WHERE created_us BETWEEN {WINDOW[0] - 120_000_000} AND {WINDOW[1]} AND p.agency_id IN ('A0', 'A1', 'A2') AND cell LIKE 'eyck%'""",
 }
 

@@ -99,9 +99,12 @@ def runs_of(spark, sf):
     return r.select("day", "agency_id", (F.col("k") * 100 + F.pmod(F.unix_date("day"), F.lit(100))).cast("long").alias("run_id"), "completed_us", F.when((F.col("k") == 2) & (F.col("agency_id") == "A2"), "failed").otherwise("completed").alias("status"), "lines")
 
 
-@BOOK.add("a14_latest_runs", sql("SELECT agency_id, day::VARCHAR AS day, run_id FROM (SELECT *, row_number() OVER (PARTITION BY agency_id ORDER BY completed_us DESC, run_id DESC) AS r FROM runs WHERE status = 'completed') WHERE r = 1", runs=RUNS))
+@BOOK.add("a14_latest_runs", sql("SELECT agency_id, day::VARCHAR AS day, run_id, scope FROM (SELECT *, 'full' AS scope, row_number() OVER (PARTITION BY agency_id ORDER BY completed_us DESC, run_id DESC) AS r FROM runs WHERE status = 'completed' AND run_id >= 200 UNION ALL SELECT *, 'L1', row_number() OVER (PARTITION BY agency_id ORDER BY completed_us DESC, run_id DESC) FROM runs WHERE status = 'completed' AND list_contains(lines, 'L1')) WHERE r = 1", runs=RUNS))
 def _(spark, sf):
-    return plain(detect.latest_runs(runs_of(spark, sf), ["agency_id"]).select("agency_id", "day", "run_id"))
+    """Runs from number 200 on are of all lines."""
+    r = runs_of(spark, sf).withColumn("full_scope", F.col("run_id") >= 200)
+    whole, one = detect.latest_scoped(r, ["agency_id"]), detect.latest_scoped(r, ["agency_id"], "L1")
+    return plain(whole.withColumn("scope", F.lit("full")).unionByName(one.withColumn("scope", F.lit("L1"))).select("agency_id", "day", "run_id", "scope"))
 
 
 @BOOK.add("a15_week_totals", sql("""SELECT line, count(DISTINCT day) AS days, count(class) AS episodes, count(*) FILTER (class = 'multi_stop') AS multi_stop, coalesce(sum(evidence), 0)::BIGINT AS evidence FROM (
@@ -147,7 +150,7 @@ def _(spark, sf):
     return plain(vehicles.line_periods(adapter.pings(spark, sf)))
 
 
-@BOOK.add("w16_report_gaps", sql("SELECT day::VARCHAR AS day, vehicle_id, event_id, round_even((created_us - us0) / 1000000, 0)::BIGINT AS gap_s, stop0 <> stop_id AS stop_changed, trip0 <> trip_id AS trip_changed FROM ordered WHERE created_us - us0 > 120000000"))
+@BOOK.add("w16_report_gaps", sql("SELECT day::VARCHAR AS day, vehicle_id, event_id, round_even((created_us - us0) / 1000000, 0)::BIGINT AS gap_s, line0 <> line AS line_changed, trip0 <> trip_id AS trip_changed, stop0 <> stop_id AS stop_changed, cell0 <> cell AS area_changed FROM (SELECT *, lag(line) OVER w AS line0, lag(trip_id) OVER w AS trip0, lag(stop_id) OVER w AS stop0, lag(cell) OVER w AS cell0, lag(created_us) OVER w AS us0 FROM celled WINDOW w AS (PARTITION BY day, agency_id, vehicle_id ORDER BY created_us, event_id)) WHERE created_us - us0 > 120000000"))
 def _(spark, sf):
     return plain(vehicles.report_gaps(adapter.pings(spark, sf)))
 
