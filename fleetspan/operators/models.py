@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspan.functions.stats import percentiles
 from fleetspan.operators.features import scoreable
 
 FEATURES = ["log_ratio", "trend", "delay_min", "lead_delay_min", "delay_gap_min", "prev_trip_delay_min", "progress", "peak_am", "peak_pm", "log_gap", "hour_sin", "hour_cos", "close1", "close3", "line_irreg30", "line_n30"]
@@ -61,20 +62,40 @@ def alert_table(scored: DataFrame, levels: list[float]) -> DataFrame:
 
 def alert_budget(scored: DataFrame, per_100: list[float]) -> DataFrame:
     """The threshold that gives so many alerts per 100 passages."""
-    q = scored.agg(F.percentile("p", F.array(*[F.lit(1 - b / 100) for b in per_100])).alias("q"))
-    return q.select(F.posexplode("q").alias("i", "threshold")).select(F.element_at(F.array(*map(F.lit, per_100)), F.col("i") + 1).alias("per_100"), "threshold")
+    q = percentiles(scored, [], "p", {f"q{i}": 1 - b / 100 for i, b in enumerate(per_100)})
+    return q.select(F.explode(F.array(*[F.struct(F.lit(b).alias("per_100"), F.col(f"q{i}").alias("threshold")) for i, b in enumerate(per_100)])).alias("x")).select("x.*")
 
 
-def average_precision(scored: DataFrame) -> DataFrame:
-    """One row: average precision with equal scores taken together. Scores are dealt to ranges, so running sums need no single task."""
+def roc_auc(scored: DataFrame) -> DataFrame:
+    """One row: the chance that a positive scores above a negative, equal scores counting half. Scores are dealt to ranges as in average_precision()."""
+    r = _ranged(scored)
+    below = F.col("all_neg") - F.col("cn") + F.col("cp")  # negatives scored lower, from running sums over descending scores
+    won = F.sum(F.col("pos") * (below + (F.col("n") - F.col("pos")) / 2))
+    g = r.withColumn("all_neg", F.lit(0)).agg(F.sum("pos").alias("positives"), F.sum(F.col("n") - F.col("pos")).alias("negatives"), won.alias("w"))
+    pairs = F.col("positives") * F.col("negatives")
+    return g.select(((F.col("w") + pairs) / F.nullif(pairs, F.lit(0))).alias("auc"), "positives", "negatives")
+
+
+def learning_days(rows: DataFrame, most: int) -> list[DataFrame]:
+    """Training rows of the first 1, 2, ... days, up to `most`."""
+    days = [r[0] for r in rows.select("day").distinct().orderBy("day").limit(most).collect()]  # a week's days
+    return [rows.where(F.col("day") <= d) for d in days]
+
+
+def _ranged(scored: DataFrame) -> DataFrame:
+    """p, n, pos, and over descending scores running sums cn and cp of n and pos. Scores are dealt to ranges, so running sums need no single task."""
     g = scored.groupBy("p").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"))
     g = g.repartitionByRange(F.desc("p")).withColumn("part", F.spark_partition_id())
     parts = g.groupBy("part").agg(F.sum("n").alias("pn"), F.sum("pos").alias("pp"))
     order = Window.orderBy("part")  # as many rows as partitions
     parts = parts.select("part", (F.sum("pn").over(order) - F.col("pn")).alias("n0"), (F.sum("pp").over(order) - F.col("pp")).alias("p0"))
     w = Window.partitionBy("part").orderBy(F.desc("p"))
-    r = g.join(F.broadcast(parts), "part").withColumns({"cn": F.col("n0") + F.sum("n").over(w), "cp": F.col("p0") + F.sum("pos").over(w)})
-    return r.agg((F.sum(F.col("pos") * F.col("cp") / F.col("cn")) / F.nullif(F.sum("pos"), F.lit(0))).alias("ap"), F.sum("n").alias("n"), F.sum("pos").alias("positives"))
+    return g.join(F.broadcast(parts), "part").withColumns({"cn": F.col("n0") + F.sum("n").over(w), "cp": F.col("p0") + F.sum("pos").over(w)})
+
+
+def average_precision(scored: DataFrame) -> DataFrame:
+    """One row: average precision with equal scores taken together."""
+    return _ranged(scored).agg((F.sum(F.col("pos") * F.col("cp") / F.col("cn")) / F.nullif(F.sum("pos"), F.lit(0))).alias("ap"), F.sum("n").alias("n"), F.sum("pos").alias("positives"))
 
 
 def target_encoding(p: DataFrame, keys: list[str], y: Column, prior: float = 200) -> DataFrame:

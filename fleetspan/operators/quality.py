@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspan.functions.stats import percentiles
 from fleetspan.operators.passages import TRIP
 from fleetspan.operators.vehicles import haversine
 
@@ -16,12 +17,15 @@ def share(c: Column) -> Column:
 
 
 def ping_quality(p: DataFrame) -> DataFrame:
-    """Per agency: pings, those without stop, vehicles, share of re-sends, median latency."""
+    """Per agency: pings, those without a stop and with one that is no number, vehicles and those that other agencies use too, share of re-sends, median latency."""
     keys = ["agency_id", "vehicle_id", "trip_id", "stop_id"]
-    copies = p.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.coalesce("stop_id", F.lit("")) == "").alias("no_stop"))
-    a = copies.groupBy("agency_id").agg(F.sum("n").alias("pings"), F.sum("no_stop").alias("no_stop"), F.countDistinct("vehicle_id").alias("vehicles"), (1 - F.count("*") / F.sum("n")).alias("repeat_share"))
-    late = p.groupBy("agency_id").agg(F.percentile((F.col("received_us") - F.col("created_us")) / SECOND, 0.5).alias("median_latency_s"))
-    return a.join(late, "agency_id")
+    stop = F.coalesce("stop_id", F.lit(""))
+    copies = p.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(stop == "").alias("no_stop"), F.count_if(~stop.rlike("^[0-9]*$")).alias("odd_stop"))
+    a = copies.groupBy("agency_id").agg(F.sum("n").alias("pings"), F.sum("no_stop").alias("no_stop"), F.sum("odd_stop").alias("odd_stop"), F.countDistinct("vehicle_id").alias("vehicles"), (1 - F.count("*") / F.sum("n")).alias("repeat_share"))
+    used = copies.select("agency_id", "vehicle_id").distinct().withColumn("agencies", F.count("*").over(Window.partitionBy("vehicle_id")))
+    shared = used.groupBy("agency_id").agg(F.count_if(F.col("agencies") > 1).alias("shared_vehicles"))
+    late = percentiles(p.select("agency_id", ((F.col("received_us") - F.col("created_us")) / SECOND).alias("late")), ["agency_id"], "late", {"median_latency_s": 0.5})
+    return a.join(shared, "agency_id").join(late, "agency_id")
 
 
 def timetable_quality(v: DataFrame, seconds: Column) -> DataFrame:
@@ -31,8 +35,9 @@ def timetable_quality(v: DataFrame, seconds: Column) -> DataFrame:
 
 
 def jam_quality(j: DataFrame) -> DataFrame:
-    """Per intensity: reports, share without speed, median speed, days."""
-    return j.groupBy("intensity").agg(F.count("*").alias("reports"), share(F.col("speed_kmh").isNull()).alias("no_speed"), F.percentile("speed_kmh", 0.5).alias("median_kmh"), F.countDistinct("day").alias("days"))
+    """Per intensity: reports, share without speed, median speed, days, and half hours of a day that have any."""
+    g = j.groupBy("intensity").agg(F.count("*").alias("reports"), share(F.col("speed_kmh").isNull()).alias("no_speed"), F.countDistinct("day").alias("days"), F.countDistinct("minute").alias("half_hours"))
+    return g.join(percentiles(j, ["intensity"], "speed_kmh", {"median_kmh": 0.5}), "intensity", "left")
 
 
 def headway_fallacy(p: DataFrame) -> DataFrame:

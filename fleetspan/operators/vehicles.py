@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspan.functions import geo
+from fleetspan.functions.stats import percentiles
 
 SECOND = 1_000_000
 #: Seconds: a report gap that is listed; when a ping is stale, and when it is gone.
@@ -101,4 +102,5 @@ def contract(pings: DataFrame, order: str = "event_id", chunk: int = 1 << 16) ->
 
 def latency(pings: DataFrame) -> DataFrame:
     """Median seconds between a ping and its receipt, per agency."""
-    return pings.groupBy("agency_id").agg(F.percentile((F.col("received_us") - F.col("created_us")) / SECOND, 0.5).alias("median_s"), F.count("*").alias("pings"))
+    p = pings.select("agency_id", ((F.col("received_us") - F.col("created_us")) / SECOND).alias("late"))
+    return percentiles(p, ["agency_id"], "late", {"median_s": 0.5}).join(p.groupBy("agency_id").agg(F.count("*").alias("pings")), "agency_id")

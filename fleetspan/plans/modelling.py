@@ -48,6 +48,11 @@ def _(spark, sf):
     return plain(models.average_precision(scored(spark, sf)))
 
 
+@BOOK.add("m09_roc_auc", sql("SELECT round(sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0), 6) AS auc, sum(pos)::BIGINT AS positives, sum(neg)::BIGINT AS negatives FROM (SELECT *, sum(neg) OVER (ORDER BY p) - neg AS below FROM (SELECT p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg FROM scored GROUP BY 1))"))
+def _(spark, sf):
+    return plain(models.roc_auc(scored(spark, sf)))
+
+
 @BOOK.add("m11_screening", sql("SELECT (log_gap >= 1)::INT + (log_gap >= 2)::INT + (log_gap >= 3)::INT + (log_gap >= 4)::INT AS bin, count(*) AS n, round(avg(label::INT), 6) AS rate FROM named WHERE valid AND NOT bunched AND ratio >= 0.5 AND label IS NOT NULL GROUP BY 1"))
 def _(spark, sf):
     return plain(models.screening(training(spark, sf), "log_gap", [1, 2, 3, 4]))

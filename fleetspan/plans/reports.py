@@ -256,7 +256,7 @@ def _(spark, sf):
     return traffic.stop_paths(stops, shapes)
 
 
-@BOOK.add("a55_ping_quality", sql("SELECT a.agency_id, pings, no_stop, vehicles, round(1 - groups / pings, 6) AS repeat_share, round(late, 6) AS median_latency_s FROM (SELECT agency_id, sum(n)::BIGINT AS pings, sum(z)::BIGINT AS no_stop, count(DISTINCT vehicle_id) AS vehicles, count(*) AS groups FROM (SELECT agency_id, vehicle_id, trip_id, stop_id, count(*) AS n, count(*) FILTER (stop_id = '') AS z FROM pings GROUP BY 1, 2, 3, 4) GROUP BY 1) a JOIN (SELECT agency_id, median((received_us - created_us) / 1e6) AS late FROM pings GROUP BY 1) b USING (agency_id)"))
+@BOOK.add("a55_ping_quality", sql("SELECT a.agency_id, pings, no_stop, odd_stop, vehicles, shared_vehicles, round(1 - groups / pings, 6) AS repeat_share, round(late, 6) AS median_latency_s FROM (SELECT agency_id, sum(n)::BIGINT AS pings, sum(z)::BIGINT AS no_stop, sum(n)::BIGINT AS odd_stop, count(DISTINCT vehicle_id) AS vehicles, count(*) AS groups FROM (SELECT agency_id, vehicle_id, trip_id, stop_id, count(*) AS n, count(*) FILTER (stop_id = '') AS z FROM pings GROUP BY 1, 2, 3, 4) GROUP BY 1) a JOIN (SELECT agency_id, median((received_us - created_us) / 1e6) AS late, count(DISTINCT CASE WHEN vehicle_id IN (SELECT vehicle_id FROM pings GROUP BY 1 HAVING count(DISTINCT agency_id) > 1) THEN vehicle_id END) AS shared_vehicles FROM pings GROUP BY 1) b USING (agency_id)"))
 def _(spark, sf):
     return plain(quality.ping_quality(adapter.pings(spark, sf)))
 
@@ -266,7 +266,7 @@ def _(spark, sf):
     return plain(quality.timetable_quality(flat_visits(spark, sf), F.col("s")))
 
 
-@BOOK.add("a57_jam_quality", sql("SELECT intensity, count(*) AS reports, round(avg((speed_kmh IS NULL)::INT), 6) AS no_speed, round(median(speed_kmh), 5) AS median_kmh, count(DISTINCT day) AS days FROM jams GROUP BY 1"))
+@BOOK.add("a57_jam_quality", sql("SELECT intensity, count(*) AS reports, round(avg((speed_kmh IS NULL)::INT), 6) AS no_speed, round(median(speed_kmh), 5) AS median_kmh, count(DISTINCT day) AS days, count(DISTINCT minute) AS half_hours FROM jams GROUP BY 1"))
 def _(spark, sf):
     return plain(quality.jam_quality(adapter.jams(spark, sf)).withColumn("median_kmh", F.round("median_kmh", 5)))
 
