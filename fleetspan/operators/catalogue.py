@@ -155,3 +155,10 @@ def inserted(new: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, Dat
     fresh = new.dropDuplicates([key]).join(known.select(key), key, "left_anti")
     n = new.agg(F.count("*").alias("n"))
     return fresh, fresh.agg(F.count("*").alias("inserted")).crossJoin(F.broadcast(n)).select("inserted", (F.col("n") - F.col("inserted")).alias("skipped"))  # one row each
+
+
+def commonest(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Per key the commonest value, the first in order of several, and how often it comes (name)."""
+    n = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    best = n.groupBy(*keys).agg(F.min_by(F.struct(value, "n"), F.struct((-F.col("n")).alias("k"), F.col(value))).alias("b"))
+    return best.select(*keys, F.col(f"b.{value}").alias(value), F.col("b.n").alias(name))

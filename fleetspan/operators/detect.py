@@ -69,6 +69,11 @@ def latest_scoped(runs: DataFrame, keys: list[str], line: str | None = None) ->
     return latest_runs(runs.where(F.col("full_scope") if line is None else F.array_contains("lines", line)), keys)
 
 
+def unfinished(wanted: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys wanted that no completed run has."""
+    return wanted.select(*keys).distinct().join(runs.where("status = 'completed'").select(*keys), keys, "left_anti")
+
+
 def week_totals(runs: DataFrame, found: DataFrame) -> DataFrame:
     """For each line of the runs' selections: analysed days, episodes, those of several stops, evidence. A line that was analysed without a find has zeros."""
     own = latest_runs(runs.withColumn("line", F.explode("lines")), ["day", "agency_id", "line"])

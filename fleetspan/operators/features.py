@@ -53,6 +53,8 @@ def named(p: DataFrame) -> DataFrame:
         "trend": F.coalesce(trend, F.lit(0.0)),
         "delay_min": F.col("delay") / 60,
         "lead_delay_min": F.col("lead_delay") / 60,
+        "sched_hw_min": F.col("sched_hw") / 60,
+        "leader_log_ratio": log_ratio(F.col("lead_ratio")) if "lead_ratio" in p.columns else F.lit(None).cast("double"),
         "delay_gap_min": (F.col("lead_delay") - F.col("delay")) / 60,
         "prev_trip_delay_min": F.coalesce(F.col("prev_trip_delay") / 60, F.lit(0.0)),
         "peak_am": hour.between(7, 9).cast("int"),

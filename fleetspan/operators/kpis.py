@@ -127,6 +127,8 @@ def dwell_slope(p: DataFrame, most: float = 1200, longest: float = 1800) -> Data
 
 def scenarios(rows: DataFrame) -> DataFrame:
     """Per line and scenario over its (k, day) cases: the mean saved, the worst and best case means, the least 5th percentile over a case's seeds (by index floor(0.05 (n - 1))), robust if all of those save."""
+    if "wait" not in rows.columns:  # a study without terminal waits
+        rows = rows.withColumn("wait", F.lit(0))
     v = F.array_sort(F.collect_list("saved"))  # a case's seeds
     p5 = F.element_at(v, (F.floor((F.count("saved") - 1) * 0.05) + 1).cast("int"))
     c = rows.groupBy("line", "scenario", "k", "day").agg(F.avg("saved").alias("saved"), p5.alias("p5"), F.max("vehicles").alias("vehicles"), F.avg("hold").alias("hold"), F.avg("wait").alias("wait"))

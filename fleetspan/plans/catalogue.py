@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetspan.functions import clock, geo
 from fleetspan.operators import catalogue, detect, features, findings, ingest, observe, passages
 from fleetspan.plans.base import FLAT, NAMED, OFFSETS, context_of, flat_visits, judged_of, raw_of, trusted_of
+from fleetspan.plans import detector
 from fleetspan.plans.book import Book, plain
 from fleetspan.plans.detector import candidates_of, episodes_of
 from fleetspan.plans.oracle import FRAGMENTS, sql
@@ -326,3 +327,141 @@ def _(spark, sf):
     p = adapter.pings(spark, sf)
     raw = p.select("agency_id", "vehicle_id", (F.floor(F.col("created_us") / 600_000_000) * 600_000).cast("string").alias("created_at"), F.floor(F.col("received_us") / 1000).cast("string").alias("received_at"), F.when(F.pmod("event_id", F.lit(10)) == 7, "nan").otherwise("38.7").alias("latitude"), F.lit("-9.1").alias("longitude"), F.lit("t").alias("trip_id"), "stop_id")
     return observe.extract(raw, ["A0", "A1"], WINDOW)[1]
+
+
+@BOOK.add("x09_dates", sql("SELECT event_id, created_us // 1000 AS created_ms, strftime(day, '%Y%m%d') AS compact, day::VARCHAR AS iso FROM pings"))
+def _(spark, sf):
+    p = adapter.pings(spark, sf).select("event_id", F.unix_millis(F.timestamp_micros("created_us")).alias("created_ms"), F.date_format("day", "yyyyMMdd").alias("compact"))
+    return plain(p.withColumn("iso", F.to_date("compact", "yyyyMMdd")))
+
+
+@BOOK.add("x31_reason_counts", sql(f"SELECT source, string_agg(reason || '=' || n, ',' ORDER BY reason) AS counts FROM (SELECT event_type AS source, coalesce({CHECKED}, 'valid') AS reason, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1"))
+def _(spark, sf):
+    g = ingest.reject_reason(raw_of(spark, sf)).groupBy("source", F.coalesce("reject_reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
+    m = g.groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("m"))  # some five reasons
+    return m.select("source", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("counts"))
+
+
+def odd_records(spark, sf):
+    """events as stop and visit records of a package, with faults."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    text = F.col("event_id").cast("string")
+    every = lambda n: F.pmod("event_id", F.lit(n)) == 0
+    stop = F.create_map(F.lit("stop_id"), F.when(every(17), " ").otherwise(text), F.lit("stop_lat"), F.when(every(5), "").when(every(7), "91").otherwise("38.7"), F.lit("stop_lon"), F.when(every(5), "").otherwise("-9.1"))
+    visit = F.create_map(F.lit("trip_id"), text, F.lit("stop_id"), text, F.lit("stop_sequence"), F.when(every(11), "-1").otherwise("3"))
+    return e.select("event_id", F.lit("p1").alias("package_id"), F.when(every(2), "stops").otherwise("stop_times").alias("table_name"), F.when(every(2), stop).otherwise(visit).alias("data"), F.col("event_id").alias("row_number"))
+
+
+@BOOK.add("s11_record_faults", sql("SELECT table_name, coalesce(fault, '') AS fault, count(*) AS n FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'stops' ELSE 'stop_times' END AS table_name, CASE WHEN event_id % 2 = 0 AND event_id % 17 = 0 THEN 'identifier' WHEN event_id % 2 = 0 AND event_id % 5 <> 0 AND event_id % 7 = 0 THEN 'coordinates' WHEN event_id % 2 = 1 AND event_id % 11 = 0 THEN 'sequence' END AS fault FROM events) GROUP BY 1, 2"))
+def _(spark, sf):
+    return catalogue.record_fault(odd_records(spark, sf)).groupBy("table_name", F.coalesce("fault", F.lit("")).alias("fault")).agg(F.count("*").alias("n"))
+
+
+@BOOK.add("j06_stop_records", sql("SELECT stop_id, min(event_id) AS first_row FROM (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id::VARCHAR END AS stop_id FROM events WHERE event_id % 2 = 0) GROUP BY 1"))
+def _(spark, sf):
+    r = odd_records(spark, sf).withColumn("data", F.map_concat("data", F.create_map(F.lit("row"), F.col("event_id").cast("string"))))
+    return catalogue.stop_records(r).select("stop_id", F.try_element_at("stop", F.lit("row")).cast("long").alias("first_row"))
+
+
+@BOOK.add("f18_listing", sql("SELECT trip_id, stop_id FROM visits WHERE trip_id LIKE '1-%'"))
+def _(spark, sf):
+    rows = catalogue.listing(package_of(spark, sf), "stop_times")
+    return rows.select(catalogue.field("trip_id").alias("trip_id"), catalogue.field("stop_id").alias("stop_id")).where("trip_id like '1-%'")
+
+
+@BOOK.add("s13_validity", sql("SELECT id AS package_id, CASE WHEN id % 4 = 0 THEN '2024-02-01' ELSE active_from::VARCHAR END AS active_from, active_until::VARCHAR AS active_until FROM packages"))
+def _(spark, sf):
+    p = adapter.plan_packages(spark, sf)
+    compact = lambda c: F.date_format(c, "yyyyMMdd")
+    feed = p.select(F.col("id").alias("package_id"), F.create_map(F.lit("feed_start_date"), compact("active_from"), F.lit("feed_end_date"), compact("active_until")).alias("data"))
+    configured = p.where("id % 4 = 0").select(F.col("id").alias("package_id"), F.lit("2024-02-01").cast("date").alias("active_from"), F.lit(None).cast("date").alias("active_until"))
+    return plain(catalogue.package_validity(feed, configured))
+
+
+@BOOK.add("j26_trip_detail", sql("SELECT trip_id, string_agg(coalesce(name, '?') || '@' || clock, ',' ORDER BY stop_sequence) AS detail FROM visits v LEFT JOIN (SELECT stop_id, arg_max(name, package_id) AS name FROM places WHERE stop_id <> 'S3' GROUP BY 1) USING (stop_id) GROUP BY 1", places=PLACES))
+def _(spark, sf):
+    names = catalogue.newest_stops(planned_places(spark, sf).where("stop_id <> 'S3'")).select("stop_id", "name")
+    v = adapter.visits(spark, sf).join(names, "stop_id", "left")
+    row = F.struct("stop_sequence", F.concat_ws("@", F.coalesce("name", F.lit("?")), "clock").alias("x"))
+    return v.groupBy("trip_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["x"]), ",").alias("detail"))  # a trip's stops
+
+
+@BOOK.add("j21_headsigns", sql("SELECT line, direction_id, headsign, trips FROM (SELECT *, row_number() OVER (PARTITION BY line, direction_id ORDER BY trips DESC, headsign) AS r FROM (SELECT line, direction_id, headsign, count(*) AS trips FROM (SELECT line, direction_id, trip_id, arg_max(stop_id, stop_sequence) AS headsign FROM visits GROUP BY 1, 2, 3) GROUP BY 1, 2, 3)) WHERE r = 1"))
+def _(spark, sf):
+    last = adapter.visits(spark, sf).groupBy("line", "direction_id", "trip_id").agg(F.max_by("stop_id", "stop_sequence").alias("headsign"))
+    return catalogue.commonest(last, ["line", "direction_id"], "headsign", "trips")
+
+
+@BOOK.add("j22_slots", sql("SELECT day::VARCHAR AS day, s.minute, pings, coalesce(jams, 0) AS jams FROM (SELECT day, (hour(make_timestamp(created_us)) * 60 + minute(make_timestamp(created_us)) // 30 * 30)::INT AS minute, count(*) AS pings FROM pings GROUP BY 1, 2) s LEFT JOIN (SELECT minute, count(*) AS jams FROM jams WHERE speed_kmh > 20 GROUP BY 1) j USING (minute)"))
+def _(spark, sf):
+    slots = adapter.pings(spark, sf).groupBy("day", clock.half_hour(F.col("created_us")).alias("minute")).agg(F.count("*").alias("pings"))
+    jams = adapter.jams(spark, sf).where("speed_kmh > 20").groupBy("minute").agg(F.count("*").alias("jams"))
+    return plain(slots.join(jams, "minute", "left").fillna(0, ["jams"]))
+
+
+@BOOK.add("j23_bunched_departures", sql("SELECT day::VARCHAR AS day, trip_id, stop_id, round(dep, 5) AS dep_ratio FROM feat JOIN (SELECT day, trip_id, vehicle_id, arg_min(ratio, (seq, t)) AS dep, arg_min(progress, (seq, t)) AS fp FROM feat WHERE valid GROUP BY 1, 2, 3) USING (day, trip_id, vehicle_id) WHERE bunched AND fp < 0.35"))
+def _(spark, sf):
+    p = findings.calendar(judged_of(spark, sf))
+    t = findings.terminal_trips(p, 0.35).select(*passages.TRIP, "dep_ratio")
+    return plain(p.where("bunched").join(t, passages.TRIP).select("day", "trip_id", "stop_id", "dep_ratio"), 5)
+
+
+@BOOK.add("a22_latest_of_dates", sql("SELECT day::VARCHAR AS day, run_id FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY completed_us DESC, run_id DESC) AS r FROM runs WHERE status = 'completed' AND list_contains(lines, 'L1')) WHERE r = 1", runs=detector.RUNS))
+def _(spark, sf):
+    r = detector.runs_of(spark, sf).withColumn("full_scope", F.lit(False))
+    return plain(detect.latest_scoped(r, ["day"], "L1").select("day", "run_id"))
+
+
+@BOOK.add("s29_days_to_analyse", sql("SELECT DISTINCT agency_id, day::VARCHAR AS day FROM pings WHERE (agency_id, day) NOT IN (SELECT (agency_id, day) FROM runs WHERE status = 'completed' AND run_id >= 200)", runs=detector.RUNS))
+def _(spark, sf):
+    return plain(detect.unfinished(adapter.pings(spark, sf).select("agency_id", "day"), detector.runs_of(spark, sf).where("run_id >= 200"), ["agency_id", "day"]))
+
+
+@BOOK.add("t04_top_lines", sql("SELECT line, count(*) AS n FROM cand GROUP BY 1 ORDER BY n DESC, line LIMIT 8"))
+def _(spark, sf):
+    return candidates_of(spark, sf).groupBy("line").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "line").limit(8)
+
+
+@BOOK.add("t07_map_candidates", sql("SELECT day::VARCHAR AS day, line, stop_id, second_trip, planned_gap, observed_gap FROM cand ORDER BY planned_gap DESC, observed_gap, line, stop_id, second_trip, first_trip, day LIMIT 100"))
+def _(spark, sf):
+    c = candidates_of(spark, sf).orderBy(F.desc("planned_gap"), "observed_gap", "line", "stop_id", "second_trip", "first_trip", "day").limit(100)
+    return plain(c.select("day", "line", "stop_id", "second_trip", "planned_gap", "observed_gap"))
+
+
+@BOOK.add("t06_nearest_point", sql(f"SELECT agency_id, arg_min(created_us, (abs(created_us - {WINDOW[0]}), created_us)) AS nearest_us FROM pings GROUP BY 1"))
+def _(spark, sf):
+    away = F.abs(F.col("created_us") - WINDOW[0])
+    return adapter.pings(spark, sf).groupBy("agency_id").agg(F.min_by("created_us", F.struct(away.alias("a"), F.col("created_us"))).alias("nearest_us"))
+
+
+@BOOK.add("u01_offsets_and_flat", sql("SELECT line, direction_id, day::VARCHAR AS day, stop_id, round(offset_s, 4) AS offset_s, NULL AS flat_trip FROM offsets UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, trip_id FROM flat_visits GROUP BY trip_id HAVING min(s) = max(s)", flat_visits=FLAT, offsets=OFFSETS))
+def _(spark, sf):
+    v = flat_visits(spark, sf)
+    fine = passages.typical_offsets(v, F.col("s"), ["line", "direction_id", "day"])
+    flat = passages.flat_trips(v, F.col("s")).where("flat").select(F.col("trip_id").alias("flat_trip"))
+    return plain(fine.unionByName(flat, allowMissingColumns=True), 4)
+
+
+CORRIDOR_ROWS = """SELECT *, coalesce(valid AND hw < 60, false) AS bunched FROM (SELECT *, leader_line = line AS same_line, coalesce(sched_hw BETWEEN 120 AND 3600 AND abs(delay) <= 1800 AND abs(lead_delay) <= 1800, false) AS valid FROM (
+  SELECT *, lag(trip_id) OVER w AS leader_trip, lag(line) OVER w AS leader_line, (t - lag(t) OVER w) / 1e6 AS hw, (sched_us - lag(sched_us) OVER w) / 1e6 AS sched_hw, lag(delay) OVER w AS lead_delay FROM chained WINDOW w AS (PARTITION BY day, stop_id ORDER BY t, trip_id, vehicle_id)))"""
+
+
+@BOOK.add("m01_corridor", sql("""SELECT day::VARCHAR AS day, trip_id, stop_id, label, round(CASE WHEN hw IS NOT NULL THEN ln(greatest(hw, 5.0) / 60) END, 6) AS log_gap, coalesce(same_line, false) AS same_line, round(shared_next, 6) AS shared_next, valid AND NOT bunched AND shared_next >= 0.6 AS scoreable FROM (
+  SELECT r.*, max(bunched) OVER (PARTITION BY day, r.trip_id, vehicle_id ORDER BY seq, t, stop_id ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS label, CASE WHEN b.stops IS NULL THEN CASE WHEN same_line THEN 1.0 ELSE 0.5 END WHEN len(a.stops[list_position(a.stops, stop_id) + 1 : list_position(a.stops, stop_id) + 5]) = 0 THEN 0
+    ELSE len(list_filter(a.stops[list_position(a.stops, stop_id) + 1 : list_position(a.stops, stop_id) + 5], lambda s: list_contains(b.stops, s))) / len(a.stops[list_position(a.stops, stop_id) + 1 : list_position(a.stops, stop_id) + 5]) END AS shared_next
+  FROM corridor_rows r JOIN lists a ON a.trip_id = r.trip_id LEFT JOIN lists b ON b.trip_id = leader_trip)""", corridor_rows=CORRIDOR_ROWS, lists="SELECT trip_id, list(stop_id ORDER BY stop_sequence) AS stops FROM visits GROUP BY 1"))
+def _(spark, sf):
+    """The corridor view's own inputs beside those that both views have."""
+    p = passages.shared_next(judged_of(spark, sf, "corridor"), passages.trip_stops(adapter.visits(spark, sf)))
+    p = features.named(p).withColumn("scoreable", features.scoreable("corridor"))
+    return plain(p.select("day", "trip_id", "stop_id", "label", "log_gap", F.coalesce("same_line", F.lit(False)).alias("same_line"), "shared_next", "scoreable"))
+
+
+ALL_FEATURES = ["log_ratio", "trend", "delay_min", "lead_delay_min", "delay_gap_min", "prev_trip_delay_min", "sched_hw_min", "progress", "peak_am", "peak_pm", "weekend", "log_gap", "hour_sin", "hour_cos", "leader_log_ratio", "line_irreg30", "line_n30", "leader_changed", "close1", "close3", "close5", "delay_change3", "lead_close3"]
+MORE = """SELECT *, delay / 60 AS delay_min, lead_delay / 60 AS lead_delay_min, sched_hw / 60 AS sched_hw_min, (dayofweek(make_timestamp(t)) IN (0, 6))::INT AS weekend, cos((hour + minute(make_timestamp(t)) / 60) * 2 * pi() / 24) AS hour_cos, ln(least(3.0, greatest(0.05, lead_ratio))) AS leader_ratio_log FROM named"""
+
+
+@BOOK.add("m01_all_features", sql("SELECT day::VARCHAR AS day, trip_id, stop_id, " + ", ".join("round(CASE WHEN lead_ratio IS NOT NULL THEN leader_ratio_log END, 5) AS leader_log_ratio" if c == "leader_log_ratio" else f"round({c}, 5) AS {c}" for c in ALL_FEATURES) + " FROM more", named=NAMED, more=MORE))
+def _(spark, sf):
+    p = features.named(context_of(spark, sf).where("hw is not null and sched_hw <> 0"))
+    return plain(p.select("day", "trip_id", "stop_id", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ALL_FEATURES]), 5)

@@ -194,3 +194,84 @@ def test_empty_inputs(spark):
     none = three_trips(spark).where("false")
     assert passages.labelled(passages.headways(none)).count() == 0
     assert kpis.headway_kpis(passages.headways(none)).count() == 0
+
+
+def test_local_windows():
+    import pytest
+
+    from fleetspan.operators import observe
+
+    a, b = observe.window_us("2026-09-01", "23:00", "01:00")
+    assert b - a == 7200 * S and a == us(2026, 9, 1, 22)
+    for bad in (("x", "07:00", "08:00"), ("2026-09-01", "07:00", "12:00"), ("2026-09-01", "07:00", "07:00"), ("2026-09-01", "25:00", "26:00"), ("2026-10-25", "01:30", "02:30"), ("2026-03-29", "01:30", "02:30")):
+        with pytest.raises(ValueError):
+            observe.window_us(*bad)
+
+
+def test_extract_counts_and_keeps_the_earliest_receipt(spark):
+    from fleetspan.operators import observe
+
+    start, end = 1_000_000, 2_000_000  # ms
+    base = ("A", "1", start + 5, start + 9, "38.7", "-9.1", "t", "s")
+    change = lambda **k: tuple({**dict(zip(COLUMNS, base, strict=True)), **k}.values())
+    COLUMNS = ("agency_id", "vehicle_id", "created_at", "received_at", "latitude", "longitude", "trip_id", "stop_id")
+    rows = [base, change(received_at=start + 7), change(latitude="nan"), change(agency_id="B"), change(created_at=start - 120_001), change(created_at=start - 120_000), change(created_at=start + 1000), change(created_at=end + 1)]
+    raw = spark.createDataFrame([tuple(map(str, r)) for r in rows], ", ".join(f"{c} string" for c in COLUMNS))
+    found, counts = observe.extract(raw, ["A"], (start * 1000, end * 1000))
+    assert counts.first().asDict() == {"rows_read": 8, "skipped_operator": 1, "skipped_invalid": 1, "skipped_outside": 2, "duplicates": 1, "observations": 3, "in_window": 2}
+    assert {r.created_at: r.received_at for r in found.collect()}[start + 5] == start + 7
+
+
+def test_files_are_checked_inventoried_and_published(spark, tmp_path):
+    import pytest
+
+    from fleetspan.sources import files
+
+    root = tmp_path / "tree" / "day"
+    root.mkdir(parents=True)
+    head = ",".join(ingest.PING_COLUMNS)
+    (root / "a.csv").write_text("\ufeff" + head + "\n1,A,1,d,38.7,-9.1,20240101,2,s,t,v,eyckp\n", encoding="utf-8")
+    (root / "b.csv").write_text(head + "\n2,A,1,d,38.7,-9.1,20240101,2,s,t,v,eyckp\n3,A,1,d,38.7,-9.1,20240101,2,s,t,v,eyckp\n")
+    top = f"file:{tmp_path}/tree"
+    assert sorted(r["_id"] for r in files.ping_files(spark, top).collect()) == ["1", "2", "3"]
+    found = files.inventory(spark, top)
+    one = files.fingerprint(found).first()
+    assert one.files == 2 and {r.path for r in found.collect()} == {"day/a.csv", "day/b.csv"}
+    known = spark.createDataFrame([r for r in found.collect() if r.path == "day/a.csv"], found.schema)
+    assert [r.path for r in files.unread(found, known).collect()] == ["day/b.csv"]
+    with pytest.raises(ValueError, match="has changed"):
+        files.unread(found, known.withColumn("sha256", F.lit("other")))
+    out = f"file:{tmp_path}/out"
+    assert files.published(spark, spark.range(3), out, "v1").count() == 3
+    with pytest.raises(ValueError, match="No rows"):
+        files.published(spark, spark.range(0), out, "v2")
+    assert files.active(spark, out).count() == 3
+    assert files.progress(spark.createDataFrame([("day/a.csv", 1)], "path string, inserted long"), found).first().asDict() == {"files_done": 1, "observations": 1, "files": 2}
+    (root / "c.csv").write_text("_id,agency_id\n1,2\n")
+    with pytest.raises(ValueError, match="lacks"):
+        files.ping_files(spark, top)
+    (root / "c.csv").write_text(head + ",_id\n")
+    with pytest.raises(ValueError, match="twice"):
+        files.ping_files(spark, top)
+
+
+def test_follower_is_strictly_before(spark):
+    from fleetspan.operators import observe
+
+    rows = [(DAY, "A", "1", 100 * S, None, None, 0.9, 1.0), (DAY, "B", "2", 100 * S, "A", "1", 0.5, 30.0), (DAY, "A", "1", 200 * S, None, None, 0.8, 1.0), (DAY, "A", "1", 2000 * S, None, None, 0.7, 1.0)]
+    p = spark.createDataFrame(rows, "day date, trip_id string, vehicle_id string, t long, leader_trip string, leader_vehicle string, ratio double, hw double")
+    got = {(r.trip_id, r.t // S): (r.f_ratio, r.f_hw) for r in observe.follower_before(p).collect()}
+    assert got == {("A", 100): (None, None), ("B", 100): (None, None), ("A", 200): (0.5, 30.0), ("A", 2000): (None, None)}
+
+
+def test_near_pairs_at_high_latitude(spark):
+    at = spark.createDataFrame([(1, "A", "L", "0", "v1", 75.0, 179.9999), (1, "A", "L", "0", "v2", 75.0, -179.9999), (1, "A", "L", "0", "v3", 75.1, 179.9999)], "tick int, agency_id string, line string, direction_id string, vehicle_id string, lat double, lon double")
+    assert [(r.v1, r.v2) for r in vehicles.near_pairs(at, 50).collect()] == [("v1", "v2")]
+
+
+def test_percentiles_by_ranges(spark):
+    from fleetspan.functions.stats import percentiles
+
+    d = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 1000).cast("double").alias("v"))
+    want = {r.k: (r.a, r.b) for r in d.groupBy("k").agg(F.percentile("v", 0.5).alias("a"), F.percentile("v", 0.93).alias("b")).collect()}
+    assert {r.k: (r.a, r.b) for r in percentiles(d, ["k"], "v", {"a": 0.5, "b": 0.93}).collect()} == want
