@@ -92,18 +92,20 @@ def local_median(bank: DataFrame, widths_s: tuple[int, ...] = (900, 1800, 3600),
     Time is cut into blocks as long as the widest width, and a row meets the runs of its own and both neighbouring blocks only; so no frame holds more than
     a segment's runs of three blocks, however long the history is.
     """
-    asks = (bank if asks is None else asks).withColumn("ask", F.monotonically_increasing_id())
+    asks = bank if asks is None else asks
     widest = max(widths_s) * SECOND
     block = lambda t: F.floor(F.col(t) / widest)
-    runs = bank.select("from_stop", "to_stop", F.col("t").alias("u"), F.col("run_s").alias("run"), block("t").alias("block"))
-    q = asks.select("ask", "from_stop", "to_stop", F.col(at).alias("v"), F.explode(F.array(*[block(at) + i for i in (-1, 0, 1)])).alias("block"))
-    near = q.join(runs, ["from_stop", "to_stop", "block"]).withColumn("apart", F.abs(F.col("u") - F.col("v"))).where(F.col("apart") <= widest)
+    segment = ["from_stop", "to_stop"]
+    runs = bank.select(*segment, F.col("t").alias("u"), F.col("run_s").alias("run"), block("t").alias("block"))
+    times = asks.select(*segment, F.col(at).alias("v")).distinct()  # the answer depends on segment and time alone
+    q = times.select(*segment, "v", F.explode(F.array(*[block("v") + i for i in (-1, 0, 1)])).alias("block"))
+    near = q.join(runs, [*segment, "block"]).withColumn("apart", F.abs(F.col("u") - F.col("v"))).where(F.col("apart") <= widest)
     inside = [F.when(F.col("apart") <= w * SECOND, F.col("run")) for w in widths_s]
-    found = near.groupBy("ask").agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(inside)], *[F.percentile(c, 0.5).alias(f"m{i}") for i, c in enumerate(inside)])
-    every = bank.groupBy("from_stop", "to_stop").agg(F.percentile("run_s", 0.5).alias("all_runs"))
-    best = F.coalesce(*[F.when(F.col(f"n{i}") >= least, F.col(f"m{i}")) for i in range(len(widths_s))], F.col("all_runs"))
-    spare = [c for i in range(len(widths_s)) for c in (f"n{i}", f"m{i}")]
-    return asks.join(found, "ask", "left").join(every, ["from_stop", "to_stop"], "left").withColumn(name, best).drop("ask", "all_runs", *spare)
+    found = near.groupBy(*segment, "v").agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(inside)], *[F.percentile(c, 0.5).alias(f"m{i}") for i, c in enumerate(inside)])
+    every = bank.groupBy(*segment).agg(F.percentile("run_s", 0.5).alias("all_runs"))
+    best = F.coalesce(*[F.when(F.col(f"n{i}") >= least, F.col(f"m{i}")) for i in range(len(widths_s))])
+    found = found.select(*segment, F.col("v").alias(at), best.alias("near_median"))
+    return asks.join(found, [*segment, at], "left").join(every, segment, "left").withColumn(name, F.coalesce("near_median", "all_runs")).drop("near_median", "all_runs")
 
 
 def shift_error(bank: DataFrame, apart_s: float = 300) -> DataFrame:
