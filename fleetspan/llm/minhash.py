@@ -19,9 +19,8 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 40, 6
 #: Slots that the first permutation deals shingles to.
 SLOTS = 1 << 22
-#: Words of 64 bits of a node's bitmap, and their columns.
+#: Words of 64 bits of a node's bitmap.
 BITMAP = 32
-BITS = [f"b{i}" for i in range(BITMAP)]
 #: Pairs with one centre that a task may get, and nodes of one bucket that a task compares with the others of that bucket.
 CENTRE_PAIRS = APART_NODES = 2000
 #: Orders by which buckets choose a second node to compare with.
@@ -86,9 +85,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def bitmaps(sets: DataFrame) -> DataFrame:
-    """id, n, marks, b0, b1, ...: each document's number of shingles, of bits, and the words of its bitmap."""
-    set_bits = F.aggregate("bits", F.lit(0), lambda acc, w: acc + F.bit_count(w))
-    return sets.select("id", "n", set_bits.alias("marks"), *[F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(w) for i, w in enumerate(BITS)]).distinct()
+    """id, n, marks, bits: each document's number of shingles, of bits, and its bitmap."""
+    return sets.select("id", "n", F.aggregate("bits", F.lit(0), lambda acc, w: acc + F.bit_count(w)).alias("marks"), "bits")
 
 
 def possible(percent: int) -> Column:
@@ -98,7 +96,7 @@ def possible(percent: int) -> Column:
     min(size - x, size' - y) shingles and the union at least x + y more.
     """
     # of the bits, c are common to both: x = marks - c, y = s_marks - c; solved for c, so that the long sum stands in the condition once
-    common = sum((F.bit_count(F.col(w).bitwiseAND(F.col(f"s_{w}"))) for w in BITS), F.lit(0))
+    common = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseAND(F.get("s_bits", F.lit(i)))) for i in range(BITMAP)), F.lit(0))
     least = percent * (F.col("marks") + F.col("s_marks")) - (100 - percent) * F.least(F.col("n") - F.col("marks"), F.col("s_n") - F.col("s_marks"))
     return (100 * F.least("n", "s_n") >= percent * F.greatest("n", "s_n")) & ((100 + percent) * common >= least)
 
@@ -178,7 +176,7 @@ def apart(placed: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) ->
     only that both have. A bucket with many nodes outside is dealt to several tasks, each with its share of those and all others.
     """
     live = placed.select("id").distinct().join(nodes.select("id", "bands"), "id").join(bitmaps(sets), "id")
-    columns = ["id", "n", "comp", "bands", "marks", *BITS]
+    columns = ["id", "n", "comp", "bands", "marks", "bits"]
     live = saved(placed.join(live, "id").select("band", "home", F.ceil(F.col("n_apart") / APART_NODES).cast("int").alias("parts"), *columns), "live-places")
     s = live.where("comp <> home").select("band", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"), *[F.col(c).alias(f"s_{c}") for c in columns])
     spread = live.select("band", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), *columns)

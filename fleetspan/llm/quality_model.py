@@ -14,7 +14,7 @@ from fleetspan.llm.logistic import Logistic
 #: Bytes that are compressed at once; a whole text is cut into such pieces, so every part of it meets the dictionaries.
 PIECE = 256
 #: Bytes of a dictionary. Labelled rows of each label that dictionaries and calibration are made of at most, and bytes of their texts, which are taken whole.
-DICTIONARY, SAMPLE, SAMPLE_BYTES = 65_536, 3000, 1 << 25
+DICTIONARY, SAMPLE, SAMPLE_BYTES = 65_536, 3000, 1 << 22
 LEVEL = 3
 #: A document with a lower score is rejected.
 LEAST_SCORE = 0.7
