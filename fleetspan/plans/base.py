@@ -148,7 +148,7 @@ def _(spark, sf):
     return plain(ingest.overlapping_plans(adapter.plan_packages(spark, sf)).select("id", "agency_id", "valid_before"))
 
 
-AREAS = ["eyckp", "eyckhz", "eyckjb1"]
+AREAS = ["eycknw", "eyckqb", "eycknvb"]
 
 
 @BOOK.add("f04_geofence", sql("SELECT event_id FROM pings WHERE " + " OR ".join(f"lat >= {a!r} AND lat < {b!r} AND lon >= {c!r} AND lon < {d!r}" for a, b, c, d in map(geo.geohash_bounds, AREAS))))

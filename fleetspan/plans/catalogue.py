@@ -112,16 +112,16 @@ def _(spark, sf):
     return plain(r.select("trip_id", "stop_id", "planned_s"), 3)
 
 
-@BOOK.add("j11_follower", sql("""SELECT p.day::VARCHAR AS day, p.trip_id, p.stop_id, round((p.t - f.t) / 60e6, 5) AS f_age, round(CASE WHEN (p.t - f.t) / 60e6 <= 30 THEN f.ratio END, 5) AS f_ratio, round(CASE WHEN (p.t - f.t) / 60e6 <= 30 THEN f.hw END, 5) AS f_hw
+@BOOK.add("j11_follower", sql("""SELECT p.day::VARCHAR AS day, p.trip_id, p.stop_id, round((p.t - f.t) / 60e6, 6) AS f_age, round(CASE WHEN (p.t - f.t) / 60e6 <= 30 THEN f.ratio END, 6) AS f_ratio, round(CASE WHEN (p.t - f.t) / 60e6 <= 30 THEN f.hw END, 6) AS f_hw
   FROM judged p ASOF LEFT JOIN (SELECT day, leader_trip, leader_vehicle, t, arg_max(ratio, trip_id) AS ratio, arg_max(hw, trip_id) AS hw, count(*) AS n FROM judged WHERE leader_trip IS NOT NULL GROUP BY 1, 2, 3, 4) f ON f.day = p.day AND f.leader_trip = p.trip_id AND f.leader_vehicle = p.vehicle_id AND f.t < p.t"""))
 def _(spark, sf):
     p = passages.headways(passages.previous_trip_delay(trusted_of(spark, sf)))
-    return plain(observe.follower_before(p).select("day", "trip_id", "stop_id", "f_age", "f_ratio", "f_hw"), 5)
+    return plain(observe.follower_before(p).select("day", "trip_id", "stop_id", "f_age", "f_ratio", "f_hw"), 6)
 
 
-@BOOK.add("w09_offline", sql("SELECT day::VARCHAR AS day, trip_id, stop_id, round((t - t_first) / 1e6, 5) AS dwell, round((t - lag(t) OVER w) / 1e6, 5) AS run1, round(avg((t - t_first) / 1e6) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 5) AS dwell_mean3, last_seq - seq AS stops_left, round((t - min(t) OVER (PARTITION BY day, trip_id, vehicle_id)) / 60e6, 5) AS t_in_trip, max(bunched) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS y3, max(bunched) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS y5 FROM judged WINDOW w AS (PARTITION BY day, trip_id, vehicle_id ORDER BY seq, t, stop_id)"))
+@BOOK.add("w09_offline", sql("SELECT day::VARCHAR AS day, trip_id, stop_id, round((t - t_first) / 1e6, 6) AS dwell, round((t - lag(t) OVER w) / 1e6, 6) AS run1, round(avg((t - t_first) / 1e6) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS dwell_mean3, last_seq - seq AS stops_left, round((t - min(t) OVER (PARTITION BY day, trip_id, vehicle_id)) / 60e6, 6) AS t_in_trip, max(bunched) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS y3, max(bunched) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS y5 FROM judged WINDOW w AS (PARTITION BY day, trip_id, vehicle_id ORDER BY seq, t, stop_id)"))
 def _(spark, sf):
-    return plain(observe.offline_features(judged_of(spark, sf)).select("day", "trip_id", "stop_id", "dwell", "run1", "dwell_mean3", "stops_left", "t_in_trip", "y3", "y5"), 5)
+    return plain(observe.offline_features(judged_of(spark, sf)).select("day", "trip_id", "stop_id", "dwell", "run1", "dwell_mean3", "stops_left", "t_in_trip", "y3", "y5"), 6)
 
 
 @BOOK.add("w30_steady", sql("SELECT day::VARCHAR AS day, trip_id, vehicle_id, stop_id, max(created_us) AS t FROM pings GROUP BY ALL"))
@@ -134,9 +134,9 @@ FRAGMENTS |= {"gaps": """SELECT *, (t - lag(t) OVER (PARTITION BY day, line, dir
   (t - lag(t) OVER (PARTITION BY day, stop_id ORDER BY t, trip_id, vehicle_id)) / 1e6 AS any_hw, (sched_us - lag(sched_us) OVER (PARTITION BY day, stop_id ORDER BY sched_us, trip_id, vehicle_id)) / 1e6 AS any_planned FROM trusted"""}
 
 
-@BOOK.add("w31_pattern_headways", sql("SELECT day::VARCHAR AS day, trip_id, stop_id, round(own_hw, 5) AS own_hw, round(own_planned, 5) AS own_planned, round(any_hw, 5) AS any_hw, round(any_planned, 5) AS any_planned FROM gaps"))
+@BOOK.add("w31_pattern_headways", sql("SELECT day::VARCHAR AS day, trip_id, stop_id, round(own_hw, 6) AS own_hw, round(own_planned, 6) AS own_planned, round(any_hw, 6) AS any_hw, round(any_planned, 6) AS any_planned FROM gaps"))
 def _(spark, sf):
-    return plain(observe.pattern_headways(trusted_of(spark, sf)).select("day", "trip_id", "stop_id", "own_hw", "own_planned", "any_hw", "any_planned"), 5)
+    return plain(observe.pattern_headways(trusted_of(spark, sf)).select("day", "trip_id", "stop_id", "own_hw", "own_planned", "any_hw", "any_planned"), 6)
 
 
 @BOOK.add("a66_planned_together", sql("SELECT line, count(*) FILTER (any_hw < 300) AS close, round(avg((any_planned < 120)::INT) FILTER (any_hw < 300), 6) AS planned_share FROM gaps GROUP BY 1"))
@@ -399,11 +399,11 @@ def _(spark, sf):
     return plain(slots.join(jams, "minute", "left").fillna(0, ["jams"]))
 
 
-@BOOK.add("j23_bunched_departures", sql("SELECT day::VARCHAR AS day, trip_id, stop_id, round(dep, 5) AS dep_ratio FROM feat JOIN (SELECT day, trip_id, vehicle_id, arg_min(ratio, (seq, t)) AS dep, arg_min(progress, (seq, t)) AS fp FROM feat WHERE valid GROUP BY 1, 2, 3) USING (day, trip_id, vehicle_id) WHERE bunched AND fp < 0.35"))
+@BOOK.add("j23_bunched_departures", sql("SELECT day::VARCHAR AS day, trip_id, stop_id, round(dep, 6) AS dep_ratio FROM feat JOIN (SELECT day, trip_id, vehicle_id, arg_min(ratio, (seq, t)) AS dep, arg_min(progress, (seq, t)) AS fp FROM feat WHERE valid GROUP BY 1, 2, 3) USING (day, trip_id, vehicle_id) WHERE bunched AND fp < 0.35"))
 def _(spark, sf):
     p = findings.calendar(judged_of(spark, sf))
     t = findings.terminal_trips(p, 0.35).select(*passages.TRIP, "dep_ratio")
-    return plain(p.where("bunched").join(t, passages.TRIP).select("day", "trip_id", "stop_id", "dep_ratio"), 5)
+    return plain(p.where("bunched").join(t, passages.TRIP).select("day", "trip_id", "stop_id", "dep_ratio"), 6)
 
 
 @BOOK.add("a22_latest_of_dates", sql("SELECT day::VARCHAR AS day, run_id FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY completed_us DESC, run_id DESC) AS r FROM runs WHERE status = 'completed' AND list_contains(lines, 'L1')) WHERE r = 1", runs=detector.RUNS))
@@ -461,7 +461,7 @@ ALL_FEATURES = ["log_ratio", "trend", "delay_min", "lead_delay_min", "delay_gap_
 MORE = """SELECT *, delay / 60 AS delay_min, lead_delay / 60 AS lead_delay_min, sched_hw / 60 AS sched_hw_min, (dayofweek(make_timestamp(t)) IN (0, 6))::INT AS weekend, cos((hour + minute(make_timestamp(t)) / 60) * 2 * pi() / 24) AS hour_cos, ln(least(3.0, greatest(0.05, lead_ratio))) AS leader_ratio_log FROM named"""
 
 
-@BOOK.add("m01_all_features", sql("SELECT day::VARCHAR AS day, trip_id, stop_id, " + ", ".join("round(CASE WHEN lead_ratio IS NOT NULL THEN leader_ratio_log END, 5) AS leader_log_ratio" if c == "leader_log_ratio" else f"round({c}, 5) AS {c}" for c in ALL_FEATURES) + " FROM more", named=NAMED, more=MORE))
+@BOOK.add("m01_all_features", sql("SELECT day::VARCHAR AS day, trip_id, stop_id, " + ", ".join("round(CASE WHEN lead_ratio IS NOT NULL THEN leader_ratio_log END, 6) AS leader_log_ratio" if c == "leader_log_ratio" else f"round({c}, 6) AS {c}" for c in ALL_FEATURES) + " FROM more", named=NAMED, more=MORE))
 def _(spark, sf):
     p = features.named(context_of(spark, sf).where("hw is not null and sched_hw <> 0"))
-    return plain(p.select("day", "trip_id", "stop_id", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ALL_FEATURES]), 5)
+    return plain(p.select("day", "trip_id", "stop_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ALL_FEATURES]), 6)

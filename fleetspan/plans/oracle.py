@@ -19,7 +19,7 @@ FRAGMENTS: dict[str, str] = {
     "jams": """SELECT o_orderkey AS jam_id, 'LINESTRING(' || printf('%.3f %.3f', -9.2 + p * 0.001, 38.7 + p * 0.001) || ', ' || printf('%.3f %.3f', -9.2 + (p + 1) * 0.001, 38.7 + (p + 1) * 0.001) || ')' AS geometry_wkt,
       ['80% - 61%', '60% - 41%', '40% - 21%', '20% - 1%', 'Via bloqueada'][o_orderpriority[1]::INT] AS intensity, o_orderdate::DATE AS day, ((o_orderkey % 48) * 30)::INT AS minute,
       CASE WHEN o_orderkey % 7 > 0 THEN round(o_totalprice / 10000, 3) END AS speed_kmh FROM (SELECT *, o_custkey % 9 AS p FROM orders)""",
-    "kpi_rows": "SELECT l_returnflag AS line, l_linenumber::VARCHAR AS scenario, l_linestatus AS k, (l_orderkey % 5)::INT AS day, l_suppkey AS seed, l_quantity - 20 + l_linenumber AS saved, l_linenumber % 3 AS vehicles, l_linenumber * 7 % 5 AS hold, l_linenumber * 3 % 4 AS wait FROM lineitem",
+    "kpi_rows": "SELECT l_returnflag AS line, l_linenumber::VARCHAR AS scenario, l_linestatus AS k, (l_orderkey % 5)::INT AS day, l_suppkey AS seed, l_quantity - 20 + l_linenumber * 4 AS saved, l_linenumber % 3 AS vehicles, l_linenumber * 7 % 5 AS hold, l_linenumber * 3 % 4 AS wait FROM lineitem",
 }
 
 

@@ -105,7 +105,7 @@ def scenario_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("k"),
         F.pmod(F.col("l_orderkey"), F.lit(5)).cast("int").alias("day"),
         F.col("l_suppkey").alias("seed"),
-        (F.col("l_quantity") - 20 + F.col("l_linenumber")).alias("saved"),
+        (F.col("l_quantity") - 20 + F.col("l_linenumber") * 4).alias("saved"),
         F.pmod(F.col("l_linenumber"), F.lit(3)).cast("int").alias("vehicles"),
         (F.col("l_linenumber") * 7 % 5).cast("int").alias("hold"),
         (F.col("l_linenumber") * 3 % 4).cast("int").alias("wait"),
