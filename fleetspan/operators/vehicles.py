@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,17 +75,22 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 def near_pairs(at: DataFrame, metres: float, keys: tuple[str, ...] = ("tick", "agency_id", "line", "direction_id")) -> DataFrame:
     """Pairs of vehicles of one key at most so far apart, anywhere on the globe.
 
-    Places are put in cubes of `metres` in space, since a chord is no longer than its arc; a vehicle is joined with the cubes around its own, so only neighbours meet.
+    Places are put in rows of latitude and, in each row, in as many equal cells around the globe as keep them wide enough at the row's cold end. A vehicle is joined
+    with the nine cells around its place in its own and both neighbouring rows' cells, so only neighbours meet.
     """
-    lat, lon = F.radians("lat"), F.radians("lon")
-    cube = [F.floor(EARTH * c / metres) for c in (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))]
-    side = at.withColumns(dict(zip(("cx", "cy", "cz"), cube, strict=True)))
-    a = side.select(*keys, F.col("vehicle_id").alias("v1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "cx", "cy", "cz")
-    steps = (-1, 0, 1)
-    around = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), (F.col("cz") + k).alias("cz")) for i in steps for j in steps for k in steps])
-    b = side.select(*keys, F.col("vehicle_id").alias("v2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(around).alias("c")).select(*keys, "v2", "lat2", "lon2", "c.*")
+    high = math.degrees(metres / EARTH) * 1.001
+    row = F.floor(F.col("lat") / high)
+
+    def cells(r: Column) -> Column:
+        cold = F.least((F.greatest(F.abs(r), F.abs(r + 1)) + 1) * high, F.lit(90.0))
+        return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(cold)) / (1.6 * high)))  # a chord's longitudes differ by less than pi / 2 times its share of the circle
+
+    place = lambda r: F.floor((F.col("lon") + 180) / 360 * cells(r))
+    a = at.select(*keys, F.col("vehicle_id").alias("v1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), row.alias("y"), F.pmod(place(row), cells(row)).alias("x"))
+    around = F.array_distinct(F.array(*[F.struct((row + j).alias("y"), F.pmod(place(row + j) + i, cells(row + j)).alias("x")) for j in (-1, 0, 1) for i in (-1, 0, 1)]))
+    b = at.select(*keys, F.col("vehicle_id").alias("v2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(around).alias("c")).select(*keys, "v2", "lat2", "lon2", "c.*")
     m = haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, [*keys, "cx", "cy", "cz"]).where("v1 < v2").withColumn("metres", m).where(F.col("metres") <= metres).select(*keys, "v1", "v2", "metres")
+    return a.join(b, [*keys, "x", "y"]).where("v1 < v2").withColumn("metres", m).where(F.col("metres") <= metres).select(*keys, "v1", "v2", "metres")
 
 
 def contract(pings: DataFrame, order: str = "event_id", chunk: int = 1 << 16) -> DataFrame:

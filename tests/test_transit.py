@@ -269,6 +269,19 @@ def test_near_pairs_at_high_latitude(spark):
     assert [(r.v1, r.v2) for r in vehicles.near_pairs(at, 50).collect()] == [("v1", "v2")]
 
 
+def test_near_pairs_equal_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    places = [(r.choice((0.0, 38.7, 60.0, 84.0, 89.99, -89.999)) + r.uniform(-0.005, 0.005), r.choice((0.0, 179.999, -179.999, -9.1)) + r.uniform(-0.004, 0.004)) for _ in range(300)]
+    rows = [(1, "A", "L", "0", f"v{i:03d}", max(-90.0, min(90.0, lat)), (lon + 180) % 360 - 180) for i, (lat, lon) in enumerate(places)]
+    at = spark.createDataFrame(rows, "tick int, agency_id string, line string, direction_id string, vehicle_id string, lat double, lon double")
+    every = at.alias("a").join(at.alias("b"), F.col("a.vehicle_id") < F.col("b.vehicle_id")).withColumn("m", vehicles.haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))).where("m <= 150")
+    want = {(x[0], x[1]) for x in every.select("a.vehicle_id", "b.vehicle_id").collect()}
+    got = [(x.v1, x.v2) for x in vehicles.near_pairs(at, 150).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
 def test_percentiles_by_ranges(spark):
     from fleetspan.functions.stats import percentiles
 
