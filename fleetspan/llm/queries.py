@@ -12,6 +12,7 @@ from fleetspan.llm.mixing import op8_mixing
 from fleetspan.llm.quality_model import op6_quality_classifier
 from fleetspan.llm.quality_rules import ORACLE as QUALITY_RULES
 from fleetspan.llm.quality_rules import op10_quality_rules
+from fleetspan.llm.repair import op13_conversation_repair
 from fleetspan.llm.resample import ORACLE as RESAMPLE
 from fleetspan.llm.resample import op11_importance_resample
 from fleetspan.llm.toxicity import op4_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_importance_resample": op11_importance_resample,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
