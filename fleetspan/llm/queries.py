@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleetspan.llm.bpe import op12_bpe
 from fleetspan.llm.chat import op5_chat_format
 from fleetspan.llm.decontaminate import op3_decontaminate
 from fleetspan.llm.language_model import op2_language_model
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_importance_resample": op11_importance_resample,
+    "op12_bpe": op12_bpe,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
