@@ -11,8 +11,8 @@ REQUIRED = {
     "stops": ["stop_id", "stop_name", "stop_lat", "stop_lon"], "shapes": ["shape_id", "shape_pt_lat", "shape_pt_lon", "shape_pt_sequence"],
     "stop_times": ["trip_id", "stop_id", "stop_sequence", "arrival_time", "departure_time"],
 }
-#: The column of each table that identifies its rows and must not be blank.
-IDENTITY = {"routes": "route_id", "trips": "trip_id", "stops": "stop_id", "shapes": "shape_id", "stop_times": "trip_id"}
+#: Columns of each table that identify its rows and must not be blank.
+IDENTITY = {"routes": ["route_id"], "trips": ["trip_id", "route_id"], "stops": ["stop_id"], "shapes": ["shape_id"], "stop_times": ["trip_id", "stop_id"]}
 #: Points of a shape beyond which every second one goes.
 MOST_POINTS = 1200
 
@@ -27,7 +27,7 @@ def field(c: str) -> Column:
 
 
 def record_fault(records: DataFrame) -> DataFrame:
-    """Records (table_name, row_number, data) with fault: what is wrong with a row, or null. A stop may lack both coordinates."""
+    """Records (table_name, row_number, data, maybe ragged) with fault: what is wrong with a row, or null. A stop may lack both coordinates."""
     def place(lat: str, lon: str, optional: bool) -> Column:
         a, b = field(lat).try_cast("double"), field(lon).try_cast("double")
         good = a.between(-90, 90) & b.between(-180, 180) & ~F.isnan(a) & ~F.isnan(b)
@@ -36,12 +36,25 @@ def record_fault(records: DataFrame) -> DataFrame:
     whole = lambda c: ~F.coalesce(field(c).rlike(r"^[0-9]+$"), F.lit(False))
     is_ = lambda t: F.col("table_name") == t
     no_id = F.lit(False)
-    for table, key in IDENTITY.items():
-        no_id = no_id | (is_(table) & blank(key))
-    fault = F.when(no_id, "identifier").when(is_("stops") & place("stop_lat", "stop_lon", True) | is_("shapes") & place("shape_pt_lat", "shape_pt_lon", False), "coordinates")
+    for table, keys in IDENTITY.items():
+        for key in keys:
+            no_id = no_id | (is_(table) & blank(key))
+    ragged = F.col("ragged") if "ragged" in records.columns else F.lit(False)
+    fault = F.when(ragged, "column_count").when(no_id, "identifier").when(is_("stops") & place("stop_lat", "stop_lon", True) | is_("shapes") & place("shape_pt_lat", "shape_pt_lon", False), "coordinates")
     return records.withColumn("fault", fault.when(is_("stop_times") & whole("stop_sequence") | is_("shapes") & whole("shape_pt_sequence"), "sequence"))
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """The records, if no row has a fault and every table that is there has its required columns; else ValueError with the first fault: a package comes in whole or not at all."""
+    needs = [(t, c) for t, columns in REQUIRED.items() for c in columns]
+    lacking = F.array(*[F.when(F.col("table_name") == t, F.when(~F.map_contains_key("data", c), F.lit(c))) for t, c in needs])
+    judged = record_fault(records).withColumn("fault", F.coalesce(F.concat(F.lit("lacks "), F.get(F.array_compact(lacking), F.lit(0))), "fault"))
+    bad = judged.where("fault is not null").select("package_id", "table_name", "row_number", "fault").orderBy("package_id", "table_name", "row_number").head(1)
+    if bad:
+        raise ValueError("{package_id}: {table_name}, row {row_number}: {fault}".format(**bad[0].asDict()))
+    return records
+
+
 def package_validity(feed: DataFrame, configured: DataFrame) -> DataFrame:
     """package_id, active_from, active_until: as configured, else the feed's own dates (YYYYMMDD)."""
     date = lambda c: F.try_to_date(field(c), "yyyyMMdd")

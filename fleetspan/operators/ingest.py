@@ -9,6 +9,8 @@ from fleetspan.functions import clock
 
 #: The columns that a raw ping file has.
 PING_COLUMNS = ["_id", "agency_id", "created_at", "driver_id", "latitude", "longitude", "operational_date", "received_at", "stop_id", "trip_id", "vehicle_id", "geohash_5"]
+#: Milliseconds of the years 2000 to 2100; times outside are faults.
+YEARS_MS = (946_684_800_000, 4_133_980_799_999)
 SENTINEL = "UNAVAILABLE_STOP_ID"
 
 
@@ -18,14 +20,19 @@ def number(c: Column) -> Column:
 
 
 def reject_reason(raw: DataFrame) -> DataFrame:
-    """Raw pings (all strings) with reject_reason, the first rule that fails, or null."""
+    """Raw pings (all strings) with reject_reason, the first rule that fails, or null. A row with a fault of its file (a column `fault`, where there is one) or without a required field fails first."""
     lat, lon = number(F.col("latitude")), number(F.col("longitude"))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     ids = blank("agency_id") | blank("vehicle_id") | blank("_id")
     place = F.coalesce(~(lat.between(-90, 90) & lon.between(-180, 180)), F.lit(True))
-    times = F.col("created_at").try_cast("long").isNull() | F.col("received_at").try_cast("long").isNull() | F.to_date(F.when(F.col("operational_date").rlike("^[0-9]{8}$"), F.col("operational_date")), "yyyyMMdd").isNull()
-    hash5 = ~F.coalesce(F.col("geohash_5").rlike("^[0-9bcdefghjkmnpqrstuvwxyz]{5}$"), F.lit(False))
-    reason = F.when(ids, "identifier").when(place, "coordinates").when(times, "timestamp_or_date").when(hash5, "geohash")
+    ms = lambda c: F.trim(c).try_cast("long")
+    wrong = lambda c: ~F.coalesce(ms(c).between(*YEARS_MS), F.lit(False))
+    times = wrong("created_at") | wrong("received_at") | F.try_to_date(F.when(F.col("operational_date").rlike("^[0-9]{8}$"), F.col("operational_date")), "yyyyMMdd").isNull()
+    hash5 = ~F.coalesce(F.trim("geohash_5").rlike("^[0-9bcdefghjkmnpqrstuvwxyz]{5}$"), F.lit(False))
+    ragged = F.col("fault").isNotNull() if "fault" in raw.columns else F.lit(False)
+    for c in PING_COLUMNS:
+        ragged = ragged | F.col(c).isNull()
+    reason = F.when(ragged, "column_count").when(ids, "identifier").when(place, "coordinates").when(times, "timestamp_or_date").when(hash5, "geohash")
     return raw.withColumn("reject_reason", reason)
 
 
@@ -49,11 +56,15 @@ def provenance(p: DataFrame, keys: list[str], source: str) -> DataFrame:
     return p.groupBy(*keys, source).agg(F.min("received_us").alias("received_us"), F.count("*").alias("rows"))
 
 
+#: What a raw ping can be rejected for, in the order of the rules.
+REASONS = ["column_count", "identifier", "coordinates", "timestamp_or_date", "geohash"]
+
+
 def counters(p: DataFrame, source: str, keys: list[str]) -> DataFrame:
     """Per source: rows read, valid ones, observations by keys that it gives, duplicates that collapse into those, rejects by reason (needs reject_reason)."""
     r = F.col("reject_reason")
     good = F.when(r.isNull(), F.struct(*keys))
-    g = p.groupBy(source).agg(F.count("*").alias("rows_read"), F.count_if(r.isNull()).alias("valid_rows"), F.count_distinct(good).alias("inserted"), *[F.count_if(r == x).alias(x) for x in ("identifier", "coordinates", "timestamp_or_date", "geohash")])
+    g = p.groupBy(source).agg(F.count("*").alias("rows_read"), F.count_if(r.isNull()).alias("valid_rows"), F.count_distinct(good).alias("inserted"), *[F.count_if(r == x).alias(x) for x in REASONS])
     return g.withColumn("duplicates", F.col("valid_rows") - F.col("inserted"))
 
 

@@ -63,7 +63,7 @@ def raw_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("_id"), F.lit("A1").alias("agency_id"),
         F.when(every(37), " ").otherwise(F.concat(F.lit("V"), F.col("user_id").cast("string"))).alias("vehicle_id"),
         F.when(every(41), "nan").when(every(43), "181").otherwise("38.7").alias("latitude"), F.lit("-9.1").alias("longitude"),
-        F.when(every(47), "x").otherwise("1704067200000").alias("created_at"), F.lit("1704067200000").alias("received_at"), F.lit("20240101").alias("operational_date"), F.when(every(53), "bad").otherwise("eyckp").alias("geohash_5"))
+        F.when(every(47), "x").otherwise("1704067200000").alias("created_at"), F.lit("1704067200000").alias("received_at"), F.lit("20240101").alias("operational_date"), F.when(every(53), "bad").otherwise("eyckp").alias("geohash_5"), *[F.lit("x").alias(c) for c in ("driver_id", "stop_id", "trip_id")])
 
 
 @BOOK.add("s03_reject_reasons", sql(f"SELECT coalesce(reason, 'valid') AS reason, count(*) AS n FROM checked GROUP BY 1", raw_pings=RAW, checked=f"SELECT {REASON} AS reason FROM raw_pings"))
@@ -71,7 +71,7 @@ def _(spark, sf):
     return ingest.reject_reason(raw_of(spark, sf)).groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@BOOK.add("s07_counters", sql("SELECT source, count(*) AS rows_read, count(*) FILTER (reason IS NULL) AS valid_rows, count(DISTINCT CASE WHEN reason IS NULL THEN vehicle_id END) AS inserted, count(*) FILTER (reason IS NULL) - count(DISTINCT CASE WHEN reason IS NULL THEN vehicle_id END) AS duplicates, count(*) FILTER (reason = 'identifier') AS identifier, count(*) FILTER (reason = 'coordinates') AS coordinates, count(*) FILTER (reason = 'timestamp_or_date') AS timestamp_or_date, count(*) FILTER (reason = 'geohash') AS geohash FROM checked GROUP BY 1", raw_pings=RAW, checked=f"SELECT source, vehicle_id, {REASON} AS reason FROM raw_pings"))
+@BOOK.add("s07_counters", sql("SELECT source, count(*) AS rows_read, count(*) FILTER (reason IS NULL) AS valid_rows, count(DISTINCT CASE WHEN reason IS NULL THEN vehicle_id END) AS inserted, count(*) FILTER (reason IS NULL) - count(DISTINCT CASE WHEN reason IS NULL THEN vehicle_id END) AS duplicates, count(*) FILTER (reason = 'column_count') AS column_count, count(*) FILTER (reason = 'identifier') AS identifier, count(*) FILTER (reason = 'coordinates') AS coordinates, count(*) FILTER (reason = 'timestamp_or_date') AS timestamp_or_date, count(*) FILTER (reason = 'geohash') AS geohash FROM checked GROUP BY 1", raw_pings=RAW, checked=f"SELECT source, vehicle_id, {REASON} AS reason FROM raw_pings"))
 def _(spark, sf):
     return ingest.counters(ingest.reject_reason(raw_of(spark, sf)), "source", ["vehicle_id"])
 

@@ -14,7 +14,7 @@ from fleetspan.plans import detector
 from fleetspan.plans.book import Book, plain
 from fleetspan.plans.detector import candidates_of, episodes_of
 from fleetspan.plans.oracle import FRAGMENTS, sql
-from fleetspan.sources import adapter, files
+from fleetspan.sources import adapter, files, imports
 
 BOOK = Book()
 WINDOW = observe.window_us("2024-01-01", "08:00", "12:00")
@@ -263,20 +263,75 @@ def _(spark, sf):
     return catalogue.inserted(j, j.where("intensity = '80% - 61%'").select("source_key").distinct(), "source_key")[1]
 
 
-def ping_tree(spark, sf):
-    """events as raw ping CSV files in a tree, one folder a source, written to the shared folder."""
+def csv_tree(spark, raw, parts=4):
+    """Raw pings (with source and event_id) as CSV files in a tree, one folder a source, written to the shared folder: files name their columns in two orders, some begin with a byte order mark, one field
+    is quoted, and some rows have a field too many or lack the last."""
     root = f"{files.work_dir(spark)}/pings-{uuid.uuid4().hex}"
-    raw = raw_of(spark, sf).withColumns({"driver_id": F.lit("d"), "stop_id": F.lit("s"), "trip_id": F.col("_id")})
-    raw.select(*ingest.PING_COLUMNS, "source").write.partitionBy("source").option("header", True).csv(root)
+    raw = raw.withColumns({"driver_id": F.lit('"d, e"'), "part": F.pmod("event_id", F.lit(parts))})
+    turned = F.pmod(F.col("part"), F.lit(2)) == 1
+    orders = ingest.PING_COLUMNS, ingest.PING_COLUMNS[::-1]
+    line = F.when(turned, F.concat_ws(",", *orders[1])).otherwise(F.concat_ws(",", *orders[0]))
+    line = F.when(F.pmod("event_id", F.lit(59)) == 0, F.concat(line, F.lit(",x"))).when(F.pmod("event_id", F.lit(61)) == 0, F.regexp_replace(line, ",[^,]*$", "")).otherwise(line)
+    heads = raw.select("source", "part").distinct()
+    head = F.when(turned, F.lit("\ufeff" + ",".join(orders[1]))).otherwise(F.lit(",".join(orders[0])))
+    lines = raw.select("source", "part", F.lit(1).alias("at"), line.alias("value")).unionByName(heads.select("source", "part", F.lit(0).alias("at"), head.alias("value")))
+    placed = lines.repartition("source", "part").sortWithinPartitions("source", "part", "at").drop("at")
+    placed.write.partitionBy("source", "part").text(root)
     return root
 
 
-CHECKED = "CASE WHEN event_id % 37 = 0 THEN 'identifier' WHEN event_id % 41 = 0 OR event_id % 43 = 0 THEN 'coordinates' WHEN event_id % 47 = 0 THEN 'timestamp_or_date' WHEN event_id % 53 = 0 THEN 'geohash' END"
+def ping_tree(spark, sf):
+    return csv_tree(spark, raw_of(spark, sf).withColumns({"stop_id": F.lit("s"), "trip_id": F.col("_id")}))
+
+
+def observation_tree(spark, sf):
+    """Pings to ten minutes and a stop's place, so that many say the same, as CSV files."""
+    ms = lambda c: F.floor(c).cast("string")
+    p = adapter.pings(spark, sf)
+    return csv_tree(spark, p.select("event_id", F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("_id"), "agency_id", "vehicle_id", ms(F.floor(F.col("created_us") / 600_000_000) * 600_000).alias("created_at"), ms(F.col("received_us") / 1000).alias("received_at"),
+        F.date_format("day", "yyyyMMdd").alias("operational_date"), F.when(F.pmod("event_id", F.lit(41)) == 0, "nan").otherwise(F.concat(F.lit("38."), "seq")).alias("latitude"), F.lit("-0.0").alias("longitude"), "trip_id", "stop_id", F.lit(" eyckp ").alias("geohash_5")))
+
+
+def imported(spark, sf):
+    """A store into which the tree of observations has been imported, batch by batch, and the tree."""
+    root = observation_tree(spark, sf)
+    imports.import_tree(spark, root, f"{root}-store", batch_bytes=1 << 20, glob="*.txt")
+    return imports.Store(spark, f"{root}-store"), root
+
+
+KEPT_ROWS = "SELECT event_id, vehicle_id, trip_id, stop_id, created_us // 600000000 * 600000000 AS created_us, received_us // 1000 * 1000 AS received_us, event_type, event_id % 59 <> 0 AND event_id % 61 <> 0 AND event_id % 41 <> 0 AS good FROM pings"
+
+
+@BOOK.add("s09_import", sql("SELECT vehicle_id, trip_id, stop_id, created_us, min(received_us) AS received_us, arg_min(event_id::VARCHAR, (received_us, event_id::VARCHAR)) AS event_id FROM sent WHERE good GROUP BY 1, 2, 3, 4", sent=KEPT_ROWS))
+def _(spark, sf):
+    return imported(spark, sf)[0].observations().select("vehicle_id", "trip_id", "stop_id", "created_us", "received_us", "event_id")
+
+
+@BOOK.add("s06_import_sources", sql("SELECT event_type AS source, part::BIGINT AS part, count(*) AS keys FROM (SELECT DISTINCT event_type, event_id % 4 AS part, event_id FROM sent WHERE good) GROUP BY 1, 2", sent=KEPT_ROWS))
+def _(spark, sf):
+    found = imported(spark, sf)[0].provenance()
+    return found.groupBy(F.regexp_extract("source_file", "source=([^/]*)/", 1).alias("source"), F.regexp_extract("source_file", "part=([0-9]*)/", 1).cast("long").alias("part")).agg(F.count("*").alias("keys"))
+
+
+@BOOK.add("s30_import_progress", sql("SELECT 1 AS version, 'ready' AS status, count(DISTINCT (event_type, event_id % 4)) AS files_done, count(DISTINCT (event_type, event_id % 4)) AS files, count(*) FILTER (good) AS valid_rows, count(DISTINCT CASE WHEN good THEN (event_type, event_id % 4, vehicle_id, trip_id, stop_id, created_us) END) AS observations FROM sent", sent=KEPT_ROWS))
+def _(spark, sf):
+    store, root = imported(spark, sf)
+    return imports.progress(store, root, "*.txt")
+
+
+@BOOK.add("s22_import_counts", sql("SELECT event_type AS source, count(*) AS rows_read, count(*) FILTER (good) AS valid_rows, count(*) FILTER (event_id % 59 = 0 OR event_id % 61 = 0) AS column_count, count(*) FILTER (event_id % 59 <> 0 AND event_id % 61 <> 0 AND event_id % 41 = 0) AS coordinates FROM sent GROUP BY 1", sent=KEPT_ROWS))
+def _(spark, sf):
+    m = imported(spark, sf)[0].manifest(1)
+    n = lambda r: F.coalesce(F.sum(F.try_element_at("rejected", F.lit(r))), F.lit(0)).alias(r)
+    return m.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.sum("rows_read").alias("rows_read"), F.sum("valid_rows").alias("valid_rows"), n("column_count"), n("coordinates"))
+
+
+CHECKED = "CASE WHEN event_id % 59 = 0 OR event_id % 61 = 0 THEN 'column_count' WHEN event_id % 37 = 0 THEN 'identifier' WHEN event_id % 41 = 0 OR event_id % 43 = 0 THEN 'coordinates' WHEN event_id % 47 = 0 THEN 'timestamp_or_date' WHEN event_id % 53 = 0 THEN 'geohash' END"
 
 
 @BOOK.add("s01_ping_files", sql(f"SELECT event_type AS source, coalesce({CHECKED}, 'valid') AS reason, count(*) AS n FROM events GROUP BY 1, 2"))
 def _(spark, sf):
-    rows = files.ping_files(spark, ping_tree(spark, sf))
+    rows = files.csv_rows(spark, ping_tree(spark, sf), ingest.PING_COLUMNS, "*.txt")
     source = F.regexp_extract("source_file", "source=([^/]*)/", 1)
     return ingest.reject_reason(rows).groupBy(source.alias("source"), F.coalesce("reject_reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
 
@@ -284,9 +339,9 @@ def _(spark, sf):
 @BOOK.add("s09_published", sql(f"SELECT event_type AS source, count(*) AS n FROM events WHERE ({CHECKED}) IS NULL GROUP BY 1"))
 def _(spark, sf):
     root = ping_tree(spark, sf)
-    found = files.inventory(spark, root)
+    found = files.inventory(spark, root, "*.txt")
     todo = files.unread(found, found.limit(0))
-    rows = files.ping_files(spark, root).withColumn("source", F.regexp_extract("source_file", "source=([^/]*)/", 1))
+    rows = files.csv_rows(spark, root, ingest.PING_COLUMNS, "*.txt").withColumn("source", F.regexp_extract("source_file", "source=([^/]*)/", 1))
     new = todo.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).distinct()
     good = ingest.reject_reason(rows).where("reject_reason is null").join(new, "source", "left_semi")
     return files.published(spark, good, f"{root}-table", "v1").groupBy("source").agg(F.count("*").alias("n"))

@@ -2,44 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetspan.operators.ingest import PING_COLUMNS
+from fleetspan.sources import named_csv
 
 # Columns of a jam report file.
 JAM_COLUMNS = "zona geohash6 data Hora Minuto localizacao_dicofre rua cidade nivel_de_intensidade velocidade velocidade_kmh atraso comprimento latitude longitude geowkt geo".split()
 
 
-def csv_rows(spark: SparkSession, root: str, required: list[str], glob: str = "*.csv") -> DataFrame:
-    """All CSV files below root as strings, with source_file. Raises ValueError if a file lacks a required column or has one twice; a byte order mark is skipped.
+def csv_rows(spark: SparkSession, root: str, columns: list[str] | None, glob: str = "*.csv", files: list[str] | None = None, required: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """Rows of all CSV files below root, or of those named, by the names in each file's header: columns as strings (None: all, as a map `data`), source_file, at and fault. See named_csv.NamedCsv."""
+    named_csv.register(spark)
+    reader = spark.read.format("named_csv").option("path", root.rstrip("/")).option("glob", glob)
+    given = {"columns": columns, "files": files, "required": required}
+    for name, value in given.items():
+        if value is not None:
+            reader = reader.option(name, json.dumps(value))
+    return (reader.option("splitBytes", "0") if whole else reader).load()
+
+
+def ping_files(spark: SparkSession, root: str, files: list[str] | None = None, glob: str = "*.csv") -> DataFrame:
+    return csv_rows(spark, root, PING_COLUMNS, glob, files)
 
-    Headers are checked for every file by one distributed pass over first lines.
-    """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", False).text(root).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
-    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
-    names = F.transform(F.split(F.regexp_replace("header", "^﻿", ""), ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
-    lacking = F.array_except(F.array(*map(F.lit, required)), names)
-    bad = first.select("file", lacking.alias("lacking"), (F.size(names) != F.size(F.array_distinct(names))).alias("twice")).where((F.size("lacking") > 0) | F.col("twice")).orderBy("file").head(1)
-    if bad:
-        raise ValueError(f"{bad[0].file}: " + ("a column comes twice" if bad[0].twice else "lacks " + ", ".join(bad[0].lacking)))
-    found = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("enforceSchema", False).csv(root)
-    clean = [F.col(f"`{c}`").alias(c.lstrip("﻿").strip()) for c in found.columns]
-    return found.select(*clean, F.col("_metadata.file_path").alias("source_file"))
 
+def jam_files(spark: SparkSession, root: str, files: list[str] | None = None, glob: str = "*.csv") -> DataFrame:
+    return csv_rows(spark, root, JAM_COLUMNS, glob, files)
 
-def ping_files(spark: SparkSession, root: str) -> DataFrame:
-    return csv_rows(spark, root, PING_COLUMNS)
 
+def _below(root: str):
+    return F.element_at(F.split("path", root.rstrip("/").split(":")[-1] + "/"), -1).alias("path")
 
-def jam_files(spark: SparkSession, root: str) -> DataFrame:
-    return csv_rows(spark, root, JAM_COLUMNS)
+
+def listed(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
+    """path (below root), bytes and time of change of each file; nothing is read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return f.select(_below(root), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
 def inventory(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """path (below root), bytes and sha256 of each file. A file is hashed whole by one task, so files have to be below 2 GB."""
+    """path (below root), bytes, sha256 and time of change of each file. A file is hashed whole by one task, so files have to be below 2 GB."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return f.select(F.element_at(F.split("path", root.rstrip("/").split(":")[-1] + "/"), -1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return f.select(_below(root), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"))
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
@@ -75,19 +82,17 @@ def progress(done: DataFrame, files: DataFrame) -> DataFrame:
     return done.agg(F.count("*").alias("files_done"), F.coalesce(F.sum("inserted"), F.lit(0)).alias("observations")).crossJoin(F.broadcast(files.agg(F.count("*").alias("files"))))  # one row each
 
 
-def package_records(spark: SparkSession, root: str, package: str, tables: list[str]) -> DataFrame:
-    """package_id, table_name, row_number (from 1, in file order) and data of every row of a timetable package's tables, nothing lost."""
-    every = None
-    for name in tables:
-        rows = spark.read.option("header", True).csv(f"{root}/{name}.txt")
-        keys = F.array(*[F.lit(c.lstrip("﻿")) for c in rows.columns])
-        r = rows.select(F.monotonically_increasing_id().alias("id"), F.map_from_arrays(keys, F.array(*[F.col(f"`{c}`") for c in rows.columns])).alias("data"))
-        r = r.withColumn("part", F.shiftright("id", 33))
-        before = r.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition of the file
-        starts = before.alias("a").join(before.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("start"))
-        r = r.join(F.broadcast(starts), "part").select(F.lit(package).alias("package_id"), F.lit(name).alias("table_name"), (F.col("start") + F.col("id") - F.shiftleft(F.col("part"), 33) + 1).alias("row_number"), "data")
-        every = r if every is None else every.unionByName(r)
-    return every
+def package_records(spark: SparkSession, root: str, package: str, tables: list[str] | None = None) -> DataFrame:
+    """package_id, table_name, row_number (from 1, in file order), data and ragged (whether a row has too many or too few fields) of every row of a package's tables, nothing lost.
+
+    A table is a file <table>.txt, or a folder of that name with its parts in order. Headers lacking a required column end the read.
+    """
+    rows = csv_rows(spark, root, None, "*", whole=True).withColumn("table_name", F.regexp_extract("source_file", r"^([^/]*)\.txt(/|$)", 1))
+    rows = rows.where(F.col("table_name").isin(tables) if tables else F.col("table_name") != "")
+    ends = rows.groupBy("table_name", "source_file").agg(F.max("at").alias("n"))  # a row a file
+    starts = ends.select("table_name", "source_file", F.coalesce(F.sum("n").over(Window.partitionBy("table_name").orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    met = rows.join(F.broadcast(starts), ["table_name", "source_file"])
+    return met.select(F.lit(package).alias("package_id"), "table_name", (F.col("start") + F.col("at")).alias("row_number"), "data", F.col("fault").isNotNull().alias("ragged"))
 
 
 def exported(passages: DataFrame, path: str) -> None:
