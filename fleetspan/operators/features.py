@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from fleetspan.operators.passages import GROUP, TIES, trip_window
 #: Microseconds of the line's recent past, and the clamp of ratios before a logarithm.
 RECENT_US, CLAMP = 1_800_000_000, (0.05, 3.0)
 
+#: Trees that a batch of rows walks together.
+TREES_AT_ONCE = 64
+
 
 def log_ratio(ratio: Column) -> Column:
     # greatest() and least() skip nulls, so those are kept apart
@@ -87,16 +92,28 @@ def linear_score(model: dict[str, tuple[float, float, float]], intercept: float)
 def tree_score(trees: list[dict], names: list[str], baseline: float) -> Column:
     """Probability by stored trees: parallel lists f (number of the feature, -1 for a leaf), t (at most: left), m (missing goes left), l and r (children), v (a leaf's value).
 
-    Each tree becomes one nested case expression, so rows are scored where they are.
+    Trees are laid end to end in arrays that each worker gets once; a batch of rows walks all of them together, a level at a time, so a plan doesn't grow with the trees.
     """
-    def node(tree: dict, i: int) -> Column:
-        f = tree["f"][i]
-        if f < 0:
-            return F.lit(float(tree["v"][i]))
-        value, left, right = F.col(names[f]), node(tree, tree["l"][i]), node(tree, tree["r"][i])
-        return F.when(value.isNull() | F.isnan(value.cast("double")), left if tree["m"][i] else right).when(value <= tree["t"][i], left).otherwise(right)
-
-    return sigmoid(sum((node(t, 0) for t in trees), F.lit(baseline)))
+    starts = np.cumsum([0, *[len(t["f"]) for t in trees]])
+    join = lambda k, kind: np.concatenate([np.array(t[k], kind) for t in trees] or [np.zeros(0, kind)])
+    shift = np.repeat(starts[:-1], np.diff(starts))
+    f, t, m, v = join("f", np.int32), join("t", float), join("m", np.int8), join("v", float)
+    left, right = join("l", np.int64) + shift, join("r", np.int64) + shift
+    roots = starts[:-1]
+
+    @F.pandas_udf("double")
+    def chance(*columns: pd.Series) -> pd.Series:
+        x = np.stack([c.to_numpy(dtype=float, na_value=np.nan) for c in columns], 1)
+        z = np.full(len(x), baseline)
+        for begin in range(0, len(roots), TREES_AT_ONCE):
+            at = np.broadcast_to(roots[begin : begin + TREES_AT_ONCE], (len(x), len(roots[begin : begin + TREES_AT_ONCE]))).copy()
+            while (inner := f[at] >= 0).any():
+                value = np.take_along_axis(x, np.maximum(f[at], 0), 1)
+                at = np.where(inner, np.where(np.where(np.isnan(value), m[at] == 1, value <= t[at]), left[at], right[at]), at)
+            z += v[at].sum(1)
+        return pd.Series(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+
+    return chance(*[F.col(c).cast("double") for c in names])
 
 
 def scored(p: DataFrame, chance: Column, mode: str = "line") -> DataFrame:

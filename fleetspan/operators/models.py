@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from fleetspan.functions.stats import percentiles
 from fleetspan.operators.features import scoreable
 
-FEATURES = ["log_ratio", "trend", "delay_min", "lead_delay_min", "delay_gap_min", "prev_trip_delay_min", "progress", "peak_am", "peak_pm", "log_gap", "hour_sin", "hour_cos", "close1", "close3", "line_irreg30", "line_n30"]
+#: Inputs of the same-line model, in its order.
+FEATURES = [
+    "log_ratio", "trend", "delay_min", "lead_delay_min", "sched_hw_min", "progress", "peak_am", "peak_pm", "weekend", "delay_gap_min", "prev_trip_delay_min",
+    "hour_sin", "hour_cos", "leader_log_ratio", "line_irreg30", "line_n30", "leader_changed", "close1", "close3", "close5", "delay_change3", "lead_close3",
+]
 
 
 def training_set(p: DataFrame, mode: str = "line") -> DataFrame:
@@ -44,11 +48,6 @@ def train_logistic(rows: DataFrame) -> PipelineModel:
     return Pipeline(stages=[*_prepared(), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(labelCol="y", maxIter=30, regParam=1e-3)]).fit(numeric(rows))
 
 
-def train_trees(rows: DataFrame, trees: int = 10) -> PipelineModel:
-    """Boosted trees; Spark's have no branch for missing values, so those count as the mean."""
-    return Pipeline(stages=[*_prepared(), GBTClassifier(labelCol="y", featuresCol="raw", maxIter=trees, stepSize=0.1, maxDepth=4, seed=1)]).fit(numeric(rows))
-
-
 def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(numeric(rows)).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
 
@@ -76,26 +75,22 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     return g.select(((F.col("w") + pairs) / F.nullif(pairs, F.lit(0))).alias("auc"), "positives", "negatives")
 
 
-def learning_days(rows: DataFrame, most: int) -> list[DataFrame]:
-    """Training rows of the first 1, 2, ... days, up to `most`."""
-    days = [r[0] for r in rows.select("day").distinct().orderBy("day").limit(most).collect()]  # a week's days
-    return [rows.where(F.col("day") <= d) for d in days]
-
-
-def _ranged(scored: DataFrame) -> DataFrame:
-    """p, n, pos, and over descending scores running sums cn and cp of n and pos. Scores are dealt to ranges, so running sums need no single task."""
-    g = scored.groupBy("p").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"))
-    g = g.repartitionByRange(F.desc("p")).withColumn("part", F.spark_partition_id())
-    parts = g.groupBy("part").agg(F.sum("n").alias("pn"), F.sum("pos").alias("pp"))
-    order = Window.orderBy("part")  # as many rows as partitions
-    parts = parts.select("part", (F.sum("pn").over(order) - F.col("pn")).alias("n0"), (F.sum("pp").over(order) - F.col("pp")).alias("p0"))
-    w = Window.partitionBy("part").orderBy(F.desc("p"))
-    return g.join(F.broadcast(parts), "part").withColumns({"cn": F.col("n0") + F.sum("n").over(w), "cp": F.col("p0") + F.sum("pos").over(w)})
+def _ranged(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, p, n, pos, and over descending scores of each key running sums cn and cp of n and pos. Scores are dealt to ranges, so running sums need no single task."""
+    keys = keys or []
+    g = scored.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"))
+    g = g.repartitionByRange(*keys, F.desc("p")).withColumn("part", F.spark_partition_id())
+    parts = g.groupBy(*keys, "part").agg(F.sum("n").alias("pn"), F.sum("pos").alias("pp"))
+    order = Window.partitionBy(*keys).orderBy("part")  # as many rows as partitions
+    parts = parts.select(*keys, "part", (F.sum("pn").over(order) - F.col("pn")).alias("n0"), (F.sum("pp").over(order) - F.col("pp")).alias("p0"))
+    w = Window.partitionBy(*keys, "part").orderBy(F.desc("p"))
+    return g.join(F.broadcast(parts), [*keys, "part"]).withColumns({"cn": F.col("n0") + F.sum("n").over(w), "cp": F.col("p0") + F.sum("pos").over(w)})
 
 
-def average_precision(scored: DataFrame) -> DataFrame:
-    """One row: average precision with equal scores taken together."""
-    return _ranged(scored).agg((F.sum(F.col("pos") * F.col("cp") / F.col("cn")) / F.nullif(F.sum("pos"), F.lit(0))).alias("ap"), F.sum("n").alias("n"), F.sum("pos").alias("positives"))
+def average_precision(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row, or one a key: average precision with equal scores taken together."""
+    ap = F.sum(F.col("pos") * F.col("cp") / F.col("cn")) / F.nullif(F.sum("pos"), F.lit(0))
+    return _ranged(scored, keys).groupBy(*keys or []).agg(ap.alias("ap"), F.sum("n").alias("n"), F.sum("pos").alias("positives"))
 
 
 def target_encoding(p: DataFrame, keys: list[str], y: Column, prior: float = 200) -> DataFrame:

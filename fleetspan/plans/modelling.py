@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetspan.operators import features, models
+from fleetspan.operators import boosting, features, models, passages
 from fleetspan.plans.base import MODEL, NAMED, context_of, judged_of
 from fleetspan.plans.book import Book, plain
 from fleetspan.plans.oracle import FRAGMENTS, sql
-from fleetspan.sources import adapter
+from fleetspan.sources import adapter, files
 from fleetspan.streaming import transit
 
 BOOK = Book()
@@ -70,11 +70,55 @@ def _(spark, sf):
     return models.average_precision(models.probabilities(models.train_logistic(train), test))
 
 
+#: Trees that a query grows at most, and the step at which counts are compared; the library's own models take 300 and 25.
+TREES, STEP = 50, 25
+
+
+def learned(spark, sf):
+    """Training rows with their features and a label for each horizon, written once, and their days in order."""
+    p = passages.labelled(context_of(spark, sf).drop("label", "progress", "ratio_prev3"))
+    p = p.withColumns({f"y{k}": F.max("bunched").over(passages.trip_window().rowsBetween(1, k)).cast("int") for k in HORIZONS})
+    rows = models.training_set(features.named(p.where("hw is not null and sched_hw <> 0")))
+    rows = files.shared(rows.select(F.col("day").cast("string").alias("day"), "y", *[f"y{k}" for k in HORIZONS], *[F.col(c).cast("double").alias(c) for c in models.FEATURES]), "training")
+    return rows, sorted(r[0] for r in rows.select("day").distinct().collect())
+
+
+def test_days_of(rows):
+    return {str(r[0]) for r in models.test_days(rows.withColumn("day", F.to_date("day"))).collect()}
+
+
+HORIZONS = (3, 5, 10)
+
+
 @BOOK.add("m05_train_trees")
 def _(spark, sf):
-    rows = training(spark, sf)
-    train, test = models.split(rows)
-    return models.average_precision(models.probabilities(models.train_trees(train), test))
+    """Count of trees chosen by days left out, then average precision on the test days."""
+    rows, days = learned(spark, sf)
+    test = test_days_of(rows)
+    count, curve, _ = boosting.choose_count(rows, models.FEATURES, [d for d in days if d not in test], "y", TREES, STEP)
+    final = boosting.Booster(rows, models.FEATURES, [boosting.Member("all", frozenset(days) - test, "y")]).fit(count)
+    return models.average_precision(final.judged()).select("ap", "n", "positives", F.lit(count).alias("trees"), F.lit(max(curve)).alias("cross_ap"))
+
+
+@BOOK.add("m10_learning_curve")
+def _(spark, sf):
+    """Average precision on the test days of models of the first 1, 2, ... training days, all grown from the same histograms."""
+    rows, days = learned(spark, sf)
+    test = test_days_of(rows)
+    train = [d for d in days if d not in test]
+    members = [boosting.Member(str(i + 1), frozenset(train[: i + 1]), "y") for i in range(len(train))]
+    out = boosting.Booster(rows, models.FEATURES, members).fit(STEP).judged().where(F.col("day").isin(*test))
+    return models.average_precision(out, ["member"]).select((F.col("member") + 1).alias("days"), "ap", "n", "positives")
+
+
+@BOOK.add("m12_horizons")
+def _(spark, sf):
+    """Average precision of each horizon's models on the day that each has not seen; all horizons and days are grown together."""
+    rows, days = learned(spark, sf)
+    members = [boosting.Member(f"y{k}", frozenset(days) - {d}, f"y{k}") for k in HORIZONS for d in days]
+    out = models.average_precision(boosting.Booster(rows, models.FEATURES, members).fit(STEP).judged(), ["member"])
+    names = F.array(*[F.struct(F.lit(int(m.label[1:])).alias("stops_ahead"), F.lit(min(set(days) - m.days)).alias("day")) for m in members])
+    return out.select(F.get(names, F.col("member")).alias("m"), "ap", "n", "positives").select("m.*", "ap", "n", "positives")
 
 
 def stream(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,3 +105,18 @@ def work_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: spark.checkpoint.dir, or where that is unset one in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     return path.rstrip("/") if path else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fleetspan-work"
+
+
+def shared(df: DataFrame, tag: str) -> DataFrame:
+    """df written as Parquet in work_dir() and read back: a cut in the lineage that outlives executors."""
+    path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deleted(df: DataFrame) -> None:
+    """Deletes the folder of a table of shared() that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -42,3 +42,18 @@ def test_query_equals_its_twin(spark, duck, name):
 def test_streams_and_models_without_twin_have_rows(spark):
     for name in ("x24_stop_paths", "j14_jam_match"):
         assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["m05_train_trees", "m05_train_logistic", "m10_learning_curve", "m12_horizons"])
+def test_trained_models_judge_every_row_once(spark, name):
+    """The trees themselves are compared with a plain booster in test_boosting.py."""
+    from fleetspan.operators import models
+    from fleetspan.plans import modelling
+
+    rows = modelling.training(spark, SF)
+    held_out = models.split(rows)[1].count()
+    got = registry.QUERIES[name](spark, SF).collect()
+    if name == "m12_horizons":
+        assert sum(r.n for r in got if r.stops_ahead == 10) == rows.count() and len(got) == len({(r.stops_ahead, r.day) for r in got})
+    else:
+        assert {r.n for r in got} == {held_out}
