@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,9 +34,11 @@ def split(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     return p.join(days, "day", "left_anti"), p.join(days, "day", "left_semi")
 
 
-def _prepared() -> list:
-    full = [f"{c}_full" for c in FEATURES]
-    return [Imputer(inputCols=FEATURES, outputCols=full), VectorAssembler(inputCols=full, outputCol="raw", handleInvalid="keep")]
+def _prepared(rows: DataFrame) -> list:
+    """Stages that put a feature's mean in place of missing values (0 where none is there)."""
+    means = numeric(rows).agg(*[F.coalesce(F.avg(F.nullif(F.col(c), F.lit(float("nan")))), F.lit(0.0)).alias(c) for c in FEATURES]).first()
+    full = ", ".join(f"coalesce(nullif({c}, double('NaN')), {means[c]!r}D) AS {c}_full" for c in FEATURES)
+    return [SQLTransformer(statement=f"SELECT *, {full} FROM __THIS__"), VectorAssembler(inputCols=[f"{c}_full" for c in FEATURES], outputCol="raw")]
 
 
 def numeric(p: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def numeric(p: DataFrame) -> DataFrame:
 
 def train_logistic(rows: DataFrame) -> PipelineModel:
     """Logistic regression on standardised features; missing values count as the mean."""
-    return Pipeline(stages=[*_prepared(), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(labelCol="y", maxIter=30, regParam=1e-3)]).fit(numeric(rows))
+    return Pipeline(stages=[*_prepared(rows), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(labelCol="y", maxIter=30, regParam=1e-3)]).fit(numeric(rows))
 
 
 def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
