@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import islice, repeat
 
 import numpy as np
@@ -20,10 +21,16 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 WINDOW, MEAN, LEAST, MOST = 32, 1024, 256, 8192
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 20
-#: Words that a worker keeps the ids of.
-WORDS_KEPT = 300_000
+#: Words of a generation; a worker keeps the ids of two.
+WORDS_KEPT = 200_000
 #: White space at which texts can be parted: no token reaches over it, whatever stands before and after.
 SPACES = frozenset(b" \t\n\x0b\x0c\r")
+#: Words of ASCII signs (but the apostrophe) and of letters that have one lower-case form and no other spelling, and what the pre-tokenizer parts those into once they are in lower case.
+PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+ATOMS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The sign that stands for each byte in the vocabulary: itself if it can be seen in Latin-1, else one from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 #: Rows of whole texts in an Arrow batch.
 FEW = 64
 BASE = 0x9E3779B1
@@ -43,28 +50,54 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.atoms: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text: those of its words between white space, of which frequent ones are remembered."""
         words = text.split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        out = []
-        for w in words:
-            ids = self.words.get(w)
-            if ids is None:
-                ids = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-                if len(w) <= 64:
-                    self.words[w] = ids
-            out.append(ids)
+        out = list(map(self.words.get, words))
+        if None in out:
+            found = self.looked_up({w for w, ids in zip(words, out, strict=True) if ids is None})
+            out = [found[w] if ids is None else ids for w, ids in zip(words, out, strict=True)]
         return b"".join(out)
 
+    def looked_up(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that aren't among those met of late: from those met before, or from the library. Words that don't come again are forgotten after two generations."""
+        found = {w: ids for w in words if (ids := self.older.get(w)) is not None}
+        fresh = [w for w in words if w not in found]
+        odd, said = [], []
+        for w in fresh:
+            text = w.decode("utf-8", "replace")
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                found[w] = b"".join(map(self.atom, ATOMS.findall(text.lower())))
+            else:
+                odd.append(w)
+                said.append(text)
+        if odd:
+            e = self.tokenizer.encode(said, is_pretokenized=True, add_special_tokens=False)
+            ids, ends = np.array(e.ids, "<u4").tobytes(), np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(odd))) * 4
+            found.update((w, ids[a:b]) for w, a, b in zip(odd, [0, *ends.tolist()], ends.tolist(), strict=False))
+        self.words.update((w, ids) for w, ids in found.items() if len(w) <= 64)
+        if len(self.words) > WORDS_KEPT:
+            self.words, self.older = {}, self.words
+        return found
+
+    def atom(self, atom: str) -> bytes:
+        """Ids of a run of letters, a digit or a run of other signs: the pre-tokenizer parts words there, so letters and digits go straight to the merges, byte by byte."""
+        ids = self.atoms.get(atom)
+        if ids is None:
+            known = self.merges.tokenize("".join(map(BYTES.__getitem__, atom.encode()))) if atom.isalnum() else None
+            ids = np.array([t.id for t in known] if known is not None else self.tokenizer.encode(atom, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(self.atoms) > WORDS_KEPT:
+                self.atoms = {}
+            if len(atom) <= 64:
+                self.atoms[atom] = ids
+        return ids
+
     def decode(self, ids: np.ndarray) -> bytes:
         """As the library does without a decoder: tokens with one space between them."""
         return b" ".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -262,17 +295,10 @@ def id_batches(rows: Iterator[tuple[int, bytes]], schema: pa.Schema) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in few], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=schema.field(1).type)], schema=schema)
 
 
-def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, ids (array<int>) of every document row, as the tokenizers library encodes its whole text without adding special tokens.
-
-    Texts are cut where a rolling hash says, so equal passages give equal chunks wherever they stand. A document without shared chunks is encoded where it is. Of
-    the others, ids of shared chunks, encoded once, meet the ids of what is left, in order; texts aren't moved, but for one copy of a shared chunk from each task that has it. White space is
-    where chunk and text agree for certain, as no token of the vocabulary reaches over it (its normalizer and its pre-tokenizer part there); text without any is encoded as a whole. A null text is
-    empty and has no ids; bytes that aren't UTF-8 are U+FFFD; rows with null doc_ids and repeated rows are rows like others; other columns aren't read; no rows give no rows.
-    """
+def coded(docs: DataFrame, schema: str, finish: Callable[[Iterator[tuple[int, bytes]], pa.Schema], Iterator[pa.RecordBatch]], vocabulary: str = VOCABULARY) -> DataFrame:
+    """finish() over (doc_id, ids as bytes) of a partition's documents, as encoded() states; it runs in the worker that has encoded them."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = shared_chunks(texts)
-    schema = "doc_id long, ids array<int>"
     arrow = spark_schema(docs.sparkSession, schema)
     ids = chunk_ids(texts, shared, vocabulary)
     places = references(texts, shared, vocabulary)
@@ -284,10 +310,12 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     rows = rows.unionByName(literals(texts, shared, vocabulary).select(*own, F.lit(0).cast("long").alias("copies"), "ids"))
     rows = rows.repartition("text_key", "doc_id").sortWithinPartitions("text_key", F.asc_nulls_first("doc_id"), "place")
 
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alone(it: Iterator[tuple]) -> Iterator[tuple[int, bytes]]:
         c, s = codec(vocabulary), shared.value
-        given = (r for b in sliced(batches) for r in unpacked(b))
-        yield from id_batches(((d, c.encode(t)) for d, t in ((d, t or b"") for d, t in given) if not any(digest(t[x:y]) in s for x, y in chunks(t))), arrow)
+        for doc_id, text in it:
+            text = text or b""
+            if not any(digest(text[begin:end]) in s for begin, end in chunks(text)):
+                yield doc_id, c.encode(text)
 
     def joined(it: Iterator[tuple]) -> Iterator[tuple[int, bytes]]:
         now, copies, parts, last = None, 0, [], -1
@@ -303,28 +331,40 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         if now:
             yield from repeat((now[1], b"".join(parts)), copies)
 
-    put = rows.mapInArrow(lambda batches: id_batches(joined(r for b in sliced(batches) for r in unpacked(b)), arrow), schema)
-    return put.unionByName(texts.mapInArrow(alone, schema))
+    def over(df: DataFrame, made: Callable[[Iterator[tuple]], Iterator[tuple[int, bytes]]]) -> DataFrame:
+        return df.mapInArrow(lambda batches: finish(made(r for b in sliced(batches) for r in unpacked(b)), arrow), schema)
 
+    return over(rows, joined).unionByName(over(texts, alone))
 
-def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    for b in batches:
-        for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            yield doc_id, (ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32))
+
+def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, ids (array<int>) of every document row, as the tokenizers library encodes its whole text without adding special tokens.
+
+    Texts are cut where a rolling hash says, so equal passages give equal chunks wherever they stand. A document without shared chunks is encoded where it is. Of
+    the others, ids of shared chunks, encoded once, meet the ids of what is left, in order; texts aren't moved, but for one copy of a shared chunk from each task that has it. White space is
+    where chunk and text agree for certain, as no token of the vocabulary reaches over it (its normalizer and its pre-tokenizer part there); text without any is encoded as a whole. A null text is
+    empty and has no ids; bytes that aren't UTF-8 are U+FFFD; rows with null doc_ids and repeated rows are rows like others; other columns aren't read; no rows give no rows.
+    """
+    return coded(docs, "doc_id long, ids array<int>", id_batches, vocabulary)
 
 
 def decoded(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, text of encoded() rows: tokens with one space between them, special ones too. Null or no ids give an empty text; ids must be the vocabulary's."""
     out = spark_schema(rows.sparkSession, "doc_id long, text string")
-    return rows.select("doc_id", "ids").mapInArrow(lambda batches: packed(((d, codec(vocabulary).decode(ids).decode()) for d, ids in ids_of(batches)), out, FEW), "doc_id long, text string")
 
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
+        c = codec(vocabulary)
+        for b in batches:
+            for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                yield doc_id, c.decode(ids.values.to_numpy()).decode() if ids.is_valid else ""
 
-def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    out = spark_schema(spark, schema)
+    return rows.select("doc_id", "ids").mapInArrow(lambda batches: packed(texts(batches), out, FEW), "doc_id long, text string")
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(VOCABULARY)
-        return packed(((d, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()) for d, ids in ids_of(batches)), out)
 
-    return encoded(table(spark, sf_dir, "documents")).mapInArrow(digests, schema)
+def digests(rows: Iterator[tuple[int, bytes]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    c = codec(VOCABULARY)
+    return packed(((d, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(np.frombuffer(ids, "<u4"))).hexdigest()) for d, ids in rows), schema)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(table(spark, sf_dir, "documents"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
