@@ -7,20 +7,25 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspan.llm.common import fresh, keep_rows, map_rows, saved, split_by, table
-from fleetspan.llm.words import alnum_words
+from fleetspan.llm.words import ODD, alnum_words, mixed
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 13
 #: A document is contaminated if at least one word in ONE_IN is hit.
 ONE_IN = 20
-#: Bytes of test texts that one automaton is built of, so that it fits a worker.
+#: Marks a block among the automaton's values, whose lower bits are the length of a text shorter than a window.
+BLOCK = 1 << 20
+#: Classes of words; a block of words of the right classes that are other words is told by comparing its windows.
+CLASSES = 255
+#: Bytes of test texts that one automaton is built of; 8 MB take some 300 MB of a worker (measured).
 AUTOMATON_BYTES = 8_000_000
 
 HITS = "doc_id long, text string, n_words long, n_hit long, n_items long, items_sha256 string, items array<long>, spans array<struct<start:long,end:long>>"
@@ -28,14 +33,6 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _built: dict[tuple, object] = {}
 
 
-def windows(words: list[bytes], size: int = WINDOW) -> set[bytes]:
-    """Runs of `size` words, each with a space around; fewer words are one run."""
-    if not words:
-        return set()
-    size = min(size, len(words))
-    return {b" " + b" ".join(words[i : i + size]) + b" " for i in range(len(words) - size + 1)}
-
-
 def pieces(words: list[bytes], size: int, most: int) -> Iterator[bytes]:
     """Texts that together have the windows of all words, of some `most` bytes each, or of one window if that is longer."""
     begin, length = 0, 0
@@ -49,44 +46,98 @@ def pieces(words: list[bytes], size: int, most: int) -> Iterator[bytes]:
         yield b" ".join(words[begin:])
 
 
-def automaton(items: list[tuple[int, bytes]], size: int):
-    """The automaton over all windows; a value is (words of the window, ids of its items). One is kept per Python worker."""
-    import ahocorasick
+class Tests:
+    """Test texts as word numbers: an automaton over blocks of words, and all windows by hash.
+
+    Every (size + 1) / 2 words of a test text begin a block of as many words, so each window holds a whole block: the automaton has a node a word of test text and not one for each sign of each
+    window. Its signs are classes of words, so that its nodes have few children. Where it finds a block, the windows that may lie around it are looked up, and compared word by word with a place that holds them. Texts shorter than a window are patterns of their own.
+    """
 
+    def __init__(self, items: list[tuple[int, bytes]], size: int):
+        import ahocorasick
+
+        self.size, self.block = size, (size + 1) // 2
+        self.numbers: dict[bytes, int] = {}
+        texts = [(item, words) for item, text in items if (words := alnum_words(text))]
+        coded = [np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64) for _, words in texts]
+        self.words = np.concatenate(coded) if coded else np.zeros(0, np.int64)
+        patterns: dict[str, int] = {}
+        hashes, places, owners, at = [], [], [], 0
+        for (item, _), c in zip(texts, coded, strict=True):
+            n = len(c)
+            if n < size:
+                patterns[key] = patterns.get(key := self.signs(c), 0) | n
+            for begin in range(0, n - self.block + 1 if n >= size else 0, self.block):
+                patterns[key] = patterns.get(key := self.signs(c[begin : begin + self.block]), 0) | BLOCK
+            length = min(n, size)
+            starts = np.arange(n - length + 1)
+            hashes.append(self.hashes(c, starts, length))
+            places.append(starts + at)
+            owners.append(np.full(len(starts), item))
+            at += n
+        h, place, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, places, owners))
+        order = np.argsort(h, kind="stable")
+        self.sorted, self.places, self.owners = h[order], place[order], owner[order]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for key, value in patterns.items():
+            self.automaton.add_word(key, value)
+        if patterns:
+            self.automaton.make_automaton()
+
+    @staticmethod
+    def signs(numbers: np.ndarray) -> str:
+        """A sign for each word: its class, or zero for a word that no test has."""
+        return np.where(numbers > 0, numbers % CLASSES + 1, 0).astype(np.uint8).tobytes().decode("latin-1")
+
+    @staticmethod
+    def hashes(numbers: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+        out = np.full(len(starts), length, np.uint64)
+        for j in range(length):
+            out = mixed(out * ODD + numbers[starts + j].astype(np.uint64))
+        return out
+
+    def matches(self, numbers: np.ndarray, starts: np.ndarray, length: int, items: set[int]) -> list[int]:
+        """Those of the starts at which a window of this length stands; its items are added."""
+        h, found = self.hashes(numbers, starts, length), []
+        low, high = np.searchsorted(self.sorted, h), np.searchsorted(self.sorted, h, "right")
+        span = np.arange(length)
+        for s, a, b in zip(starts.tolist(), low.tolist(), high.tolist(), strict=True):
+            here = [k for k in range(a, b) if self.places[k] + length <= len(self.words) and (self.words[self.places[k] + span] == numbers[s + span]).all()]
+            if here:
+                found.append(s)
+                items.update(self.owners[here].tolist())
+        return found
+
+    def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[int]]:
+        """Number of words, merged runs [first, end) of words inside windows, and ids of the items found."""
+        words = alnum_words(text)
+        if not words or not len(self.automaton):
+            return len(words), [], set()
+        numbers = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
+        hits = list(self.automaton.iter(self.signs(numbers)))
+        if not hits:
+            return len(words), [], set()
+        items, runs, size = set(), [], self.size
+        ends = np.array([e for e, value in hits if value & BLOCK])
+        if len(ends):
+            starts = np.unique(ends[:, None] - np.arange(self.block - 1, size))
+            starts = starts[(starts >= 0) & (starts + size <= len(words))]
+            runs += [(s, s + size) for s in self.matches(numbers, starts, size, items)]
+        for length in {value & BLOCK - 1 for _, value in hits} - {0}:
+            starts = np.array([e - length + 1 for e, value in hits if value & BLOCK - 1 == length])
+            runs += [(s, s + length) for s in self.matches(numbers, starts, length, items)]
+        return len(words), merged(runs), items
+
+
+def automaton(items: list[tuple[int, bytes]], size: int) -> Tests:
+    """The tests' automaton; one is kept per Python worker."""
     key = (size, hashlib.sha256(repr(items).encode()).digest())
     if key not in _built:
-        found: dict[bytes, list[int]] = {}
-        for item, text in items:
-            for w in windows(alnum_words(text), size):
-                found.setdefault(w, []).append(item)
-        made = ahocorasick.Automaton()
-        for w, ids in found.items():
-            made.add_word(w.decode("utf-8", "replace"), (w.count(b" ") - 1, ids))
-        if found:
-            made.make_automaton()
         _built.clear()
-        _built[key] = made
+        _built[key] = Tests(items, size)
     return _built[key]
 
 
-def scan(text: bytes | None, made) -> tuple[int, list[tuple[int, int]], set[int]]:
-    """Number of words, merged runs [first, end) of words inside windows, and ids of the items found."""
-    words = alnum_words(text)
-    if not words or not len(made):
-        return len(words), [], set()
-    norm = f" {b' '.join(words).decode('utf-8', 'replace')} "
-    hits = list(made.iter(norm))
-    if not hits:
-        return len(words), [], set()
-    spaces = [i for i, c in enumerate(norm) if c == " "]
-    runs, items = [], set()
-    for end, (n, ids) in hits:
-        last = bisect_left(spaces, end)
-        runs.append((last - n, last))
-        items.update(ids)
-    return len(words), merged(runs), items
-
-
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(runs):
@@ -123,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mos
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         made = automaton(held.value, size)
         for doc, raw in it:
-            n, runs, found = scan(raw, made)
+            n, runs, found = made.scan(raw)
             yield doc, *told(raw, n, runs, found)
 
     return map_rows(text, HITS, rows).withColumn("contaminated", verdict())
@@ -166,7 +217,7 @@ def hits_of(text: DataFrame, parts: list[DataFrame], size: int) -> DataFrame:
         def rows(it: Iterator[tuple], held=held, number=number) -> Iterator[tuple]:
             made = automaton(held.value, size)
             for h1, h2, raw in it:
-                _, runs, items = scan(raw, made)
+                _, runs, items = made.scan(raw)
                 if runs:
                     yield h1, h2, number, [{"a": a, "b": b} for a, b in runs], sorted(items)
 
@@ -209,7 +260,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mo
     def keep(texts):
         made = automaton(held.value, size)
         for text in texts:
-            n, runs, _ = scan(text, made)
+            n, runs, _ = made.scan(text)
             hit = sum(b - a for a, b in runs)
             yield not (hit and hit * ONE_IN >= n)
 
