@@ -46,10 +46,10 @@ class Sizes:
         return (bad - good) / max(len(text), 1)
 
     def features(self, text: bytes | None) -> list[float]:
-        """What is calibrated: the normalised difference, which is less certain in short texts; so its slope and level follow the log length."""
+        """What is calibrated: the normalised difference, which says more in longer texts; so its slope follows the log length. Where there is no difference both are zero, whatever the length."""
         text = text or b""
-        diff, size = self.difference(text), float(np.log1p(len(text)))
-        return [diff, diff * size, size]
+        diff = self.difference(text)
+        return [diff, diff * float(np.log1p(len(text)))]
 
 
 class Model:
@@ -86,6 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int
     order = [F.xxhash64(F.lit("quality"), F.col("doc_id")), F.col("doc_id")]
     sample = rows.where("quality = 0").orderBy(*order).limit(most).unionByName(rows.where("quality = 1").orderBy(*order).limit(most))
     sample = docs.select("doc_id", "text").join(F.broadcast(sample.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("int"))), "doc_id")
+    sample = sample.groupBy("doc_id", "quality", "half").agg(F.min("text").alias("text"))  # of rows that share an id one, so that the bound is one of rows
     before = Window.partitionBy("quality", "half").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # 2 * most rows at most
     sample = saved(sample.withColumn("bytes", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("bytes") < most_bytes), "quality-sample")
 
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int
 def scored(docs: DataFrame, labels: DataFrame, model_docs: DataFrame | None = None) -> DataFrame:
     """One row per document row: doc_id, text, held_out, score, predicted.
 
-    A null text is empty; empty texts get the score of no difference at length 0. A null doc_id isn't held out and never learned from; labels other than 0 and 1 are skipped, of
+    A null text is empty; empty texts get the score of no difference. A null doc_id isn't held out and never learned from; labels other than 0 and 1 are skipped, of
     repeated labels the smallest counts. Only doc_id and text are read of documents; an empty table gives no rows.
     """
     model = fit(model_docs if model_docs is not None else docs, labels)
