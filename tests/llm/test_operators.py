@@ -405,7 +405,7 @@ def test_language_model_learns_from_whole_texts(spark):
     w = small_words(spark, {"x": 30, "y": 10})
     reader = language_model.Reader(w, ([b"x"], np.array([30.0])), language_model.VOCABULARY)
     before = initial(w.share)
-    got = list(language_model.local_steps(iter([(b"x y " * 10_000,), (b"x " * 200,), (None,)]), before, reader))
+    got = list(language_model.local_steps(iter([(0, b"x y " * 10_000), (0, b"x " * 200), (0, None)]), before, reader))
     assert {w for *_, w in got} == {20_000 + 200 + 3} and [v for _, v, _ in got] != language_model.flat(before).tolist()
 
 
@@ -499,3 +499,54 @@ def test_mixing_without_a_domain_keeps_the_others(spark):
 
 def test_mixing_without_labels_keeps_rates_at_one(spark, odd, labels):
     assert mixing.mixed(odd.drop("rate"), labels.where("false")).where("rate <> 1").count() == 0
+
+
+def test_language_model_does_not_hang_on_partitions(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for chunk_tokens in (language_model.CHUNK_TOKENS, 50_000):  # one chunk a round, and several
+        monkeypatch.setattr(language_model, "CHUNK_TOKENS", chunk_tokens)
+        one, many = ({r.doc_id: r for r in language_model.scored(docs.repartition(n)).collect()} for n in (1, 32))
+        assert max(abs(one[i].score - many[i].score) / max(1, one[i].n_tokens) for i in one) < 1e-3
+        assert abs(sum(r.score for r in one.values()) / sum(r.score for r in many.values()) - 1) < 1e-5
+        held = [r for r in many.values() if r.held_out]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_quality_without_difference_is_one_score():
+    r = np.random.default_rng(8)
+    x = np.array([[d, d * s] for d, s in zip(r.normal(size=200), r.uniform(0, 10, 200), strict=True)])
+    model = quality_model.Model(b"", b"", quality_model.Logistic(x, (x[:, 0] > 0).astype(float)))  # equal dictionaries: no text has a difference
+    score = model.scorer()
+    assert len({score(t) for t in (None, b"", b"a few words", b"word " * 50_000)}) == 1
+    by_hand = quality_model.Sizes(b"good words here " * 20, b"bad words there " * 20)
+    text = b"good words here and there " * 30
+    size = lambda c: sum(len(c.compress(text[i : i + quality_model.PIECE])) for i in range(0, len(text), quality_model.PIECE))
+    assert by_hand.features(text)[0] == (size(by_hand.each[0]) - size(by_hand.each[1])) / len(text) > 0
+
+
+@pytest.mark.parametrize("classes", [255, 2])
+def test_scan_equals_all_windows(monkeypatch, classes):
+    monkeypatch.setattr(decontaminate, "CLASSES", classes)  # with two classes of words nearly all that the automaton finds is wrong
+    r = np.random.default_rng(9)
+    text = lambda n, v: " ".join(f"w{x}" for x in r.integers(0, v, n))
+    for size in (1, 2, 4, 13):
+        items = [(int(r.integers(0, 12)), text(int(r.integers(0, 40)), int(r.choice([2, 60])))) for _ in range(20)]
+        made = decontaminate.Tests([(i, t.encode()) for i, t in items], size)
+        for _ in range(40):
+            parts = [text(int(r.integers(0, 15)), 60)]
+            for _ in range(3):
+                words = items[int(r.integers(0, 20))][1].split()
+                a = int(r.integers(0, len(words) + 1))
+                parts += [" ".join(words[a : a + int(r.integers(0, 30))]), text(int(r.integers(0, 9)), 2)]
+            doc = " ".join(parts).split()
+            hit, found = set(), set()
+            for item, t in items:
+                w = t.split()
+                n = min(size, len(w))
+                for window in {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if w else ():
+                    for i in range(len(doc) - n + 1):
+                        if tuple(doc[i : i + n]) == window:
+                            hit |= set(range(i, i + n))
+                            found.add(item)
+            n, runs, got = made.scan(" ".join(doc).upper().encode())
+            assert n == len(doc) and {i for a, b in runs for i in range(a, b)} == hit and got == found
