@@ -45,14 +45,18 @@ def pair_key() -> Column:
     return F.concat_ws("|", F.transform(F.array_sort(F.array(F.struct(F.col("first_trip").alias("t"), F.col("first_vehicle").alias("v")), F.struct(F.col("second_trip").alias("t"), F.col("second_vehicle").alias("v")))), lambda x: F.concat_ws("/", x["t"], x["v"])))
 
 
+def islands(found: DataFrame, pause: int = PAUSE) -> DataFrame:
+    """Candidates with pair and island, which counts the pauses of over `pause` seconds before them."""
+    w = Window.partitionBy("day", "line", "direction_id", "pair").orderBy("t2", "stop_id")
+    c = found.withColumn("pair", pair_key())
+    return c.withColumn("new", F.when(F.col("t2") - F.lag("t2").over(w) > pause * SECOND, 1).otherwise(0)).withColumn("island", F.sum("new").over(w)).drop("new")
+
+
 def episodes(found: DataFrame, pause: int = PAUSE) -> DataFrame:
     """Candidates of one pair whose pauses are not over `pause` seconds: bounds, stops, gaps and class."""
     keys = ["day", "line", "direction_id", "pair"]
-    w = Window.partitionBy(*keys).orderBy("t2", "stop_id")
-    c = found.withColumn("pair", pair_key())
-    c = c.withColumn("new", F.when(F.col("t2") - F.lag("t2").over(w) > pause * SECOND, 1).otherwise(0)).withColumn("island", F.sum("new").over(w))
     at = F.struct("t2", "stop_id")
-    e = c.groupBy(*keys, "island").agg(
+    e = islands(found, pause).groupBy(*keys, "island").agg(
         F.min("t1").alias("starts"), F.max("t2").alias("ends"), F.min_by("stop_id", at).alias("first_stop"), F.max_by("stop_id", at).alias("last_stop"),
         F.count("*").alias("evidence"), F.countDistinct("stop_id").alias("stops"), F.min("observed_gap").alias("min_gap"), F.max("planned_gap").alias("max_planned"))
     return e.withColumn("class", F.when(F.col("stops") >= LEAST_STOPS, "multi_stop").otherwise("single_point"))
