@@ -145,14 +145,69 @@ def hour_ranges(rows: DataFrame, keys: list[str]) -> DataFrame:
     return r.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("range")), ",").alias("hours"))
 
 
+#: A problem: a line and direction in a block of the day.
+SLOT = ["line", "direction_id", "block"]
+
+
 def causes(trips: DataFrame) -> DataFrame:
-    """Per line and direction, of working days' trips: the share that the vehicle's trip before left over 300 s late and that of too close departures, against the network's, and the cause that they point to."""
+    """Per slot, of working days' trips: the share that the vehicle's trip before left over 300 s late and that of too close departures, against the network's, and the cause that they point to."""
     t = trips.where("working")
     late, near = share(F.coalesce(F.col("prev_trip_delay") > 300, F.lit(False))), share(F.coalesce(F.col("dep_ratio") < 0.8, F.lit(False)))
-    g = t.groupBy("line", "direction_id").agg(late.alias("late"), near.alias("near"))
+    g = t.groupBy(*SLOT).agg(F.count("*").alias("trips"), late.alias("late"), near.alias("near"))
     g = g.crossJoin(F.broadcast(t.agg(late.alias("all_late"), near.alias("all_near"))))  # one row
     cause = F.when(F.col("late") >= 1.5 * F.col("all_late"), "turnaround").when(F.col("near") >= 1.3 * F.col("all_near"), "dispatch").otherwise("road")
-    return g.select("line", "direction_id", "late", "near", cause.alias("cause"))
+    return g.select(*SLOT, "trips", "late", "near", cause.alias("cause"))
+
+
+def slot_passages(p: DataFrame, slots: DataFrame) -> DataFrame:
+    """Valid passages in problem slots, with onset: bunched, and not so at the trip's passage before in the same slot."""
+    w = Window.partitionBy(*TRIP, *SLOT).orderBy("seq", "t")
+    return p.where("valid").join(slots.select(*SLOT), SLOT, "left_semi").withColumn("onset", F.col("bunched") & ~F.coalesce(F.lag("bunched").over(w), F.lit(False)))
+
+
+def slot_days(v: DataFrame) -> DataFrame:
+    """Per slot and day of the week: bunched share, of slot_passages()."""
+    return v.groupBy(*SLOT, "dow").agg(F.count("*").alias("passages"), share(F.col("bunched")).alias("rate"))
+
+
+def slot_hours(p: DataFrame, slots: DataFrame, hot: float = HOT, hot_days: int = 4, least: int = 60) -> DataFrame:
+    """Per problem slot the hours of its line and direction with enough passages on working days: rate, and whether the hour is a hot one of the slot's own block."""
+    h = p.where("valid and working").groupBy("line", "direction_id", "hour").agg(F.count("*").alias("passages"), F.first("block").alias("of"))
+    h = h.where(F.col("passages") >= least).join(hot_slots(p, "hour", hot), ["line", "direction_id", "hour"])
+    h = h.crossJoin(F.broadcast(base_rate(p)))  # one row
+    own = F.col("of") == F.col("block")
+    is_hot = own & (F.col("mean_rate") >= hot * F.col("base")) & (F.col("hot_days") >= hot_days)
+    return slots.select(*SLOT).join(h, ["line", "direction_id"]).select(*SLOT, "hour", "passages", F.col("mean_rate").alias("rate"), own.alias("in_block"), is_hot.alias("hot"))
+
+
+def slot_stops(v: DataFrame, least: int = 20, days: int = HOT_DAYS, most: int = 5) -> DataFrame:
+    """Per slot the stops with enough passages on working days, in order: median sequence, rate, onsets, days with bunching; worst marks the `most` of the highest rate among those bunched on `days` days."""
+    g = v.where("working").groupBy(*SLOT, "stop_id").agg(F.percentile("seq", 0.5).alias("seq"), F.count("*").alias("passages"), share(F.col("bunched")).alias("rate"), F.count_if("onset").alias("onsets"), F.count_distinct(F.when(F.col("bunched"), F.col("day"))).alias("days"))
+    rank = F.row_number().over(Window.partitionBy(*SLOT, F.col("days") >= days).orderBy(F.desc("rate"), "stop_id"))  # a slot's stops
+    return g.where(F.col("passages") >= least).withColumn("worst", (F.col("days") >= days) & (rank <= most))
+
+
+def slot_onsets(v: DataFrame) -> DataFrame:
+    """Per slot, on working days: onsets, their median progress, and the share of them in a trip's first quarter."""
+    on = v.where("working and onset")
+    return on.groupBy(*SLOT).agg(F.count("*").alias("onsets"), F.percentile("progress", 0.5).alias("median_progress"), share(F.col("progress") < 0.25).alias("first_quarter"))
+
+
+def slot_terminals(trips: DataFrame, slots: DataFrame) -> DataFrame:
+    """Per slot the stop where most of its working days' trips begin, of equal ones the least, and how many do."""
+    n = trips.where("working").join(slots.select(*SLOT), SLOT, "left_semi").groupBy(*SLOT, "first_stop").agg(F.count("*").alias("n"))
+    return n.groupBy(*SLOT).agg(F.min_by("first_stop", F.struct(-F.col("n"), "first_stop")).alias("terminal"), F.max("n").alias("trips"))
+
+
+def problem_list(p: DataFrame, trips: DataFrame, slots: DataFrame) -> DataFrame:
+    """A row a problem slot: rate on working days, its multiple of the network's, bunched passages and trips a working day, planned headway in minutes, cause with its evidence, and where onsets lie."""
+    v = slot_passages(p, slots)
+    g = v.where("working").groupBy(*SLOT).agg(share(F.col("bunched")).alias("rate"), F.count_if("bunched").alias("bunched"), F.count_distinct("day").alias("days"))
+    plan = p.where("valid").join(slots.select("line", "direction_id").distinct(), ["line", "direction_id"], "left_semi").groupBy("line", "direction_id").agg((F.percentile("sched_hw", 0.5) / 60).alias("planned_min"))
+    g = g.join(plan, ["line", "direction_id"]).crossJoin(F.broadcast(base_rate(p)))  # one row
+    g = g.join(causes(trips), SLOT, "left").join(slot_onsets(v), SLOT, "left").join(slot_terminals(trips, slots).drop("trips"), SLOT, "left")
+    day = lambda c: (F.col(c) / HOT_DAYS).alias(f"{c}_a_day")
+    return g.select(*SLOT, "rate", (F.col("rate") / F.nullif("base", F.lit(0.0))).alias("times_network"), day("bunched"), day("trips"), "planned_min", "late", "near", F.coalesce("cause", F.lit("road")).alias("cause"), "median_progress", "first_quarter", "terminal")
 
 
 def headline(p: DataFrame) -> DataFrame:

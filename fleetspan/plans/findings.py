@@ -16,7 +16,7 @@ SHARED = 20
 
 FRAGMENTS |= {
     "base_rate": "SELECT avg(bunched::INT) AS base FROM feat WHERE valid AND working",
-    "terminal": """SELECT * FROM (SELECT day, trip_id, vehicle_id, arg_min(line, (seq, t)) AS line, arg_min(direction_id, (seq, t)) AS direction_id, arg_min(working, (seq, t)) AS working, arg_min_null(ratio, (seq, t)) AS dep_ratio, arg_min_null(delay, (seq, t)) AS dep_delay, arg_min_null(prev_trip_delay, (seq, t)) AS prev_trip_delay, arg_min(progress, (seq, t)) AS first_progress, arg_min(stop_id, (seq, t)) AS first_stop, max(bunched) AS any_bunched, count(*) FILTER (bunched) AS times_bunched FROM feat WHERE valid GROUP BY ALL) WHERE first_progress < 0.35""",
+    "terminal": """SELECT * FROM (SELECT day, trip_id, vehicle_id, arg_min(line, (seq, t)) AS line, arg_min(direction_id, (seq, t)) AS direction_id, arg_min(working, (seq, t)) AS working, arg_min(block, (seq, t)) AS block, arg_min_null(ratio, (seq, t)) AS dep_ratio, arg_min_null(delay, (seq, t)) AS dep_delay, arg_min_null(prev_trip_delay, (seq, t)) AS prev_trip_delay, arg_min(progress, (seq, t)) AS first_progress, arg_min(stop_id, (seq, t)) AS first_stop, max(bunched) AS any_bunched, count(*) FILTER (bunched) AS times_bunched FROM feat WHERE valid GROUP BY ALL) WHERE first_progress < 0.35""",
     "onset_rows": "SELECT *, bunched AND NOT coalesce(lag(bunched) OVER (PARTITION BY day, trip_id, vehicle_id ORDER BY seq, t), false) AS onset FROM feat WHERE valid",
     "follows": "SELECT *, (t - t0) / 1e6 AS gap, abs(sched_us - s0) / 1e6 AS planned_gap FROM (SELECT *, lag(line) OVER w AS line0, lag(direction_id) OVER w AS dir0, lag(t) OVER w AS t0, lag(sched_us) OVER w AS s0, lag(trip_id) OVER w AS trip0 FROM feat WHERE valid WINDOW w AS (PARTITION BY day, stop_id ORDER BY t, trip_id, vehicle_id)) WHERE line0 <> line",
     "line_stops": f"SELECT line, direction_id, stop_id FROM feat WHERE valid GROUP BY ALL HAVING count(*) >= {SHARED}",
@@ -69,12 +69,66 @@ def _(spark, sf):
     return plain(p.groupBy("line", "direction_id", "block", "stop_id").agg(F.count("*").alias("passages"), f.share(F.col("bunched")).alias("rate")).where("passages >= 20"))
 
 
-@BOOK.add("a34_causes", sql("""SELECT line, direction_id, round(late, 6) AS late, round(near, 6) AS near, CASE WHEN late >= 1.5 * all_late THEN 'turnaround' WHEN near >= 1.3 * all_near THEN 'dispatch' ELSE 'road' END AS cause FROM (
-  SELECT line, direction_id, avg(coalesce(prev_trip_delay > 300, false)::INT) AS late, avg(coalesce(dep_ratio < 0.8, false)::INT) AS near FROM terminal WHERE working GROUP BY 1, 2), (SELECT avg(coalesce(prev_trip_delay > 300, false)::INT) AS all_late, avg(coalesce(dep_ratio < 0.8, false)::INT) AS all_near FROM terminal WHERE working)"""))
+FRAGMENTS |= {
+    "network": "SELECT avg(bunched::INT) AS base FROM feat WHERE valid AND working",
+    "problems": """SELECT line, direction_id, block FROM (SELECT *, row_number() OVER (PARTITION BY line, direction_id ORDER BY recurring DESC, bunched DESC, block) AS r FROM (
+      SELECT line, direction_id, block, count(*) = 5 AND count(*) FILTER (rate >= 2.0 * base) >= 2 AS recurring, sum(b) AS bunched FROM (SELECT line, direction_id, block, day, avg(bunched::INT) AS rate, count(*) FILTER (bunched) AS b FROM feat WHERE valid AND working GROUP BY ALL), network GROUP BY 1, 2, 3)) WHERE r = 1""",
+    "in_slots": "SELECT *, bunched AND NOT coalesce(lag(bunched) OVER (PARTITION BY day, trip_id, vehicle_id, block ORDER BY seq, t), false) AS onset FROM feat SEMI JOIN problems USING (line, direction_id, block) WHERE valid",
+    "slot_causes": """SELECT line, direction_id, block, trips, late, near, CASE WHEN late >= 1.5 * all_late THEN 'turnaround' WHEN near >= 1.3 * all_near THEN 'dispatch' ELSE 'road' END AS cause FROM (
+      SELECT line, direction_id, block, count(*) AS trips, avg(coalesce(prev_trip_delay > 300, false)::INT) AS late, avg(coalesce(dep_ratio < 0.8, false)::INT) AS near FROM terminal WHERE working GROUP BY 1, 2, 3), (SELECT avg(coalesce(prev_trip_delay > 300, false)::INT) AS all_late, avg(coalesce(dep_ratio < 0.8, false)::INT) AS all_near FROM terminal WHERE working)""",
+}
+
+
+def slots_of(p):
+    return f.first_problems(p, hot_days=2)
+
+
+@BOOK.add("a34_causes", sql("SELECT line, direction_id, block, trips, round(late, 6) AS late, round(near, 6) AS near, cause FROM slot_causes"))
 def _(spark, sf):
     return plain(f.causes(f.terminal_trips(week(spark, sf), 0.35)))
 
 
+@BOOK.add("a33_by_day", sql("SELECT line, direction_id, block, strftime(day, '%a') AS dow, count(*) AS passages, round(avg(bunched::INT), 6) AS rate FROM in_slots GROUP BY ALL"))
+def _(spark, sf):
+    p = week(spark, sf)
+    return plain(f.slot_days(f.slot_passages(p, slots_of(p))))
+
+
+@BOOK.add("a33_by_hour", sql("""SELECT s.line, s.direction_id, s.block, hour, passages, round(rate, 6) AS rate, own = s.block AS in_block, own = s.block AND rate >= 2.0 * base AND hot >= 1 AS hot FROM problems s JOIN (
+  SELECT line, direction_id, hour, any_value(block) AS own, sum(n)::BIGINT AS passages, avg(day_rate) AS rate, count(*) FILTER (day_rate >= 2.0 * base) AS hot FROM (SELECT line, direction_id, hour, block, day, count(*) AS n, avg(bunched::INT) AS day_rate FROM feat WHERE valid AND working GROUP BY ALL), network GROUP BY 1, 2, 3) h USING (line, direction_id), network WHERE passages >= 3"""))
+def _(spark, sf):
+    p = week(spark, sf)
+    return plain(f.slot_hours(p, slots_of(p), hot_days=1, least=3))
+
+
+@BOOK.add("a33_stops", sql("""SELECT line, direction_id, block, stop_id, seq, passages, round(rate, 6) AS rate, onsets, days, days >= 1 AND row_number() OVER (PARTITION BY line, direction_id, block, days >= 1 ORDER BY rate DESC, stop_id) <= 2 AS worst FROM (
+  SELECT line, direction_id, block, stop_id, median(seq) AS seq, count(*) AS passages, avg(bunched::INT) AS rate, count(*) FILTER (onset) AS onsets, count(DISTINCT CASE WHEN bunched THEN day END) AS days FROM in_slots WHERE working GROUP BY 1, 2, 3, 4) WHERE passages >= 2"""))
+def _(spark, sf):
+    p = week(spark, sf)
+    return plain(f.slot_stops(f.slot_passages(p, slots_of(p)), least=2, days=1, most=2))
+
+
+@BOOK.add("a33_onsets", sql("SELECT line, direction_id, block, count(*) AS onsets, round(median(progress), 6) AS median_progress, round(avg((progress < 0.25)::INT), 6) AS first_quarter FROM in_slots WHERE working AND onset GROUP BY 1, 2, 3"))
+def _(spark, sf):
+    p = week(spark, sf)
+    return plain(f.slot_onsets(f.slot_passages(p, slots_of(p))))
+
+
+@BOOK.add("a33_terminals", sql("SELECT line, direction_id, block, arg_min(first_stop, (-n, first_stop)) AS terminal, max(n) AS trips FROM (SELECT line, direction_id, block, first_stop, count(*) AS n FROM terminal SEMI JOIN problems USING (line, direction_id, block) WHERE working GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"))
+def _(spark, sf):
+    p = week(spark, sf)
+    return f.slot_terminals(f.terminal_trips(p, 0.35), slots_of(p))
+
+
+@BOOK.add("a33_problems", sql("""SELECT g.line, g.direction_id, g.block, round(rate, 6) AS rate, round(rate / nullif(base, 0), 6) AS times_network, round(bunched / 5, 6) AS bunched_a_day, round(trips / 5, 6) AS trips_a_day, round(planned, 6) AS planned_min, round(late, 6) AS late, round(near, 6) AS near, coalesce(cause, 'road') AS cause, round(mp, 6) AS median_progress, round(fq, 6) AS first_quarter, terminal
+  FROM (SELECT line, direction_id, block, avg(bunched::INT) AS rate, count(*) FILTER (bunched) AS bunched, median(CASE WHEN onset THEN progress END) AS mp, avg(CASE WHEN onset THEN (progress < 0.25)::INT END) AS fq FROM in_slots WHERE working GROUP BY 1, 2, 3) g
+  JOIN (SELECT line, direction_id, median(sched_hw) / 60 AS planned FROM feat WHERE valid GROUP BY 1, 2) USING (line, direction_id) CROSS JOIN network LEFT JOIN slot_causes c ON c.line = g.line AND c.direction_id = g.direction_id AND c.block = g.block
+  LEFT JOIN (SELECT line, direction_id, block, arg_min(first_stop, (-n, first_stop)) AS terminal FROM (SELECT line, direction_id, block, first_stop, count(*) AS n FROM terminal WHERE working GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) t ON t.line = g.line AND t.direction_id = g.direction_id AND t.block = g.block"""))
+def _(spark, sf):
+    p = week(spark, sf)
+    return plain(f.problem_list(p, f.terminal_trips(p, 0.35), slots_of(p)))
+
+
 @BOOK.add("a35_hotspots", sql("""SELECT t.*, l.lines, h.peak_hour FROM (SELECT * FROM (SELECT stop_id, count(*) AS passages, count(*) FILTER (bunched) AS bunched, count(DISTINCT CASE WHEN bunched THEN day END) AS days, round(count(*) FILTER (bunched) / count(*), 6) AS rate FROM feat WHERE valid AND working GROUP BY 1) WHERE days >= 3 AND passages >= 10 ORDER BY bunched DESC, stop_id LIMIT 80) t
   JOIN (SELECT stop_id, string_agg(line, ',' ORDER BY r) AS lines FROM (SELECT stop_id, line, row_number() OVER (PARTITION BY stop_id ORDER BY count(*) DESC, line) AS r FROM feat WHERE valid AND working AND bunched GROUP BY 1, 2) WHERE r <= 3 GROUP BY 1) l USING (stop_id)
   JOIN (SELECT stop_id, hour AS peak_hour FROM (SELECT stop_id, hour, row_number() OVER (PARTITION BY stop_id ORDER BY count(*) DESC, hour) AS r FROM feat WHERE valid AND working AND bunched GROUP BY 1, 2) WHERE r = 1) h USING (stop_id)"""))
