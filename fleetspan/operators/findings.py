@@ -33,11 +33,16 @@ def base_rate(p: DataFrame) -> DataFrame:
     return p.where("valid and working").agg(share(F.col("bunched")).alias("base"))
 
 
+def slot_rates(p: DataFrame, slot: str) -> DataFrame:
+    """line, direction_id, slot and day of working days: bunched passages b, their rate, and the network's rate base, which is added up from the same counts, so that passages are counted once."""
+    d = p.where("valid and working").groupBy("line", "direction_id", slot, "day").agg(F.count("bunched").alias("n"), F.count_if("bunched").alias("b"))
+    base = d.agg((F.sum("b") / F.nullif(F.sum("n"), F.lit(0))).alias("base"))
+    return d.crossJoin(F.broadcast(base)).withColumn("rate", F.col("b") / F.nullif("n", F.lit(0)))  # one row
+
+
 def hot_slots(p: DataFrame, slot: str, hot: float = HOT) -> DataFrame:
     """Per line, direction and slot (hour or block) of working days: observed days, hot days (rate at least `hot` times the base) and the mean daily rate."""
-    d = p.where("valid and working").groupBy("line", "direction_id", slot, "day").agg(share(F.col("bunched")).alias("rate"))
-    d = d.crossJoin(F.broadcast(base_rate(p)))  # one row
-    return d.groupBy("line", "direction_id", slot).agg(F.count("*").alias("days"), F.count_if(F.col("rate") >= hot * F.col("base")).alias("hot_days"), F.avg("rate").alias("mean_rate"))
+    return slot_rates(p, slot).groupBy("line", "direction_id", slot).agg(F.count("*").alias("days"), F.count_if(F.col("rate") >= hot * F.col("base")).alias("hot_days"), F.avg("rate").alias("mean_rate"))
 
 
 def recurring(slots: DataFrame, days: int = HOT_DAYS) -> DataFrame:
@@ -222,8 +227,7 @@ def headline(p: DataFrame) -> DataFrame:
 
 def first_problems(p: DataFrame, hot: float = HOT, days: int = HOT_DAYS, hot_days: int = HOT_DAYS) -> DataFrame:
     """Per line and direction its first problem: blocks that recur on working days before all others, then by bunched passages."""
-    d = p.where("valid and working").groupBy("line", "direction_id", "block", "day").agg(share(F.col("bunched")).alias("rate"), F.count_if("bunched").alias("b"))
-    d = d.crossJoin(F.broadcast(base_rate(p)))  # one row
+    d = slot_rates(p, "block")
     g = d.groupBy("line", "direction_id", "block").agg(((F.count("*") == days) & (F.count_if(F.col("rate") >= hot * F.col("base")) >= hot_days)).alias("recurring"), F.sum("b").alias("bunched"))
     w = Window.partitionBy("line", "direction_id").orderBy(F.desc("recurring"), F.desc("bunched"), "block")
     return g.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")

@@ -69,7 +69,7 @@ def plan_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """trip_id, stop_id, stop_sequence, sched_us, clock: the timetable of each trip, one row a stop. One trip in eleven is flat: its clocks are all its first."""
+    """trip_id, stop_id, stop_sequence, sched_us, clock: the timetable of each trip, one row a stop."""
     p = pings(spark, sf_dir).groupBy("day", "trip_id", "line", "direction_id", "stop_id", "seq").agg(F.min("sched_us").alias("sched_us"))
     seconds = F.floor((F.col("sched_us") - F.unix_date("day").cast("long") * DAY_US) / 1_000_000)
     clock = F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.pmod(F.floor(seconds / 60), F.lit(60)), F.pmod(seconds, F.lit(60)))
