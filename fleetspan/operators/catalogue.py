@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspan.functions import clock
+
 #: Columns that a package's table must have.
 REQUIRED = {
     "agency": ["agency_id", "agency_name"], "feed_info": ["feed_start_date", "feed_end_date"], "routes": ["route_id"], "trips": ["trip_id", "route_id", "shape_id"],
@@ -114,14 +116,25 @@ def sharing_lines(visits: DataFrame, line: str, direction: str, least: int = 3)
 
 
 def repaired(visits: DataFrame, seconds: Column, route: list[str]) -> DataFrame:
-    """Visits with planned_s: flat trips' clocks moved by the typical offset of their route at the stop, else of their line and direction; null where there is neither."""
-    from fleetspan.operators.passages import flat_trips, line_offsets, typical_offsets
+    """Visits with planned_s: flat trips' clocks moved by the typical offset of their route at the stop, else of their line and direction; null where there is neither.
+
+    Only flat trips' visits meet the offsets; all others stay where they are.
+    """
+    from fleetspan.operators.passages import line_offsets, typical_offsets
 
     fine = typical_offsets(visits, seconds, route)
     coarse = line_offsets(fine, ["line", "direction_id"]).withColumnRenamed("offset_s", "line_offset_s")
-    v = visits.withColumn("s", seconds).join(flat_trips(visits, seconds).select("trip_id", "flat"), "trip_id")
-    v = v.join(fine, [*route, "stop_id"], "left").join(coarse, ["line", "direction_id", "stop_id"], "left")
-    return v.withColumn("planned_s", F.when(F.col("flat"), F.col("s") + F.coalesce("offset_s", "line_offset_s")).otherwise(F.col("s").cast("double"))).drop("offset_s", "line_offset_s")
+    trip = Window.partitionBy("trip_id")
+    v = visits.withColumn("s", seconds).withColumn("flat", F.min("s").over(trip) == F.max("s").over(trip))
+    moved = v.where("flat").join(fine, [*route, "stop_id"], "left").join(coarse, ["line", "direction_id", "stop_id"], "left")
+    moved = moved.select(*v.columns, (F.col("s") + F.coalesce("offset_s", "line_offset_s")).alias("planned_s"))
+    return v.where("not coalesce(flat, false)").withColumn("planned_s", F.col("s").cast("double")).unionByName(moved)
+
+
+def replanned(visits: DataFrame, route: list[str]) -> DataFrame:
+    """Visits as stop_passages() takes them, flat trips repaired(): sched_us is the start plus the typical run time to the stop, null where none is known, so that such passages have no delay and aren't judged."""
+    r = repaired(visits, clock.clock_seconds(F.col("clock")), route)
+    return r.withColumn("sched_us", F.col("sched_us") + F.round((F.col("planned_s") - F.col("s")) * 1_000_000).cast("long")).drop("s", "flat", "planned_s")
 
 
 def totals(pings: DataFrame, *levels: str) -> DataFrame:

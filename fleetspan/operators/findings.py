@@ -130,18 +130,67 @@ def stop_places(pings: DataFrame) -> DataFrame:
     return last.groupBy("stop_id").agg(F.percentile("x.lat", 0.5).alias("lat"), F.percentile("x.lon", 0.5).alias("lon"))
 
 
-def hot_areas(p: DataFrame, places: DataFrame, on_plan: float = ON_PLAN, near: float = NEAR_START) -> DataFrame:
-    """Per cell, over working days' trips that left on plan: onsets, those expected of the lines, directions and blocks that pass, and days with clearly more than expected."""
+def area_passages(p: DataFrame, places: DataFrame, on_plan: float = ON_PLAN, near: float = NEAR_START) -> DataFrame:
+    """Working days' passages of trips that left on plan, with onset, the onsets expected of their line, direction and block, and the cell of their stop; stops without a place drop out after expectations are taken."""
     v = onsets(p.where("working"))
     first = p.where("valid and working").groupBy(*TRIP).agg(F.min_by(F.struct("ratio", "progress"), F.struct("seq", "t")).alias("f"))
     v = v.join(first, TRIP).where((F.col("f.ratio") >= on_plan) & (F.col("f.progress") < near))
     w = Window.partitionBy("line", "direction_id", "block")
-    v = v.withColumn("expected", F.avg(F.col("onset").cast("double")).over(w)).join(places, "stop_id").withColumn("cell", cell(F.col("lat"), F.col("lon")))
+    v = v.withColumn("expected", F.avg(F.col("onset").cast("double")).over(w))
+    return v.join(places.select("stop_id", "lat", "lon").where("lat is not null"), "stop_id").withColumn("cell", cell(F.col("lat"), F.col("lon")))
+
+
+def areas(v: DataFrame) -> DataFrame:
+    """Per cell of area_passages(): passages, onsets, those expected, days with clearly more than expected, their ratio."""
     d = v.groupBy("cell", "day").agg(F.count("*").alias("n"), F.count_if("onset").alias("o"), F.sum("expected").alias("e"))
     g = d.groupBy("cell").agg(F.sum("n").alias("passages"), F.sum("o").alias("onsets"), F.sum("e").alias("expected"), F.count_if(F.col("o") > 1.2 * F.col("e")).alias("days"))
     return g.withColumn("ratio", F.col("onsets") / F.nullif("expected", F.lit(0.0)))
 
 
+def hot_areas(p: DataFrame, places: DataFrame, on_plan: float = ON_PLAN, near: float = NEAR_START) -> DataFrame:
+    """Per cell, over working days' trips that left on plan: onsets, those expected of the lines, directions and blocks that pass, and days with clearly more than expected."""
+    return areas(area_passages(p, places, on_plan, near))
+
+
+#: A hot area has at least so many times the expected onsets, so many onsets, on so many days.
+AREA_RATIO, AREA_ONSETS, AREA_DAYS = 1.3, 30, 4
+
+
+def most_frequent(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """key, values: its `most` commonest values, equal ones in order."""
+    n = rows.groupBy(key, value).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), value))
+    top = n.withColumn("r", rank).where(F.col("r") <= most)
+    return top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", F.col(value).alias("value"), "n"))).alias("values"))
+
+
+def hot_area_list(v: DataFrame, ratio: float = AREA_RATIO, onsets: int = AREA_ONSETS, days: int = AREA_DAYS) -> DataFrame:
+    """Hot cells of area_passages(): middle, ratio, days, onsets a working day, lines that pass, the five lines and four stops of most onsets, and peak hours: those with at least 0.6 of the busiest hour's onsets."""
+    hot = areas(v).where((F.col("onsets") >= onsets) & (F.col("ratio") >= ratio) & (F.col("days") >= days))
+    at = v.join(hot.select("cell"), "cell", "left_semi")
+    on = at.where("onset")
+    middle = at.groupBy("cell").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count_distinct("line").alias("lines"))
+    hours = on.groupBy("cell", "hour").agg(F.count("*").alias("n"))
+    peaks = hours.withColumn("top", F.max("n").over(Window.partitionBy("cell"))).where(F.col("n") >= 0.6 * F.col("top"))
+    names = lambda c: F.array_join(F.transform("values", lambda x: x["value"]), ",").alias(c)
+    g = hot.select("cell", "ratio", "days", (F.col("onsets") / HOT_DAYS).alias("onsets_a_day")).join(middle, "cell")
+    g = g.join(most_frequent(on, "cell", "line", 5).select("cell", names("top_lines")), "cell", "left")
+    g = g.join(most_frequent(on, "cell", "stop_id", 4).select("cell", names("top_stops")), "cell", "left")
+    return g.join(hour_ranges(peaks, ["cell"]).withColumnRenamed("hours", "peak_hours"), "cell", "left")
+
+
+def area_summary(p: DataFrame, v: DataFrame, places: DataFrame, ratio: float = AREA_RATIO, onsets: int = AREA_ONSETS, days: int = AREA_DAYS) -> DataFrame:
+    """One row: cells with passages of working days, the share of bunching and of passages in the ten cells with most bunching, onsets a working day of trips that left on plan, and the share of those in hot areas."""
+    raw = p.where("valid and working").groupBy("stop_id").agg(F.count("*").alias("n"), F.count_if("bunched").alias("b"))
+    raw = raw.join(places.select("stop_id", "lat", "lon").where("lat is not null"), "stop_id").groupBy(cell(F.col("lat"), F.col("lon")).alias("cell")).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    top = raw.orderBy(F.desc("b"), "cell").limit(10).agg(F.sum("b").alias("top_b"), F.sum("n").alias("top_n"))  # a top-k report
+    every = raw.agg(F.count("*").alias("cells"), F.sum("b").alias("b"), F.sum("n").alias("n"))
+    hot = (F.col("onsets") >= onsets) & (F.col("ratio") >= ratio) & (F.col("days") >= days)
+    road = areas(v).agg(F.coalesce(F.sum("onsets"), F.lit(0)).alias("o"), F.coalesce(F.sum(F.when(hot, F.col("onsets"))), F.lit(0)).alias("h"))
+    one = every.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(road))  # one row each
+    return one.select("cells", (F.col("top_b") / F.nullif("b", F.lit(0))).alias("top10_bunching"), (F.col("top_n") / F.nullif("n", F.lit(0))).alias("top10_visits"), (F.col("o") / HOT_DAYS).alias("onsets_a_day"), (F.col("h") / F.greatest("o", F.lit(1))).alias("hot_share"))
+
+
 def hour_ranges(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, hours: the distinct hours of each key as ranges of consecutive ones, 'HH:00-HH:00', comma-joined."""
     w = Window.partitionBy(*keys).orderBy("hour")
@@ -225,6 +274,23 @@ def headline(p: DataFrame) -> DataFrame:
     return g.agg((part(on, "b") / F.nullif(part(on, "n"), F.lit(0))).alias("working_rate"), (part(off, "b") / F.nullif(part(off, "n"), F.lit(0))).alias("weekend_rate"), (part(F.col("top"), "b") / F.nullif(part(on, "b"), F.lit(0))).alias("top5_share"), (part(F.col("top"), "n") / F.nullif(part(on, "n"), F.lit(0))).alias("top5_passages"))
 
 
+def headline_causes(p: DataFrame, trips: DataFrame, hot: float = HOT, hot_days: int = HOT_DAYS, days: int = HOT_DAYS, peak: float = 1.5) -> DataFrame:
+    """One row beside headline(): bunched passages a working day, recurring blocks and their share of bunching, hours whose rate is `peak` times the network's,
+    trips that leave too close and their share of bunching, and of all working days' terminal trips the shares that leave under 0.8 of plan and follow a trip over 300 s late."""
+    b = slot_rates(p, "block").groupBy("line", "direction_id", "block").agg(((F.count("*") == days) & (F.count_if(F.col("rate") >= hot * F.col("base")) >= hot_days)).alias("again"), F.sum("b").alias("b"))
+    blocks = b.agg((F.sum("b") / HOT_DAYS).alias("bunched_a_day"), F.count_if("again").alias("recurring_blocks"), (F.coalesce(F.sum(F.when(F.col("again"), F.col("b"))), F.lit(0)) / F.nullif(F.sum("b"), F.lit(0))).alias("recurring_share"))
+    h = p.where("valid and working").groupBy("hour").agg(F.count("*").alias("n"), F.count_if("bunched").alias("b"))
+    every = Window.partitionBy()  # a row an hour
+    busy = h.withColumn("base", F.sum("b").over(every) / F.sum("n").over(every)).where(F.col("b") / F.col("n") >= peak * F.col("base"))
+    hours = hour_ranges(busy.withColumn("k", F.lit(0)), ["k"]).agg(F.max("hours").alias("peak_hours"))
+    near = F.col("class").isin("too close", "close")
+    part = lambda c: F.sum(F.when(near, F.col(c)).otherwise(0.0))
+    left = departures(trips).agg(part("share").alias("close_trips"), part("bunching_share").alias("close_bunching"))
+    yes = lambda c: share(F.coalesce(c, F.lit(False)))
+    net = trips.where("working").agg(yes(F.col("dep_ratio") < 0.8).alias("network_close"), yes(F.col("prev_trip_delay") > 300).alias("network_late"))
+    return blocks.crossJoin(F.broadcast(hours)).crossJoin(F.broadcast(left)).crossJoin(F.broadcast(net))  # one row each
+
+
 def first_problems(p: DataFrame, hot: float = HOT, days: int = HOT_DAYS, hot_days: int = HOT_DAYS) -> DataFrame:
     """Per line and direction its first problem: blocks that recur on working days before all others, then by bunched passages."""
     d = slot_rates(p, "block")

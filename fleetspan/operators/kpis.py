@@ -65,6 +65,19 @@ def departure_buckets(p: DataFrame) -> DataFrame:
     return c.groupBy(F.col("c.low").alias("low"), F.col("c.high").alias("high")).agg(F.count("*").alias("trips"), F.count_if("later").alias("bunch_later"))
 
 
+def bucket_order(buckets: DataFrame) -> DataFrame:
+    """departure_buckets() with the rate of later bunching, 0 without trips, and nth: 0 for the class that bunches most, equal ones by their lower limit."""
+    rate = F.coalesce(F.col("bunch_later") / F.nullif("trips", F.lit(0)), F.lit(0.0))
+    w = Window.partitionBy().orderBy(F.desc("rate"), "low")  # a row a class
+    return buckets.withColumn("rate", rate).withColumn("nth", F.row_number().over(w) - 1)
+
+
+def pooled(p: DataFrame, keys: list[str]) -> DataFrame:
+    """Per keys the bunched share over all lines in percent, as a ratio of sums over planned(): long lines weigh more than short ones. Null without gaps."""
+    g = planned(p).groupBy(*keys, "line", "direction_id").agg(F.count("*").alias("n"), F.count_if("short").alias("b"))
+    return g.groupBy(*keys).agg(F.count_distinct("line").alias("lines"), F.sum("n").alias("gaps"), (100 * F.sum("b") / F.nullif(F.sum("n"), F.lit(0))).alias("bunched_pct"))
+
+
 def growth(p: DataFrame) -> DataFrame:
     """Per line, over planned(): short gaps' share in the first 40 % of trips and in the last 40 %, ends included."""
     part = lambda c: F.avg(F.when(c, F.col("short").cast("double")))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fleetspan.plans import base, catalogue, detector, findings, modelling, reports, routes
+from fleetspan.plans import base, catalogue, detector, findings, modelling, reports, routes, windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (base, detector, findings, reports, modelling, catalogue, routes):
+for _part in (base, detector, findings, reports, modelling, catalogue, routes, windows):
     QUERIES |= _part.BOOK.queries
     ORACLE_SQL |= _part.BOOK.oracles

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from fleetspan.functions import clock, geo
-from fleetspan.operators import detect, features, findings, ingest, kpis, passages, traffic, vehicles
+from fleetspan.operators import catalogue, detect, diagram, features, findings, ingest, kpis, passages, traffic, vehicles
 
 DAY = dt.date(2026, 9, 1)
 S = 1_000_000
@@ -288,3 +288,46 @@ def test_percentiles_by_ranges(spark):
     d = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 1000).cast("double").alias("v"))
     want = {r.k: (r.a, r.b) for r in d.groupBy("k").agg(F.percentile("v", 0.5).alias("a"), F.percentile("v", 0.93).alias("b")).collect()}
     assert {r.k: (r.a, r.b) for r in percentiles(d, ["k"], "v", {"a": 0.5, "b": 0.93}).collect()} == want
+
+
+def test_flat_trips_take_their_routes_run_time(spark):
+    rows = [(t, "742", "0", f"S{i}", i, f"08:{m:02d}:00") for t, at in (("A", (0, 4, 10)), ("B", (0, 6, 12)), ("C", (30, 30, 30))) for i, m in enumerate(at, 1)]
+    rows += [("D", "742", "0", "S9", 1, "09:00:00")]  # one visit: flat, and no other trip stops there
+    v = spark.createDataFrame(rows, "trip_id string, line string, direction_id string, stop_id string, stop_sequence int, clock string")
+    v = v.withColumns({"day": F.lit(DAY), "sched_us": F.lit(BASE) + clock.clock_seconds(F.col("clock")).cast("long") * S})
+    got = {(r.trip_id, r.stop_id): r.sched_us for r in catalogue.replanned(v, ["line", "direction_id", "day"]).collect()}
+    minutes = {k: None if t is None else (t - BASE) / S / 60 - 480 for k, t in got.items()}
+    assert [minutes["C", f"S{i}"] for i in (1, 2, 3)] == [30, 35, 41]  # medians of 4 and 6, of 10 and 12
+    assert minutes["D", "S9"] is None and minutes["B", "S2"] == 6 and len(got) == 10
+    pings = spark.createDataFrame([("x", DAY, "D", "v", "S9", BASE)], "agency_id string, day date, trip_id string, vehicle_id string, stop_id string, created_us long")
+    assert passages.stop_passages(pings, catalogue.replanned(v, ["line", "direction_id", "day"])).first().delay is None
+
+
+def test_only_kept_lines_are_in_front(spark):
+    p = three_trips(spark)
+    p = p.withColumn("line", F.when(F.col("trip_id") == "B", "738").otherwise(F.col("line")))
+    one = diagram.kept_headways(p, spark.createDataFrame([("742", "0")], "line string, direction_id string"), "corridor")
+    front = {r.trip_id: r.leader_trip for r in one.where("seq = 1").collect()}
+    assert front == {"A": None, "C": "A"}
+    both = diagram.kept_headways(p, spark.createDataFrame([("742", "0"), ("738", "0")], "line string, direction_id string"), "corridor")
+    assert {r.trip_id: r.leader_trip for r in both.where("seq = 1").collect()} == {"A": None, "B": "A", "C": "B"}
+    shown = F.col("t") >= BASE + 1500 * S
+    route = spark.createDataFrame([("S1", 0), ("S8", 1)], "stop_id string, y int")
+    got = {(r.trip_id, r.stop_id, r.y) for r in diagram.points(both, shown, route).collect()}
+    assert got == {("C", "S1", 0), ("C", "S8", 1)}  # C starts before the window, and is drawn in whole
+    assert [tuple(r) for r in diagram.summary(both, shown, ["line"]).collect()] == [("742", 1, 5, 0, 0)]  # at 1560, 1680, ... 2040 s
+
+
+def test_windows_of_the_day(spark):
+    rows = [("a", us(2026, 9, 1, 7)), ("b", us(2026, 9, 1, 9)), ("c", us(2026, 9, 1, 9, 0, 1)), ("d", us(2026, 9, 2, 0, 30))]
+    d = spark.createDataFrame(rows, "k string, t long").withColumn("day", F.lit(DAY))
+    assert [r.k for r in d.where(diagram.within("08:00", "10:00")).orderBy("k").collect()] == ["a", "b"]  # Lisbon is an hour ahead
+    assert [r.k for r in d.where(diagram.within("22:00", "02:00")).collect()] == ["d"]
+
+
+def test_pooled_rates_and_order_of_classes(spark):
+    b = spark.createDataFrame([(0.25, 4, 1), (0.5, 2, 2), (0.75, 0, 0), (0.9, 8, 2)], "low double, trips long, bunch_later long")
+    assert {r.low: r.nth for r in kpis.bucket_order(b).collect()} == {0.5: 0, 0.25: 1, 0.9: 2, 0.75: 3}
+    p = passages.headways(three_trips(spark)).withColumn("line", F.when(F.col("seq") > 6, "1").otherwise("2"))
+    p = p.withColumn("hw", F.when(F.col("seq") > 6, 0.0).otherwise(F.col("hw")))
+    assert [(r.lines, r.gaps, r.bunched_pct) for r in kpis.pooled(p, []).collect()] == [(2, 16, 25.0)]
