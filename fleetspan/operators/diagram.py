@@ -26,11 +26,10 @@ def kept_headways(trusted: DataFrame, pairs: DataFrame, mode: str = "line") -> D
 
 def route_positions(visits: DataFrame) -> DataFrame:
     """line, direction_id, stop_id, y: the stops of the longest planned trip, the least id of equal ones, each at its first place, counted from 0."""
-    n = visits.groupBy("line", "direction_id", "trip_id").agg(F.count("*").alias("n"))
-    longest = n.groupBy("line", "direction_id").agg(F.min_by("trip_id", F.struct((-F.col("n")).alias("n"), F.col("trip_id"))).alias("trip_id"))
-    s = visits.join(longest, ["line", "direction_id", "trip_id"], "left_semi").groupBy("line", "direction_id", "stop_id").agg(F.min("stop_sequence").alias("seq"))
-    w = Window.partitionBy("line", "direction_id").orderBy("seq", "stop_id")  # a route's stops
-    return s.withColumn("y", F.row_number().over(w) - 1).drop("seq")
+    s = F.array_sort(F.collect_list(F.struct("stop_sequence", "stop_id")))  # a trip's stops
+    t = visits.groupBy("line", "direction_id", "trip_id").agg(F.count("*").alias("n"), s.alias("s"))
+    best = t.groupBy("line", "direction_id").agg(F.min_by("s", F.struct((-F.col("n")).alias("n"), F.col("trip_id"))).alias("s"))
+    return best.select("line", "direction_id", F.posexplode(F.array_distinct(F.transform("s", lambda x: x["stop_id"]))).alias("y", "stop_id"))
 
 
 def points(p: DataFrame, shown: Column, route: DataFrame) -> DataFrame:
