@@ -50,8 +50,8 @@ def pings_of(events: DataFrame) -> DataFrame:
         "created_us",
         (F.col("created_us") + F.col("late_us")).alias("received_us"),
         (F.col("created_us") - F.col("late_us")).alias("sched_us"),
-        (F.lit(38.7) + s * 0.004 + F.pmod("event_id", F.lit(97)) * 0.00001).alias("lat"),
-        (F.lit(-9.2) + F.pmod("user_id", F.lit(5)) * 0.003 + F.pmod(district, F.lit(500)) * 0.02 + F.pmod("event_id", F.lit(89)) * 0.00001).alias("lon"),
+        ((s * 400 + F.pmod("event_id", F.lit(97)) + 3_870_000) / 100_000).alias("lat"),  # in whole units: rounded once, like a decimal
+        ((F.pmod("user_id", F.lit(5)) * 300 + F.pmod(district, F.lit(500)) * 2000 + F.pmod("event_id", F.lit(89)) - 920_000) / 100_000).alias("lon"),
         "event_type",
     )
 

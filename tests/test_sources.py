@@ -190,3 +190,12 @@ def test_observation_keys(spark):
 def test_sources_without_files(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert files.ping_files(spark, f"{tmp_path}/none").where(F.col("_id").isNotNull()).count() == 0
+
+
+def test_places_are_whole_units_rounded_once(spark):
+    from fleetspan.sources import adapter
+
+    rows = [(d * 97 + i, 150 * d + i % 5, i % 6) for d in range(0, 600, 7) for i in range(6)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, k int").selectExpr("event_id", "user_id", "'x' AS event_type", "timestamp '2024-01-01' AS ts", "0.5D AS value", "concat('{\"k\": ', k, '}') AS props")
+    got = {r.event_id: (r.lat, r.lon) for r in adapter.pings_of(e).collect()}
+    assert got == {n: ((3_870_000 + k % 6 * 400 + n % 97) / 100_000, (-920_000 + u % 5 * 300 + u // 150 % 500 * 2000 + n % 89) / 100_000) for n, u, k in rows}
