@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspan.functions import geo
+from fleetspan.sources.files import shared
 
 #: Metres of a grid cell, from a piece's middle to a jam, and of a piece; cosine of the largest angle.
 CELL, NEAR, PIECE, ALIGNED = 100.0, 25.0, 25.0, 0.8660254037844387
@@ -45,6 +46,13 @@ def matches(road: DataFrame, jam_lines: DataFrame) -> DataFrame:
     return both.where(close & (turn >= ALIGNED)).select("road", "seg", "piece", "geometry_wkt").distinct()
 
 
+def evidence_sets(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(road, seg, piece and set; set and geometry_wkt) of matches(): pieces that match the same geometries have the same evidence, so it is worked out once a set, however many roads run there."""
+    p = found.groupBy("road", "seg", "piece").agg(F.array_sort(F.collect_set("geometry_wkt")).alias("g"))
+    p = shared(p.withColumn("set", F.sha2(F.to_json("g"), 256)), "evidence-sets")
+    return p.drop("g"), p.dropDuplicates(["set"]).select("set", F.explode("g").alias("geometry_wkt"))
+
+
 def section_speed(matched: DataFrame, jams: DataFrame, keys: list[str]) -> DataFrame:
     """Per section: mean over days, each day alike, of the report-weighted ratio and speed; reports and days. No match is unknown, not free."""
     j = matched.join(jams, "geometry_wkt").withColumn("r", speed_ratio(F.col("intensity")))
@@ -54,8 +62,9 @@ def section_speed(matched: DataFrame, jams: DataFrame, keys: list[str]) -> DataF
 
 def piece_speeds(road: DataFrame, found: DataFrame, jams: DataFrame) -> DataFrame:
     """Each piece of road with what its jams say (section_speed() of reports whose intensity is known): ratio, speed, reports, days; none: nulls and zeros."""
-    known = section_speed(found, jams.where(speed_ratio(F.col("intensity")).isNotNull()), ["road", "seg", "piece"])
-    p = road.select("road", "seg", "piece", "metres").join(known, ["road", "seg", "piece"], "left")
+    of, sets = evidence_sets(found)
+    known = section_speed(sets, jams.where(speed_ratio(F.col("intensity")).isNotNull()), ["set"])
+    p = road.select("road", "seg", "piece", "metres").join(of, ["road", "seg", "piece"], "left").join(known, "set", "left").drop("set")
     return p.withColumns({"ratio": F.round("ratio", 1), "speed": F.round("speed", 1), "reports": F.coalesce("reports", F.lit(0)), "days": F.coalesce("days", F.lit(0))})
 
 
@@ -77,17 +86,31 @@ def coverage(speeds: DataFrame) -> DataFrame:
 def time_cells(road: DataFrame, found: DataFrame, jams: DataFrame) -> DataFrame:
     """Per road and half hour: the ratio by length of pieces on each day, averaged over days; days; reports, each record once; the share of the road's metres with any.
 
-    jams: grouped() with minute.
+    Roads that touch the same evidence_sets() are of one kind; they differ in metres only. Days of a kind and half hour with ratios on the same sets add up set by set, so a road weighs
+    sums over days by its metres and meets no single day. jams: grouped() with minute.
     """
+    at = ["road", "seg", "piece"]
     j = jams.withColumn("r", speed_ratio(F.col("intensity"))).where("r is not null")
-    m = found.join(road.select("road", "seg", "piece", "metres"), ["road", "seg", "piece"]).join(j, "geometry_wkt")
-    piece = m.groupBy("road", "seg", "piece", "minute", "day").agg((F.sum(F.col("r") * F.col("reports")) / F.sum("reports")).alias("r"), F.first("metres").alias("metres"))
-    day = piece.groupBy("road", "minute", "day").agg((F.sum(F.col("r") * F.col("metres")) / F.sum("metres")).alias("r"))
-    ratio = day.groupBy("road", "minute").agg(F.avg("r").alias("ratio"), F.count("*").alias("days"))
-    there = piece.groupBy("road", "minute", "seg", "piece").agg(F.first("metres").alias("metres")).groupBy("road", "minute").agg(F.sum("metres").alias("covered"))
-    reports = m.groupBy("road", "minute", "geometry_wkt", "intensity", "day").agg(F.first("reports").alias("n")).groupBy("road", "minute").agg(F.sum("n").alias("reports"))
+    of, sets = evidence_sets(found)
+    parts = road.select(*at, "metres").join(of, at).groupBy("road", "set").agg(F.sum("metres").alias("metres"))
+    roads = parts.groupBy("road").agg(F.array_sort(F.collect_list(F.struct("set", "metres"))).alias("p"))
+    roads = shared(roads.select("road", F.sha2(F.to_json("p.set"), 256).alias("kind"), F.col("p.set").alias("sets"), F.col("p.metres").alias("m")), "road-kinds")
+    kinds = roads.dropDuplicates(["kind"]).select("kind", F.posexplode("sets").alias("i", "set"))
+    slots = sets.join(j, "geometry_wkt").groupBy("set", "minute", "day").agg((F.sum(F.col("r") * F.col("reports")) / F.sum("reports")).alias("r"))
+    days = kinds.join(slots, "set").groupBy("kind", "minute", "day").agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("there"))
+    sums = days.select("kind", "minute", F.col("there.i").alias("which"), F.explode("there").alias("x")).groupBy("kind", "minute", "which", F.col("x.i").alias("i")).agg(F.sum("x.r").alias("r"), F.count("*").alias("n"))
+    alike = sums.groupBy("kind", "minute", "which").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "r"))).alias("x"))
+    cells = alike.groupBy("kind", "minute").agg(F.array_sort(F.collect_list(F.struct("which", "n", "x"))).alias("alike"), F.sum("n").alias("days"))
+    told = j.groupBy("geometry_wkt", "minute").agg(F.sum("reports").alias("reports"))
+    reports = kinds.join(sets, "set").select("kind", "geometry_wkt").distinct().join(told, "geometry_wkt").groupBy("kind", "minute").agg(F.sum("reports").alias("reports"))
+    total = lambda items, value: F.aggregate(items, F.lit(0.0), lambda acc, x: acc + value(x))
+    weight = lambda i: F.get("m", i)
+    base = lambda a: F.get(a["x"], F.lit(0))["r"]  # noqa: E731  the mean is taken from here on, so equal ratios give it without an error of rounding
+    ratio = total(F.col("alike"), lambda a: base(a) + total(a["x"], lambda x: (x["r"] - base(a)) * weight(x["i"])) / total(a["which"], weight)) / F.col("days")
+    covered = total(F.array_distinct(F.flatten(F.col("alike.which"))), weight)
     whole = road.groupBy("road").agg(F.sum("metres").alias("metres"))
-    return ratio.join(reports, ["road", "minute"]).join(there, ["road", "minute"]).join(whole, "road").withColumn("coverage", F.col("covered") / F.col("metres")).drop("covered", "metres")
+    met = roads.join(cells.join(reports, ["kind", "minute"]), "kind").join(whole, "road")
+    return met.select("road", "minute", ratio.alias("ratio"), "days", "reports", (covered / F.col("metres")).alias("coverage"))
 
 
 def plot_cells(cells: DataFrame, begin: int, end: int, heavy: float = 40) -> DataFrame:

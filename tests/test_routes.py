@@ -104,3 +104,33 @@ def test_chords_and_useless_reports(spark):
     got = {r.road: (round(r.metres, 3), round(r.matched_metres, 3)) for r in traffic.coverage(speeds).collect()}
     assert got == {"real": (100.0, 100.0), "stops-x": (100.0, 0.0)}
     assert routes.ignored_reports(j).first().asDict() == {"ignored": 7, "reports": 17}
+
+
+def test_roads_share_the_evidence_of_equal_sets_of_geometries(spark):
+    r = random.Random(5)
+    jams = [(g, i, f"2026-09-{d:02}", m, r.randint(1, 9), None, 0) for g in "abc" for i in ("80% - 61%", "20% - 1%", "?") for d in range(1, 9) for m in (0, 30) if r.random() < 0.4]
+    touched = [("", "a", "ab", "b", "c"), ("a", "ab", "b"), ("ab", "a", "b", "b"), ("c",), ("",)]
+    pieces = [(f"r{n}", 0, i, round(r.uniform(1, 25), 2)) for n in range(40) for i in range(len(touched[n % 5]))]
+    found = [(road, seg, i, g) for road, seg, i, _ in pieces for g in touched[int(road[1:]) % 5][i]]
+    road = spark.createDataFrame(pieces, "road string, seg int, piece int, metres double")
+    hits = spark.createDataFrame(found, "road string, seg int, piece int, geometry_wkt string")
+    j = spark.createDataFrame(jams, "geometry_wkt string, intensity string, day string, minute int, reports long, speed_kmh double, speed_reports long")
+    assert traffic.evidence_sets(hits)[1].select("set").distinct().count() == 4  # of 104 pieces that match any
+    got = {(x.road, x.minute): (round(x.ratio, 6), x.days, x.reports, round(x.coverage, 6)) for x in traffic.time_cells(road, hits, j).collect()}
+    want, worth = {}, {"80% - 61%": 70.5, "20% - 1%": 10.5}
+    for name in {p[0] for p in pieces}:
+        own = [p for p in pieces if p[0] == name]
+        of = {p[2]: touched[int(name[1:]) % 5][p[2]] for p in own}
+        for minute in (0, 30):
+            days, seen = {}, set()
+            for _, _, i, metres in own:
+                for day in {x[2] for x in jams}:
+                    mine = [(worth[x[1]], x[4]) for x in jams if x[0] in of[i] and x[1] in worth and (x[2], x[3]) == (day, minute)]
+                    if mine:
+                        days.setdefault(day, []).append((sum(v * n for v, n in mine) / sum(n for _, n in mine), metres))
+                        seen.add(i)
+            if days:
+                ratio = sum(sum(v * m for v, m in d) / sum(m for _, m in d) for d in days.values()) / len(days)
+                reports = sum(x[4] for x in jams if x[0] in set("".join(of.values())) and x[1] in worth and x[3] == minute)
+                want[name, minute] = (round(ratio, 6), len(days), reports, round(sum(p[3] for p in own if p[2] in seen) / sum(p[3] for p in own), 6))
+    assert got == want
