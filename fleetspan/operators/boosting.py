@@ -245,8 +245,9 @@ class Booster:
             if tree["f"][i] >= 0:
                 queue += [int(tree["l"][i]), int(tree["r"][i])]
         inner = lambda i: tree["f"][i] >= 0
+        upper = lambda f, b: self.edges[f][b] if b < len(self.edges[f]) else float("inf")  # noqa: E731  the last bin is open: such a split parts all values from missing ones
         return {
-            "f": [int(tree["f"][i]) for i in order], "t": [self.edges[tree["f"][i]][tree["b"][i]] if inner(i) else 0.0 for i in order], "m": [int(tree["m"][i]) for i in order],
+            "f": [int(tree["f"][i]) for i in order], "t": [upper(tree["f"][i], tree["b"][i]) if inner(i) else 0.0 for i in order], "m": [int(tree["m"][i]) for i in order],
             "l": [order[int(tree["l"][i])] if inner(i) else 0 for i in order], "r": [order[int(tree["r"][i])] if inner(i) else 0 for i in order], "v": [0.0 if inner(i) else float(values[i]) for i in order],
         }
 

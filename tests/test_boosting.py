@@ -82,6 +82,14 @@ def test_trees_equal_a_plain_booster(spark, partitions):
         assert all(len([f for f in t["f"] if f < 0]) <= HOW["leaves"] for t in model["trees"])
 
 
+def test_a_split_may_part_all_values_from_missing_ones(spark):
+    rows = [(DAYS[i % 3], None if i % 3 else float(i), None, 1.0 if i % 2 else None, int(i % 3 > 0) if i % 11 else 0, None) for i in range(1200)]  # more values than bins
+    model = boosting.Booster(table(spark, rows), NAMES, [boosting.Member("y", frozenset(DAYS), "y")], **HOW).fit(3).model(0)
+    assert model["trees"][0]["f"][0] == 0 and model["trees"][0]["t"][0] == math.inf
+    got = table(spark, rows).coalesce(1).withColumn("p", features.tree_score(model["trees"], NAMES, model["baseline"]))
+    assert np.allclose([x.p for x in got.collect()], plain(rows, 4, 3), atol=1e-6)
+
+
 def test_members_learn_only_from_their_days(spark, monkeypatch):
     monkeypatch.setattr(boosting, "SAVED_EVERY", 2)
     rows = data()
