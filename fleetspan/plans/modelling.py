@@ -65,7 +65,7 @@ def _(spark, sf):
 
 @BOOK.add("m05_train_logistic")
 def _(spark, sf):
-    rows = training(spark, sf)
+    rows = files.shared(training(spark, sf).select("day", "y", *models.FEATURES), "training")  # read by each of the stages that are fitted
     train, test = models.split(rows)
     return models.average_precision(models.probabilities(models.train_logistic(train), test))
 

@@ -57,3 +57,8 @@ def test_trained_models_judge_every_row_once(spark, name):
         assert sum(r.n for r in got if r.stops_ahead == 10) == rows.count() and len(got) == len({(r.stops_ahead, r.day) for r in got})
     else:
         assert {r.n for r in got} == {held_out}
+
+
+def test_logistic_training_works_out_its_rows_once(spark):
+    """Fitting reads the training rows many times, so they are a table of their own."""
+    assert not [f for f in registry.QUERIES["m05_train_logistic"](spark, SF).inputFiles() if f.endswith("events.parquet")]
