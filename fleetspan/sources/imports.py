@@ -1,9 +1,12 @@
-"""The life of an import: files are read in batches that are committed one by one, so an interrupted import goes on where it stopped; a version is published by one rename."""
+"""The life of an import: files are read in batches that are each committed when done, so an interrupted import goes on where it stopped; a version is published by one rename."""
 
 from __future__ import annotations
 
+import hashlib
 import json
+import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +17,8 @@ from fleetspan.sources import files
 
 #: Bytes of files that are committed together.
 BATCH_BYTES = 256 << 30
+#: Batches that are read at once, so that small ones together occupy the cluster.
+BATCHES_AT_ONCE = 6
 LOG = "version int, step long, fingerprint string, status string"
 MANIFEST = "path string, sha256 string, bytes long, batch string, rows_read long, valid_rows long, observations long, rejected map<string,long>"
 
@@ -30,6 +35,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.writing = threading.Lock()  # of the manifest: appends to one folder come one after the other
 
     def fs(self, path: str):
         """(Hadoop's file context, a path in it): driver-side calls on single small files."""
@@ -106,23 +112,29 @@ def batches_of(found: DataFrame, most: int) -> DataFrame:
 def commit(store: Store, root: str, version: int, entries: list, glob: str) -> None:
     """Reads some files of a tree into a folder named by their contents and then lists them in the manifest. What an earlier attempt left there is written over."""
     spark = store.spark
-    listed = spark.createDataFrame([(e.path, e.sha256, e.bytes) for e in entries], "path string, sha256 string, bytes long")
-    batch = listed.select(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("sha256"))), 256)).first()[0][:32]
+    batch = hashlib.sha256(",".join(sorted(e.sha256 for e in entries)).encode()).hexdigest()[:32]
     raw = ingest.reject_reason(files.ping_files(spark, root, [e.path for e in entries], glob))
     out = f"{store.path}/rows/version={version}/batch={batch}"
     valid = typed(raw.where("reject_reason is null")).select("*", F.lit(None).cast("string").alias("reject_reason"))
     rejected = raw.where("reject_reason is not null").select("source_file", "reject_reason")
-    valid.unionByName(rejected, allowMissingColumns=True).write.mode("overwrite").parquet(out)
-    changed = files.listed(spark, root, glob).join(spark.createDataFrame([(e.path, e.bytes, e.modified) for e in entries], "path string, b long, m timestamp"), "path").where("bytes <> b or modified <> m").head(1)
+    rows = valid.unionByName(rejected, allowMissingColumns=True)
+    rows.write.mode("overwrite").parquet(out)
+    now = {e.path: (e.bytes, e.modified) for e in files.listed(spark, root, glob, [e.path for e in entries]).collect()}  # as many as entries
+    changed = [e.path for e in entries if now.get(e.path) != (e.bytes, e.modified)]
     if changed:
-        raise ValueError(f"{changed[0].path} changed during import; rebuild.")
-    done = spark.read.parquet(out)
-    reasons = done.where("reject_reason is not null").groupBy("source_file", "reject_reason").agg(F.count("*").alias("n")).groupBy("source_file").agg(F.map_from_entries(F.collect_list(F.struct("reject_reason", "n"))).alias("rejected"))
-    counts = done.groupBy("source_file").agg(F.count("*").alias("rows_read"), F.count("observation_key").alias("valid_rows"), F.count_distinct("observation_key").alias("observations"))
-    report = listed.join(counts, F.col("path") == F.col("source_file"), "left").drop("source_file").join(reasons, F.col("path") == F.col("source_file"), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    none = F.coalesce("rejected", F.create_map().cast("map<string,long>")).alias("rejected")
-    report.select("path", "sha256", "bytes", F.lit(batch).alias("batch"), zero("rows_read"), zero("valid_rows"), zero("observations"), none).coalesce(1).write.mode("append").parquet(f"{store.path}/manifest/version={version}")
+        raise ValueError(f"{changed[0]} changed during import; rebuild.")
+    counted = spark.read.schema(rows.schema).parquet(out).groupBy("source_file", "reject_reason").agg(F.count("*").alias("n"), F.count_distinct("observation_key").alias("keys"))
+    found: dict[str, dict] = {e.path: {} for e in entries}
+    for r in counted.collect():  # a row a file and reason
+        found[r.source_file][r.reject_reason] = r.n, r["keys"]
+    report = []
+    for e in entries:
+        reasons = found[e.path]
+        valid_rows, keys = reasons.pop(None, (0, 0))
+        wrong = {k: n for k, (n, _) in reasons.items()}
+        report.append((e.path, e.sha256, e.bytes, batch, valid_rows + sum(wrong.values()), valid_rows, keys, wrong))
+    with store.writing:
+        spark.createDataFrame(report, MANIFEST).coalesce(1).write.mode("append").parquet(f"{store.path}/manifest/version={version}")
 
 
 def publish(store: Store, version: int) -> None:
@@ -159,16 +171,21 @@ def import_tree(spark: SparkSession, root: str, out: str, rebuild: bool = False,
         version = last.version if resumed else (last.version if last else 0) + 1
         if not resumed:
             store.log(version, mark, "loading")
-        todo = batches_of(files.unread(found, store.manifest(version)), batch_bytes).persist()
-        numbers = [r[0] for r in todo.select("batch").distinct().orderBy("batch").collect()]
-        n = 0
-        for number in numbers:
-            entries = todo.where(F.col("batch") == number).orderBy("path").collect()
-            commit(store, root, version, entries, glob)
-            n += len(entries)
+        todo = batches_of(files.unread(found, store.manifest(version)), batch_bytes)
+        batches: dict[int, list] = {}
+        for e in todo.orderBy("batch", "path").collect():
+            batches.setdefault(e.batch, []).append(e)
+        with ThreadPoolExecutor(BATCHES_AT_ONCE) as pool:
+            jobs = [pool.submit(commit, store, root, version, entries, glob) for entries in batches.values()]
+            try:
+                for job in jobs:
+                    job.result()
+            except BaseException:
+                pool.shutdown(cancel_futures=True)  # those that are being read are still committed
+                raise
         publish(store, version)
         store.log(version, mark, "ready")
-        return Imported(version, False, n)
+        return Imported(version, False, sum(map(len, batches.values())))
     finally:
         found.unpersist()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +151,33 @@ def test_a_batch_that_was_half_written_is_written_over(spark, tmp_path, monkeypa
     assert imports.Store(spark, out).observations().count() == 4
 
 
+def test_batches_are_read_at_once(spark, tmp_path, monkeypatch):
+    """Each of two batches waits for the other to begin."""
+    root, out = tree(tmp_path)
+    commit, both = imports.commit, threading.Barrier(2, timeout=60)
+
+    def meets(*a):
+        both.wait()
+        commit(*a)
+
+    monkeypatch.setattr(imports, "commit", meets)
+    assert imports.import_tree(spark, root, out, batch_bytes=1) == imports.Imported(1, False, 2)
+    assert imports.Store(spark, out).manifest(1).count() == 2 and imports.Store(spark, out).observations().count() == 4
+
+
+def test_a_file_of_some_megabytes_is_read_by_several_tasks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n" + "0123456789,0123456789\n" * 1_000_000)
+    rows = files.csv_rows(spark, f"file:{tmp_path}", ["a", "b"])
+    assert rows.rdd.getNumPartitions() > 2 and rows.where("fault is null").count() == 1_000_000
+
+
+def test_paths_below_roots_of_an_empty_authority_and_with_signs(spark, tmp_path):
+    put(tmp_path / "in+(1)" / "b" / "c.csv", [line(_id="0003")])
+    for root in (f"file://{tmp_path}/in+(1)", f"file:{tmp_path}/in+(1)", f"{tmp_path}/in+(1)/"):
+        assert [r.path for r in files.listed(spark, root).collect()] == ["b/c.csv"]
+        assert [r.path for r in files.inventory(spark, root).collect()] == ["b/c.csv"]
+
+
 def test_without_observations_the_active_version_stays(spark, tmp_path):
     root, out = tree(tmp_path)
     imports.import_tree(spark, root, out)
