@@ -322,6 +322,23 @@ def test_attention_equals_position_by_position():
         assert abs(np.log(every[[*text, 8][t]]) - got[t]) < 1e-3
 
 
+def test_steps_and_scores_do_not_depend_on_slices(monkeypatch):
+    from fleetspan.llm import attention
+
+    r = np.random.default_rng(5)
+    texts = [r.integers(0, 30, size) for size in (700, 0, 1, 48, 300)]
+    found = []
+    for windows in (1, 7, 64):
+        monkeypatch.setattr(attention, "SCORED", windows)
+        monkeypatch.setattr(attention, "LEARNED_FROM", windows)
+        model = Attention(initial(np.full(31, 1 / 31), 3))
+        x, y = model.windows(texts)
+        loss, g, seen = model.gradients(x, y)
+        found.append([np.array(loss), *g.values(), seen, model.log_probs(x, y)])
+    for other in found[1:]:
+        assert all(np.allclose(a, b, rtol=1e-3, atol=1e-6) for a, b in zip(found[0], other, strict=True))
+
+
 def test_attention_gradients_and_learning():
     r = np.random.default_rng(1)
     model = attention(8, 1)
