@@ -93,16 +93,13 @@ class LineRuns:
     def close(self) -> None:
         self._drop(self.names())
 
-    def meet(self, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of a batch's (key, first_doc, n, several): the keys that no run has, and those met before or in several documents, with the first document."""
-        keys = keys.repartition(self.buckets, *KEY)
-        new, old = keys, []
-        for name in self.names():
-            run = self.spark.table(name)
-            old.append(keys.drop("first_doc").join(run, KEY).select(*KEY, "first_doc", "n"))
-            new = new.join(run, KEY, "left_anti")
-        twice = new.where("several").select(*KEY, "first_doc", "n")
-        return new, reduce(DataFrame.unionByName, [twice, *old])
+    def meet(self, keys: DataFrame) -> DataFrame:
+        """A batch's (key, first_doc, n, several) with the document that a run has for the key as known, else null. A key is in one run at most."""
+        met, known = keys.repartition(self.buckets, *KEY), [F.lit(None).cast("long")]
+        for i, name in enumerate(self.names()):
+            known.append(F.col(f"run_{i}"))
+            met = met.join(self.spark.table(name).select(*KEY, F.col("first_doc").alias(f"run_{i}")), KEY, "left")
+        return met.select(*KEY, "first_doc", "n", "several", F.coalesce(*known).alias("known"))
 
 
 def dropped_keys(docs: DataFrame, least: int = LEAST_CHARS, batches: int = BATCHES) -> DataFrame:
@@ -110,7 +107,7 @@ def dropped_keys(docs: DataFrame, least: int = LEAST_CHARS, batches: int = BATCH
     spark = docs.sparkSession
     lines = saved(line_keys(docs, least), "line-keys")
     bounds = sorted(set(lines.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if lines.head(1) else []
-    parts, runs = [], LineRuns(spark)
+    parts, held, runs = [], [], LineRuns(spark)
     try:
         for low, high in zip([None, *bounds], [*bounds, None], strict=True):
             batch = lines
@@ -118,19 +115,21 @@ def dropped_keys(docs: DataFrame, least: int = LEAST_CHARS, batches: int = BATCH
                 batch = batch.where(F.col("doc_id") > low)
             if high is not None:
                 batch = batch.where(F.col("doc_id") <= high)
-            keys = saved(batch.groupBy(*KEY).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), (F.min("doc_id") < F.max("doc_id")).alias("several")), "line-batch")
-            new, repeated = runs.meet(keys)
-            repeated = saved(repeated, "line-repeated")
+            keys = batch.groupBy(*KEY).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), (F.min("doc_id") < F.max("doc_id")).alias("several"))
+            met = saved(runs.meet(keys), "line-batch")
             if high is not None:
-                runs.add(new)
-            discard(keys)
-            total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-            parts.append(hot_join(batch, repeated, KEY, "n", total).where("first_doc < doc_id").select("doc_id", *KEY))
-        gone = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("keys"))
-        gone = saved(gone, "line-dropped")
+                runs.add(met.where("known is null"))
+            parts.append(met.where("known is not null or several").select(*KEY, F.coalesce("known", "first_doc").alias("first_doc"), "n"))
+            held.append(met)
+        # a key's first document is the same in all batches that repeat it
+        repeated = saved(reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n")), "line-repeated")
+        discard(*held)
+        total, most = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        gone = hot_join(lines, repeated, KEY, "n", total, most=most).where("first_doc < doc_id").select("doc_id", *KEY)
+        gone = saved(gone.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("keys")), "line-dropped")
     finally:
         runs.close()
-    discard(lines)
+    discard(lines, repeated)
     return gone
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspan.llm.common import discard, hot_join, map_rows, saved, split_by, table
+from fleetspan.llm.common import discard, even, hot_join, map_rows, saved, split_by, table
 from fleetspan.llm.words import WordHash, mixed, shingles, signed, space_words
 
 #: Words of a shingle and least similarity in percent, unless a caller asks otherwise.
@@ -108,19 +108,30 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     several tasks by a salt; its set is copied once a salt, so copies follow the pairs.
     """
     pairs = saved(pairs.distinct(), "pairs")
-    counts = pairs.groupBy("a").agg(F.count("*").alias("partners"))
+    counts, total, most = partners(pairs)
+    if not total:
+        discard(counts)
+        return pairs
     maps = bitmaps(sets)
-    with_a = hot_join(pairs, counts.join(maps.withColumnRenamed("id", "a"), "a"), ["a"], "partners", pairs.count())
+    of_a = maps.withColumnRenamed("id", "a")
+    with_a = pairs.join(of_a, "a") if even(total, most) else hot_join(pairs, counts.join(of_a, "a"), ["a"], "partners", total)
     with_b = with_a.join(maps.select(F.col("id").alias("b"), *[F.col(c).alias(f"s_{c}") for c in maps.columns if c != "id"]), "b")
     left = saved(with_b.where(possible(percent)).select("a", "b").distinct(), "pairs")
-    discard(pairs)
-    counts = left.groupBy("a").agg(F.count("*").alias("partners"))
-    salted = hot_join(left, counts, ["a"], "partners", left.count())
-    parts = F.ceil(F.col("partners") / CENTRE_PAIRS).cast("int")
+    discard(pairs, counts)
+    counts, total, most = partners(left)
+    if not total:
+        discard(counts)
+        return left
     moved = split_by(sets.select("id", "set"), "id", left.select(F.explode(F.array("a", "b")).alias("id")))[0]
-    sides = salted.select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt")).join(moved.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    centres = moved.join(counts.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), "set", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
-    both = sides.join(centres, ["a", "salt"]).select("a", "b", "set", "set_b")
+    set_b = moved.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
+    if even(total, most) and most <= CENTRE_PAIRS:  # nothing to deal out
+        both = left.join(set_b, "b").join(moved.withColumnRenamed("id", "a"), "a").select("a", "b", "set", "set_b")
+    else:
+        salted = hot_join(left, counts, ["a"], "partners", total, most=most)
+        parts = F.ceil(F.col("partners") / CENTRE_PAIRS).cast("int")
+        sides = salted.select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt")).join(set_b, "b")
+        centres = moved.join(counts.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), "set", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+        both = sides.join(centres, ["a", "salt"]).select("a", "b", "set", "set_b")
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         for a, b, set_a, set_b in it:
@@ -130,32 +141,41 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield a, b
 
     found = saved(map_rows(both, "a long, b long", rows).distinct(), "checked")
-    discard(left)
+    discard(left, counts)
     return found
 
 
+def partners(pairs: DataFrame) -> tuple[DataFrame, int, int]:
+    """a, partners: how many pairs each centre has; all pairs, and the most of one centre."""
+    counts = saved(pairs.groupBy("a").agg(F.count("*").alias("partners")), "partners")
+    total, most = counts.agg(F.sum("partners"), F.max("partners")).first()
+    return counts, total or 0, most or 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the smallest id reachable, for every id on an edge (a, b).
 
     Alternates large-star and small-star steps, each linear in the edges, until the edges are stars around each component's smallest id. A
-    node of many edges is pre-aggregated, and its edges join the result where they are (hot_join).
+    node of many edges is pre-aggregated, and its edges join the result where they are (hot_join). Edges are such stars just if no node has both a smaller neighbour
+    and a second one, so no further step is needed to see it.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     while True:
-        n = now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = hot_join(both, low, ["u"], "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "lowest")
+        total, most, between = low.agg(F.sum("n"), F.max("n"), F.count_if((F.col("m") < F.col("u")) & (F.col("n") > 1))).first()
+        if not between:
+            members = low.select(F.col("u").alias("id"), F.col("m").alias("component"))
+            discard(now)
+            return members
+        large = hot_join(both, low, ["u"], "n", total, most=most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = saved(large, "links")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = hot_join(large, low, ["u"], "n", n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = saved(small, "links")
-        same = after.count() == n and after.join(now, ["u", "v"], "left_anti").head(1) == []
-        discard(now, large)
-        now = after
-        if same:
-            members = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-            return members.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        discard(now, low)
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lowest")
+        total, most = low.agg(F.sum("n"), F.max("n")).first()
+        small = hot_join(large, low, ["u"], "n", total, most=most).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        now = saved(small, "links")
+        discard(large, low)
 
 
 def homes(met: DataFrame, joined: DataFrame, n_nodes: int) -> DataFrame:
@@ -164,8 +184,10 @@ def homes(met: DataFrame, joined: DataFrame, n_nodes: int) -> DataFrame:
     placed = saved(met.select("band", "id", "size").join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "comps")
     counts = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
     home = counts.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("home"), F.sum("n").alias("n"), F.count("*").alias("comps"), (F.sum("n") - F.max("n")).alias("n_apart")).where("comps > 1")
-    found = saved(hot_join(placed, home, ["band"], "n", n_nodes * BANDS).select("band", "id", "size", "comp", "home", "n_apart"), "placed")
-    discard(placed)
+    home = saved(home, "homes")
+    most = home.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    found = saved(hot_join(placed, home, ["band"], "n", n_nodes * BANDS, most=most).select("band", "id", "size", "comp", "home", "n_apart"), "placed")
+    discard(placed, home)
     return found
 
 
@@ -206,7 +228,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     places = nodes.select("id", "size", F.explode("bands").alias("band"))
     buckets = saved(places.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = split_by(places, "band", buckets.select("band"))[0]  # most bands are of one node only; their places stay where they are
-    met = saved(hot_join(shared, buckets, ["band"], "n", n_nodes * BANDS).select("band", "id", "size", "centre"), "bucket-places")
+    most = buckets.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    met = saved(hot_join(shared, buckets, ["band"], "n", n_nodes * BANDS, most=most).select("band", "id", "size", "centre"), "bucket-places")
     discard(buckets)
     sets = saved(shingle_sets(split_by(text, "doc_id", met.select("id"))[0], words), "shingle-sets")
 

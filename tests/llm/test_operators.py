@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetspan.llm import chat, decontaminate, language_model, licenses, line_dedup, minhash, mixing, quality_model, quality_rules, toxicity
+from fleetspan.llm import chat, common, decontaminate, language_model, licenses, line_dedup, minhash, mixing, quality_model, quality_rules, toxicity
 from fleetspan.llm.attention import STRIDE, WINDOW, Attention, initial
+from fleetspan.llm.common import saved
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -94,6 +95,35 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(21)} | {100 + i: 100 for i in range(30)}
 
 
+def test_stars_take_no_step(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(minhash, "saved", lambda df, tag: made.append(tag) or saved(df, tag))
+    stars = [(1, i) for i in range(2, 9)] + [(20, 21)]
+    got = {r.id: r.component for r in minhash.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 9)} | {20: 20, 21: 20}
+    assert made == ["links", "lowest"]
+
+
+@pytest.mark.parametrize("hot_rows", [0, 256])
+def test_near_duplicates_with_and_without_hot_keys(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(minhash, "CENTRE_PAIRS", 3 if hot_rows == 0 else minhash.CENTRE_PAIRS)
+    rows = [(i, " ".join(f"w{j}" for j in range(60) if j != i % 11)) for i in range(40)] + [(100 + i, " ".join(f"v{i}_{j}" for j in range(20))) for i in range(5)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), words=2).collect()}
+    assert got == {i: 0 for i in range(40)} | {100 + i: 100 + i for i in range(5)}
+
+
+def test_hot_join_without_hot_keys_is_one_join(spark, monkeypatch):
+    left = spark.createDataFrame([(i % 3, i) for i in range(30)], "k long, x long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    plain, dealt = common.hot_join(left, right, ["k"], "n", 30, most=10), common.hot_join(left, right, ["k"], "n", 30)
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Join") == 1
+    assert sorted(plain.collect()) == sorted(dealt.collect()) and plain.count() == 30
+    monkeypatch.setattr(common, "HOT_ROWS", 0)
+    assert "Union" in common.hot_join(left, right, ["k"], "n", 30, most=10)._jdf.queryExecution().optimizedPlan().toString()
+
+
 # decontamination
 
 
@@ -212,6 +242,15 @@ def test_line_runs_merge(spark):
     runs.close()
 
 
+def test_lines_of_all_batches_are_dropped_by_one_join(spark, monkeypatch):
+    joins = []
+    monkeypatch.setattr(line_dedup, "hot_join", lambda *a, **b: joins.append(1) or common.hot_join(*a, **b))
+    rows = [(i, f"a line of everyone\nthe line of {i // 2} alone\nonly document {i} has this") for i in range(40)] + [(7, "a line of everyone")]
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+    assert got == sorted([(i, 3, (i > 0) + i % 2) for i in range(40)] + [(7, 1, 1)])
+    assert len(joins) == 1
+
+
 # licences
 
 
