@@ -112,6 +112,41 @@ def test_count_of_trees_is_the_best_of_the_days_left_out(spark):
     assert abs({r.member: r.ap for r in models.average_precision(b.judged(), ["member"]).collect()}[1] - one) < 1e-12
 
 
+def test_one_task_a_member_gives_the_trees_of_levels(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "SAVED_EVERY", 2)
+    rows = data(600, 3)
+    members = [boosting.Member(d, frozenset(DAYS) - {d}, "y") for d in DAYS] + [boosting.Member("y5", frozenset(DAYS[:2]), "y5", frozenset(DAYS[2:])), boosting.Member("none", frozenset(), "y")]
+    found = []
+    for most, part in ((1 << 22, 50), (0, 50)):  # histograms of several parts, and levels of all members
+        monkeypatch.setattr(boosting, "TASK_ROWS", most)
+        monkeypatch.setattr(boosting, "PART", part)
+        b = boosting.Booster(table(spark, rows).repartition(3), NAMES, members, **HOW)
+        measured = sorted(map(tuple, b.measured([1, 3]).collect()))
+        found.append((b.trees, sorted(map(tuple, b.judged().collect())), measured))
+    assert found[0] == found[1] and len(found[0][0][0]) == 3 and {(t, m) for t, m, *_ in found[0][2]} == {(t, m) for t in (1, 3) for m in range(5)}
+
+
+def test_judged_after_earlier_trees_equals_shorter_models(spark):
+    members = [boosting.Member(d, frozenset(DAYS) - {d}, "y") for d in DAYS]
+    b = boosting.Booster(table(spark, data()), NAMES, members, **HOW).fit(4)
+    for n in (1, 4):
+        short = boosting.Booster(table(spark, data()), NAMES, members, **HOW).fit(n)
+        assert sorted(map(tuple, b.judged(at=[1, 4]).where(F.col("trees") == n).drop("trees").collect())) == sorted(map(tuple, short.judged().collect()))
+    with pytest.raises(ValueError):
+        b.judged(at=[5])
+
+
+def test_jobs_do_not_grow_with_trees(spark):
+    jobs = []
+    for trees in (1, 6):
+        b = boosting.Booster(table(spark, data()), NAMES, [boosting.Member("y", frozenset(DAYS), "y")], **HOW)
+        spark.sparkContext.setJobGroup(f"trees {trees}", "")
+        b.fit(trees)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees {trees}")))
+        spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1] > 0 and len(b.trees[0]) == 6
+
+
 def test_one_class_and_no_values(spark):
     rows = [(DAYS[0], None, 1.0, None, 1, None)] * 30
     b = boosting.Booster(table(spark, rows), NAMES, [boosting.Member("y", frozenset(DAYS), "y"), boosting.Member("none", frozenset(), "y5")], **HOW).fit(1)
