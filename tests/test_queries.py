@@ -59,6 +59,16 @@ def test_trained_models_judge_every_row_once(spark, name):
         assert {r.n for r in got} == {held_out}
 
 
+def test_count_of_trees_is_chosen_among_all_that_the_library_tries(spark, monkeypatch):
+    """25, 50, ... 300, as in the reference's training."""
+    from fleetspan.operators import boosting
+
+    tried, measured = [], boosting.Booster.measured
+    monkeypatch.setattr(boosting.Booster, "measured", lambda self, counts: tried.append(counts) or measured(self, counts))
+    got = registry.QUERIES["m05_train_trees"](spark, SF).first()
+    assert tried == [list(range(25, 301, 25))] and got.trees in tried[0]
+
+
 def test_logistic_training_works_out_its_rows_once(spark):
     """Fitting reads the training rows many times, so they are a table of their own."""
     assert not [f for f in registry.QUERIES["m05_train_logistic"](spark, SF).inputFiles() if f.endswith("events.parquet")]
