@@ -480,6 +480,57 @@ def test_language_model_learns_from_whole_texts(spark):
     assert {w for *_, w in got} == {20_000 + 200 + 3} and [v for _, v, _ in got] != language_model.flat(before).tolist()
 
 
+def test_language_model_learns_from_every_id(spark):
+    """Not from words' first ids only: what attention knows of the ids after them changes, and each counts as often as it stands."""
+    counts = {"theory": 30, "unbelievable": 10}
+    w = small_words(spark, counts)
+    sub = language_model.subwords(language_model.VOCABULARY)
+    each = {k: sub.encode([k.encode()])[0].tolist() for k in counts}
+    ids = {i for e in each.values() for i in e}
+    assert len(ids) > len(each) and (w.symbol[sorted(ids)] >= 0).all() and len(w.share) == len(ids) + 3
+    reader = language_model.Reader(w, ([b"theory"], np.array([30.0])), language_model.VOCABULARY)
+    tokens = b"theory unbelievable theory other".split()
+    got, first, at, rare = reader.read(tokens)
+    assert got.tolist() == [i for t in tokens for i in sub.encode([t])[0].tolist()] and at.tolist() == [0, -1, 0, -1] and rare.tolist() == [1, 3]
+    assert first.tolist() == np.cumsum([0, *[len(sub.encode([t])[0]) for t in tokens]]).tolist()
+    before = initial(w.share)
+    values = [v for _, v, _ in language_model.local_steps(iter([(0, b"theory unbelievable " * 20_000)]), before, reader)]
+    after = language_model.shaped(np.array(values) / 40_001, before)
+    seen = after["stats"].sum(1) / after["stats"].sum()
+    total = sum(map(len, each.values()))
+    assert all(abs(seen[w.symbol[i]] - sum(e.count(i) for e in each.values()) / total) < 0.02 for i in ids)
+
+
+def test_language_model_score_by_hand(spark):
+    """Each id by the model's own log probabilities, position by position."""
+    w = small_words(spark, {"theory": 30, "unbelievable": 10, "the": 7})
+    reader = language_model.Reader(w, ([b"theory", b"the"], np.array([30.0, 7.0])), language_model.VOCABULARY)
+    model = Attention(initial(w.share, 3))
+    texts = [b"theory unbelievable the zebra", b"", b"the " * 70 + b"unbelievably", b"theory"]
+    words = [t.split() for t in texts]
+    ids, first, *_ = reader.read([x for t in words for x in t])
+    begun, rest, ended = language_model.attended(reader, model, ids, first, np.cumsum([len(t) for t in words]))
+    sub, k = reader.sub, 0
+    for t, text in enumerate(words):
+        each = [sub.encode([x])[0].tolist() for x in text]
+        x, y = model.windows([reader.symbol[[i for e in each for i in e]].astype(np.int32)])
+        likely = np.stack([np.exp(model.log_probs(x, np.where(y >= 0, s, -1)).ravel().astype(float)) for s in range(model.n)])  # of every symbol at each position
+        stops = likely[w.begins].sum(0)
+        n = sum(map(len, each))
+        assert np.allclose(likely.sum(0)[: n + 1], 1, atol=1e-4)
+        at = 0
+        for e in each:
+            assert abs(begun[k] - np.log10(likely[reader.symbol[e[0]], at] / stops[at])) < 1e-4
+            want = w.left[e[0]]
+            for i, j in zip(e, [*e[1:], sub.STOP], strict=True):
+                at += 1
+                p = stops[at] if j == sub.STOP else likely[reader.symbol[j], at] * (w.unseen if w.symbol[j] < 0 else 1)
+                want += np.log10(language_model.ATTENDED * p + (1 - language_model.ATTENDED) * 10.0 ** float(w.chain[i, j]))
+            assert abs(rest[k] - want) < 1e-3
+            k += 1
+        assert at == n and abs(ended[t] - np.log10(likely[-1, n] / stops[n])) < 1e-4
+
+
 def test_language_model_beats_the_base_on_held_out_texts(spark):
     got = language_model.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
