@@ -25,7 +25,7 @@ BINS, MISSING = 255, 255
 UNIT = 1 / (1 << 26)
 #: Trees after which the rows' scores are written anew.
 SAVED_EVERY = 10
-#: Rows of a member, up to which one task grows it: a byte a feature and some 50 more for each.
+#: Rows of a member, up to which one task grows it: a byte a feature and some 65 more for each.
 TASK_ROWS = 1 << 22
 #: Rows that are added to a histogram at once. Their hessians (2^24 units each at most) sum to less than COUNTED, so a whole number of a double's 53 bits holds that sum and the count.
 PART, COUNTED = 1 << 13, 1 << 38
